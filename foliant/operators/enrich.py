@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import text as X
 from foliant.functions import vectors as V
+from foliant.functions.embed import Embedder, embed
+from foliant.functions.prompts import SUMMARY_PROMPT, TAGS_PROMPT, chat_prompt, document_prompt, system_prompt
 
 SUMMARY_SENTENCES = 3
 MAX_TAGS = 7
@@ -153,3 +158,83 @@ def distinct_tags(embedded_candidates: DataFrame, max_tags: int = MAX_TAGS, thre
 
     picked = F.aggregate(F.col("rows"), empty, keep)
     return ranked.select("id", F.transform(picked, lambda r: r["word"]).alias("tags"))
+
+
+# --------------------------------------------------------------------------
+# whole steps
+
+# A generator maps prompts to answers, a batch at a time; "" means no answer.
+Generator = Callable[[list[str]], list[str]]
+
+
+def _generate(prompt: Column, generator: Generator) -> Column:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            wanted = prompts.notna()
+            out = pd.Series([""] * len(prompts), dtype="object")
+            out[wanted.to_numpy()] = generator(prompts[wanted].tolist())
+            yield out
+
+    return run(prompt)
+
+
+def _document_prompt(text: Column, template: str) -> Column:
+    body = X.truncate_content(text)
+    return chat_prompt(system_prompt(template, X.detect_language(body)), document_prompt(body))
+
+
+def summarise(
+    files: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, text: str = "text_content"
+) -> DataFrame:
+    """(id, summary, error_code) of every file.
+
+    A generated summary wins; else the most central sentences where an
+    embedder is given; else the leading ones.
+    """
+    base = first_sentences(files, text)
+    if embedder is not None:
+        cut = sentences(files, text)
+        central = central_summary(cut.withColumn("embedding", embed(F.col("sentence"), embedder)))
+        base = base.join(central.withColumnRenamed("summary", "central"), "id", "left").select(
+            "id", F.coalesce("central", "summary").alias("summary"), "error_code"
+        )
+    if generator is not None:
+        prompt = F.when(content_error(F.col(text)).isNull(), _document_prompt(F.col(text), SUMMARY_PROMPT))
+        answers = files.select("id", X.trim_ws(_generate(prompt, generator)).alias("generated"))
+        given = F.col("generated") != ""
+        base = base.join(answers, "id").select(
+            "id",
+            F.when(given, F.col("generated")).otherwise(F.col("summary")).alias("summary"),
+            F.when(~given, F.col("error_code")).alias("error_code"),
+        )
+    return base
+
+
+def tag(
+    files: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, text: str = "text_content"
+) -> DataFrame:
+    """(id, tags, error_code) of every file.
+
+    Generated tags win; else the best words by TF-IDF, without near
+    duplicates where an embedder is given.
+    """
+    candidates = tag_candidates(tfidf(files, text))
+    if embedder is None:
+        best = tags(candidates)
+    else:
+        # Each word is embedded once, however many files it tags.
+        words = candidates.select("word").distinct().withColumn("embedding", embed(F.col("word"), embedder))
+        best = distinct_tags(candidates.join(words, "word"))
+    coded = files.select("id", content_error(F.col(text)).alias("error"))
+    out = coded.join(best, "id", "left")
+    if generator is not None:
+        prompt = F.when(content_error(F.col(text)).isNull(), _document_prompt(F.col(text), TAGS_PROMPT))
+        answers = files.select("id", X.parse_tag_list(_generate(prompt, generator)).alias("generated"))
+        out = out.join(answers, "id").withColumn("tags", F.when(F.size("generated") > 0, F.col("generated")).otherwise(F.col("tags")))
+    none = F.array().cast("array<string>")
+    return out.select(
+        "id",
+        F.coalesce("tags", none).alias("tags"),
+        F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("tags").isNull(), "generation_failed").alias("error_code"),
+    )

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.vectors import relevance
 
 # BM25 parameters and column weights.
 K1 = 1.2
@@ -162,17 +163,11 @@ def keyword_search(
         "description",
         snippet(F.col("text_content"), parse_query(query, stem_ru)).alias("snippet"),
         "rank",
-        _relevance("rank").alias("relevance"),
+        relevance(F.col("rank")).alias("relevance"),
         "indexed_at",
     )
 
 
-def _relevance(rank: str) -> Column:
-    from foliant.functions.vectors import relevance
-
-    return relevance(F.col(rank))
-
-
 # --------------------------------------------------------------------------
 # stored inverted index
 
@@ -283,48 +278,72 @@ def snippet(
     return cut(text)
 
 
+# A token may carry combining marks, which folding removes.
+_WINDOW_TOKEN = re.compile(f"[^\\W_](?:[^\\W_]|[{chr(0x300)}-{chr(0x331)}])*")
+
+
 def best_window(
     text: str, specs: Sequence[tuple[tuple[str, ...], bool]], before: str, after: str, ellipsis: str, max_tokens: int
 ) -> str:
-    """Window with the most distinct phrases, then most hits; whole hits are marked."""
-    spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
-    tokens = [T.fold_for_index_literal(text[a:b]) for a, b in spans]
-    hits: list[tuple[int, int, int]] = []  # first token, last token, phrase
-    for p, (words, prefix) in enumerate(specs):
-        for i in range(len(tokens) - len(words) + 1):
-            *head, last = words
-            tail = tokens[i + len(head)]
-            if tokens[i : i + len(head)] == head and (tail.startswith(last) if prefix else tail == last):
-                hits.append((i, i + len(head), p))
-    hits.sort()
+    """The window of tokens that shows the most distinct phrases, hits marked.
 
-    def score(start: int) -> int:
-        """1000 for a phrase seen first, 1 for every repeat, bonus at a sentence start."""
+    Windows are tried around every hit, with its hits in the middle, and from
+    the start of the sentence a hit lies in, which earns a bonus.
+    """
+    spans = [m.span() for m in _WINDOW_TOKEN.finditer(text)]
+    hits = _window_hits([T.fold_for_index_literal(text[a:b]) for a, b in spans], specs)
+    total = len(spans)
+    sentences = [0] + [i for i in range(1, total) if re.search(r"[.:][ \t\n\r]+$", text[: spans[i][0]][-64:])]
+
+    def covered(start: int) -> tuple[int, int, int]:
+        """Score of a window (1000 per new phrase, 1 per repeat) and the span of its hits."""
         inside = [h for h in hits if start <= h[0] < start + max_tokens]
         distinct = len({h[2] for h in inside})
-        return distinct * 1000 + (len(inside) - distinct)
-
-    sentence = [0] + [i for i in range(1, len(spans)) if re.search(r"[.:]", text[spans[i - 1][1] : spans[i][0]])]
-    best, best_score = 0, -1
-    for first, _, _ in hits:
-        options = [(first, 0)]
-        at = max((s for s in sentence if s <= first), default=0)
-        options.append((at, 120 if at == 0 else 100))
-        for start, bonus in options:
-            covered = score(start)
-            if start <= first < start + max_tokens and covered + bonus > best_score:
-                best, best_score = start, covered + bonus
-    best = max(0, min(best, len(spans) - max_tokens)) if best_score >= 0 else 0
-    stop = min(len(spans), best + max_tokens)
+        return 999 * distinct + len(inside), inside[0][0], inside[-1][1] + 1
+
+    start, best = 0, 0
+    for at, _, _ in hits:
+        score, low, high = covered(at)
+        if score > best:
+            # The slack rounds towards zero, also when the hits overrun the window.
+            slack = int((max_tokens - (high - low)) / 2)
+            start, best = max(0, min(low - slack, total - max_tokens)), score
+        sentence = max(s for s in sentences if s <= at)
+        if total > max_tokens and sentence < at:
+            score = sum(1 for h in hits if sentence <= h[0] < sentence + max_tokens) and covered(sentence)[0]
+            score += 100 if sentence else 120
+            if score > best:
+                start, best = sentence, score
+    return _marked(text, spans, hits, start, min(total, start + max_tokens), before, after, ellipsis)
+
+
+def _window_hits(tokens: list[str], specs: Sequence[tuple[tuple[str, ...], bool]]) -> list[tuple[int, int, int]]:
+    """(first token, last token, phrase) of every hit, in text order."""
+    hits = []
+    for phrase, (words, prefix) in enumerate(specs):
+        *head, last = words
+        for i in range(len(tokens) - len(head)):
+            tail = tokens[i + len(head)]
+            if tokens[i : i + len(head)] == head and (tail.startswith(last) if prefix else tail == last):
+                hits.append((i, i + len(head), phrase))
+    return sorted(hits)
+
+
+def _marked(text, spans, hits, start: int, stop: int, before: str, after: str, ellipsis: str) -> str:
+    """Text of tokens ``start`` to ``stop``; overlapping hits share one mark."""
     if not spans:
         return text
-    out, at = [], 0 if best == 0 else spans[best][0]
-    last_marked = -1
+    marks: list[list[int]] = []
     for first, last, _ in hits:
-        if first < best or last >= stop or first <= last_marked:
+        if not start <= first < stop:
             continue
+        if marks and first <= marks[-1][1]:
+            marks[-1][1] = max(marks[-1][1], min(last, stop - 1))
+        else:
+            marks.append([first, min(last, stop - 1)])
+    out, at = [], spans[start][0] if start else 0
+    for first, last in marks:
         out += [text[at : spans[first][0]], before, text[spans[first][0] : spans[last][1]], after]
-        at, last_marked = spans[last][1], last
-    end = len(text) if stop == len(spans) else spans[stop - 1][1]
-    out.append(text[at:end])
-    return (ellipsis if best else "") + "".join(out) + (ellipsis if stop < len(spans) else "")
+        at = spans[last][1]
+    out.append(text[at : len(text) if stop == len(spans) else spans[stop - 1][1]])
+    return (ellipsis if start else "") + "".join(out) + (ellipsis if stop < len(spans) else "")

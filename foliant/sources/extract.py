@@ -134,28 +134,46 @@ def extract_content(
 ) -> DataFrame:
     """Scanned files (path, length, content) to (path, text, content_type, pages_extracted, error_code).
 
-    Checks run on path and length alone, so contents of rejected files are
-    never decoded.  Without a ``pdf_reader`` PDFs give ``extraction_failed``.
+    Rejected files go their own way without ``content``; the filters on path
+    and length reach a folder scan, so those files are never opened.  Without
+    a ``pdf_reader`` PDFs give ``extraction_failed``.
     """
-    checked = scanned.withColumn("c", check_extraction(F.col("path"), F.col("length"), F.lit(True), max_mb))
-    kind, failed = F.col("c.content_type"), F.col("c.error_code")
-    readable = failed.isNull()
-    plain = F.when(readable & (kind == "text") & F.is_valid_utf8("content"), F.col("content").cast("string"))
-    docx = docx_to_text(F.when(readable & (kind == "docx"), F.col("content")))
-    pdf = _read_pages(F.when(readable & (kind == "pdf"), F.col("content")), pdf_reader, max_pages)
-    texts = checked.select("path", kind.alias("content_type"), failed.alias("failed"), plain.alias("plain"), docx.alias("docx"), pdf.alias("pdf"))
+    check = check_extraction(F.col("path"), F.col("length"), F.lit(True), max_mb)
+    rejected = (
+        scanned.select("path", check.alias("c"))
+        .filter(F.col("c.error_code").isNotNull())
+        .select("path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code")
+    )
+    kind = F.col("kind")
+    accepted = scanned.filter((F.col("length") <= P.mb_to_bytes(max_mb)) & check["error_code"].isNull())
+    plain = F.when((kind == "text") & F.is_valid_utf8("content"), F.col("content").cast("string"))
+    docx = docx_to_text(F.when(kind == "docx", F.col("content")))
+    pdf = _read_pages(F.when(kind == "pdf", F.col("content")), pdf_reader, max_pages)
+    texts = accepted.withColumn("kind", check["content_type"]).select(
+        "path", "kind", plain.alias("plain"), docx.alias("docx"), pdf.alias("pdf")
+    )
     text = F.coalesce("plain", "docx", "pdf.text")
-    return texts.select(
+    done = texts.select(
         "path",
         F.coalesce(text, F.lit("")).alias("text"),
-        "content_type",
+        kind.alias("content_type"),
         F.coalesce("pdf.pages", F.lit(0)).alias("pages_extracted"),
-        F.coalesce(
-            "failed",
-            F.when(text.isNull(), "extraction_failed"),
-            F.when(F.col("pdf.total") > max_pages, "too_many_pages"),
-        ).alias("error_code"),
+        F.when(text.isNull(), "extraction_failed")
+        .when(F.col("pdf.total") > max_pages, "too_many_pages")
+        .alias("error_code"),
+    )
+    return done.unionByName(rejected)
+
+
+def extract_requested(requests: DataFrame, scanned: DataFrame, **options) -> DataFrame:
+    """As above for requested paths; those the scan did not find report ``file_not_found``."""
+    known = extract_content(scanned.join(requests.select("path"), "path", "left_semi"), **options)
+    absent = requests.join(scanned.select("path"), "path", "left_anti")
+    verdict = check_extraction(F.col("path"), F.lit(0), F.lit(False))
+    missing = absent.select("path", verdict.alias("c")).select(
+        "path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code"
     )
+    return known.unionByName(missing)
 
 
 def _read_pages(content: Column, reader: PageReader | None, max_pages: int) -> Column:
