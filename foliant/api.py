@@ -22,6 +22,7 @@ from foliant.functions import text as X
 from foliant.functions.vectors import relevance
 from foliant.operators import enrich, fulltext, hybrid, index, rag
 from foliant.operators.chunking import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_files
+from foliant.session import ship_package
 from foliant.sources import extract, files
 from foliant.sources.store import IndexStore
 from foliant.streaming import events as streams
@@ -34,6 +35,7 @@ class Index:
     """A stored index and what can be asked of it."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, config: AppConfig | None = None):
+        ship_package(spark)
         self.spark = spark
         self.config = config or AppConfig()
         self.store = IndexStore(spark, root)

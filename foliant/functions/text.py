@@ -141,6 +141,16 @@ def normalize_lexical_literal(text: str) -> str:
     return "".join(c if c.isalnum() or c in "_-" or c.isspace() else " " for c in text.lower())
 
 
+def normalized_pattern(needle: str) -> str:
+    """Regex finding a normalised needle in a text that is lower-cased only.
+
+    A blank of the needle stands for a blank or any character that
+    normalisation turns into one.
+    """
+    blank = f"[^{ALNUM}_\\-{_WS_CLASS.replace(' ', '')}]"
+    return "".join(blank if c == " " else re.escape(c) for c in needle)
+
+
 _STEM_PATTERN = f"^(.{{3,}}?)(?:{'|'.join(RU_SUFFIXES)})$"
 _CYRILLIC = "[\\u0400-\\u04ff]"
 

@@ -87,59 +87,104 @@ def central_summary(embedded_sentences: DataFrame) -> DataFrame:
     )
 
 
-def term_statistics(files: DataFrame, text: str = "text_content") -> DataFrame:
-    """(id, word, tf, df, total, paragraphs) of texts long enough to tag.
+def _run_starts(items: str, key: Callable[[Column], Column]) -> Column:
+    """Positions in a sorted array column where a new key begins."""
+    at = lambda i: key(F.get(F.col(items), i))
+    positions = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
+    return F.filter(positions, lambda i: (i == 0) | (at(i) != at(i - 1)))
+
+
+def _runs(starts: str, items: str, build: Callable[[Column, Column], Column]) -> Column:
+    """One element per run of a sorted array, from its start and length."""
+    end = lambda k: F.coalesce(F.get(F.col(starts), k + 1), F.size(items))
+    return F.transform(F.col(starts), lambda s, k: build(s, end(k) - s))
 
-    ``tf`` counts a word in the file, ``df`` the paragraphs holding it; words
-    never cross a paragraph border, so counting per paragraph first gives both.
-    The file's totals ride along, which saves a join.
+
+def term_arrays(files: DataFrame, text: str = "text_content") -> DataFrame:
+    """(id, total, paragraphs, terms) of texts long enough to tag.
+
+    ``terms`` holds (word, tf, df): occurrences in the file, and paragraphs
+    with the word.  The text considered is cut to a fixed length, so a file's
+    words are counted within its row: they are sorted and runs of equal words
+    measured, and nothing is shuffled.  Arrays read inside lambdas are columns
+    of the step before; an expression there would run once per element.
     """
     blocks = F.transform(X.split_paragraphs(X.truncate_content(F.col(text))), X.tag_words)
-    words = (
-        files.filter(content_error(F.col(text)).isNull())
-        .select("id", blocks.alias("blocks"))
-        .select(
-            "id",
-            F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(b)).alias("total"),
-            F.greatest(F.size("blocks"), F.lit(1)).alias("paragraphs"),
-            F.posexplode("blocks").alias("paragraph", "words"),
-        )
-        .select("id", "total", "paragraphs", "paragraph", F.explode("words").alias("word"))
+    pairs = F.transform(
+        "blocks", lambda b, p: F.transform(b, lambda w: F.struct(w.alias("word"), p.alias("paragraph")))
     )
-    totals = [F.max(c).alias(c) for c in ("total", "paragraphs")]
-    return (
-        words.groupBy("id", "word", "paragraph")
-        .agg(F.count(F.lit(1)).alias("n"), *totals)
-        .groupBy("id", "word")
-        .agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), *totals)
+    # A run remembers where it starts, so occurrences are a difference of positions.
+    in_paragraph = _runs(
+        "starts", "pairs", lambda s, n: F.struct(F.get(F.col("pairs"), s)["word"].alias("word"), s.alias("at"))
+    )
+    in_file = _runs(
+        "starts",
+        "counts",
+        lambda s, n: F.struct(
+            F.get(F.col("counts"), s)["word"].alias("word"),
+            (F.coalesce(F.get(F.col("counts"), s + n)["at"], F.col("total")) - F.get(F.col("counts"), s)["at"])
+            .cast("long")
+            .alias("tf"),
+            n.cast("long").alias("df"),
+        ),
+    )
+    rows = files.filter(content_error(F.col(text)).isNull()).select("id", blocks.alias("blocks"))
+    rows = rows.select(
+        "id", F.greatest(F.size("blocks"), F.lit(1)).alias("paragraphs"), F.sort_array(F.flatten(pairs)).alias("pairs")
     )
+    rows = rows.withColumn("starts", _run_starts("pairs", lambda e: e))
+    rows = rows.select("id", "paragraphs", F.size("pairs").alias("total"), in_paragraph.alias("counts"))
+    rows = rows.withColumn("starts", _run_starts("counts", lambda e: e["word"]))
+    # ``inline`` of one element stops later filters from being pushed down here,
+    # where the steps above would be spelled out inside them over and over.
+    result = F.struct("total", "paragraphs", F.coalesce(in_file, F.array().cast(_TERMS)).alias("terms"))
+    return rows.select("id", F.inline(F.array(result)))
+
+
+_TERMS = "array<struct<word:string,tf:bigint,df:bigint>>"
+
+
+def scored_terms(files: DataFrame, text: str = "text_content") -> DataFrame:
+    """(id, terms) with (word, tf, df, score); stop words count in totals only."""
+    rows = term_arrays(files, text)
+    kept = F.filter("terms", lambda t: ~t["word"].isin(*X.TAG_STOPWORDS))
+    scored = F.transform(
+        kept,
+        lambda t: F.struct(
+            t["word"].alias("word"),
+            t["tf"].alias("tf"),
+            t["df"].alias("df"),
+            ((t["tf"] / F.col("total")) * (F.ln(F.col("paragraphs") / t["df"]) + 1.0)).alias("score"),
+        ),
+    )
+    return rows.select("id", scored.alias("terms"))
+
+
+def term_statistics(files: DataFrame, text: str = "text_content") -> DataFrame:
+    """(id, word, tf, df), a row per word."""
+    return term_arrays(files, text).select("id", F.inline("terms"))
 
 
 def tfidf(files: DataFrame, text: str = "text_content") -> DataFrame:
-    """(id, word, tf, df, score) of tag candidates; stop words count in totals only."""
-    score = (F.col("tf") / F.col("total")) * (F.ln(F.col("paragraphs") / F.col("df")) + 1.0)
-    terms = term_statistics(files, text).filter(~F.col("word").isin(*X.TAG_STOPWORDS))
-    return terms.select("id", "word", "tf", "df", score.alias("score"))
+    """(id, word, tf, df, score), a row per tag candidate."""
+    return scored_terms(files, text).select("id", F.inline("terms"))
 
 
-def tag_candidates(scored: DataFrame, n: int = 3 * MAX_TAGS) -> DataFrame:
-    """Best ``n`` words per file with their position; ties in word order."""
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "word")
-    return (
-        scored.withColumn("score", F.round("score", 9))
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= n)
-    )
+def _best_words(n: int) -> Column:
+    """The ``n`` best words of ``terms``; equal scores in word order."""
+    ranked = F.transform("terms", lambda t: F.struct((-F.round(t["score"], 9)).alias("order"), t["word"].alias("word")))
+    return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda t: t["word"])
 
 
-def tags(candidates: DataFrame, max_tags: int = MAX_TAGS) -> DataFrame:
-    """(id, tags) out of candidates, best first."""
-    return (
-        candidates.filter(F.col("position") <= max_tags)
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "word"))).alias("rows"))
-        .select("id", F.transform("rows", lambda r: r["word"]).alias("tags"))
-    )
+def tag_candidates(files: DataFrame, text: str = "text_content", n: int = 3 * MAX_TAGS) -> DataFrame:
+    """(id, position, word) of the best ``n`` words per file."""
+    best = scored_terms(files, text).select("id", F.posexplode(_best_words(n)).alias("at", "word"))
+    return best.select("id", (F.col("at") + 1).alias("position"), "word")
+
+
+def tags(files: DataFrame, text: str = "text_content", max_tags: int = MAX_TAGS) -> DataFrame:
+    """(id, tags), best first, of files that have any."""
+    return scored_terms(files, text).select("id", _best_words(max_tags).alias("tags")).filter(F.size("tags") > 0)
 
 
 def distinct_tags(embedded_candidates: DataFrame, max_tags: int = MAX_TAGS, threshold: float = TAG_SIMILARITY) -> DataFrame:
@@ -219,10 +264,10 @@ def tag(
     Generated tags win; else the best words by TF-IDF, without near
     duplicates where an embedder is given.
     """
-    candidates = tag_candidates(tfidf(files, text))
     if embedder is None:
-        best = tags(candidates)
+        best = tags(files, text)
     else:
+        candidates = tag_candidates(files, text)
         # Each word is embedded once, however many files it tags.
         words = candidates.select("word").distinct().withColumn("embedding", embed(F.col("word"), embedder))
         best = distinct_tags(candidates.join(words, "word"))

@@ -228,14 +228,22 @@ def rank_postings(
     if not phrases:
         return lengths.select("id", F.lit(0.0).alias("rank")).limit(0)
     weight = F.get(F.array(*[F.lit(float(weights.get(c, 0.0))) for c in columns]), F.col("col"))
+    ids = range(len(phrases))
+    # All single tokens share one pass over the postings.
+    single = [i for i in ids if len(phrases[i].tokens) == 1]
+    matches = {i: _token_matches(phrases[i], 0) for i in single}
+    parts = []
+    if single:
+        found = postings.filter(reduce(or_, matches.values()))
+        parts.append((found, {i: F.when(m, weight).otherwise(0.0) for i, m in matches.items()}))
+    for i in ids:
+        if i not in single:
+            parts.append((phrase_occurrences(postings, phrases[i]), {i: weight}))
     hits = reduce(
         DataFrame.unionByName,
-        (phrase_occurrences(postings, p).withColumn("phrase", F.lit(i)) for i, p in enumerate(phrases)),
-    )
-    ids = range(len(phrases))
-    per_file = hits.groupBy("id").agg(
-        *[F.sum(F.when(F.col("phrase") == i, weight).otherwise(0.0)).alias(f"f_{i}") for i in ids]
+        (df.select("id", *[values.get(i, F.lit(0.0)).alias(f"f_{i}") for i in ids]) for df, values in parts),
     )
+    per_file = hits.groupBy("id").agg(*[F.sum(f"f_{i}").alias(f"f_{i}") for i in ids])
     totals = lengths.agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_tokens").alias("n_tokens"))
     found = per_file.agg(*[F.count_if(F.col(f"f_{i}") > 0).alias(f"hits_{i}") for i in ids])
     totals, found = totals.select(F.struct("*")).scalar(), found.select(F.struct("*")).scalar()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,23 +63,22 @@ def hybrid_weights(tokens: Sequence[str]) -> tuple[float, float]:
     return 0.8, 0.2
 
 
-def lexical_score(query: str, name: Column, body: Column) -> Column:
+def lexical_score(query: str, file_name: Column, chunk_text: Column) -> Column:
     """Substring evidence for a literal query, clamped to 0..1.
 
-    ``name`` and ``body`` are normalised file name and chunk text.
-
     A token scores 0.8 in the file name, else 0.4 in the chunk; the whole
-    query adds 0.3 or 0.15.  A token or its stem may match.
+    query adds 0.3 or 0.15.  A token or its stem may match.  Both texts count
+    as normalised, which matters to blanks only: tokens are looked up in the
+    lower-cased texts directly, and the whole query as a pattern.
     """
     whole = X.normalize_lexical_literal(query)
     tokens = whole.split()
     if not tokens:
         return F.lit(0.0)
+    name, body = F.lower(file_name), F.lower(chunk_text)
 
     def has(text: Column, needle: str) -> Column:
-        found = F.contains(text, F.lit(needle))
-        stem = X.stem_ru_literal(needle)
-        return found if stem == needle else found | F.contains(text, F.lit(stem))
+        return reduce(or_, (_occurs(text, n) for n in dict.fromkeys((needle, X.stem_ru_literal(needle)))))
 
     score = F.lit(0.0)
     for token in tokens:
@@ -88,16 +89,23 @@ def lexical_score(query: str, name: Column, body: Column) -> Column:
     return V.clamp(score, 0.0, 1.0)
 
 
+def _occurs(lower: Column, needle: str) -> Column:
+    """Whether a normalised needle occurs in the normalised form of a lower-cased text."""
+    words = needle.split()
+    if len(words) == 1 and words[0] == needle:
+        return F.contains(lower, F.lit(needle))
+    # The words first: the pattern then runs on few texts only.
+    all_words = reduce(and_, (F.contains(lower, F.lit(w)) for w in words)) if words else F.lit(True)
+    return all_words & lower.rlike(X.normalized_pattern(needle))
+
+
 def score_chunks(embedded_chunks: DataFrame, query: str, query_vector: Sequence[float]) -> DataFrame:
     """Every chunk with its cosine, calibrated, lexical and hybrid score."""
     semantic_weight, lexical_weight = hybrid_weights(query_tokens(query))
     return (
-        embedded_chunks.withColumns(
-            {"_name": X.normalize_lexical(F.col("file_name")), "_body": X.normalize_lexical(F.col("chunk_text"))}
-        )
-        .withColumn("lexical", lexical_score(query, F.col("_name"), F.col("_body")))
+        embedded_chunks.withColumn("lexical", lexical_score(query, F.col("file_name"), F.col("chunk_text")))
         .withColumn("cosine", V.cosine_against(F.col("embedding"), query_vector))
-        .drop("embedding", "_name", "_body")
+        .drop("embedding")
         .withColumn("semantic", V.calibrate(F.col("cosine")))
         .withColumn(
             "score",

@@ -51,7 +51,7 @@ def tfidf(spark, sf_dir):
     GROUP BY id""",
 )
 def tags(spark, sf_dir):
-    best = E.tags(E.tag_candidates(E.tfidf(_spaced(spark, sf_dir))))
+    best = E.tags(_spaced(spark, sf_dir))
     return best.select("id", F.array_join("tags", ", ").alias("tags"))
 
 
@@ -61,7 +61,7 @@ def tags(spark, sf_dir):
       || '],"error_code":null}}' AS tags_json FROM ranked WHERE position <= 7 GROUP BY id""",
 )
 def tags_json(spark, sf_dir):
-    best = E.tags(E.tag_candidates(E.tfidf(_spaced(spark, sf_dir))))
+    best = E.tags(_spaced(spark, sf_dir))
     return best.select("id", jsonfmt.tags_json(F.col("tags"), F.lit(None).cast("string")).alias("tags_json"))
 
 
@@ -83,7 +83,7 @@ def tags_json(spark, sf_dir):
 )
 def distinct_tags(spark, sf_dir):
     """Greedy de-duplication; neighbouring candidates share a vector."""
-    candidates = E.tag_candidates(E.tfidf(_spaced(spark, sf_dir)))
+    candidates = E.tag_candidates(_spaced(spark, sf_dir))
     key = F.col("id") + F.floor(F.col("position") / 2).cast("long")
     picked = E.distinct_tags(S.with_vectors(spark, sf_dir, candidates, key))
     return picked.select("id", F.array_join("tags", ", ").alias("tags"))

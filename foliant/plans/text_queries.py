@@ -225,12 +225,8 @@ LEXICAL_QUERY = "eaux en la"
     SELECT id, round({P.lexical(LEXICAL_QUERY)}, 6) AS score FROM n""",
 )
 def lexical_scores(spark, sf_dir):
-    normal = S.files(spark, sf_dir).select(
-        "id",
-        X.normalize_lexical(F.col("file_name")).alias("name"),
-        X.normalize_lexical(F.col("text_content")).alias("body"),
-    )
-    return normal.select("id", F.round(lexical_score(LEXICAL_QUERY, F.col("name"), F.col("body")), 6).alias("score"))
+    score = lexical_score(LEXICAL_QUERY, F.col("file_name"), F.col("text_content"))
+    return S.files(spark, sf_dir).select("id", F.round(score, 6).alias("score"))
 
 
 KEYWORDS = f"""list_filter(
