@@ -21,10 +21,12 @@ def _sorted_batch(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], kind="stable")
 
 
-def dedup_stream(events: DataFrame, window_ms: int = E.DEDUP_MS) -> DataFrame:
+def dedup_stream(events: DataFrame, window_ms: int = E.DEDUP_MS, late: str = "1 hour") -> DataFrame:
     """Add events without repeats of a path within the window of the last kept one.
 
-    The state per path is one time stamp, dropped after ten quiet windows.
+    The state per path is one time stamp.  It is dropped once the watermark,
+    ``late`` behind the newest event, is ten windows past it; events older
+    than the watermark are not taken.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,15 +41,16 @@ def dedup_stream(events: DataFrame, window_ms: int = E.DEDUP_MS) -> DataFrame:
             keep.append(fresh)
             last = int(t) if fresh else last
         state.update((last,))
-        state.setTimeoutDuration(max(10 * window_ms, 1))
+        state.setTimeoutTimestamp(max(last + 10 * window_ms, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[keep, ["event_id", "path", "ts_ms"]]
 
     return (
         events.filter(F.col("op") == "add")
-        .select("event_id", "path", "ts_ms")
+        .select("event_id", "path", "ts_ms", F.timestamp_millis("ts_ms").alias("at"))
+        .withWatermark("at", late)
         .groupBy("path")
         .applyInPandasWithState(
-            step, "event_id long, path string, ts_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+            step, "event_id long, path string, ts_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

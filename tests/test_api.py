@@ -140,7 +140,7 @@ def source(spark, tmp_path, rows):
     return spark.readStream.schema(shape).parquet(path)
 
 
-ROWS = [(i, f"/p{i % 2}", "add", t, "w") for i, t in enumerate([0, 10, 200, 290, 310, 320, 700, 900, 1500, 5000])]
+ROWS = [(i, f"/p{i % 2}", "add", 1_000_000 + t, "w") for i, t in enumerate([0, 10, 200, 290, 310, 320, 700, 900, 1500, 5000])]
 
 
 def test_stream_dedup(spark, tmp_path):
