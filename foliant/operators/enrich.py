@@ -184,7 +184,8 @@ def tag_candidates(files: DataFrame, text: str = "text_content", n: int = 3 * MA
 
 def tags(files: DataFrame, text: str = "text_content", max_tags: int = MAX_TAGS) -> DataFrame:
     """(id, tags), best first, of files that have any."""
-    return scored_terms(files, text).select("id", _best_words(max_tags).alias("tags")).filter(F.size("tags") > 0)
+    best = F.struct(_best_words(max_tags).alias("tags"))
+    return scored_terms(files, text).select("id", F.inline(F.array(best))).filter(F.size("tags") > 0)
 
 
 def distinct_tags(embedded_candidates: DataFrame, max_tags: int = MAX_TAGS, threshold: float = TAG_SIMILARITY) -> DataFrame:
