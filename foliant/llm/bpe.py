@@ -9,7 +9,8 @@ compiled in their order, each by one gadget: for (a, b) -> c,
 
 All arcs of one token lead to one state, so a state is kept as the state it was
 copied from and the arc it lost, the target of c is the one of b at that time,
-and c leaves the states that a left then.  Whether a token may follow another is
+and c leaves the states that a left then.  Where no target of a has an arc b, the
+merge never happens and c gets no arc.  Whether a token may follow another is
 thus answered from two tables: the turn in which a token or a lost arc came up,
 and each token's parts.  Paths spell exactly the segmentations that the merges
 produce, one per string.
@@ -74,9 +75,10 @@ class TokenAutomaton:
         self.allowed: dict[int, bool] = {}
 
     def _gadget(self, turn: int, a: int, b: int, c: int) -> None:
-        self.lost.setdefault((a, b), turn)
-        if self.born[c] < 0:
-            self.born[c], self.left[c], self.right[c] = turn, a, b
+        if not self._arc(a, b):
+            return  # no path spells a then b
+        self.lost[a, b] = turn
+        self.born[c], self.left[c], self.right[c] = turn, a, b
         self.token[self.label[c]] = c
 
     def arc(self, state: int, token: int) -> bool:
@@ -90,7 +92,7 @@ class TokenAutomaton:
         return known
 
     def _arc(self, state: int, token: int) -> bool:
-        turn = len(self.lost) + 1  # arcs lost before this turn are gone
+        turn = 1 << 60  # arcs lost before this turn are gone
         while True:
             gone = self.lost.get((state, token))
             if gone is not None and gone < turn:

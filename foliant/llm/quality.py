@@ -74,8 +74,10 @@ def repeated_lines(data: np.ndarray, words: Words) -> np.ndarray:
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
+    if not len(starts):
+        return out
     ends = np.append(starts[1:], len(data))
-    ends = ends - (data[ends - 1] == 0x0A) if len(ends) else ends
+    ends = ends - (data[ends - 1] == 0x0A)
     worded = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends = starts[worded], ends[worded]
     if not len(starts):
