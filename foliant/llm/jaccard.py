@@ -14,11 +14,11 @@ In an instance at most K elements tell a linked pair apart.
   the empty partitions, which would pair unrelated documents.
 
 Sets that share a signature are candidates.  They are verified on whole texts
-against a few pivots per signature, verified links merge components, and a
-signature is done when its members lie in one component; the others go on with
-more pivots, until every pair of members from different components has been
-compared.  So no link between components is lost, and the pairs of a large
-group of near copies are never listed.
+against a few pivots per signature, and verified links merge components.  Most
+signatures then have all their members in one component, which settles them.
+In the others, all pairs of members from different components are compared,
+block by block within tasks.  So no link between components is lost, and the
+pairs of a large group of near copies are never listed.
 
 Rows with null or blank texts have an empty set and link with nothing.  Rows
 that share a doc_id count as one document: their sets fall into one component.
@@ -43,6 +43,10 @@ ENUMERATED_K = 3
 SPREAD = 1.3
 #: Members verified against one pivot in one task.
 CHUNK = 200
+#: Pivots per signature, round by round.
+STARS = (1, 8)
+#: Shingles of the members that one task holds when it compares components.
+BLOCK = 4_000_000
 MAX_SIZE = 1 << 40
 
 
@@ -236,20 +240,14 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
         maybe_in(docs, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi"),
         "texts",
     )
-    tested, pivots = None, 1
-    while True:
+    for pivots in STARS:
         members = open_members(members, labels)
         if members.isEmpty():
             return labels
         pairs, members = pivot_pairs(members, pivots, sim)
-        if tested is not None:
-            pairs = pairs.join(tested, ["p", "q"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = saved(verified(pairs, texts, sim), "links")
-            labels = contract(found.select(F.col("p").alias("a"), F.col("q").alias("b")), labels)
-            tested = pairs.select("p", "q") if tested is None else tested.unionByName(pairs.select("p", "q"))
-        pivots *= 8
+        labels = contract(verified(pairs, texts, sim), labels)
+    members = open_members(members, labels)
+    return labels if members.isEmpty() else contract(cross_links(members, texts, sim), labels)
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -268,22 +266,16 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity) -> tuple[DataFrame, DataFrame]:
     """Pairs of each signature's next pivots with its members, and the members without these pivots.
 
-    Pivots come from the component with the fewest members in the signature
-    first, so a signature closes as soon as its smaller components are done.
+    Signatures of one group of near copies have much the same members, and as
+    all choose by the same order they choose much the same pivots.
     """
-    weight = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("weight"))
-    if pivots == 1:
-        chosen = members.groupBy("sig").agg(F.min("id").alias("id"))
-    else:
-        order = Window.partitionBy("sig").orderBy("weight", "label", "id")
-        chosen = (
-            members.join(weight, ["sig", "label"])
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= pivots)
-            .select("sig", "id")
-        )
-    pivot = members.join(chosen, ["sig", "id"]).select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-    pivot = saved(pivot.distinct(), "pivots")
+    order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
+    pivot = saved(
+        members.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= pivots)
+        .select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")),
+        "pivots",
+    )
     pairs = (
         members.join(pivot, "sig")
         .filter(
@@ -295,11 +287,11 @@ def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity) -> tuple[DataF
         .distinct()
     )
     rest = members.join(pivot.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
-    return pairs, rest
+    return saved(pairs, "pairs"), rest
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (p, q) whose sets are similar enough, checked on whole texts.
+    """Links (a, b): the pairs (p, q) whose sets are similar enough, checked on whole texts.
 
     The members of a pivot are dealt over chunks of about ``CHUNK``, so a pivot
     with very many members is many tasks' work; a chunk is read as a stream
@@ -344,9 +336,106 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
                 elif any(sim.holds(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)) for other in pivot):
                     low.append(min(now[0], ids[i]))
                     high.append(max(now[0], ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return ready.mapInArrow(compare, "a long, b long").distinct()
+
+
+def sketch(own: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the elements hashed to each of ``64 * words`` bits.
+
+    Two sketches differ in at most as many bits as their sets differ in elements.
+    """
+    place = (mix(own ^ np.uint64(0xC0FFEE)) >> np.uint64(32)) * np.uint64(64 * words) >> np.uint64(32)
+    parity = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
+def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """Links (a, b) between different components of each signature, all pairs compared.
 
-    return ready.mapInArrow(compare, "p long, q long").distinct()
+    Every member outside a signature's largest component meets all members of
+    other components.  Members lie in blocks of at most ``BLOCK`` shingles (or
+    one member), outsiders come as a stream to every block, and pairs live in
+    the tasks only: out comes one link per outsider, block and component.
+    Sketches rule out most pairs, the rest is compared on whole sets.
+    """
+    weight = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    plan = weight.groupBy("sig").agg(
+        F.max(F.struct("size", "label"))["label"].alias("largest"), F.ceil(F.sum("total") / BLOCK).alias("blocks")
+    )
+    placed = members.join(plan, "sig")
+    inside = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.lit(0))
+    outside = (
+        placed.filter(F.col("label") != F.col("largest"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("part", F.lit(1))
+    )
+    columns = ("sig", "block", "part", "id", "label")
+    ready = (
+        inside.select(*columns)
+        .unionByName(outside.select(*columns))
+        .join(texts, F.col("id") == F.col("doc_id"))
+        .select(*columns, "text")
+        .repartition("sig", "block")
+        .sortWithinPartitions("sig", "block", "part")
+    )
+
+    def compare(batches):
+        key, block = None, None
+        for batch in sliced(batches, "text"):
+            values, ends = shingle_sets(batch.column("text"), sim)
+            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            a, b = [], []
+            for i, (sig, number, part, own_id, label) in enumerate(rows):
+                if (sig, number) != key:
+                    key, block = (sig, number), _Block(sim)
+                own = values[ends[i] : ends[i + 1]]
+                if part == 0:
+                    block.add(own_id, label, own.copy())
+                else:
+                    found = block.linked(label, own)
+                    a += [own_id] * len(found)
+                    b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return ready.mapInArrow(compare, "a long, b long").distinct()
+
+
+class _Block:
+    """Members of one block, asked for links with an outsider."""
+
+    def __init__(self, sim: Similarity):
+        self.sim, self.ids, self.labels, self.sets, self.sketches = sim, [], [], [], None
+
+    def add(self, own_id: int, label: int, own: np.ndarray) -> None:
+        self.ids.append(own_id)
+        self.labels.append(label)
+        self.sets.append(own)
+
+    def _close(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sets])
+        most = int(self.sizes.max()) * (self.sim.den - self.sim.num) // self.sim.num + 1
+        self.words = min(256, max(1, most // 4))
+        self.sketches = np.stack([sketch(s, self.words) for s in self.sets])
+        self.marks = np.array(self.labels)
+
+    def linked(self, label: int, own: np.ndarray) -> list[int]:
+        """One linked member of each other component that has one."""
+        if not self.ids:
+            return []
+        if self.sketches is None:
+            self._close()
+        gap, both = self.sim.den - self.sim.num, self.sim.den + self.sim.num
+        distance = np.bitwise_count(self.sketches ^ sketch(own, self.words)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((distance * both <= gap * (self.sizes + len(own))) & (self.marks != label))
+        out: dict[int, int] = {}
+        for i in near[np.argsort(distance[near], kind="stable")].tolist():
+            if self.labels[i] not in out:
+                common = len(np.intersect1d(own, self.sets[i], assume_unique=True))
+                if self.sim.holds(common, len(own), len(self.sets[i])):
+                    out[self.labels[i]] = self.ids[i]
+        return list(out.values())
 
 
 def contract(links: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -119,6 +119,7 @@ def test_one_of_each_group_stays(spark, docs):
 def test_large_group_of_near_copies(spark, docs, monkeypatch):
     """A group whose members are mostly not linked to the first pivot."""
     monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -135,3 +136,13 @@ def test_short_texts_have_one_shingle():
     values, ends = jaccard.shingle_sets(pa.array(["a b", "a b", "b a", "", None, "a b c"]), Similarity(3, 9, 10))
     assert np.diff(ends).tolist() == [1, 1, 1, 0, 0, 1]
     assert values[0] == values[1] != values[2]
+
+
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(7)
+    for size in (1, 10, 300):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[size // 3 :], rng.integers(0, 2**63, 20, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        for words in (1, 4, 64):
+            assert np.bitwise_count(jaccard.sketch(a, words) ^ jaccard.sketch(b, words)).sum() <= apart
