@@ -8,6 +8,8 @@ place that follows from i alone and is read from a memory map without copying
 or decoding.  Only the last sequence of a shard is padded; its mask is false
 there.
 
+Ids take 16 bits where the vocabulary allows, else 32.
+
 Shards are the tasks of one range-partitioned job.  A task writes to a name of
 its own and renames the finished file, so a repeated or speculative task leaves
 one whole file.  The rows it returns say where each document lies within its
@@ -17,10 +19,10 @@ shard; they are kept as a table beside the files.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.arrays import sliced
+from foliant.llm.arrays import mix, sliced, span_hashes, text_bytes
 from foliant.llm.common import shared_folder
 
 LENGTH = 2048
 #: Sequences per record batch.
 ROWS = 64
 END_ID = 2
-#: Words whose ids a worker remembers; the older half goes when it is full.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers; when there are more, it starts over.
+REMEMBERED = 1_000_000
+
+SPACE, DIGIT, LETTER, MARK, OTHER = range(5)
+
+
+def _unit_kind(byte: int) -> int:
+    if byte == 0x20 or 0x09 <= byte <= 0x0D:
+        return SPACE
+    if 0x30 <= byte <= 0x39:
+        return DIGIT
+    if 0x41 <= byte <= 0x5A or 0x61 <= byte <= 0x7A:
+        return LETTER
+    return MARK if 0x20 < byte < 0x7F and chr(byte) not in "'<|>" else OTHER
 
-#: ASCII letters and the marks behind them; quotes and the brackets of special tokens stay with their word.
-TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{}~]*)")
+
+UNIT_KINDS = np.array([_unit_kind(b) for b in range(256)], dtype=np.uint8)
 
 
 @lru_cache(maxsize=2)
@@ -53,36 +67,96 @@ def loaded(path: str):
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, each distinct word encoded once.
-
-    Such a tokenizer gives the same ids for a text as for the parts between its
-    blanks.  Marks behind a letter are a part of their own, and capitals of
-    A-Z are encoded as small letters.
+    """Ids of texts by a tokenizer that drops white space and case, each distinct unit encoded once.
+
+    Such a tokenizer splits texts at white space, around digits and between a
+    letter and the marks beside it, so the ids of a text are those of its units.
+    A cut is made only where one side is white space, exactly one side is a
+    digit, or an ASCII letter meets an ASCII mark.  Apostrophes, and the signs
+    of special tokens, do not count as marks: their neighbours matter.
+    Units are looked up by 64-bit hashes in which A-Z equal a-z; units with a
+    sign of special tokens keep their case.
     """
 
     def __init__(self, path: str):
         self.tokenizer = loaded(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        missing = set().union(*parts) - self.known.keys() if parts else set()
-        again = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        missing -= again
-        bare = {w: (m[1].lower(), m[2]) for w in missing if (m := TAILED.fullmatch(w))}
-        plain = missing.difference(bare)
-        plain.update(x for pair in bare.values() for x in pair if x not in self.known)
-        plain = list(plain)
-        for word, made in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(made.ids, dtype="<u4").tobytes()
-        for word, (body, tail) in bare.items():
-            self.known[word] = self.known[body] + self.known[tail]
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.kind = np.dtype("<u2" if small else "<u4")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.place: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=self.kind)
+        self.start, self.length, self.used = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in made], dtype=np.int64)
+        fresh = np.fromiter(chain.from_iterable(made), dtype=self.kind, count=int(lengths.sum()))
+        n = len(self.place)
+        while len(self.flat) < self.used + len(fresh):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < n + len(made):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(fresh)] = fresh
+        self.start[n : n + len(made)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(made)] = lengths
+        self.used += len(fresh)
+        self.place.update(zip(hashes, range(n, n + len(made)), strict=True))
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their offsets; ``end_id`` closes each text."""
+        data, offsets = text_bytes(column)
+        starts, ends = units(data, offsets)
+        hashes = span_hashes(data, starts, ends, fold=True)
+        signs = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(data == ord("<"), out=signs[1:])
+        signed = np.flatnonzero(signs[ends] > signs[starts])
+        hashes[signed] = mix(span_hashes(data, starts[signed], ends[signed], fold=False) ^ np.uint64(0x5A5A5A5A))
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.place) > REMEMBERED:
+            self._reset()
+        keys = distinct.tolist()
+        known = list(map(self.place.get, keys))
+        missing = [i for i, x in enumerate(known) if x is None]
+        if missing:
+            at = first[missing]
+            raw = data.tobytes()
+            self._learn([keys[i] for i in missing], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            for i in missing:
+                known[i] = self.place[keys[i]]
+        entry = np.array(known, dtype=np.int64)[inverse] if len(known) else np.zeros(0, dtype=np.int64)
+        sizes, origin = self.length[entry], self.start[entry]
+        bounds = np.searchsorted(starts, offsets)
+        total = np.zeros(len(entry) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=total[1:])
+        out = self.flat[np.repeat(origin - total[:-1], sizes) + np.arange(total[-1])]
+        text_ends = total[bounds]
+        if end_id is not None:
+            out = np.insert(out, text_ends[1:], self.kind.type(end_id))
+            text_ends = text_ends + np.arange(len(text_ends))
+        return out, text_ends
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the units of all texts."""
+    kinds = UNIT_KINDS[data]
+    if not len(data):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    left, right = kinds[:-1], kinds[1:]
+    cut = np.ones(len(data), dtype=bool)
+    cut[1:] = (
+        (left == SPACE)
+        | (right == SPACE)
+        | ((left == DIGIT) != (right == DIGIT))
+        | ((left == LETTER) & (right == MARK))
+        | ((left == MARK) & (right == LETTER))
+    )
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(data))
+    real = kinds[starts] != SPACE
+    return starts[real], ends[real]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -95,16 +169,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Packs ids into fixed-size sequences of one Arrow file."""
 
-    def __init__(self, sink, length: int = LENGTH, rows: int = ROWS):
-        self.length, self.block = length, length * rows
-        self.schema = sequence_schema(length)
+    def __init__(self, sink, kind: np.dtype, length: int = LENGTH, rows: int = ROWS):
+        self.length, self.block, self.kind = length, length * rows, kind
+        self.schema = sequence_schema(length, kind)
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.held, self.size = [], 0
 
@@ -126,7 +200,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.size:
             joined = np.concatenate(self.held)
-            padded = np.zeros(-(-len(joined) // self.length) * self.length, dtype="<u4")
+            padded = np.zeros(-(-len(joined) // self.length) * self.length, dtype=self.kind)
             padded[: len(joined)] = joined
             self._write(padded, len(joined))
         self.writer.close()
@@ -184,19 +258,14 @@ def written(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, id_co
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         draft = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}"
-        end, start, row = np.array([end_id], dtype="<u4"), 0, 0
-        writer = None
+        start, row, writer, own = 0, 0, None, encoder(path)
         for batch in sliced(batches, "text"):
             if writer is None:
                 sink = system.open_output_stream(draft)
-                writer = ShardWriter(sink)
-            counts = []
-            for raw in encoder(path).ids([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.frombuffer(raw, dtype="<u4")
-                writer.add(ids)
-                writer.add(end)
-                counts.append(len(ids) + 1)
-            n = len(counts)
+                writer = ShardWriter(sink, own.kind)
+            ids, bounds = own.encode(batch.column("text"), end_id)
+            writer.add(ids)
+            counts, n = np.diff(bounds), batch.num_rows
             ends = start + np.cumsum(counts, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, shard)), batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array(ends - counts), pa.array(counts, pa.int64())],
@@ -241,7 +310,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                     reader, now = ShardReader(folder, shard), shard
                 crc = 0
                 for part in reader.ids(start, count):
-                    crc = zlib.crc32(part, crc)
+                    crc = zlib.crc32(part.astype("<u4"), crc)
                 sums.append(crc)
             begin = np.array(starts, dtype=np.int64) + batch.column("base").to_numpy()
             yield pa.RecordBatch.from_arrays(

@@ -23,11 +23,17 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text("ab theinΣA's\n é1.,!́\t<|endof>", max_size=60))
-def test_word_encoder(library, text):
-    own = np.frombuffer(tokenfiles.encoder(PATH).ids([text])[0], dtype="<u4")
-    assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+SOME = st.text(max_size=60) | st.text("ab theinΣA's\n é1.,!=\u0338\u0301\t\x1c\xa0<|endof>EN", max_size=60)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(SOME, max_size=4))
+def test_word_encoder(library, texts):
+    ids, bounds = tokenfiles.encoder(PATH).encode(pa.array([*texts, "<|endoftext|>", "<|ENDOFTEXT|>", "don't 12'ss a.'s"]))
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=False):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+    closed, ends = tokenfiles.encoder(PATH).encode(pa.array([*texts, None]), 2)
+    assert [closed[b - 1] for b in ends[1:]] == [2] * (len(texts) + 1) and ends[-1] == len(closed)
 
 
 def expected(library, rows):
@@ -47,8 +53,8 @@ def test_table(spark, docs, library, small_dir):
 
 def test_random_access(tmp_path):
     rng = np.random.default_rng(3)
-    ids = rng.integers(0, 49000, 10_000).astype("<u4")
-    writer = tokenfiles.ShardWriter(pa.OSFile(str(tmp_path / tokenfiles.shard_name(0)), "wb"), length=64, rows=4)
+    ids = rng.integers(0, 49000, 10_000).astype("<u2")
+    writer = tokenfiles.ShardWriter(pa.OSFile(str(tmp_path / tokenfiles.shard_name(0)), "wb"), ids.dtype, length=64, rows=4)
     for part in np.array_split(ids, 37):
         writer.add(part)
     writer.close()
