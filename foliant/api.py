@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from foliant.config import AppConfig
-from foliant.errors import LlmNotLoaded, ModelNotInitialized, WatcherAlreadyRunning, WatcherNotRunning
+from foliant.errors import LlmNotLoaded, WatcherAlreadyRunning, WatcherNotRunning
 from foliant.functions import embed as M
 from foliant.functions import paths, prompts
 from foliant.functions import text as X
@@ -60,42 +60,50 @@ class Index:
         return F.unix_timestamp().cast("long")
 
     def _publish(self, snapshot: DataFrame, touched: DataFrame) -> None:
-        """Store a ``files`` snapshot and bring the inverted index up to date for the touched paths.
+        """Store a ``files`` snapshot together with the inverted index of the touched paths.
 
-        The snapshot is written first and read back, so that ids are settled.
+        The snapshot is staged first and read back, so that ids are settled;
+        all relations become visible at once.
         """
-        old = self.files.join(touched.select("file_path"), "file_path", "left_semi").select("id")
-        self.store.save(files=snapshot)
-        new = self.files.join(touched.select("file_path"), "file_path", "left_semi")
+        base = self.store.generation()[0]
+        paths_ = touched.select("file_path").distinct()
+        staged = self.store.stage("files", snapshot)
+        old = self.files.join(paths_, "file_path", "left_semi").select("id")
+        new = self.store.read(staged).join(paths_, "file_path", "left_semi")
         changed = old.union(new.select("id")).distinct()
-        self.store.save(
-            postings=index.replace_for_keys(self.store.load("postings"), fulltext.build_postings(new), changed, "id"),
-            doc_stats=index.replace_for_keys(
-                self.store.load("doc_stats"), fulltext.document_lengths(new), changed, "id"
-            ),
+        postings = index.replace_for_keys(self.store.load("postings"), fulltext.build_postings(new), changed, "id")
+        lengths = index.replace_for_keys(self.store.load("doc_stats"), fulltext.document_lengths(new), changed, "id")
+        self.store.publish(
+            base,
+            {
+                "files": staged,
+                "postings": self.store.stage("postings", postings),
+                "doc_stats": self.store.stage("doc_stats", lengths),
+            },
         )
 
-    def index_files(self, batch: DataFrame, preserve_text: bool = True) -> None:
-        """Index (file_path, file_name, description, text_content) rows."""
-        self._publish(index.upsert(self.files, batch, self._now(), preserve_text), batch)
+    def index_files(self, batch: DataFrame, preserve_text: bool = True, order: str | None = None) -> None:
+        """Index (file_path, file_name, description, text_content) rows; the last by ``order`` of a path counts."""
+        top = self.store.top_id()
+        self._publish(index.upsert(self.files, batch, self._now(), preserve_text, order, top), batch)
 
-    def index_for_review(self, batch: DataFrame) -> None:
-        self._publish(index.insert_for_review(self.files, batch, self._now()), batch)
+    def index_for_review(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.insert_for_review(self.files, batch, self._now(), order, self.store.top_id()), batch)
 
-    def update_text(self, batch: DataFrame) -> None:
-        self._publish(index.update_text(self.files, batch, self._now()), batch)
+    def update_text(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.update_text(self.files, batch, self._now(), order), batch)
 
-    def update_transcript(self, batch: DataFrame) -> None:
-        self._publish(index.update_transcript(self.files, batch, self._now()), batch)
+    def update_transcript(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.update_transcript(self.files, batch, self._now(), order), batch)
 
-    def update_description(self, batch: DataFrame) -> None:
-        self._publish(index.update_description(self.files, batch, self._now()), batch)
+    def update_description(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.update_description(self.files, batch, self._now(), order), batch)
 
-    def update_tags(self, batch: DataFrame) -> None:
-        self._publish(index.update_tags(self.files, batch, self._now()), batch)
+    def update_tags(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.update_tags(self.files, batch, self._now(), order), batch)
 
-    def save_review(self, batch: DataFrame) -> None:
-        self._publish(index.save_review(self.files, batch), batch)
+    def save_review(self, batch: DataFrame, order: str | None = None) -> None:
+        self._publish(index.save_review(self.files, batch, order), batch)
 
     def mark_enriched(self, paths_: DataFrame) -> None:
         self.store.save(files=index.mark_enriched(self.files, paths_))
@@ -115,14 +123,24 @@ class Index:
         names = ("files", "chunks", "embeddings", "postings", "doc_stats")
         self.store.save(**{n: index.clear(self.store.load(n)) for n in names})
 
-    def reconcile(self, folder: str) -> tuple[int, DataFrame]:
-        """Drop vanished files; return their number and the files not indexed yet."""
-        listing = files.listing(self.spark, folder)
-        gone = index.missing_on_disk(self.files, listing)
+    def remove_missing(self, folder: str) -> int:
+        """Take files that are gone from the folder out of all relations; returns their number."""
+        gone = index.missing_on_disk(self.files, files.listing(self.spark, folder)).select("file_path")
         removed = gone.count()
         if removed:
-            self.remove_from_index(gone.select("file_path"))
-        return removed, index.new_on_disk(self.files, listing)
+            self.remove_from_index(gone)
+        return removed
+
+    def add_new(self, folder: str) -> None:
+        """Index the folder's unknown files for review."""
+        fresh = index.new_on_disk(self.files, files.listing(self.spark, folder)).select(F.col("file_path").alias("path"))
+        texts = extract.extract_requested(fresh, files.scan(self.spark, folder)).select("path", F.col("text").alias("text_content"))
+        self.index_for_review(texts.select(F.col("path").alias("file_path"), paths.base_name(F.col("path")).alias("file_name"), "text_content"))
+
+    def reconcile(self, folder: str) -> tuple[int, DataFrame]:
+        """Drop vanished files; return their number and the files not indexed yet."""
+        removed = self.remove_missing(folder)
+        return removed, index.new_on_disk(self.files, files.listing(self.spark, folder))
 
     # -- lookups ----------------------------------------------------------
 
@@ -152,7 +170,7 @@ class Index:
         phrases = fulltext.parse_query(query, stem_ru)
         ranked = fulltext.rank_postings(self.store.load("postings"), self.store.load("doc_stats"), phrases)
         top = ranked.orderBy("rank", "id").limit(limit)
-        found = self.files.join(F.broadcast(top), "id")  # ``limit`` rows
+        found = self.files.join(top, "id")
         return found.select(
             "file_path",
             "file_name",
@@ -225,24 +243,45 @@ class Index:
     def is_llm_ready(self) -> bool:
         return self._model is not None
 
-    def rag_query(self, question: str, top_k: int = 5, full_context: bool = True, max_tokens: int = 300) -> dict:
+    def rag_query(
+        self, question: str, top_k: int = 5, full_context: bool = True, max_tokens: int = 300, tag: str | None = None
+    ) -> dict:
         """Answer record as a dict: answer, sources, error_code.
 
         Fallbacks run only when the step before found nothing.  With
         ``full_context`` off, hits below the threshold end in
-        ``no_relevant_chunks`` without a keyword search.
+        ``no_relevant_chunks`` without a keyword search.  A query with a
+        ``tag`` can be stopped by ``cancel``; its code is then ``cancelled``.
         """
         if not question.strip():
             return {"answer": "", "sources": [], "error_code": "empty_question"}
-        hits = self.semantic_search(question, top_k).collect()
-        if not hits:
-            context = rag.fallback_context(self.files, question, top_k)
-        else:
-            kept = self.spark.createDataFrame(hits, hybrid.HIT_SCHEMA)  # top_k rows
-            context = (
-                rag.full_context(kept, self.files, self.store.load("chunks")) if full_context else rag.snippet_context(kept)
-            )
-        row = rag.answer(context).first()
+        context = self.spark.sparkContext
+        if tag:
+            context.addJobTag(tag)
+        try:
+            return self._answer(question, top_k, full_context, max_tokens)
+        except Exception as failure:
+            if tag and "cancelled" in str(failure).lower():
+                return {"answer": "", "sources": [], "error_code": "cancelled"}
+            raise
+        finally:
+            if tag:
+                context.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        """Stop the queries that carry a tag."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def _answer(self, question: str, top_k: int, full_context: bool, max_tokens: int) -> dict:
+        hits = self.semantic_search(question, top_k).persist()
+        try:
+            if hits.isEmpty():
+                context = rag.fallback_context(self.files, question, top_k)
+            else:
+                context = rag.full_context(hits) if full_context else rag.snippet_context(hits)
+            row = rag.answer(context).first()
+        finally:
+            hits.unpersist()
         answer = row["answer"]
         if self._model is not None and row["error_code"] is None:
             answer = self._generate(question, row["context"], max_tokens) or answer
@@ -265,10 +304,6 @@ class Index:
         embedder = self._embedder if self.is_semantic_model_ready() else None
         return enrich.tag(self.files, embedder, generator)
 
-    def require_model(self) -> None:
-        if not self.is_semantic_model_ready():
-            raise ModelNotInitialized("semantic model is not loaded")
-
     # -- folders ----------------------------------------------------------
 
     def get_default_watch_path(self) -> str:
@@ -279,6 +314,14 @@ class Index:
         scanned = files.scan(self.spark, folder)
         return extract.extract_content(scanned, limits.max_file_size_mb, limits.max_pages_per_pdf, pdf_reader)
 
+    def extract_paths(self, requests: DataFrame, folder: str, pdf_reader: extract.PageReader | None = None) -> DataFrame:
+        """Extraction of single files: requested paths of a folder, with codes for those that are not there."""
+        limits = self.config.effective_limits
+        scanned = files.scan(self.spark, folder)
+        return extract.extract_requested(
+            requests, scanned, max_mb=limits.max_file_size_mb, max_pages=limits.max_pages_per_pdf, pdf_reader=pdf_reader
+        )
+
     def transcribe_folder(self, folder: str, reader: extract.PageReader | None = None) -> DataFrame:
         limits = self.config.effective_limits
         scanned = files.scan(self.spark, folder)
@@ -292,20 +335,44 @@ class Index:
     def is_ocr_supported(self, files_: DataFrame) -> DataFrame:
         return files_.select("path", paths.is_ocr_supported(F.col("path")).alias("supported"))
 
-    def start_watching(self, folder: str | None = None, interval: str | None = "1 second") -> StreamingQuery:
-        """Index files as they arrive; without an interval, drain the folder once."""
+    def start_watching(
+        self, folder: str | None = None, interval: str | None = "1 second", max_files_per_trigger: int | None = None
+    ) -> StreamingQuery:
+        """Index files as they arrive; without an interval, drain the folder once.
+
+        Every batch also takes vanished files out and gives new ones vectors
+        where the configuration asks for them.
+        """
         if self._watch is not None and self._watch.isActive:
             raise WatcherAlreadyRunning("a folder is being watched")
         target = files.resolve_watch_dir(folder)
         limits = self.config.effective_limits
-        stream = files.arrivals(self.spark, target, max_files_per_trigger=1000)
-        handle = streams.index_arrivals(
+        stream = files.arrivals(self.spark, target, max_files_per_trigger)
+        add = streams.index_arrivals(
             self.index_for_review, lambda b: extract.extract_content(b, limits.max_file_size_mb)
         )
+
+        def handle(batch: DataFrame, number: int) -> None:
+            add(batch, number)
+            self.remove_missing(target)
+            if self.config.is_enabled("embeddings") or self.config.is_enabled("semantic_similarity"):
+                self.embed_missing()
+
         checkpoint = f"{self.store.root}/_watch/{zlib.crc32(target.encode())}"
         self._watch = streams.start(stream, handle, checkpoint, interval)
         return self._watch
 
+    def start_reconciling(self, folder: str, interval: str = "60 seconds") -> StreamingQuery:
+        """Compare index and folder again and again, without waiting for arrivals."""
+
+        def both() -> None:
+            self.remove_missing(folder)
+            self.add_new(folder)
+
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        checkpoint = f"{self.store.root}/_reconcile/{zlib.crc32(folder.encode())}"
+        return streams.reconcile_periodically(ticks, both, checkpoint, interval)
+
     def stop_watching(self) -> None:
         if self._watch is None:
             raise WatcherNotRunning("no folder is being watched")

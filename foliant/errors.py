@@ -12,32 +12,87 @@ class FoliantError(Exception):
 
 
 # The machine codes callers match on.
-_CODES = {
-    "DesktopDirNotFound": "DESKTOP_DIR_NOT_FOUND",
-    "DataLocalDirNotFound": "DATA_LOCAL_DIR_NOT_FOUND",
-    "InvalidPath": "INVALID_PATH",
-    "WatcherAlreadyRunning": "WATCHER_ALREADY_RUNNING",
-    "WatcherNotRunning": "WATCHER_NOT_RUNNING",
-    "IoFailure": "IO_ERROR",
-    "NotifyFailure": "NOTIFY_ERROR",
-    "FileNameMissing": "FILE_NAME_MISSING",
-    "StreamClosed": "STREAM_CLOSED",
-    "InitializationFailed": "INITIALIZATION_FAILED",
-    "StorageFailure": "SQLITE_ERROR",
-    "IndexNotInitialized": "INDEX_NOT_INITIALIZED",
-    "ModelLoadFailed": "MODEL_LOAD_FAILED",
-    "ModelDownloadFailed": "MODEL_DOWNLOAD_FAILED",
-    "ModelNotInitialized": "MODEL_NOT_INITIALIZED",
-    "EmbeddingComputeFailed": "EMBEDDING_COMPUTE_FAILED",
-    "LlmLoadFailed": "LLM_LOAD_FAILED",
-    "LlmNotLoaded": "LLM_NOT_LOADED",
-    "LlmGenerationFailed": "LLM_GENERATION_FAILED",
-}
-_RECOVERABLE = {"WatcherAlreadyRunning", "WatcherNotRunning", "StreamClosed"}
-
-for _name, _code in _CODES.items():
-    globals()[_name] = type(
-        _name, (FoliantError,), {"code": _code, "recoverable": _name in _RECOVERABLE, "__module__": __name__}
-    )
-
-__all__ = ["FoliantError", *_CODES]
+
+
+class DesktopDirNotFound(FoliantError):
+    code = "DESKTOP_DIR_NOT_FOUND"
+
+
+class DataLocalDirNotFound(FoliantError):
+    code = "DATA_LOCAL_DIR_NOT_FOUND"
+
+
+class InvalidPath(FoliantError):
+    code = "INVALID_PATH"
+
+
+class WatcherAlreadyRunning(FoliantError):
+    code = "WATCHER_ALREADY_RUNNING"
+    recoverable = True
+
+
+class WatcherNotRunning(FoliantError):
+    code = "WATCHER_NOT_RUNNING"
+    recoverable = True
+
+
+class IoFailure(FoliantError):
+    code = "IO_ERROR"
+
+
+class NotifyFailure(FoliantError):
+    code = "NOTIFY_ERROR"
+
+
+class FileNameMissing(FoliantError):
+    code = "FILE_NAME_MISSING"
+
+
+class StreamClosed(FoliantError):
+    code = "STREAM_CLOSED"
+    recoverable = True
+
+
+class InitializationFailed(FoliantError):
+    code = "INITIALIZATION_FAILED"
+
+
+class StorageFailure(FoliantError):
+    code = "SQLITE_ERROR"
+
+
+class IndexNotInitialized(FoliantError):
+    code = "INDEX_NOT_INITIALIZED"
+
+
+class ModelLoadFailed(FoliantError):
+    code = "MODEL_LOAD_FAILED"
+
+
+class ModelDownloadFailed(FoliantError):
+    code = "MODEL_DOWNLOAD_FAILED"
+
+
+class ModelNotInitialized(FoliantError):
+    code = "MODEL_NOT_INITIALIZED"
+
+
+class EmbeddingComputeFailed(FoliantError):
+    code = "EMBEDDING_COMPUTE_FAILED"
+
+
+class LlmLoadFailed(FoliantError):
+    code = "LLM_LOAD_FAILED"
+
+
+class LlmNotLoaded(FoliantError):
+    code = "LLM_NOT_LOADED"
+
+
+class LlmGenerationFailed(FoliantError):
+    code = "LLM_GENERATION_FAILED"
+
+
+class ConcurrentUpdate(FoliantError):
+    code = "CONCURRENT_UPDATE"
+    recoverable = True

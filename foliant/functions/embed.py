@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,69 +18,18 @@ MODEL_DIM = 384
 Embedder = Callable[[list[str]], np.ndarray]
 
 
-def _rotl(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def _sip_round(v: list[np.ndarray]) -> None:
-    v[0] = v[0] + v[1]
-    v[2] = v[2] + v[3]
-    v[1] = _rotl(v[1], 13) ^ v[0]
-    v[3] = _rotl(v[3], 16) ^ v[2]
-    v[0] = _rotl(v[0], 32)
-    v[2] = v[2] + v[1]
-    v[0] = v[0] + v[3]
-    v[1] = _rotl(v[1], 17) ^ v[2]
-    v[3] = _rotl(v[3], 21) ^ v[0]
-    v[2] = _rotl(v[2], 32)
-
-
-def _absorb(v: list[np.ndarray], word: np.ndarray) -> None:
-    v[3] = v[3] ^ word
-    _sip_round(v)
-    v[0] = v[0] ^ word
-
-
-def siphash13(messages: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """SipHash-1-3 with zero keys of zero-padded messages (rows x bytes)."""
-    rows, width = messages.shape
-    padded = np.zeros((rows, (width // 8 + 1) * 8), dtype=np.uint8)
-    padded[:, :width] = messages
-    words = padded.view("<u8")
-    # The SipHash initialisation constants.
-    start = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
-    state = [np.full(rows, c, dtype=np.uint64) for c in start]
-    full = lengths // 8
-    with np.errstate(over="ignore"):
-        for i in range(int(full.max(initial=0)) + 1):
-            last = full == i
-            tail = words[:, i] | np.where(last, lengths.astype(np.uint64) << np.uint64(56), np.uint64(0))
-            after = list(state)
-            _absorb(after, tail)
-            live = i <= full
-            state = [np.where(live, a, s) for a, s in zip(after, state, strict=True)]
-        state[2] = state[2] ^ np.uint64(0xFF)
-        for _ in range(3):
-            _sip_round(state)
-    return state[0] ^ state[1] ^ state[2] ^ state[3]
-
-
 def hash_embedder(texts: list[str]) -> np.ndarray:
-    """Deterministic unit vectors out of the text's hash; equal texts, equal vectors."""
-    if not texts:
-        return np.zeros((0, STUB_DIM), dtype=np.float32)
+    """Signed word counts hashed to ``STUB_DIM`` places, scaled to unit length.
+
+    A stand-in without a model: texts that share words have similar vectors.
+    A text without words has a zero vector.
+    """
     out = np.zeros((len(texts), STUB_DIM), dtype=np.float32)
     for row, text in enumerate(texts):
-        # The hashed message is the text, a terminator byte and the lane number.
-        prefix = np.frombuffer(text.encode("utf-8") + b"\xff", dtype=np.uint8)
-        message = np.zeros((STUB_DIM, len(prefix) + 8), dtype=np.uint8)
-        message[:, : len(prefix)] = prefix
-        message[:, len(prefix)] = np.arange(STUB_DIM)
-        h = siphash13(message, np.full(STUB_DIM, message.shape[1]))
-        lane = ((h % np.uint64(10_000)).astype(np.float64) / 5_000.0 - 1.0).astype(np.float32)
-        norm = np.sqrt((lane * lane).sum(dtype=np.float32))
-        out[row] = lane / norm if norm > 0 else lane
-    return out
+        codes = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", text.lower())], dtype=np.int64)
+        np.add.at(out[row], codes % STUB_DIM, np.where(codes // STUB_DIM % 2, 1, -1).astype(np.float32))
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norms > 0, norms, 1)
 
 
 def embed(text: Column, embedder: Embedder = hash_embedder) -> Column:

@@ -128,3 +128,13 @@ def parse_string_array(text: Column) -> Column:
 
     items = F.regexp_extract_all(text, F.lit("(?s)" + _ITEM), 1)
     return F.when(text.rlike(_LIST), F.transform(items, unescape))
+
+
+RAG_RECORD = (
+    "struct<answer:string,sources:array<struct<file_path:string,chunk_snippet:string,chunk_offset:bigint>>,error_code:string>"
+)
+
+
+def parse_rag_result(text: Column) -> Column:
+    """Answer record out of its JSON, null when it is none."""
+    return F.from_json(text, RAG_RECORD)

@@ -18,8 +18,6 @@ VIDEO_EXTENSIONS = ("mp4", "mkv", "webm", "avi", "mov", "wmv")
 OCR_IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "tiff", "tif", "bmp")
 QUEUE_IMAGE_EXTENSIONS = OCR_IMAGE_EXTENSIONS + ("webp",)
 
-MAX_PLAIN_TEXT_BYTES = 10 * 1024 * 1024
-
 
 def base_name(path: Column) -> Column:
     """Last path segment; a bare ``/`` stays as it is."""
@@ -74,12 +72,3 @@ def is_ocr_supported(path: Column) -> Column:
 
 def is_format_supported(path: Column, formats: tuple[str, ...]) -> Column:
     return extension(path).isin(*formats)
-
-
-def file_event(path: Column, occurred_at_ms: Column) -> list[Column]:
-    """Columns of a file event built from its path."""
-    return [
-        base_name(path).alias("file_name"),
-        path.alias("full_path"),
-        occurred_at_ms.cast("long").alias("occurred_at_ms"),
-    ]

@@ -48,10 +48,6 @@ def system_prompt(template: str, code: Column) -> Column:
     return F.format_string(template, language_name(code))
 
 
-def rag_user_prompt(context: Column, question: Column) -> Column:
-    return F.format_string("Context from user's files:\n\n%s\n\nQuestion: %s", context, question)
-
-
 def document_prompt(text: Column) -> Column:
     return F.concat(F.lit("Document:\n"), text)
 

@@ -10,6 +10,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,8 +56,7 @@ TAG_STOPWORDS = (
     "http", "https", "www", "com", "org", "net",
 )
 
-# Content limits of the enrichment steps.
-MAX_CONTENT_LENGTH = 15_000
+# Least sizes in the enrichment steps.
 MIN_CONTENT_BYTES = 50
 MIN_WORD_BYTES = 3
 MIN_SENTENCE_BYTES = 10
@@ -121,13 +121,6 @@ def truncate(text: Column, max_chars: int, ellipsis: str = "…") -> Column:
     )
 
 
-def truncate_content(text: Column) -> Column:
-    """Bound the text an enrichment step sees: tested in bytes, cut in characters."""
-    return F.when(
-        F.octet_length(text) > MAX_CONTENT_LENGTH, F.substring(text, 1, MAX_CONTENT_LENGTH)
-    ).otherwise(text)
-
-
 # --------------------------------------------------------------------------
 # lexical matching
 
@@ -248,30 +241,29 @@ def keyword_terms_literal(keywords: list[str]) -> list[str]:
 # sentences, paragraphs, words
 
 
-def split_sentences(text: Column) -> Column:
-    """Cut after ``.``, ``!`` or ``?`` once the trimmed buffer exceeds ten bytes.
+_TERMINATOR = re.compile("[.!?]")
 
-    The text is first cut after every terminator; a fold then merges pieces
-    until the buffer is long enough.  A trailing piece follows the same rule.
-    """
-    pieces = F.regexp_extract_all(text, F.lit("[^.!?]*[.!?]|[^.!?]+"), 0)
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("done"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        joined = F.concat(acc["buf"], piece)
-        sentence = trim_ws(joined)
-        full = piece.rlike("[.!?]\\z") & (F.octet_length(sentence) > MIN_SENTENCE_BYTES)
-        return F.when(
-            full, F.struct(F.lit("").alias("buf"), F.array_append(acc["done"], sentence).alias("done"))
-        ).otherwise(F.struct(joined.alias("buf"), acc["done"].alias("done")))
+def sentences_literal(text: str) -> list[str]:
+    """Cut after ``.``, ``!`` or ``?`` once the trimmed piece exceeds ten bytes; a trailing piece follows the same rule."""
+    out, start = [], 0
+    for end in [*(m.end() for m in _TERMINATOR.finditer(text)), len(text)]:
+        sentence = text[start:end].strip(WHITESPACE)
+        if len(sentence.encode()) > MIN_SENTENCE_BYTES:
+            out.append(sentence)
+            start = end
+    return out
 
-    def finish(acc: Column) -> Column:
-        rest = trim_ws(acc["buf"])
-        return F.when(
-            F.octet_length(rest) > MIN_SENTENCE_BYTES, F.array_append(acc["done"], rest)
-        ).otherwise(acc["done"])
 
-    return F.aggregate(pieces, start, step, finish)
+def split_sentences(text: Column) -> Column:
+    """Sentences of a text in one pass, null for null."""
+
+    @F.arrow_udf("array<string>")
+    def cut(column: pa.Array) -> pa.Array:
+        rows = [None if t is None else sentences_literal(t) for t in column.to_pylist()]
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return cut(text)
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -289,11 +281,10 @@ def tag_words(text: Column) -> Column:
 # language and wording
 
 
-def detect_language(text: Column, sample_chars: int | None = 1000) -> Column:
+def detect_language(text: Column) -> Column:
     """``ru`` when more than half of the letters are Cyrillic, else ``en``."""
-    sample = F.substring(text, 1, sample_chars) if sample_chars else text
-    cyrillic = F.regexp_count(sample, F.lit(_CYRILLIC))
-    letters = F.regexp_count(sample, F.lit("\\p{IsAlphabetic}"))
+    cyrillic = F.regexp_count(text, F.lit(_CYRILLIC))
+    letters = F.regexp_count(text, F.lit("\\p{IsAlphabetic}"))
     return F.when((letters > 0) & (cyrillic * 2 > letters), "ru").otherwise("en")
 
 
@@ -329,10 +320,6 @@ def join_tags(tags: Column) -> Column:
     return F.array_join(tags, ", ")
 
 
-def split_tags(tags: Column) -> Column:
-    return F.filter(F.transform(F.split(tags, ","), trim_ws), lambda t: t != "")
-
-
 def first_text(text: Column, description: Column) -> Column:
     """Stored text, else the description, else an empty string."""
     return F.coalesce(F.nullif(text, F.lit("")), F.nullif(description, F.lit("")), F.lit(""))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,57 @@ def l2_normalize(vector: Column) -> Column:
     return F.zip_with(vector, norms, lambda x, n: x.cast("double") / n)
 
 
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column in a row, and the length of each list."""
+    lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lengths
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each list's values."""
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    if len(lengths) and (lengths == lengths[0]).all() and lengths[0]:
+        return values.reshape(len(lengths), -1).sum(axis=1)
+    return total[_starts(lengths) + lengths] - total[_starts(lengths)]
+
+
+def unit_vector(vector: Column) -> Column:
+    """Unit vectors of a batch at once; a zero vector stays zero."""
+
+    @F.arrow_udf("array<double>")
+    def scale(column: pa.Array) -> pa.Array:
+        values, lengths = _rows(column)
+        norms = np.sqrt(_sums(values * values, lengths))
+        scaled = values / np.repeat(np.where(norms > 0, norms, 1.0), lengths)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(scaled))
+
+    return scale(vector)
+
+
+def mean_to_others(unit: str, total: str, count: str) -> Column:
+    """Mean cosine of a unit vector to the others of its group, from the group's sum."""
+
+    @F.arrow_udf("double")
+    def score(u: pa.Array, s: pa.Array, n: pa.Array) -> pa.Array:
+        own, lengths = _rows(u)
+        summed, _ = _rows(s)
+        others = n.to_numpy(zero_copy_only=False).astype(np.float64) - 1
+        return pa.array((_sums(own * summed, lengths) - _sums(own * own, lengths)) / np.where(others > 0, others, 1.0))
+
+    return score(F.col(unit), F.col(total), F.col(count))
+
+
+def unit_or_zero(vector: Sequence[float]) -> np.ndarray:
+    own = np.asarray(vector, dtype=np.float64)
+    norm = float(np.sqrt(own @ own))
+    return own / norm if norm >= EPSILON else np.zeros(len(own))
+
+
 def calibrate(cosine: Column) -> Column:
     """Spread the useful part of the cosine range over 0..1."""
     return clamp((cosine - COSINE_BASELINE) / COSINE_RANGE, 0.0, 1.0)
@@ -70,7 +122,7 @@ def cosine_against(vector: Column, query: Sequence[float]) -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        lengths = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
         out = np.zeros(len(lengths))
@@ -110,9 +162,11 @@ def to_blob(vector: Column) -> Column:
 
     @F.arrow_udf("binary")
     def encode(column: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if not v.is_valid else np.asarray(v.as_py(), dtype="<f4").tobytes() for v in column], pa.binary()
-        )
+        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = column.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+        offsets = np.concatenate(([0], np.cumsum(lengths * 4))).astype(np.int32)
+        buffers = [pa.array(column.is_valid()).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]
+        return pa.Array.from_buffers(pa.binary(), len(column), buffers)
 
     return encode(vector)
 
@@ -122,7 +176,18 @@ def from_blob(blob: Column) -> Column:
 
     @F.arrow_udf("array<float>")
     def decode(column: pa.Array) -> pa.Array:
-        rows = [None if b is None else np.frombuffer(b[: len(b) // 4 * 4], dtype="<f4") for b in column.to_pylist()]
-        return pa.array(rows, pa.list_(pa.float32()))
+        column = column.cast(pa.large_binary())
+        if not len(column):
+            return pa.array([], pa.list_(pa.float32()))
+        _, places, data = column.buffers()
+        places = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(data, dtype=np.uint8)[places[0] : places[-1]] if data else np.zeros(0, dtype=np.uint8)
+        sizes = np.diff(places)
+        whole = sizes // 4 * 4
+        if (whole != sizes).any():
+            raw = raw[np.arange(len(raw)) - np.repeat(_starts(sizes), sizes) < np.repeat(whole, sizes)]
+        offsets = np.concatenate(([0], np.cumsum(whole // 4))).astype(np.int32)
+        values = pa.array(np.frombuffer(raw.tobytes(), dtype="<f4"), pa.float32())
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=column.is_null())
 
     return decode(blob)

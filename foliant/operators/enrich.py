@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +17,7 @@ from foliant.functions import text as X
 from foliant.functions import vectors as V
 from foliant.functions.embed import Embedder, embed
 from foliant.functions.prompts import SUMMARY_PROMPT, TAGS_PROMPT, chat_prompt, document_prompt, system_prompt
+from foliant.session import shared_dir
 
 SUMMARY_SENTENCES = 3
 MAX_TAGS = 7
@@ -21,7 +26,7 @@ TAG_SIMILARITY = 0.8
 
 def content_error(text: Column) -> Column:
     """Why a text is not enriched, null when it is."""
-    trimmed = X.trim_ws(X.truncate_content(F.coalesce(text, F.lit(""))))
+    trimmed = X.trim_ws(F.coalesce(text, F.lit("")))
     return F.when(trimmed == "", "empty_content").when(
         F.octet_length(trimmed) < X.MIN_CONTENT_BYTES, "content_too_short"
     )
@@ -29,7 +34,7 @@ def content_error(text: Column) -> Column:
 
 def sentences(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, sentence_index, sentence) of texts long enough to summarise."""
-    split = X.split_sentences(X.truncate_content(F.col(text)))
+    split = X.split_sentences(F.col(text))
     return (
         files.filter(content_error(F.col(text)).isNull())
         .select("id", F.posexplode(split).alias("sentence_index", "sentence"))
@@ -38,7 +43,7 @@ def sentences(files: DataFrame, text: str = "text_content") -> DataFrame:
 
 def first_sentences(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, summary, error_code): the leading sentences, for use without a model."""
-    cut = X.split_sentences(X.truncate_content(F.coalesce(F.col(text), F.lit(""))))
+    cut = X.split_sentences(F.coalesce(F.col(text), F.lit("")))
     error = content_error(F.col(text))
     coded = files.select("id", error.alias("error"), F.when(error.isNull(), cut).alias("parts"))
     empty = F.col("error").isNull() & (F.size("parts") == 0)
@@ -49,39 +54,40 @@ def first_sentences(files: DataFrame, text: str = "text_content") -> DataFrame:
     )
 
 
-def sentence_centrality(embedded_sentences: DataFrame) -> DataFrame:
-    """(id, sentence_index, centrality): mean cosine to the other sentences of the file.
-
-    With unit vectors u and their sum S this is (u.S - u.u) / (n - 1), which
-    needs one sum per file instead of all pairs of sentences.
-    """
+def _centrality(embedded_sentences: DataFrame, *keep: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    unit = embedded_sentences.select("id", "sentence_index", V.l2_normalize(F.col("embedding")).alias("u"))
+    unit = embedded_sentences.select("id", "sentence_index", *keep, V.unit_vector(F.col("embedding")).alias("u"))
     totals = unit.groupBy("id").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("u")))).alias("s"), F.count(F.lit(1)).alias("n")
     )
-    own = V._dot(F.col("u"), F.col("u"))
-    mean = (V._dot(F.col("u"), F.col("s")) - own) / (F.col("n") - 1)
     return unit.join(totals, "id").select(
-        "id", "sentence_index", F.when(F.col("n") > 1, mean).otherwise(0.0).alias("centrality")
+        "id", "sentence_index", *keep, F.when(F.col("n") > 1, V.mean_to_others("u", "s", "n")).otherwise(0.0).alias("centrality")
     )
 
 
+def sentence_centrality(embedded_sentences: DataFrame) -> DataFrame:
+    """(id, sentence_index, centrality): mean cosine to the other sentences of the file.
+
+    With unit vectors u and their sum S this is (u.S - u.u) / (n - 1), which
+    needs one sum per file instead of all pairs of sentences.
+    """
+    return _centrality(embedded_sentences)
+
+
 def central_summary(embedded_sentences: DataFrame) -> DataFrame:
     """(id, summary): the three most central sentences, in their original order.
 
-    Input rows are (id, sentence_index, sentence, embedding).
+    Input rows are (id, sentence_index, sentence, embedding).  The sentences
+    travel with their scores, and a file keeps three of them while it is
+    grouped, so no list of all its sentences is built.
     """
-    scores = sentence_centrality(embedded_sentences).withColumn("centrality", F.round("centrality", 9))
+    scores = _centrality(embedded_sentences, "sentence").withColumn("centrality", F.round("centrality", 9))
     order = Window.partitionBy("id").orderBy(F.desc("centrality"), "sentence_index")
-    chosen = (
-        scores.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SUMMARY_SENTENCES)
-    )
+    chosen = scores.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SUMMARY_SENTENCES)
     return (
-        chosen.join(embedded_sentences.select("id", "sentence_index", "sentence"), ["id", "sentence_index"])
-        .groupBy("id")
+        chosen.groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("sentence_index", "sentence"))).alias("rows"))
         .select("id", F.array_join(F.transform("rows", lambda r: r["sentence"]), " ").alias("summary"))
     )
@@ -104,12 +110,11 @@ def term_arrays(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, total, paragraphs, terms) of texts long enough to tag.
 
     ``terms`` holds (word, tf, df): occurrences in the file, and paragraphs
-    with the word.  The text considered is cut to a fixed length, so a file's
-    words are counted within its row: they are sorted and runs of equal words
-    measured, and nothing is shuffled.  Arrays read inside lambdas are columns
+    with the word.  A file's words are counted within its row: they are sorted
+    and runs of equal words measured, and nothing is shuffled.  Arrays read inside lambdas are columns
     of the step before; an expression there would run once per element.
     """
-    blocks = F.transform(X.split_paragraphs(X.truncate_content(F.col(text))), X.tag_words)
+    blocks = F.transform(X.split_paragraphs(F.col(text)), X.tag_words)
     pairs = F.transform(
         "blocks", lambda b, p: F.transform(b, lambda w: F.struct(w.alias("word"), p.alias("paragraph")))
     )
@@ -176,10 +181,11 @@ def _best_words(n: int) -> Column:
     return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda t: t["word"])
 
 
-def tag_candidates(files: DataFrame, text: str = "text_content", n: int = 3 * MAX_TAGS) -> DataFrame:
-    """(id, position, word) of the best ``n`` words per file."""
-    best = scored_terms(files, text).select("id", F.posexplode(_best_words(n)).alias("at", "word"))
-    return best.select("id", (F.col("at") + 1).alias("position"), "word")
+def tag_candidates(files: DataFrame, text: str = "text_content") -> DataFrame:
+    """(id, position, word): all words of each file that may be tags, best first."""
+    ranked = F.transform("terms", lambda t: F.struct((-F.round(t["score"], 9)).alias("order"), t["word"].alias("word")))
+    best = scored_terms(files, text).select("id", F.posexplode(F.sort_array(ranked)).alias("at", "entry"))
+    return best.select("id", (F.col("at") + 1).alias("position"), "entry.word")
 
 
 def tags(files: DataFrame, text: str = "text_content", max_tags: int = MAX_TAGS) -> DataFrame:
@@ -188,22 +194,76 @@ def tags(files: DataFrame, text: str = "text_content", max_tags: int = MAX_TAGS)
     return scored_terms(files, text).select("id", F.inline(F.array(best))).filter(F.size("tags") > 0)
 
 
-def distinct_tags(embedded_candidates: DataFrame, max_tags: int = MAX_TAGS, threshold: float = TAG_SIMILARITY) -> DataFrame:
-    """(id, tags) after dropping words too close to a better one.
+Attach = Callable[[DataFrame], DataFrame]
 
-    Greedy by position, over at most ``3 * max_tags`` candidates per file.
-    """
-    ranked = embedded_candidates.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "word", "embedding"))).alias("rows")
-    )
-    empty = F.filter(F.col("rows"), lambda r: F.lit(False))
+#: Candidates per file that get their vectors in the first round; each round doubles the number.
+FIRST_BLOCK = 3 * MAX_TAGS
 
-    def keep(chosen: Column, row: Column) -> Column:
-        close = F.exists(chosen, lambda c: V.cosine_strict(c["embedding"], row["embedding"]) > threshold)
-        return F.when((F.size(chosen) < max_tags) & ~close, F.array_append(chosen, row)).otherwise(chosen)
 
-    picked = F.aggregate(F.col("rows"), empty, keep)
-    return ranked.select("id", F.transform(picked, lambda r: r["word"]).alias("tags"))
+def distinct_tags(
+    candidates: DataFrame, attach: Attach, max_tags: int = MAX_TAGS, threshold: float = TAG_SIMILARITY
+) -> DataFrame:
+    """(id, tags) after dropping words too close to a better one.
+
+    Greedy by position over the whole ranked list: ``attach`` adds
+    ``embedding`` to candidate rows (id, position, word), a block of positions
+    at a time, until every file has ``max_tags`` words or no candidates left.
+    """
+    spark = candidates.sparkSession
+    folder = f"{shared_dir(spark)}/tags-{uuid.uuid4().hex}"
+    candidates.write.parquet(f"{folder}/candidates")
+    candidates = spark.read.schema(candidates.schema).parquet(f"{folder}/candidates")
+    done: list[DataFrame] = []
+    kept, low, size, turn = None, 0, FIRST_BLOCK, 0
+    while True:
+        block = candidates.filter((F.col("position") > low) & (F.col("position") <= low + size))
+        if kept is not None:
+            block = block.join(kept.select("id"), "id", "left_semi")
+        lists = attach(block).groupBy("id").agg(
+            F.array_sort(F.collect_list(F.struct("position", "word", "embedding"))).alias("rows")
+        )
+        entries = "array<struct<word:string,embedding:array<float>>>"
+        lists = lists.join(kept, "id", "left") if kept is not None else lists.withColumn("kept", F.lit(None).cast(entries))
+        walked = lists.select("id", F.size("rows").alias("seen"), _walk(F.col("kept"), F.col("rows"), max_tags, threshold).alias("kept"))
+        path = f"{folder}/round-{turn}"
+        walked.write.parquet(path)
+        walked = spark.read.schema(walked.schema).parquet(path)
+        going = (F.size("kept") < max_tags) & (F.col("seen") == size)
+        done.append(walked.filter(~going).select("id", "kept"))
+        kept = walked.filter(going).select("id", "kept")
+        low, size, turn = low + size, 2 * size, turn + 1
+        if kept.isEmpty():
+            break
+        # a file whose candidates end with the block has no rows in the next one
+        rest = candidates.filter(F.col("position") > low).select("id").distinct()
+        done.append(kept.join(rest, "id", "left_anti"))
+        kept = kept.join(rest, "id", "left_semi")
+    picked = reduce(DataFrame.unionByName, done)
+    return picked.select("id", F.transform("kept", lambda r: r["word"]).alias("tags"))
+
+
+def _walk(kept: Column, rows: Column, max_tags: int, threshold: float) -> Column:
+    """The kept words with their vectors after one more block, a matrix product per word."""
+
+    @F.arrow_udf("array<struct<word:string,embedding:array<float>>>")
+    def walk(before: pa.Array, block: pa.Array) -> pa.Array:
+        out = []
+        for old, fresh in zip(before.to_pylist(), block.to_pylist(), strict=True):
+            chosen = list(old or [])
+            units = [V.unit_or_zero(c["embedding"]) for c in chosen]
+            for row in fresh:
+                if len(chosen) == max_tags:
+                    break
+                own = V.unit_or_zero(row["embedding"])
+                same = [u for u in units if len(u) == len(own)]
+                if not same or float((np.stack(same) @ own).max()) <= threshold:
+                    chosen.append({"word": row["word"], "embedding": row["embedding"]})
+                    units.append(own)
+            out.append(chosen)
+        return pa.array(out, block_type)
+
+    block_type = pa.list_(pa.struct([("word", pa.string()), ("embedding", pa.list_(pa.float32()))]))
+    return walk(kept, rows)
 
 
 # --------------------------------------------------------------------------
@@ -226,8 +286,7 @@ def _generate(prompt: Column, generator: Generator) -> Column:
 
 
 def _document_prompt(text: Column, template: str) -> Column:
-    body = X.truncate_content(text)
-    return chat_prompt(system_prompt(template, X.detect_language(body)), document_prompt(body))
+    return chat_prompt(system_prompt(template, X.detect_language(text)), document_prompt(text))
 
 
 def summarise(
@@ -268,10 +327,12 @@ def tag(
     if embedder is None:
         best = tags(files, text)
     else:
-        candidates = tag_candidates(files, text)
-        # Each word is embedded once, however many files it tags.
-        words = candidates.select("word").distinct().withColumn("embedding", embed(F.col("word"), embedder))
-        best = distinct_tags(candidates.join(words, "word"))
+        def attach(block: DataFrame) -> DataFrame:
+            # Each word of a block is embedded once, however many files it tags.
+            words = block.select("word").distinct().withColumn("embedding", embed(F.col("word"), embedder))
+            return block.join(words, "word")
+
+        best = distinct_tags(tag_candidates(files, text), attach)
     coded = files.select("id", content_error(F.col(text)).alias("error"))
     out = coded.join(best, "id", "left")
     if generator is not None:

@@ -1,15 +1,14 @@
 """File events: de-duplication, rate limits, throttles, job fan-out.
 
-The reference policies are folds over an ordered stream.  Run one by one they
-would put a busy path, or the whole stream, into one task.  ``greedy_anchors``
-splits such a fold by time instead and chains the parts.
+The policies are folds over an ordered stream.  Run one by one they would put a
+busy path, or the whole stream, into one task.  ``greedy_anchors`` cuts such a
+fold into ranges of equally many rows instead and chains the ranges.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql.window import Window
 
 from foliant.config import AppConfig
 from foliant.functions import paths as P
+from foliant.session import shared_dir
 
 # Default windows and limits of the event policies.
 DEDUP_MS = 300
@@ -34,7 +34,6 @@ THROTTLE_STRICT = {"min_interval_ms": 5_000, "max_in_window": 3, "window_ms": 60
 ADD_KINDS = ("create_file", "create_any", "create_folder", "create_other", "rename_to", "rename_both")
 REMOVE_KINDS = ("remove_file", "remove_any")
 
-MIN_BUCKET_MS = 60_000
 _NEVER = -(2**62)
 
 
@@ -72,89 +71,130 @@ def _last_hops(instants: np.ndarray, window: int) -> np.ndarray:
         jump = np.where(double < n, double, jump)
 
 
-def greedy_anchors(
-    df: DataFrame, keys: Sequence[str], time_ms: str, window_ms: int, order: str, bucket_ms: int | None = None
-) -> DataFrame:
+def greedy_anchors(df: DataFrame, keys: Sequence[str], time_ms: str, window_ms: int, order: str) -> DataFrame:
     """(keys, time, first ``order`` value, anchor) for every distinct instant of each key.
 
     An instant becomes an anchor when it lies at least ``window_ms`` after the
     previous anchor; others carry the anchor before them.  Equals a sequential
-    fold over each key, but no key is folded in one piece:
-
-    1. Equal instants are merged, so a time bucket holds at most ``bucket_ms`` rows.
-    2. Each bucket works out on its own where a walk entering it would leave it.
-       Only instants in the first window can be entered at, which keeps this short.
-    3. Per key those short rows are chained in bucket order as a stream.
-    4. Each bucket is walked again from its now known entry.
+    fold over each key, but no key is folded in one piece, however dense it is
+    and however wide the window:
+
+    1. Equal instants are merged, and the rest is cut into ranges of about
+       equally many rows, sorted by key and time and stored.
+    2. Each range works out on its own where a walk entering it would leave it.
+       A range in which keys change leaves with the walk of its last key, which
+       is known; only ranges that lie inside one key depend on their entry.
+    3. These short rows, one per range, are chained in order.
+    4. Each range is walked again from its now known entry.
+
+    A task holds the time stamps of one range at a time.
     """
-    bucket_ms = max(bucket_ms or 0, 8 * window_ms, MIN_BUCKET_MS)
-    instants = (
-        df.groupBy(*keys, F.col(time_ms).alias("t"))
-        .agg(F.min(order).alias("o"))
-        .withColumn("bucket", F.floor(F.col("t") / bucket_ms).cast("long"))
-    )
-    group = [*keys, "bucket"]
-    buckets = (
-        instants.groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("t", "o"))).alias("rows"))
-        .select(*group, "rows", F.transform("rows", lambda r: r["t"]).alias("ts"))
-    )
-
-    @F.arrow_udf("struct<upto:array<bigint>,exit:array<bigint>>")
-    def exits(ts: pa.Array, bucket: pa.Array) -> pa.Array:
-        upto, leave = [], []
-        for row, b in zip(ts, bucket.to_pylist(), strict=True):
-            at = row.values.to_numpy()
-            stop = min(len(at), int(np.searchsorted(at, b * bucket_ms + window_ms)) + 1)
-            ends = at[_last_hops(at, window_ms)[:stop]]
-            final = np.append(ends[1:] != ends[:-1], True)
-            upto.append(at[:stop][final])
-            leave.append(ends[final])
+    spark = df.sparkSession
+    instants = df.groupBy(*keys, F.col(time_ms).alias("t")).agg(F.min(order).alias("o"))
+    folder = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
+    ranged = instants.repartitionByRange(*keys, "t").sortWithinPartitions(*keys, "t").withColumn("r", F.spark_partition_id())
+    ranged.write.parquet(f"{folder}/ranges")
+    ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/ranges")
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    inside = Window.partitionBy("r").orderBy(*keys, "t")
+    before = F.lag(key).over(inside)
+    first_row = F.lag("t").over(inside).isNull()
+    flagged = ranged.withColumn("fresh", first_row | ~before.eqNullSafe(key))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(upto, kind), pa.array(leave, kind)], ["upto", "exit"])
+        for r, at, starts, _ in _ranges(batches):
+            upto, leave = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(starts) == 1:
+                stop = min(len(at), int(np.searchsorted(at, at[0] + window_ms)) + 1)
+                ends = at[_last_hops(at, window_ms)[:stop]]
+                final = np.append(ends[1:] != ends[:-1], True)
+                upto, leave = at[:stop][final], ends[final]
+            tail = at[starts[-1] :]
+            own = int(tail[_hops(tail, int(tail[0]), window_ms)[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r], pa.int32()), pa.array([len(starts) == 1]), pa.array([own], pa.int64()), pa.array([upto], kind), pa.array([leave], kind)],
+                ["r", "single", "own", "upto", "leave"],
+            )
+
+    summaries = flagged.select("r", "t", "fresh").mapInArrow(
+        summarise, "r int, single boolean, own bigint, upto array<bigint>, leave array<bigint>"
+    )
+    edges = ranged.groupBy("r").agg(F.min(F.struct(key.alias("k"), F.col("t"))).alias("low"), F.max(F.struct(key.alias("k"), F.col("t"))).alias("high"))
+    ahead = Window.orderBy("r")  # as many rows as there are ranges
+    linked = edges.select("r", F.coalesce(F.lag("high.k").over(ahead).eqNullSafe(F.col("low.k")) & (F.row_number().over(ahead) > 1), F.lit(False)).alias("continues"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, anchor = None, _NEVER
+        anchor = _NEVER
         for batch in batches:
             entries = []
-            columns = [batch.column(k).to_pylist() for k in keys]
-            upto, leave = batch.column("upto"), batch.column("exit")
+            single, own, on = (batch.column(c).to_pylist() for c in ("single", "own", "continues"))
             for i in range(batch.num_rows):
-                key = tuple(c[i] for c in columns)
-                if key != current:
-                    current, anchor = key, _NEVER
-                entries.append(anchor)
-                at = upto[i].values.to_numpy()
-                hit = int(np.searchsorted(at, anchor + window_ms))
-                if hit < len(at):
-                    anchor = leave[i].values[hit].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in group], pa.array(entries, pa.int64())], [*group, "entry"]
-            )
+                entry = anchor if on[i] else _NEVER
+                entries.append(entry)
+                anchor = own[i]
+                if single[i]:
+                    upto = batch.column("upto")[i].values.to_numpy()
+                    hit = int(np.searchsorted(upto, entry + window_ms))
+                    anchor = batch.column("leave")[i].values[hit].as_py() if hit < len(upto) else _first_after(entry, own[i])
+            yield pa.RecordBatch.from_arrays([batch.column("r"), pa.array(entries, pa.int64())], ["r", "entry"])
+
+    entries = summaries.join(linked, "r").repartition(1).sortWithinPartitions("r").mapInArrow(chain, "r int, entry bigint")
+    entries.write.parquet(f"{folder}/entries")
+    entries = spark.read.schema(entries.schema).parquet(f"{folder}/entries")
+
+    fields = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
+    names = [*keys, "t", "o"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, at, starts, rows in _ranges(batches):
+            entry = rows.column("entry")[0].as_py()
+            anchors = np.empty(len(at), dtype=np.int64)
+            for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(at)], strict=True)):
+                begin = entry if i == 0 else _NEVER
+                own = at[a:b]
+                kept = np.array(_hops(own, begin + window_ms, window_ms), dtype=np.int64)
+                anchors[a:b] = np.concatenate(([begin], own[kept]))[np.searchsorted(kept, np.arange(len(own)), side="right")]
+            yield pa.RecordBatch.from_arrays([*[_flat(rows.column(n)) for n in names], pa.array(anchors)], [*names, "anchor"])
 
-    fields = {f.name: f.dataType.simpleString() for f in buckets.schema.fields}
-    linked = (
-        buckets.select(*group, exits(F.col("ts"), F.col("bucket")).alias("x"))
-        .select(*group, "x.upto", "x.exit")
-        .repartition(*(keys or [F.lit(0)]))
-        .sortWithinPartitions(*group)
-        .mapInArrow(chain, ", ".join(f"`{g}` {fields[g]}" for g in group) + ", entry bigint")
+    return (
+        flagged.join(entries, "r")
+        .repartition("r")
+        .sortWithinPartitions("r", *keys, "t")
+        .select("r", *names, "fresh", "entry")
+        .mapInArrow(walk, ", ".join(f"`{n}` {fields[n]}" for n in names) + ", anchor bigint")
+        .select(*keys, F.col("t").alias(time_ms), F.col("o").alias(order), "anchor")
     )
 
-    @F.arrow_udf("array<bigint>")
-    def walk(ts: pa.Array, entry: pa.Array) -> pa.Array:
-        out = []
-        for row, start in zip(ts, entry.to_pylist(), strict=True):
-            at = row.values.to_numpy()
-            kept = np.array(_hops(at, start + window_ms, window_ms), dtype=np.int64)
-            slot = np.searchsorted(kept, np.arange(len(at)), side="right")
-            out.append(np.concatenate(([start], at[kept]))[slot])
-        return pa.array(out, pa.list_(pa.int64()))
 
-    joined = buckets.join(linked, group)
-    return joined.select(
-        *keys, F.inline(F.arrays_zip(F.col("rows"), walk(F.col("ts"), F.col("entry")).alias("anchor")))
-    ).select(*keys, F.col("rows.t").alias(time_ms), F.col("rows.o").alias(order), "anchor")
+def _first_after(entry: int, own: int) -> int:
+    """A walk that enters behind a whole range leaves as it came."""
+    return entry if entry != _NEVER else own
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[int], pa.Table]]:
+    """Ranges of a sorted stream: number, time stamps, places where a key begins, rows."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> tuple[int, np.ndarray, list[int], pa.Table]:
+        rows = pa.Table.from_batches(held)
+        fresh = rows.column("fresh").to_numpy()
+        return rows.column("r")[0].as_py(), rows.column("t").to_numpy(), np.flatnonzero(fresh).tolist(), rows
+
+    for batch in batches:
+        number = batch.column("r").to_numpy()
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)] if len(number) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column("r")[0].as_py() != number[a]:
+                yield done()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done()
 
 
 def dedup(events: DataFrame, window_ms: int = DEDUP_MS) -> DataFrame:
@@ -251,7 +291,9 @@ def throttle(
     either window clears all state, so the stream is cut there and the parts
     are folded apart.  Equal instants of one kind are merged first: the second
     is never shown.  Each part is read as a sorted stream that remembers at
-    most ``max_in_window`` time stamps and one per kind.
+    most ``max_in_window`` time stamps and one per kind.  Within a part every
+    decision hangs on the ones before it, so a key without pauses is one
+    task's stream: serial by nature, but of constant memory.
     """
     merged = events.groupBy(*keys, kind, "ts_ms").agg(F.min("event_id").alias("event_id"))
     pause = max(window_ms, min_interval_ms)
@@ -397,10 +439,3 @@ def progress(jobs: DataFrame) -> DataFrame:
         F.count_if(status == "pending").alias("pending_count"),
         F.when(total > 0, done / total).alias("progress"),
     )
-
-
-def may_index(events: DataFrame, allowed_formats: Sequence[str], max_bytes: int, size: str = "length") -> DataFrame:
-    """Events whose file the tier accepts by format and size."""
-    return events.filter(
-        reduce(and_, [P.is_format_supported(F.col("path"), tuple(allowed_formats)), F.col(size) <= max_bytes])
-    )

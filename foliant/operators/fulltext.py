@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,94 +263,16 @@ def rank_postings(
 # --------------------------------------------------------------------------
 # snippets
 
+SENTENCE = "[^.!?\n]+[.!?]*"
 
-def snippet(
-    text: Column,
-    phrases: Sequence[Phrase],
-    before: str = "<b>",
-    after: str = "</b>",
-    ellipsis: str = "...",
-    max_tokens: int = 32,
-) -> Column:
-    """Best window of ``max_tokens`` tokens with the hits marked.
-
-    Meant for the few rows of a result page.
-    """
-    specs = [(p.tokens, p.prefix) for p in phrases]
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: best_window(t or "", specs, before, after, ellipsis, max_tokens))
-
-    return cut(text)
 
+def snippet(text: Column, phrases: Sequence[Phrase]) -> Column:
+    """The first sentence of the text with a hit of any phrase, else its first sentence.
 
-# A token may carry combining marks, which folding removes.
-_WINDOW_TOKEN = re.compile(f"[^\\W_](?:[^\\W_]|[{chr(0x300)}-{chr(0x331)}])*")
-
-
-def best_window(
-    text: str, specs: Sequence[tuple[tuple[str, ...], bool]], before: str, after: str, ellipsis: str, max_tokens: int
-) -> str:
-    """The window of tokens that shows the most distinct phrases, hits marked.
-
-    Windows are tried around every hit, with its hits in the middle, and from
-    the start of the sentence a hit lies in, which earns a bonus.
+    Sentences end at ``.``, ``!``, ``?`` or a line break and come trimmed.
     """
-    spans = [m.span() for m in _WINDOW_TOKEN.finditer(text)]
-    hits = _window_hits([T.fold_for_index_literal(text[a:b]) for a, b in spans], specs)
-    total = len(spans)
-    sentences = [0] + [i for i in range(1, total) if re.search(r"[.:][ \t\n\r]+$", text[: spans[i][0]][-64:])]
-
-    def covered(start: int) -> tuple[int, int, int]:
-        """Score of a window (1000 per new phrase, 1 per repeat) and the span of its hits."""
-        inside = [h for h in hits if start <= h[0] < start + max_tokens]
-        distinct = len({h[2] for h in inside})
-        return 999 * distinct + len(inside), inside[0][0], inside[-1][1] + 1
-
-    start, best = 0, 0
-    for at, _, _ in hits:
-        score, low, high = covered(at)
-        if score > best:
-            # The slack rounds towards zero, also when the hits overrun the window.
-            slack = int((max_tokens - (high - low)) / 2)
-            start, best = max(0, min(low - slack, total - max_tokens)), score
-        sentence = max(s for s in sentences if s <= at)
-        if total > max_tokens and sentence < at:
-            score = sum(1 for h in hits if sentence <= h[0] < sentence + max_tokens) and covered(sentence)[0]
-            score += 100 if sentence else 120
-            if score > best:
-                start, best = sentence, score
-    return _marked(text, spans, hits, start, min(total, start + max_tokens), before, after, ellipsis)
-
-
-def _window_hits(tokens: list[str], specs: Sequence[tuple[tuple[str, ...], bool]]) -> list[tuple[int, int, int]]:
-    """(first token, last token, phrase) of every hit, in text order."""
-    hits = []
-    for phrase, (words, prefix) in enumerate(specs):
-        *head, last = words
-        for i in range(len(tokens) - len(head)):
-            tail = tokens[i + len(head)]
-            if tokens[i : i + len(head)] == head and (tail.startswith(last) if prefix else tail == last):
-                hits.append((i, i + len(head), phrase))
-    return sorted(hits)
-
-
-def _marked(text, spans, hits, start: int, stop: int, before: str, after: str, ellipsis: str) -> str:
-    """Text of tokens ``start`` to ``stop``; overlapping hits share one mark."""
-    if not spans:
-        return text
-    marks: list[list[int]] = []
-    for first, last, _ in hits:
-        if not start <= first < stop:
-            continue
-        if marks and first <= marks[-1][1]:
-            marks[-1][1] = max(marks[-1][1], min(last, stop - 1))
-        else:
-            marks.append([first, min(last, stop - 1)])
-    out, at = [], spans[start][0] if start else 0
-    for first, last in marks:
-        out += [text[at : spans[first][0]], before, text[spans[first][0] : spans[last][1]], after]
-        at = spans[last][1]
-    out.append(text[at : len(text) if stop == len(spans) else spans[stop - 1][1]])
-    return (ellipsis if start else "") + "".join(out) + (ellipsis if stop < len(spans) else "")
+    parts = F.regexp_extract_all(text, F.lit(SENTENCE), 0)
+    if not phrases:
+        return F.coalesce(T.trim_ws(F.get(parts, F.lit(0))), F.lit(""))
+    hit = F.filter(parts, lambda s: reduce(or_, (T.fold_for_index(s).rlike(p.pattern()) for p in phrases)))
+    return F.coalesce(T.trim_ws(F.coalesce(F.get(hit, F.lit(0)), F.get(parts, F.lit(0)))), F.lit(""))

@@ -31,6 +31,7 @@ HIT_SCHEMA = T.StructType(
         T.StructField("file_path", T.StringType()),
         T.StructField("file_name", T.StringType()),
         T.StructField("chunk_snippet", T.StringType()),
+        T.StructField("chunk_text", T.StringType()),
         T.StructField("chunk_offset", T.LongType()),
         T.StructField("score", T.DoubleType()),
     ]
@@ -120,15 +121,16 @@ def best_per_file(scored: DataFrame) -> DataFrame:
     """Best chunk of each file, the earlier one on a tie.
 
     An aggregate, so it is combined on the map side however many chunks a
-    file has.
+    file has.  The chunk's text comes along, so later steps need no second
+    pass over the chunks; the snippet is for display.
     """
-    payload = F.struct("chunk_index", "file_path", "file_name", "chunk_snippet", "chunk_offset", "score")
+    payload = F.struct("chunk_index", "file_path", "file_name", "chunk_text", "chunk_offset", "score")
     order = F.struct("score", (-F.col("chunk_index")).alias("tie"))
     return (
-        scored.withColumn("chunk_snippet", X.truncate(F.col("chunk_text"), SNIPPET_CHARS))
-        .groupBy("file_id")
+        scored.groupBy("file_id")
         .agg(F.max_by(payload, order).alias("hit"))
         .select("file_id", "hit.*")
+        .withColumn("chunk_snippet", X.truncate(F.col("chunk_text"), SNIPPET_CHARS))
     )
 
 
@@ -162,25 +164,20 @@ def similarity_search(
 def similar_files(embedded_chunks: DataFrame, file_path: str, top_k: int = 10) -> DataFrame:
     """Files whose chunks are closest to the mean vector of one file.
 
-    Cuts to ``2 * top_k`` chunks before keeping one per file, so fewer than
-    ``top_k`` files may come back.  The mean vector is the only thing fetched.
+    Each file is judged by its best chunk, so a file with many chunks leaves
+    room for others.  The mean vector is the only thing fetched.
     """
     own = embedded_chunks.filter(F.col("file_path") == file_path)
     mean = V.mean_vector(own, "embedding", "file_id").first()
     if mean is None:
         return embedded_chunks.sparkSession.createDataFrame([], HIT_SCHEMA)
-    candidates = (
+    scored = (
         embedded_chunks.filter(F.col("file_id") != mean["file_id"])
         .withColumn("score", F.round(V.cosine_against(F.col("embedding"), mean["mean_vector"]), SCORE_DIGITS))
         .drop("embedding")
-        .orderBy(F.desc("score"), "file_id", "chunk_index")
-        .limit(2 * top_k)
     )
-    first = Window.partitionBy("file_id").orderBy(F.desc("score"), "chunk_index")
     return (
-        candidates.withColumn("chunk_snippet", X.truncate(F.col("chunk_text"), SNIPPET_CHARS))
-        .withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") == 1)
+        best_per_file(scored)
         .orderBy(F.desc("score"), "file_id", "chunk_index")
         .limit(top_k)
         .select(*HIT_SCHEMA.names)

@@ -12,30 +12,31 @@ from pyspark.sql import functions as F
 KEY = "file_path"
 
 
-def _last_per_path(batch: DataFrame, order: str | None) -> DataFrame:
-    """One row per path: the last by ``order``, or any when the batch is unique."""
+def last_per_path(batch: DataFrame, order: str | None) -> DataFrame:
+    """One row per path: the last by ``order``, or by place in the batch when no column is named."""
     if order is None:
-        return batch
-    others = [c for c in batch.columns if c != KEY]
+        order = "_place"
+        batch = batch.withColumn(order, F.monotonically_increasing_id())
+    others = [c for c in batch.columns if c not in (KEY, "_place")]
     return batch.groupBy(KEY).agg(F.max_by(F.struct(*others), order).alias("r")).select(KEY, "r.*")
 
 
-def _new_ids(files: DataFrame) -> Column:
-    """Ids above the highest one in use; unique, not dense."""
+def _new_ids(files: DataFrame, above: int = 0) -> Column:
+    """Ids above the highest one in use and above ``above``; unique, not dense."""
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    return top + 1 + F.monotonically_increasing_id()
+    return F.greatest(top, F.lit(above)) + 1 + F.monotonically_increasing_id()
 
 
 def upsert(
-    files: DataFrame, batch: DataFrame, now: Column, preserve_text: bool = True, order: str | None = None
+    files: DataFrame, batch: DataFrame, now: Column, preserve_text: bool = True, order: str | None = None, above: int = 0
 ) -> DataFrame:
     """Insert or replace by path.
 
     The batch has (file_path, file_name, description, text_content).  A batch
     row without text keeps the stored one, or clears it when ``preserve_text``
-    is off.
+    is off.  Of several rows for a path the last by ``order`` counts.
     """
-    batch = _last_per_path(batch, order)
+    batch = last_per_path(batch, order)
     fresh = batch.select(
         KEY,
         F.struct("file_name", "description", "text_content").alias("new"),
@@ -56,13 +57,13 @@ def upsert(
         )
         .select(*files.columns)
     )
-    return updated.unionByName(_inserted(files, batch, now, needs_review=0))
+    return updated.unionByName(_inserted(files, batch, now, needs_review=0, above=above))
 
 
-def _inserted(files: DataFrame, batch: DataFrame, now: Column, needs_review: int) -> DataFrame:
+def _inserted(files: DataFrame, batch: DataFrame, now: Column, needs_review: int, above: int = 0) -> DataFrame:
     absent = batch.join(files.select(KEY), KEY, "left_anti")
     defaults = {
-        "id": _new_ids(files),
+        "id": _new_ids(files, above),
         "description": F.coalesce("description", F.lit("")) if "description" in batch.columns else F.lit(""),
         "text_content": F.coalesce("text_content", F.lit("")),
         "transcript_text": F.lit(""),
@@ -73,17 +74,24 @@ def _inserted(files: DataFrame, batch: DataFrame, now: Column, needs_review: int
     return absent.select(*[defaults[c].alias(c) if c in defaults else F.col(c) for c in files.columns])
 
 
-def insert_for_review(files: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+def insert_for_review(
+    files: DataFrame, batch: DataFrame, now: Column, order: str | None = None, above: int = 0
+) -> DataFrame:
     """Add unknown paths flagged for review; known ones stay untouched."""
-    unique = batch.select(KEY, "file_name", "text_content").dropDuplicates([KEY])
-    return files.unionByName(_inserted(files, unique, now, needs_review=1))
+    wanted = [KEY, "file_name", "text_content", *([order] if order else [])]
+    unique = last_per_path(batch.select(*wanted), order)
+    return files.unionByName(_inserted(files, unique, now, needs_review=1, above=above))
 
 
-def update(files: DataFrame, batch: DataFrame, columns: dict[str, str], now: Column | None = None) -> DataFrame:
+def update(
+    files: DataFrame, batch: DataFrame, columns: dict[str, str], now: Column | None = None, order: str | None = None
+) -> DataFrame:
     """Set columns of known paths from a batch; unknown paths are ignored.
 
     ``columns`` maps target to batch column.  ``now`` stamps the touched rows.
+    Of several rows for a path the last by ``order`` counts.
     """
+    batch = last_per_path(batch, order)
     new = F.struct(*[F.col(source).alias(target) for target, source in columns.items()])
     given = F.col("_new").isNotNull()
     values = {t: F.when(given, F.col(f"_new.{t}")).otherwise(F.col(t)) for t in columns}
@@ -92,26 +100,26 @@ def update(files: DataFrame, batch: DataFrame, columns: dict[str, str], now: Col
     return files.join(batch.select(KEY, new.alias("_new")), KEY, "left").withColumns(values).select(*files.columns)
 
 
-def update_text(files: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    return update(files, batch, {"text_content": "text_content"}, now)
+def update_text(files: DataFrame, batch: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    return update(files, batch, {"text_content": "text_content"}, now, order)
 
 
-def update_transcript(files: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    return update(files, batch, {"transcript_text": "transcript_text"}, now)
+def update_transcript(files: DataFrame, batch: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    return update(files, batch, {"transcript_text": "transcript_text"}, now, order)
 
 
-def update_description(files: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    return update(files, batch, {"description": "description"}, now)
+def update_description(files: DataFrame, batch: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    return update(files, batch, {"description": "description"}, now, order)
 
 
-def update_tags(files: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    return update(files, batch, {"tags": "tags"}, now)
+def update_tags(files: DataFrame, batch: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    return update(files, batch, {"tags": "tags"}, now, order)
 
 
-def save_review(files: DataFrame, batch: DataFrame) -> DataFrame:
+def save_review(files: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
     """Store the reviewed description and tags; the time stamp stays."""
     reviewed = batch.withColumn("_done", F.lit(0))
-    return update(files, reviewed, {"description": "description", "tags": "tags", "needs_review": "_done"})
+    return update(files, reviewed, {"description": "description", "tags": "tags", "needs_review": "_done"}, order=order)
 
 
 def mark_enriched(files: DataFrame, paths: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Every step past the top-k cut works on at most ``top_k`` rows.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,31 +17,23 @@ from foliant.functions.prompts import CONTEXT_SEPARATOR, stub_answer
 from foliant.operators import fulltext
 
 MIN_SIMILARITY = 0.05
-FALLBACK_CHARS = 500
 SOURCE_CHARS = 200
 
-# Columns of a context row, in rank order.
+# Columns of a context row, in rank order.  ``chunk_snippet`` is for display.
 CONTEXT = ("rank", "file_path", "part", "chunk_snippet", "chunk_offset")
 
 
 def snippet_context(hits: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
-    """Context rows out of the snippets of similarity hits above a threshold."""
+    """Context rows out of the chunks of similarity hits above a threshold."""
     return _ranked(hits.filter(F.col("score") >= threshold)).select(
-        "rank", "file_path", F.col("chunk_snippet").alias("part"), "chunk_snippet", "chunk_offset"
+        "rank", "file_path", F.col("chunk_text").alias("part"), "chunk_snippet", "chunk_offset"
     )
 
 
-def full_context(hits: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Context rows with the whole chunk texts, looked up in one join."""
-    wanted = _ranked(hits)
-    texts = (
-        chunks.join(F.broadcast(wanted.select("file_id", "chunk_offset")), ["file_id", "chunk_offset"], "left_semi")
-        .groupBy("file_id", "chunk_offset")
-        .agg(F.min_by("chunk_text", "chunk_index").alias("full_text"))
-    )
-    body = F.coalesce("full_text", "chunk_snippet")
-    return wanted.join(texts, ["file_id", "chunk_offset"], "left").select(
-        "rank", "file_path", _file_part(body).alias("part"), "chunk_snippet", "chunk_offset"
+def full_context(hits: DataFrame) -> DataFrame:
+    """Context rows that name the file of each chunk; hits carry their chunk's text."""
+    return _ranked(hits).select(
+        "rank", "file_path", _file_part(F.col("chunk_text")).alias("part"), "chunk_snippet", "chunk_offset"
     )
 
 
@@ -93,36 +85,48 @@ def _first_group(df: DataFrame, column: str) -> DataFrame:
 
 def fallback_context(files: DataFrame, question: str, top_k: int) -> DataFrame:
     """Keyword search, or file names when that finds nothing."""
-    by_text = keyword_hits(files, question, top_k).withColumn("step", F.lit(0)).withColumnRenamed("rank", "order")
-    by_name = (
-        name_hits(files, question, top_k).withColumn("step", F.lit(1)).withColumn("order", F.lit(0.0)).drop("keyword")
-    )
-    return _fallback_parts(_first_group(by_text.unionByName(by_name), "step"))
+
+    def by_text() -> DataFrame:
+        return _fallback_parts(keyword_hits(files, question, top_k).withColumnRenamed("rank", "order"))
+
+    def by_name() -> DataFrame:
+        return _fallback_parts(name_hits(files, question, top_k).withColumn("order", F.lit(0.0)))
+
+    return first_available(by_text, by_name)
 
 
 def _fallback_parts(hits: DataFrame) -> DataFrame:
+    """Context rows with the whole contents of the files found, ``top_k`` at most."""
     order = Window.partitionBy(F.lit(0)).orderBy("order", "id")  # top_k rows
-    snippet = X.truncate(F.col("content"), FALLBACK_CHARS)
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).select(
         "rank",
         "file_path",
-        _file_part(snippet).alias("part"),
-        X.truncate(snippet, SOURCE_CHARS).alias("chunk_snippet"),
+        _file_part(F.col("content")).alias("part"),
+        X.truncate(F.col("content"), SOURCE_CHARS).alias("chunk_snippet"),
         F.lit(0).cast("long").alias("chunk_offset"),
     )
 
 
-def first_available(*contexts: DataFrame) -> DataFrame:
-    """The first context that has rows."""
-    stacked = reduce(
-        DataFrame.unionByName, (c.select(*CONTEXT).withColumn("_step", F.lit(i)) for i, c in enumerate(contexts))
-    )
-    return _first_group(stacked, "_step").select(*CONTEXT)
+def first_available(*contexts: Callable[[], DataFrame]) -> DataFrame:
+    """The first context that has rows.
+
+    Contexts are planned one after the other, and one is only run if those
+    before it came out empty.  A context is ``top_k`` rows, which are kept.
+    """
+    found = None
+    for build in contexts:
+        found = build().select(*CONTEXT).persist()
+        if not found.isEmpty():
+            break
+    return found
 
 
-def answer(context: DataFrame) -> DataFrame:
+def answer(context: DataFrame, max_fragments: int = 3, max_chars: int = 300) -> DataFrame:
     """One row (answer, context, sources, error_code) out of context rows.
 
+    The answer without a model shows the first ``max_fragments`` parts, each up
+    to ``max_chars`` characters; the context holds all of them.
+
     Without context the answer is empty and the code ``no_relevant_chunks``.
     Sources keep the first entry per path.
     """
@@ -139,7 +143,7 @@ def answer(context: DataFrame) -> DataFrame:
     )
     found = F.size(rows) > 0
     return collected.select(
-        F.when(found, stub_answer(text, F.size(rows))).otherwise("").alias("answer"),
+        F.when(found, stub_answer(text, F.size(rows), max_fragments, max_chars)).otherwise("").alias("answer"),
         F.when(found, text).otherwise("").alias("context"),
         sources.alias("sources"),
         F.when(~found, "no_relevant_chunks").alias("error_code"),

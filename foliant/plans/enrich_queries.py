@@ -20,7 +20,7 @@ def _spaced(spark, sf_dir):
 
 SPACED = "spaced AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
 TERMS = f"""{SPACED}, checked AS (
-  SELECT id, {P.CONTENT} AS text FROM spaced WHERE {P.ERROR} IS NULL), blocks AS (
+  SELECT id, text FROM spaced WHERE {P.ERROR} IS NULL), blocks AS (
   SELECT id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {P.trim("x")}),
          lambda x: x <> '')) AS block FROM checked), numbered AS (
   SELECT id, row_number() OVER () AS paragraph, block FROM blocks), words AS (
@@ -69,7 +69,7 @@ def tags_json(spark, sf_dir):
     "distinct_tags",
     f"""WITH RECURSIVE {TERMS}, vectors AS (
       SELECT id, position, word, CAST(embedding AS DOUBLE[]) AS v FROM ranked JOIN embeddings e
-        ON e.vec_id = (id + position // 2) % (SELECT count(*) FROM embeddings) WHERE position <= 21), fold AS (
+        ON e.vec_id = (id + position // 2) % (SELECT count(*) FROM embeddings)), fold AS (
       SELECT id, CAST(0 AS BIGINT) AS position, CAST([] AS VARCHAR[]) AS words, CAST([] AS DOUBLE[][]) AS vs
       FROM (SELECT DISTINCT id FROM vectors)
       UNION ALL
@@ -78,20 +78,18 @@ def tags_json(spark, sf_dir):
              THEN list_append(words, v.word) ELSE words END,
         CASE WHEN len(words) < 7 AND len(list_filter(vs, lambda o: list_cosine_similarity(o, v.v) > 0.8)) = 0
              THEN list_append(vs, v.v) ELSE vs END
-      FROM fold f JOIN vectors v ON v.id = f.id AND v.position = f.position + 1)
+      FROM fold f JOIN vectors v ON v.id = f.id AND v.position = f.position + 1 WHERE len(f.words) < 7)
     SELECT id, array_to_string(arg_max(words, position), ', ') AS tags FROM fold GROUP BY id""",
 )
 def distinct_tags(spark, sf_dir):
     """Greedy de-duplication; neighbouring candidates share a vector."""
-    candidates = E.tag_candidates(_spaced(spark, sf_dir))
     key = F.col("id") + F.floor(F.col("position") / 2).cast("long")
-    picked = E.distinct_tags(S.with_vectors(spark, sf_dir, candidates, key))
+    picked = E.distinct_tags(E.tag_candidates(_spaced(spark, sf_dir)), lambda block: S.with_vectors(spark, sf_dir, block, key))
     return picked.select("id", F.array_join("tags", ", ").alias("tags"))
 
 
-SENTENCES = f"""folded AS (SELECT doc_id AS id, {P.sentences(P.CONTENT)} AS st, {P.ERROR} AS error FROM documents), cut AS (
-  SELECT id, error, CASE WHEN strlen({P.trim("st.buf")}) > 10 THEN list_append(st.done, {P.trim("st.buf")})
-                    ELSE st.done END AS s FROM folded)"""
+SENTENCES = f"""folded AS (SELECT doc_id AS id, {P.sentences("text")} AS st, {P.ERROR} AS error FROM documents), cut AS (
+  SELECT id, error, {P.sentence_list("st")} AS s FROM folded)"""
 
 
 @query(
@@ -103,15 +101,15 @@ def summary_fallback(spark, sf_dir):
     return E.first_sentences(S.files(spark, sf_dir))
 
 
+COMPONENTS = range(1, 65)
 CENTRAL = f"""{SENTENCES}, sent AS (
   SELECT id, i - 1 AS idx, s[i] AS sentence FROM (
-    SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM cut WHERE error IS NULL)), units AS (
-  SELECT id, idx, sentence, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(
-         CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u
-  FROM sent JOIN embeddings e ON e.vec_id = (id * 7 + idx) % (SELECT count(*) FROM embeddings)), sums AS (
-  SELECT id, list(t ORDER BY pos) AS s, any_value(n) AS n FROM (
-    SELECT id, pos, sum(v) AS t, count(*) AS n FROM (
-      SELECT id, unnest(range(1, len(u) + 1)) AS pos, unnest(u) AS v FROM units) GROUP BY id, pos) GROUP BY id), central AS (
+    SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM cut WHERE error IS NULL)), unit_table AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(
+         CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM embeddings), units AS (
+  SELECT id, idx, sentence, u FROM sent
+  JOIN unit_table e ON e.vec_id = (id * 7 + idx) % (SELECT count(*) FROM embeddings)), sums AS (
+  SELECT id, [{", ".join(f"sum(u[{i}])" for i in COMPONENTS)}] AS s, count(*) AS n FROM units GROUP BY id), central AS (
   SELECT units.*, CASE WHEN n > 1 THEN (list_dot_product(u, s) - list_dot_product(u, u)) / (n - 1) ELSE 0 END AS c
   FROM units JOIN sums USING (id))"""
 

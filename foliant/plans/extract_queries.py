@@ -2,61 +2,33 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import jsonfmt
 from foliant.plans import sqlparts as P
 from foliant.plans.registry import query
 from foliant.sources import extract
 from foliant.sources import tables as S
 
-WORD_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-
-
-def docx_bytes(text: str) -> bytes:
-    """A DOCX file with one paragraph per line."""
-    paragraphs = "".join(
-        f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' if line else "<w:p/>"
-        for line in text.split("\n")
-    )
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        archive.writestr(
-            "word/document.xml", f'<w:document xmlns:w="{WORD_NS}"><w:body>{paragraphs}</w:body></w:document>'
-        )
-    return out.getvalue()
-
-
-def as_docx(text: Column) -> Column:
-    @F.pandas_udf("binary")
-    def build(texts: pd.Series) -> pd.Series:
-        return texts.map(docx_bytes)
-
-    return build(text)
-
-
 def _scanned(spark, sf_dir) -> DataFrame:
-    """Documents as files in a folder: DOCX for French ones, plain text for the rest."""
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    french = F.col("lang") == "fr"
+    """Documents as plain-text files in a folder; the files of some sources have names of other types."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kind = F.when(F.col("source") == "src1", ".png").when(F.col("source") == "src2", ".pdf").otherwise(".txt")
     return docs.select(
-        F.concat(F.lit("/scan/"), F.col("doc_id").cast("string"), F.when(french, ".docx").otherwise(".txt")).alias("path"),
+        F.concat(F.lit("/scan/"), F.col("doc_id").cast("string"), kind).alias("path"),
         F.octet_length("text").cast("long").alias("length"),
-        F.when(french, as_docx(F.col("text"))).otherwise(F.encode("text", "UTF-8")).alias("content"),
+        F.encode("text", "UTF-8").alias("content"),
     )
 
 
 @query(
     "extract_content",
-    """SELECT '/scan/' || doc_id || CASE WHEN lang = 'fr' THEN '.docx' ELSE '.txt' END AS path,
-      CASE WHEN lang = 'fr' THEN 'docx' ELSE 'text' END AS content_type, md5(CASE WHEN lang = 'fr' THEN
-        array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) ELSE text END) AS text_md5,
-      CAST(NULL AS VARCHAR) AS error_code FROM documents""",
+    """SELECT '/scan/' || doc_id || CASE source WHEN 'src1' THEN '.png' WHEN 'src2' THEN '.pdf' ELSE '.txt' END AS path,
+      CASE source WHEN 'src1' THEN 'unsupported' WHEN 'src2' THEN 'pdf' ELSE 'text' END AS content_type,
+      md5(CASE WHEN source IN ('src1', 'src2') THEN '' ELSE text END) AS text_md5,
+      CASE source WHEN 'src1' THEN 'unsupported_format' WHEN 'src2' THEN 'extraction_failed' END AS error_code
+    FROM documents""",
 )
 def extract_content(spark, sf_dir):
     done = extract.extract_content(_scanned(spark, sf_dir))
@@ -64,14 +36,17 @@ def extract_content(spark, sf_dir):
 
 
 @query(
-    "docx_text",
-    f"""SELECT page_id, md5(array_to_string(list_filter(string_split(t, chr(10)), lambda x: x <> ''), chr(10))) AS text_md5
-    FROM (SELECT page_id, {P.trim("regexp_replace(html, '[^\\p{L}\\p{N} ]+', chr(10), 'g')")} AS t FROM pages)""",
+    "extraction_json",
+    f"""SELECT doc_id, md5('{{"text":' || {P.json_string("text")} || ',"content_type":"image","pages_processed":1,"confidence":'
+      || CASE WHEN text = '' THEN 'null' ELSE '0.9000' END || ',"error_code":null}}') AS json_md5 FROM documents""",
 )
-def docx_text(spark, sf_dir):
-    """Page wording through a DOCX file and back."""
-    from foliant.functions.text import trim_ws
-
-    words = trim_ws(F.regexp_replace("html", "[^\\p{L}\\p{N} ]+", "\n"))
-    pages = S.table(spark, sf_dir, "pages").select("page_id", as_docx(words).alias("content"))
-    return pages.select("page_id", F.md5(extract.docx_to_text(F.col("content"))).alias("text_md5"))
+def extraction_json(spark, sf_dir):
+    """Recognition results of image files as JSON; the reader gives the document's text."""
+    docs = S.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("/scan/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
+        F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"),
+    )
+    read = extract.ocr(docs, lambda content, pages: (content.decode(), 1, 1))
+    encoded = jsonfmt.extraction_json(*[F.col(c) for c in ("text", "content_type", "pages_processed", "confidence", "error_code")])
+    number = F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
+    return read.select(number.alias("doc_id"), F.md5(encoded).alias("json_md5"))

@@ -126,6 +126,23 @@ def upsert_preserve_text(spark, sf_dir):
     return _shown(I.upsert(S.files(spark, sf_dir), S.incoming_files(spark, sf_dir), _now()))
 
 
+@query(
+    "upsert_repeated_paths",
+    f"""WITH {P.FILES}, {P.FILE_EVENTS}, batch AS (
+      SELECT path AS file_path, max_by(event_type, event_id) AS kind, max(event_id) AS last FROM file_events GROUP BY path)
+    SELECT {SHOWN} FROM files UNION ALL
+    SELECT file_path, kind, 'event ' || last, md5('text ' || last), md5(''), '', 0, {NOW} FROM batch""",
+)
+def upsert_repeated_paths(spark, sf_dir):
+    """A batch that names each path many times: the row of the last event counts."""
+    e = F.col("event_id").cast("string")
+    batch = S.file_events(spark, sf_dir).select(
+        F.col("path").alias("file_path"), F.col("event_type").alias("file_name"), F.concat(F.lit("event "), e).alias("description"),
+        F.concat(F.lit("text "), e).alias("text_content"), "event_id",
+    )
+    return _shown(I.upsert(S.files(spark, sf_dir), batch, _now(), order="event_id"))
+
+
 INSERTED = f"""SELECT file_path, file_name, '' AS description, md5(coalesce(text_content, '')) AS text_md5,
   md5('') AS transcript_md5, '' AS tags, CAST(1 AS INTEGER) AS needs_review, CAST({NOW} AS BIGINT) AS indexed_at"""
 
@@ -139,25 +156,22 @@ def insert_for_review(spark, sf_dir):
     return _shown(I.insert_for_review(S.files(spark, sf_dir), S.incoming_files(spark, sf_dir), _now()))
 
 
-def _update_sql(batch: str, **values: str) -> str:
+def _update_sql(batch: str, files: str = P.FILES_REVIEW, **values: str) -> str:
     """Twin of an update: ``batch`` yields file_path and the new values."""
     sets = ", ".join(f"CASE WHEN b.file_path IS NULL THEN f.{c} ELSE {v} END AS {c}" for c, v in values.items())
-    return f"""WITH {P.FILES_REVIEW}, batch AS ({batch}), next AS (
+    return f"""WITH {files}, batch AS ({batch}), next AS (
       SELECT f.* EXCLUDE ({", ".join(values)}), {sets} FROM files f LEFT JOIN batch b ON b.file_path = f.file_path)
     SELECT {SHOWN} FROM next"""
 
 
-TURNS = f"""SELECT '/docs/' || source || '/' || doc_id || '.txt' AS file_path, t.transcript_text AS value
-  FROM documents d JOIN (WITH {P.TRANSCRIPTS} SELECT * FROM transcripts) t ON t.id = d.doc_id"""
+# Every turn as a batch row of its own file, with a word added.
+TURNS = f"SELECT {P.TURN_PATH} AS file_path, text || ' edited' AS value FROM conversations"
 LABELS = """SELECT '/docs/' || source || '/' || d.doc_id || '.txt' AS file_path,
   'quality ' || quality AS value, 'toxic ' || toxic AS tag FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
 
 
 def _turns(spark, sf_dir, column: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.document_path().alias("file_path"))
-    return docs.join(S.transcripts_by_file(spark, sf_dir), "id").select(
-        "file_path", F.col("transcript_text").alias(column)
-    )
+    return S.table(spark, sf_dir, "conversations").select(S.turn_path().alias("file_path"), F.concat("text", F.lit(" edited")).alias(column))
 
 
 def _label_batch(spark, sf_dir) -> DataFrame:
@@ -173,15 +187,15 @@ def _label_batch(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("update_text", _update_sql(TURNS, text_content="b.value", indexed_at=str(NOW)))
+@query("update_text", _update_sql(TURNS, P.FILES_TRANSCRIPT, text_content="b.value", indexed_at=str(NOW)))
 def update_text(spark, sf_dir):
-    files = S.files(spark, sf_dir, review=True)
+    files = S.files(spark, sf_dir, transcripts=True)
     return _shown(I.update_text(files, _turns(spark, sf_dir, "text_content"), _now()))
 
 
-@query("update_transcript", _update_sql(TURNS, transcript_text="b.value", indexed_at=str(NOW)))
+@query("update_transcript", _update_sql(TURNS, P.FILES_TRANSCRIPT, transcript_text="b.value", indexed_at=str(NOW)))
 def update_transcript(spark, sf_dir):
-    files = S.files(spark, sf_dir, review=True)
+    files = S.files(spark, sf_dir, transcripts=True)
     return _shown(I.update_transcript(files, _turns(spark, sf_dir, "transcript_text"), _now()))
 
 
@@ -200,9 +214,12 @@ def save_review(spark, sf_dir):
     return _shown(I.save_review(S.files(spark, sf_dir, review=True), _label_batch(spark, sf_dir)))
 
 
-@query("mark_enriched", _update_sql(TURNS, needs_review="0"))
+MARKED = f"SELECT {P.DOC_PATH} AS file_path FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)"
+
+
+@query("mark_enriched", _update_sql(MARKED, needs_review="0"))
 def mark_enriched(spark, sf_dir):
-    return _shown(I.mark_enriched(S.files(spark, sf_dir, review=True), _turns(spark, sf_dir, "text")))
+    return _shown(I.mark_enriched(S.files(spark, sf_dir, review=True), _toxic_paths(spark, sf_dir)))
 
 
 @query(
@@ -237,20 +254,9 @@ def remove_file_cascade(spark, sf_dir):
     )
 
 
-@query("clear_index", f"WITH {P.FILES} SELECT {SHOWN} FROM files LIMIT 0")
-def clear_index(spark, sf_dir):
-    return _shown(I.clear(S.files(spark, sf_dir)))
-
-
-@query("clear_embeddings", "SELECT vec_id, label FROM embeddings LIMIT 0")
-def clear_embeddings(spark, sf_dir):
-    return I.clear(S.vector_table(spark, sf_dir).select("vec_id", "label"))
-
-
 CHUNKS_SHOWN = "SELECT file_id, chunk_index, md5(chunk_text) AS chunk_md5, chunk_offset"
-NEW_CHUNKS = P.chunks("fresh_files", 60, 20, "transcript_text").replace("chunks AS", "fresh AS", 1)
-FRESH_FILES = f"""{P.TRANSCRIPTS}, fresh_files AS (
-  SELECT f.* EXCLUDE (transcript_text), t.transcript_text FROM files f JOIN transcripts t ON t.id = f.id)"""
+NEW_CHUNKS = P.chunks("fresh_files", 60, 20, "edited_text").replace("chunks AS", "fresh AS", 1)
+FRESH_FILES = "fresh_files AS (SELECT f.*, transcript_text || ' edited' AS edited_text FROM files f WHERE id < 0)"
 
 
 def _chunks_shown(chunks: DataFrame) -> DataFrame:
@@ -259,18 +265,18 @@ def _chunks_shown(chunks: DataFrame) -> DataFrame:
 
 @query(
     "replace_chunks",
-    f"""WITH {P.FILES}, {P.chunks()}, {FRESH_FILES}, {NEW_CHUNKS}
+    f"""WITH {P.FILES_TRANSCRIPT}, {P.chunks(text="transcript_text")}, {FRESH_FILES}, {NEW_CHUNKS}
     {CHUNKS_SHOWN} FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM fresh_files f WHERE f.id = c.file_id)
     UNION ALL {CHUNKS_SHOWN} FROM fresh""",
 )
 def replace_chunks(spark, sf_dir):
+    """The chunks of all recordings replaced by finer ones of their new wording."""
     from foliant.operators.chunking import chunk_files
 
-    turns = S.transcripts_by_file(spark, sf_dir)
-    known = turns.join(S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    fresh = chunk_files(known, "transcript_text", 60, 20)
-    touched = known.select(F.col("id").alias("file_id"))
-    return _chunks_shown(I.replace_for_keys(S.chunks(spark, sf_dir), fresh, touched))
+    calls = S.recordings(spark, sf_dir).withColumn("transcript_text", F.concat("transcript_text", F.lit(" edited")))
+    fresh = chunk_files(calls, "transcript_text", 60, 20)
+    stored = chunk_files(S.files(spark, sf_dir, transcripts=True), "transcript_text")
+    return _chunks_shown(I.replace_for_keys(stored, fresh, calls.select(F.col("id").alias("file_id"))))
 
 
 @query(

@@ -41,25 +41,34 @@ def doc_stats(spark, sf_dir):
     return X.document_lengths(S.files(spark, sf_dir))
 
 
-FLAGSHIP = "eau"
+FLAGSHIP, PAGE = "eau", "le eau"
 
 
-@query(
-    "keyword_search",
-    f"""WITH {P.bm25(_phrases(X.parse_query(FLAGSHIP)), X.WEIGHTS, True)}
-    SELECT f.id, file_path, file_name, description, round(rank, 12) AS rank, round(1 / (1 + abs(rank)), 12) AS relevance,
-           indexed_at FROM ranked JOIN files f ON f.id = ranked.id ORDER BY round(rank, 12), f.id LIMIT 20""",
-)
+def _page_sql(text: str) -> str:
+    """A result page; the snippet is the first sentence with a token that starts like a word of the query."""
+    hit = "|".join(w for p in X.parse_query(text) for w in p.tokens)
+    parts = "regexp_extract_all(text_content, '[^.!?\\n]+[.!?]*')"
+    found = f"list_filter({parts}, lambda s: regexp_matches({P.fold('s')}, '(^|[^\\p{{L}}\\p{{N}}])({hit})'))"
+    return f"""WITH {P.bm25(_phrases(X.parse_query(text)), X.WEIGHTS, True)}
+    SELECT f.id, file_path, file_name, description, coalesce({P.trim(f"coalesce(({found})[1], ({parts})[1])")}, '') AS snippet,
+           round(rank, 12) AS rank, round(1 / (1 + abs(rank)), 12) AS relevance, indexed_at
+    FROM ranked JOIN files f ON f.id = ranked.id ORDER BY round(rank, 12), f.id LIMIT 20"""
+
+
+def _page(spark, sf_dir, text: str):
+    top = X.keyword_search(S.files(spark, sf_dir), text, 20)
+    return top.withColumns({c: F.round(c, RANK_DIGITS) for c in ("rank", "relevance")})
+
+
+@query("keyword_search", _page_sql(FLAGSHIP))
 def keyword_search(spark, sf_dir):
-    top = X.keyword_search(S.files(spark, sf_dir), FLAGSHIP, 20)
-    rounded = {c: F.round(c, RANK_DIGITS) for c in ("rank", "relevance")}
-    return top.drop("snippet").withColumns(rounded)
+    return _page(spark, sf_dir, FLAGSHIP)
 
 
-@query("snippet")
+@query("snippet", f"SELECT id, file_path, snippet FROM ({_page_sql(PAGE)})")
 def snippet(spark, sf_dir):
-    """Result page with marked snippets; the window choice has no SQL form."""
-    return X.keyword_search(S.files(spark, sf_dir), "le eau", 20).select("id", "file_path", "snippet")
+    """Result page of a query of two words."""
+    return _page(spark, sf_dir, PAGE).select("id", "file_path", "snippet")
 
 
 @query("bm25_weighted", _rank_sql(X.parse_query("reau"), X.WEIGHTS, True))
@@ -120,7 +129,12 @@ def relevance(spark, sf_dir):
     return ranked.select("id", F.round(score(F.col("rank")), RANK_DIGITS).alias("relevance"))
 
 
-@query("fts_blank", "SELECT doc_id AS id, CAST(0 AS DOUBLE) AS rank FROM documents LIMIT 0")
-def fts_blank(spark, sf_dir):
-    """A query of punctuation matches nothing."""
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query(" - ?! ")))
+CYRILLIC_FILES = P.FILES.replace("text AS text_content", "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхийклмнопярстувюыез') AS text_content")
+
+
+@query("fts_stemmed", _rank_sql(X.parse_query("тионами", stem_ru=True), X.WEIGHTS, True, base=CYRILLIC_FILES))
+def fts_stemmed(spark, sf_dir):
+    """Stemmed search over texts spelled in Cyrillic letters."""
+    spelled = F.translate(F.lower("text_content"), "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувюыез")
+    files = S.files(spark, sf_dir).withColumn("text_content", spelled)
+    return _ranked(X.rank_files(files, X.parse_query("тионами", stem_ru=True)))

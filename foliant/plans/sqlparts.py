@@ -37,27 +37,28 @@ DOC_PATH = "'/docs/' || source || '/' || doc_id || '.txt'"
 DOC_NAME = "lang || '_' || source || '_' || doc_id || '.txt'"
 
 FILES = f"""files AS (
-  SELECT doc_id AS id, {DOC_PATH} AS file_path, {DOC_NAME} AS file_name, substring(text, 1, 80) AS description,
+  SELECT doc_id AS id, {DOC_PATH} AS file_path, {DOC_NAME} AS file_name, source AS description,
          text AS text_content, '' AS transcript_text, lang || ', ' || source AS tags, 0 AS needs_review,
          1700000000 + doc_id AS indexed_at
   FROM documents)"""
 
 FILES_REVIEW = f"""files AS (
   SELECT d.doc_id AS id, '/docs/' || source || '/' || d.doc_id || '.txt' AS file_path,
-         lang || '_' || source || '_' || d.doc_id || '.txt' AS file_name, substring(text, 1, 80) AS description,
+         lang || '_' || source || '_' || d.doc_id || '.txt' AS file_name, source AS description,
          text AS text_content, '' AS transcript_text, lang || ', ' || source AS tags,
          CASE WHEN quality = 0 THEN 1 ELSE 0 END AS needs_review, 1700000000 + d.doc_id AS indexed_at
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
-TRANSCRIPTS = """transcripts AS (
-  SELECT conv_id AS id, min({'turn': turn, 'text': text})['text'] AS transcript_text
-  FROM conversations GROUP BY conv_id)"""
-
-FILES_TRANSCRIPT = f"""{TRANSCRIPTS}, files AS (
-  SELECT doc_id AS id, {DOC_PATH} AS file_path, {DOC_NAME} AS file_name, substring(text, 1, 80) AS description,
-         text AS text_content, coalesce(t.transcript_text, '') AS transcript_text, lang || ', ' || source AS tags,
-         0 AS needs_review, 1700000000 + doc_id AS indexed_at
-  FROM documents d LEFT JOIN transcripts t ON t.id = d.doc_id)"""
+# Every turn of a conversation is a recording of its own, with its words as transcript.
+TURN_PATH = "'/calls/' || conv_id || '/' || turn || '.mp3'"
+FILES_TRANSCRIPT = f"""files AS (
+  SELECT doc_id AS id, {DOC_PATH} AS file_path, {DOC_NAME} AS file_name, source AS description,
+         text AS text_content, '' AS transcript_text, lang || ', ' || source AS tags, 0 AS needs_review,
+         1700000000 + doc_id AS indexed_at
+  FROM documents
+  UNION ALL
+  SELECT -1 - (conv_id * 1000000 + turn), {TURN_PATH}, turn || '.mp3', role, '', text, '', 0, 1700000000 + conv_id
+  FROM conversations)"""
 
 PAGES = """pages_as_files AS (
   SELECT '/pages/' || page_id || '.html' AS file_path, page_id || '.html' AS file_name, url AS description,
@@ -143,7 +144,7 @@ def hits(query: str, k: int) -> str:
     keep = "" if single else "WHERE score >= greatest(round((SELECT max(score) FROM scored) * 0.82, 9), 0.15)"
     return f"""{scored(query)}, kept AS (SELECT * FROM scored {gate or keep}), best AS (
   SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_index) AS rn FROM kept), hits AS (
-  SELECT file_id, chunk_index, file_path, file_name, {truncate('chunk_text', 200)} AS chunk_snippet, chunk_offset,
+  SELECT file_id, chunk_index, file_path, file_name, {truncate('chunk_text', 200)} AS chunk_snippet, chunk_text, chunk_offset,
          score, row_number() OVER (ORDER BY score DESC, file_id, chunk_index) AS rank
   FROM best WHERE rn = 1 ORDER BY score DESC, file_id, chunk_index LIMIT {k})"""
 
@@ -196,23 +197,29 @@ SUFFIX_PATTERN = f"^(.{{3,}}?)(?:{'|'.join(RU_SUFFIXES)})$"
 STOPWORDS = in_list(QUERY_STOPWORDS)
 TAG_STOPS = in_list(TAG_STOPWORDS)
 
-CONTENT = "CASE WHEN strlen(text) > 15000 THEN substring(text, 1, 15000) ELSE text END"
-ERROR = f"""CASE WHEN {trim(CONTENT)} = '' THEN 'empty_content'
-       WHEN strlen({trim(CONTENT)}) < 50 THEN 'content_too_short' END"""
+ERROR = f"""CASE WHEN {trim("text")} = '' THEN 'empty_content'
+       WHEN strlen({trim("text")}) < 50 THEN 'content_too_short' END"""
 
 
 def sentences(expr: str) -> str:
-    """List of sentences by a fold over terminator-delimited pieces."""
+    """State after a fold over terminator-delimited pieces: finished sentences, each behind chr(1), and the rest."""
     pieces = f"regexp_extract_all({expr}, '[^.!?]*[.!?]|[^.!?]+')"
-    states = f"list_transform({pieces}, lambda p: {{'buf': p, 'done': CAST([] AS VARCHAR[])}})"
+    states = f"list_transform({pieces}, lambda p: {{'buf': p, 'done': ''}})"
     full = f"regexp_matches(x.buf, '[.!?]$') AND strlen({trim('acc.buf || x.buf')}) > 10"
-    start = "{'buf': '', 'done': CAST([] AS VARCHAR[])}"
-    folded = (
+    return (
         f"list_reduce({states}, lambda acc, x: CASE WHEN {full} THEN"
-        f" {{'buf': '', 'done': list_append(acc.done, {trim('acc.buf || x.buf')})}}"
-        f" ELSE {{'buf': acc.buf || x.buf, 'done': acc.done}} END, {start})"
+        f" {{'buf': '', 'done': acc.done || chr(1) || {trim('acc.buf || x.buf')}}}"
+        f" ELSE {{'buf': acc.buf || x.buf, 'done': acc.done}} END, {{'buf': '', 'done': ''}})"
+    )
+
+
+def sentence_list(state: str) -> str:
+    """The list of sentences out of a final state."""
+    rest = trim(f"{state}.buf")
+    return (
+        f"list_filter(string_split({state}.done || CASE WHEN strlen({rest}) > 10 THEN chr(1) || {rest} ELSE '' END, chr(1)),"
+        " lambda x: x <> '')"
     )
-    return folded
 
 
 def json_string(expr: str) -> str:

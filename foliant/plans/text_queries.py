@@ -79,14 +79,20 @@ def _mixed_script(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("doc_language", _language_sql("substring(text, 1, 1000)"))
+@query("doc_language", _language_sql("text"))
 def doc_language(spark, sf_dir):
     return _mixed_script(spark, sf_dir).select("doc_id", X.detect_language(F.col("text")).alias("language"))
 
 
-@query("question_language", _language_sql("text"))
+@query(
+    "question_language",
+    """SELECT conv_id, turn, CASE WHEN n > 0 AND 2 * c > n THEN 'ru' ELSE 'en' END AS language FROM (
+      SELECT conv_id, turn, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n,
+             length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) AS c FROM conversations WHERE role = 'user')""",
+)
 def question_language(spark, sf_dir):
-    return _mixed_script(spark, sf_dir).select("doc_id", X.detect_language(F.col("text"), None).alias("language"))
+    asked = S.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return asked.select("conv_id", "turn", X.detect_language(F.col("text")).alias("language"))
 
 
 @query(
@@ -113,7 +119,8 @@ def content_type(spark, sf_dir):
     )
 
 
-LIMIT = 50 * 1024 * 1024
+LIMIT_MB = 50
+LIMIT = LIMIT_MB * 1024 * 1024
 
 
 @query(
@@ -127,7 +134,7 @@ LIMIT = 50 * 1024 * 1024
            ELSE 'unsupported_format' END AS error_code FROM typed""",
 )
 def extraction_validation(spark, sf_dir):
-    checked = extract.check_extraction(F.col("path"), F.col("size_bytes"), F.lit(True))
+    checked = extract.check_extraction(F.col("path"), F.col("size_bytes"), F.lit(True), LIMIT_MB)
     return typed_files(spark, sf_dir).select("path", checked.alias("c")).select("path", "c.*")
 
 
@@ -143,7 +150,7 @@ def _recognition_sql(types: list[tuple[str, tuple]], missing: str) -> str:
     _recognition_sql([("audio", paths.AUDIO_EXTENSIONS), ("video", paths.VIDEO_EXTENSIONS)], "not_implemented"),
 )
 def transcription_validation(spark, sf_dir):
-    checked = extract.check_transcription(F.col("path"), F.col("size_bytes"), F.lit(True))
+    checked = extract.check_transcription(F.col("path"), F.col("size_bytes"), F.lit(True), LIMIT_MB)
     return (
         typed_files(spark, sf_dir)
         .select("path", checked.alias("c"))
@@ -156,7 +163,7 @@ def transcription_validation(spark, sf_dir):
     _recognition_sql([("image", paths.OCR_IMAGE_EXTENSIONS), ("scan_pdf", ("pdf",))], "ocr_failed"),
 )
 def ocr_validation(spark, sf_dir):
-    checked = extract.check_ocr(F.col("path"), F.col("size_bytes"), F.lit(True))
+    checked = extract.check_ocr(F.col("path"), F.col("size_bytes"), F.lit(True), LIMIT_MB)
     return (
         typed_files(spark, sf_dir)
         .select("path", checked.alias("c"))
@@ -309,27 +316,20 @@ def split_paragraphs(spark, sf_dir):
 
 @query(
     "split_sentences",
-    f"""WITH folded AS (SELECT doc_id, {P.sentences(P.CONTENT)} AS st FROM documents), done AS (
-      SELECT doc_id, CASE WHEN strlen({P.trim("st.buf")}) > 10 THEN list_append(st.done, {P.trim("st.buf")})
-                     ELSE st.done END AS s FROM folded)
+    f"""WITH folded AS (SELECT doc_id, {P.sentences("text")} AS st FROM documents), done AS (
+      SELECT doc_id, {P.sentence_list("st")} AS s FROM folded)
     SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_index, md5(s[i]) AS text_md5 FROM (
       SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM done)""",
 )
 def split_sentences(spark, sf_dir):
-    cut = X.split_sentences(X.truncate_content(F.col("text")))
+    cut = X.split_sentences(F.col("text"))
     parts = _docs(spark, sf_dir).select("doc_id", F.posexplode(cut).alias("sentence_index", "s"))
     return parts.select("doc_id", "sentence_index", F.md5("s").alias("text_md5"))
 
 
-@query(
-    "truncate_snippet",
-    f"SELECT doc_id, {P.truncate('text', 200)} AS snippet, md5({P.CONTENT}) AS content_md5 FROM documents",
-)
+@query("truncate_snippet", f"SELECT doc_id, {P.truncate('text', 200)} AS snippet FROM documents")
 def truncate_snippet(spark, sf_dir):
-    t = F.col("text")
-    return _docs(spark, sf_dir).select(
-        "doc_id", X.truncate(t, 200).alias("snippet"), F.md5(X.truncate_content(t)).alias("content_md5")
-    )
+    return _docs(spark, sf_dir).select("doc_id", X.truncate(F.col("text"), 200).alias("snippet"))
 
 
 @query(
@@ -347,12 +347,12 @@ NAMES = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.LAN
 @query(
     "summary_prompt",
     f"""SELECT doc_id, md5('<|im_start|>system' || chr(10) || replace({P.lit(prompts.SUMMARY_PROMPT)}, '%s', {NAMES})
-      || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Document:' || chr(10) || {P.CONTENT}
+      || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Document:' || chr(10) || text
       || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt_md5 FROM documents""",
 )
 def summary_prompt(spark, sf_dir):
     system = prompts.system_prompt(prompts.SUMMARY_PROMPT, F.col("lang"))
-    user = prompts.document_prompt(X.truncate_content(F.col("text")))
+    user = prompts.document_prompt(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.md5(prompts.chat_prompt(system, user)).alias("prompt_md5"))
 
 

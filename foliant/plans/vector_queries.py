@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions import embed, jsonfmt
+from foliant.functions import jsonfmt
 from foliant.functions import vectors as V
 from foliant.operators import fulltext, hybrid, rag
 from foliant.plans import sqlparts as P
@@ -23,19 +23,23 @@ def _hits(spark, sf_dir, text: str, k: int):
     return hybrid.similarity_search(_embedded(spark, sf_dir), text, S.query_vector(spark, sf_dir), k)
 
 
+VECTOR_SQL = f"array_to_string(list_transform(V, lambda x: printf('%.{DIGITS}f', x + 0.0)), ',')"
+
+
+def _spelled(vector):
+    """All components of a vector in one string."""
+    return F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{DIGITS}f", x.cast("double") + F.lit(0.0))), ",")
+
+
 @query(
     "index_scan",
     f"""WITH {P.FILES}, {P.EMBEDDED} SELECT file_id, chunk_index, file_path, chunk_offset,
-      round(CAST(embedding[1] AS DOUBLE), 6) AS first_component FROM embedded""",
+      md5({VECTOR_SQL.replace("V", "CAST(embedding AS DOUBLE[])", 1)}) AS vector_md5 FROM embedded""",
 )
 def index_scan(spark, sf_dir):
-    """Vectors joined with their chunk and file."""
+    """Vectors joined with their chunk and file; the digest covers all components."""
     return _embedded(spark, sf_dir).select(
-        "file_id",
-        "chunk_index",
-        "file_path",
-        "chunk_offset",
-        F.round(F.get("embedding", F.lit(0)).cast("double"), DIGITS).alias("first_component"),
+        "file_id", "chunk_index", "file_path", "chunk_offset", F.md5(_spelled(F.col("embedding"))).alias("vector_md5")
     )
 
 
@@ -116,7 +120,7 @@ def hybrid_phrase(spark, sf_dir):
       FROM embedded WHERE file_id = (SELECT id FROM probe)), qv AS (
       SELECT list(m ORDER BY pos) AS q FROM (SELECT pos, avg(v) AS m FROM own GROUP BY pos)), near AS (
       SELECT *, round({P.COSINE}, 9) AS score FROM embedded, qv
-      WHERE file_id <> (SELECT id FROM probe) ORDER BY score DESC, file_id, chunk_index LIMIT 20), best AS (
+      WHERE file_id <> (SELECT id FROM probe)), best AS (
       SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_index) AS rn FROM near)
     SELECT file_path, file_name, chunk_index, {P.truncate("chunk_text", 200)} AS chunk_snippet, chunk_offset,
       round(score, {DIGITS}) AS score FROM best WHERE rn = 1 ORDER BY best.score DESC, file_id, chunk_index LIMIT 10""",
@@ -146,16 +150,14 @@ def mean_vector(spark, sf_dir):
 @query(
     "l2_normalize",
     f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (label + 1)) AS v FROM embeddings)
-    SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 3) AS squared,
-      round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), {DIGITS}) AS first_component FROM n""",
+    SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), {DIGITS}) + 0.0 AS value
+    FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM n)""",
 )
 def l2_normalize(spark, sf_dir):
     scaled = F.zip_with("embedding", F.array_repeat(F.col("label") + 1, F.size("embedding")), lambda x, s: x.cast("double") * s)
     rows = S.vector_table(spark, sf_dir).select("vec_id", scaled.alias("v"))
-    return rows.select(
-        "vec_id",
-        F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 3).alias("squared"),
-        F.round(F.get(V.l2_normalize(F.col("v")), F.lit(0)), DIGITS).alias("first_component"),
+    return rows.select("vec_id", F.posexplode(V.unit_vector(F.col("v"))).alias("pos", "value")).withColumn(
+        "value", F.round("value", DIGITS) + F.lit(0.0)
     )
 
 
@@ -173,13 +175,6 @@ def blob_roundtrip(spark, sf_dir):
     )
 
 
-@query("stub_embeddings")
-def stub_embeddings(spark, sf_dir):
-    """Hash vectors of all chunks; the hash has no SQL form (tests compare it with Python's own)."""
-    vectors = embed.embed_chunks(S.chunks(spark, sf_dir))
-    return vectors.select("file_id", "chunk_index", F.get("embedding", F.lit(0)).alias("first_component"))
-
-
 # --------------------------------------------------------------------------
 # questions
 
@@ -206,20 +201,18 @@ SOURCES_JSON = f"""'[' || array_to_string(list_transform(sources, lambda s: '{{"
 RESULT_JSON = f"""'{{"answer":' || {P.json_string("answer")} || ',"sources":' || {SOURCES_JSON} || ',"error_code":' ||
   CASE WHEN error_code IS NULL THEN 'null' ELSE {P.json_string("error_code")} END || '}}'"""
 
-SNIPPET_PARTS = """parts AS (SELECT rank, file_path, chunk_snippet AS part, chunk_snippet, chunk_offset FROM hits
+SNIPPET_PARTS = """parts AS (SELECT rank, file_path, chunk_text AS part, chunk_snippet, chunk_offset FROM hits
   WHERE score >= 0.05)"""
 FULL_PARTS = """parts AS (SELECT h.rank, h.file_path, 'File: ' || h.file_path || chr(10) || c.chunk_text AS part,
-  h.chunk_snippet, h.chunk_offset FROM hits h JOIN chunks c ON c.file_id = h.file_id AND c.chunk_offset = h.chunk_offset)"""
+  h.chunk_snippet, h.chunk_offset FROM hits h JOIN chunks c ON c.file_id = h.file_id AND c.chunk_index = h.chunk_index)"""
 
 
 def _fallback_parts(name: str, source: str, order: str, k: int) -> str:
-    body = P.truncate("content", 500)
     return f"""{name} AS (SELECT row_number() OVER (ORDER BY {order}) AS rank, file_path,
-      'File: ' || file_path || chr(10) || body AS part, {P.truncate("body", 200)} AS chunk_snippet,
+      'File: ' || file_path || chr(10) || content AS part, {P.truncate("content", 200)} AS chunk_snippet,
       CAST(0 AS BIGINT) AS chunk_offset FROM (
-        SELECT *, {body} AS body FROM (
-          SELECT *, coalesce(nullif(text_content, ''), nullif(description, ''), '') AS content
-          FROM {source} ORDER BY {order} LIMIT {k})))"""
+        SELECT *, coalesce(nullif(text_content, ''), nullif(description, ''), '') AS content
+        FROM {source} ORDER BY {order} LIMIT {k}))"""
 
 
 def _fts_parts(question: str, k: int) -> str:
@@ -256,7 +249,7 @@ def rag_snippets(spark, sf_dir):
 
 
 def _full(spark, sf_dir, text: str, k: int):
-    return rag.full_context(_hits(spark, sf_dir, text, k), S.files(spark, sf_dir), S.chunks(spark, sf_dir))
+    return rag.full_context(_hits(spark, sf_dir, text, k))
 
 
 @query("rag_full_context", f"WITH {_answer_sql(P.hits(PHRASE, 5) + ', ' + FULL_PARTS)} {ANSWERED}")
@@ -281,18 +274,23 @@ def rag_fallback_like(spark, sf_dir):
     return _parts(rag.fallback_context(S.files(spark, sf_dir), NAME_QUESTION, 5))
 
 
+def _cascade(spark, sf_dir, text: str, question: str):
+    return rag.first_available(
+        lambda: _full(spark, sf_dir, text, 5),
+        lambda: rag.fallback_context(S.files(spark, sf_dir), question, 5),
+    )
+
+
 @query("rag_cascade", f"WITH {_answer_sql(P.hits(SHORT, 5) + ', ' + FULL_PARTS)} {ANSWERED}")
 def rag_cascade(spark, sf_dir):
-    """Vectors first, keywords next, file names last, in one plan."""
-    files = S.files(spark, sf_dir)
-    return _digest(rag.answer(rag.first_available(_full(spark, sf_dir, SHORT, 5), rag.fallback_context(files, SHORT, 5))))
+    """Vectors first, keywords next, file names last; a step runs if those before found nothing."""
+    return _digest(rag.answer(_cascade(spark, sf_dir, SHORT, SHORT)))
 
 
 @query("rag_cascade_fallback", f"WITH {_answer_sql(NAME_PARTS)} {ANSWERED}")
 def rag_cascade_fallback(spark, sf_dir):
     """A question whose vector search is empty: a single unknown word."""
-    nothing = _full(spark, sf_dir, "zzqxj", 5)
-    return _digest(rag.answer(rag.first_available(nothing, rag.fallback_context(S.files(spark, sf_dir), NAME_QUESTION, 5))))
+    return _digest(rag.answer(_cascade(spark, sf_dir, "zzqxj", NAME_QUESTION)))
 
 
 @query(
@@ -338,3 +336,26 @@ def similarity_json(spark, sf_dir):
     order = F.struct((-F.col("score")).alias("o"), "file_id", *[c for c in hits.columns if c != "file_id"])
     rows = hits.agg(F.array_sort(F.collect_list(order)).alias("hits"))  # at most five rows
     return rows.select(jsonfmt.similarity_json(F.col("hits")).alias("hits_json"))
+
+
+@query(
+    "rag_record_parse",
+    f"""WITH {_answer_sql(P.hits(SHORT, 5) + ', ' + SNIPPET_PARTS)} SELECT md5(answer) AS answer_md5,
+      array_to_string(list_transform(sources, lambda s: s.file_path || ':' || s.chunk_offset), ',') AS sources, error_code FROM answered""",
+)
+def rag_record_parse(spark, sf_dir):
+    """Answer records read back from their JSON."""
+    encoded = rag.result_json(rag.answer(rag.snippet_context(_hits(spark, sf_dir, SHORT, 5))))
+    parsed = encoded.select(jsonfmt.parse_rag_result(F.col("result_json")).alias("r"))
+    places = F.transform("r.sources", lambda s: F.concat_ws(":", s["file_path"], s["chunk_offset"].cast("string")))
+    return parsed.select(F.md5("r.answer").alias("answer_md5"), F.array_join(places, ",").alias("sources"), "r.error_code")
+
+
+@query(
+    "vector_json",
+    """SELECT vec_id, md5('[' || array_to_string(list_transform(embedding, lambda x:
+      rtrim(rtrim(printf('%.2f', round(CAST(x AS DOUBLE), 2) + 0.0), '0'), '.')), ',') || ']') AS json_md5 FROM embeddings""",
+)
+def vector_json(spark, sf_dir):
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 2) + F.lit(0.0))
+    return S.vector_table(spark, sf_dir).select("vec_id", F.md5(jsonfmt.vector_json(rounded)).alias("json_md5"))

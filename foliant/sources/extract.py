@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import paths as P
+from foliant.functions.text import trim_ws
 
-RESULT_SCHEMA = "text string, content_type string, pages_extracted int, error_code string"
+RESULT_SCHEMA = "text string, content_type string, pages_extracted int, error_code string, detail string"
 
 
 def _checked(*cases: tuple[Column, Column | str, Column | str | None]) -> Column:
@@ -31,13 +32,17 @@ def _checked(*cases: tuple[Column, Column | str, Column | str | None]) -> Column
     return out
 
 
-def check_extraction(path: Column, size: Column, exists: Column, max_mb: int = 50) -> Column:
+def _too_large(size: Column, max_mb: int | None) -> Column:
+    return F.lit(False) if max_mb is None else size > P.mb_to_bytes(max_mb)
+
+
+def check_extraction(path: Column, size: Column, exists: Column, max_mb: int | None = None) -> Column:
     """Checks in order: extension, existence, size, type; a null code means the file can be read."""
     ext = P.extension(path)
     return _checked(
         (ext == "", "unsupported", "unsupported_format"),
         (~exists, "unknown", "file_not_found"),
-        (size > P.mb_to_bytes(max_mb), ext, "file_too_large"),
+        (_too_large(size, max_mb), ext, "file_too_large"),
         (ext.isin(*P.RICH_EXTENSIONS), ext, None),
         (ext.isin(*P.TEXT_EXTENSIONS), "text", None),
         (F.lit(True), "unsupported", "unsupported_format"),
@@ -45,24 +50,24 @@ def check_extraction(path: Column, size: Column, exists: Column, max_mb: int = 5
 
 
 def check_transcription(
-    path: Column, size: Column, exists: Column, max_mb: int = 50, max_minutes: int = 60
+    path: Column, size: Column, exists: Column, max_mb: int | None = None, max_minutes: int | None = None
 ) -> Column:
     kind = P.media_content_type(path)
     return _checked(
         (F.lit(max_minutes == 0), "unknown", "transcription_disabled"),
         (kind == "unsupported", kind, "unsupported_format"),
         (~exists, "unknown", "file_not_found"),
-        (size > P.mb_to_bytes(max_mb), kind, "file_too_large"),
+        (_too_large(size, max_mb), kind, "file_too_large"),
         (F.lit(True), kind, None),
     )
 
 
-def check_ocr(path: Column, size: Column, exists: Column, max_mb: int = 50) -> Column:
+def check_ocr(path: Column, size: Column, exists: Column, max_mb: int | None = None) -> Column:
     kind = P.ocr_content_type(path)
     return _checked(
         (kind == "unsupported", kind, "unsupported_format"),
         (~exists, "unknown", "file_not_found"),
-        (size > P.mb_to_bytes(max_mb), kind, "file_too_large"),
+        (_too_large(size, max_mb), kind, "file_too_large"),
         (F.lit(True), kind, None),
     )
 
@@ -70,54 +75,35 @@ def check_ocr(path: Column, size: Column, exists: Column, max_mb: int = 50) -> C
 # --------------------------------------------------------------------------
 # DOCX
 
+W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_INLINE = {f"{W}br": "\n", f"{W}tab": "\t"}
 
-def docx_xml_text(xml: str | bytes) -> str:
-    """Plain text of a WordprocessingML document.
 
-    Runs give their text, breaks a newline, tabs a tab; a paragraph with
-    content ends in a newline, and one trailing newline is dropped.
-    """
-    out: list[str] = []
-    filled, depth = False, 0
-    parser = ElementTree.XMLPullParser(("start", "end"))
-    parser.feed(xml)
-    try:
-        for event, node in parser.read_events():
-            space, _, tag = node.tag.rpartition("}")
-            if "wordprocessingml" not in space:
-                continue
-            if event == "start":
-                depth += tag == "t"
-                filled = filled and tag != "p"
-            elif tag == "t":
-                depth -= 1
-                if node.text:
-                    out.append(node.text)
-                    filled = True
-            elif tag in ("br", "tab") and not len(node) and not depth:
-                out.append("\n" if tag == "br" else "\t")
-                filled = True
-            elif tag == "p" and filled:
-                out.append("\n")
-    except ElementTree.ParseError:
-        pass
-    text = "".join(out)
-    return text[:-1] if text.endswith("\n") else text
-
-
-def docx_text(content: bytes) -> str | None:
-    """Text of a DOCX file, null when it is not one."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return docx_xml_text(archive.read("word/document.xml").decode("utf-8"))
-    except (zipfile.BadZipFile, KeyError, UnicodeDecodeError, ElementTree.ParseError, OSError):
-        return None
+def paragraph_text(paragraph: ElementTree.Element) -> str:
+    """What the runs of one paragraph say, in order."""
+    pieces = (node.text or "" if node.tag == f"{W}t" else _INLINE.get(node.tag, "") for node in paragraph.iter())
+    return "".join(pieces)
+
+
+def document_text(xml: bytes) -> str:
+    """The non-empty paragraphs of a word-processing document, a line each."""
+    lines = (paragraph_text(p) for p in ElementTree.fromstring(xml).iter(f"{W}p"))
+    return "\n".join(line for line in lines if line)
 
 
 def docx_to_text(content: Column) -> Column:
+    """Text of DOCX files, null where a file is not one."""
+
     @F.pandas_udf("string")
     def read(files: pd.Series) -> pd.Series:
-        return files.map(lambda b: None if b is None else docx_text(bytes(b)))
+        out = []
+        for blob in files:
+            try:
+                with zipfile.ZipFile(io.BytesIO(bytes(blob or b""))) as archive:
+                    out.append(document_text(archive.read("word/document.xml")))
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                out.append(None)
+        return pd.Series(out, dtype="object")
 
     return read(content)
 
@@ -126,26 +112,28 @@ def docx_to_text(content: Column) -> Column:
 # extraction of scanned files
 
 # A recogniser maps (content, max_pages) to (text, pages, total_pages), or raises.
-PageReader = Callable[[bytes, int], tuple[str, int, int]]
+PageReader = Callable[[bytes, int | None], tuple[str, int, int]]
 
 
 def extract_content(
-    scanned: DataFrame, max_mb: int = 50, max_pages: int = 100, pdf_reader: PageReader | None = None
+    scanned: DataFrame, max_mb: int | None = None, max_pages: int | None = None, pdf_reader: PageReader | None = None
 ) -> DataFrame:
     """Scanned files (path, length, content) to (path, text, content_type, pages_extracted, error_code).
 
     Rejected files go their own way without ``content``; the filters on path
     and length reach a folder scan, so those files are never opened.  Without
-    a ``pdf_reader`` PDFs give ``extraction_failed``.
+    a ``pdf_reader`` PDFs give ``extraction_failed``.  There are no limits
+    unless asked for.  ``detail`` keeps what a reader had to say when it failed.
     """
     check = check_extraction(F.col("path"), F.col("length"), F.lit(True), max_mb)
     rejected = (
         scanned.select("path", check.alias("c"))
         .filter(F.col("c.error_code").isNotNull())
-        .select("path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code")
-    )
+        .select("path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code",
+                F.lit(None).cast("string").alias("detail"))
+    )
     kind = F.col("kind")
-    accepted = scanned.filter((F.col("length") <= P.mb_to_bytes(max_mb)) & check["error_code"].isNull())
+    accepted = scanned.filter(~_too_large(F.col("length"), max_mb) & check["error_code"].isNull())
     plain = F.when((kind == "text") & F.is_valid_utf8("content"), F.col("content").cast("string"))
     docx = docx_to_text(F.when(kind == "docx", F.col("content")))
     pdf = _read_pages(F.when(kind == "pdf", F.col("content")), pdf_reader, max_pages)
@@ -159,8 +147,9 @@ def extract_content(
         kind.alias("content_type"),
         F.coalesce("pdf.pages", F.lit(0)).alias("pages_extracted"),
         F.when(text.isNull(), "extraction_failed")
-        .when(F.col("pdf.total") > max_pages, "too_many_pages")
+        .when(_too_many(F.col("pdf.total"), max_pages), "too_many_pages")
         .alias("error_code"),
+        F.col("pdf.failure").alias("detail"),
     )
     return done.unionByName(rejected)
 
@@ -171,13 +160,19 @@ def extract_requested(requests: DataFrame, scanned: DataFrame, **options) -> Dat
     absent = requests.join(scanned.select("path"), "path", "left_anti")
     verdict = check_extraction(F.col("path"), F.lit(0), F.lit(False))
     missing = absent.select("path", verdict.alias("c")).select(
-        "path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code"
-    )
+        "path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_extracted"), "c.error_code",
+        F.lit(None).cast("string").alias("detail"),
+    )
     return known.unionByName(missing)
 
 
-def _read_pages(content: Column, reader: PageReader | None, max_pages: int) -> Column:
-    schema = "struct<text:string,pages:int,total:int>"
+def _too_many(total: Column, max_pages: int | None) -> Column:
+    return F.lit(False) if max_pages is None else total > max_pages
+
+
+def _read_pages(content: Column, reader: PageReader | None, max_pages: int | None) -> Column:
+    """Pages by a pluggable reader; its failures are results, with their message."""
+    schema = "struct<text:string,pages:int,total:int,failure:string>"
     if reader is None:
         return F.lit(None).cast(schema)
 
@@ -186,44 +181,53 @@ def _read_pages(content: Column, reader: PageReader | None, max_pages: int) -> C
         for batch in files:
             rows = []
             for blob in batch:
+                if blob is None:
+                    rows.append((None, None, None, None))
+                    continue
                 try:
-                    rows.append((None, None, None) if blob is None else reader(bytes(blob), max_pages))
-                except Exception:  # a reader may fail on any file; that is a result, not an error
-                    rows.append((None, None, None))
-            yield pd.DataFrame(rows, columns=["text", "pages", "total"]).astype({"pages": "Int32", "total": "Int32"})
+                    rows.append((*reader(bytes(blob), max_pages), None))
+                except Exception as failure:  # whatever a reader raises belongs to this file alone
+                    rows.append((None, None, None, f"{type(failure).__name__}: {failure}"))
+            out = pd.DataFrame(rows, columns=["text", "pages", "total", "failure"])
+            yield out.astype({"pages": "Int32", "total": "Int32"})
 
     return read(content)
 
 
 def recognise(
-    scanned: DataFrame, checked: Column, reader: PageReader | None, max_pages: int, missing_code: str
+    scanned: DataFrame, checked: Column, reader: PageReader | None, max_pages: int | None, missing_code: str
 ) -> DataFrame:
     """Run a pluggable recogniser over files that pass ``checked``.
 
-    Without a reader every accepted file reports ``missing_code``.
+    Rejected files go their own way without ``content``.  Without a reader
+    every accepted file reports ``missing_code``.
     """
-    rows = scanned.withColumn("c", checked)
-    accepted = F.col("c.error_code").isNull()
-    read = _read_pages(F.when(accepted, F.col("content")), reader, max_pages)
-    rows = rows.select("path", F.col("c.content_type").alias("content_type"), F.col("c.error_code").alias("failed"), read.alias("r"))
-    return rows.select(
+    rejected = scanned.select("path", checked.alias("c")).filter(F.col("c.error_code").isNotNull())
+    rejected = rejected.select(
+        "path", F.lit("").alias("text"), "c.content_type", F.lit(0).alias("pages_processed"), "c.error_code",
+        F.lit(None).cast("string").alias("detail"),
+    )
+    accepted = scanned.filter(checked["error_code"].isNull())
+    read = _read_pages(F.col("content"), reader, max_pages)
+    rows = accepted.select("path", checked["content_type"].alias("content_type"), read.alias("r"))
+    done = rows.select(
         "path",
         F.coalesce("r.text", F.lit("")).alias("text"),
         "content_type",
         F.coalesce("r.pages", F.lit(0)).alias("pages_processed"),
-        F.coalesce(
-            "failed",
-            F.when(F.col("r.text").isNull(), missing_code),
-            F.when(F.col("r.total") > max_pages, "too_many_pages"),
-        ).alias("error_code"),
+        F.when(F.col("r.text").isNull(), missing_code)
+        .when(_too_many(F.col("r.total"), max_pages), "too_many_pages")
+        .alias("error_code"),
+        F.col("r.failure").alias("detail"),
     )
+    return done.unionByName(rejected)
 
 
-def ocr(scanned: DataFrame, reader: PageReader | None = None, max_mb: int = 50, max_pages: int = 100) -> DataFrame:
+def ocr(scanned: DataFrame, reader: PageReader | None = None, max_mb: int | None = None, max_pages: int | None = None) -> DataFrame:
     """Recognised text with the fixed confidence of each kind of file."""
     check = check_ocr(F.col("path"), F.col("length"), F.lit(True), max_mb)
     done = recognise(scanned, check, reader, max_pages, "ocr_failed")
-    blank = F.col("error_code").isNull() & (F.trim("text") == "")
+    blank = F.col("error_code").isNull() & (trim_ws(F.col("text")) == "")
     return done.withColumn(
         "confidence",
         F.when(F.col("text") != "", F.when(F.col("content_type") == "image", 0.9).otherwise(0.85)),
@@ -231,7 +235,8 @@ def ocr(scanned: DataFrame, reader: PageReader | None = None, max_mb: int = 50,
 
 
 def transcribe(
-    scanned: DataFrame, reader: PageReader | None = None, max_mb: int = 50, max_minutes: int = 60
+    scanned: DataFrame, reader: PageReader | None = None, max_mb: int | None = None, max_minutes: int | None = None
 ) -> DataFrame:
+    """Transcripts by a pluggable reader, which gets the limit in minutes."""
     check = check_transcription(F.col("path"), F.col("length"), F.lit(True), max_mb, max_minutes)
     return recognise(scanned, check, reader, max_minutes, "not_implemented").drop("pages_processed")

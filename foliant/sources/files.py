@@ -70,14 +70,3 @@ def arrivals(spark: SparkSession, folder: str, max_files_per_trigger: int | None
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _shaped(reader.load(resolve_watch_dir(folder)), skip_hidden=True)
-
-
-def as_events(found: DataFrame) -> DataFrame:
-    """Scanned or arriving files as add events."""
-    return found.select(
-        F.xxhash64("path", "modified_at").alias("event_id"),
-        "path",
-        "file_name",
-        F.lit("add").alias("op"),
-        F.unix_millis("modified_at").alias("ts_ms"),
-    )

@@ -1,13 +1,15 @@
-"""Index snapshots as versioned parquet in a shared folder."""
+"""Index snapshots as parquet in a shared folder, published in generations."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant import schema
-from foliant.errors import IndexNotInitialized
+from foliant.errors import ConcurrentUpdate, IndexNotInitialized
 from foliant.session import shared_dir
 
 # Sort keys of each relation: readers skip row groups by their minima and maxima.
@@ -27,54 +29,88 @@ SCHEMAS = {
 
 
 class IndexStore:
-    """Relations under one folder; a manifest row makes a version visible.
+    """Relations under one folder, in generations.
 
-    A version is written in full before its row is appended, so a job that
-    dies leaves the previous version in place, and readers never see a part.
+    A generation names the folder of every relation, and becomes visible as one
+    small file once all of them are written.  A job that dies leaves the
+    generation before it in place, readers never mix two, and of two writers
+    that started from the same generation the later one is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = (root or f"{shared_dir(spark)}/index").rstrip("/")
 
-    def _manifest(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("name string, version bigint").parquet(f"{self.root}/_manifest")
-        except AnalysisException:
-            return None
+    def _files(self):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_generations")
+        return jvm, path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def generation(self) -> tuple[int, dict]:
+        """Number and content of the newest generation: relation folders, and the highest id given out."""
+        _, path, system = self._files()
+        if not system.exists(path):
+            return 0, {"relations": {}, "top_id": 0}
+        names = [s.getPath().getName() for s in system.listStatus(path)]
+        numbers = [int(n[4:-5]) for n in names if n.startswith("gen-") and n.endswith(".json")]
+        if not numbers:
+            return 0, {"relations": {}, "top_id": 0}
+        row = self.spark.read.text(f"{self.root}/_generations/gen-{max(numbers):012d}.json", wholetext=True).first()
+        return max(numbers), json.loads(row["value"])
 
-    def version(self, name: str) -> int | None:
-        manifest = self._manifest()
-        if manifest is None:
-            return None
-        return manifest.filter(F.col("name") == name).agg(F.max("version")).first()[0]
+    def read(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{folder}")
 
     def load(self, name: str) -> DataFrame:
-        version = self.version(name)
-        if version is None:
+        folder = self.generation()[1]["relations"].get(name)
+        if folder is None:
             raise IndexNotInitialized(f"no snapshot of {name} under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{version}")
+        return self.read(folder)
 
-    def save(self, **relations: DataFrame) -> None:
-        """Write new versions of the given relations and publish them together.
+    def top_id(self) -> int:
+        """No id up to this one is given out again, even when its file is gone."""
+        return self.generation()[1]["top_id"]
+
+    def stage(self, name: str, df: DataFrame) -> str:
+        """Write a relation without publishing it; returns its folder.
 
         Rows are ranged on the whole sort key, so rows sharing its first
         column may still spread over several files.
         """
-        rows = []
-        for name, df in relations.items():
-            version = (self.version(name) or 0) + 1
-            keys = LAYOUT[name]
-            ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            ordered.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-            rows.append((name, version))
-        published = self.spark.createDataFrame(rows, "name string, version bigint").coalesce(1)
-        published.write.mode("append").parquet(f"{self.root}/_manifest")
+        keys = LAYOUT[name]
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def publish(self, base: int, folders: dict[str, str]) -> None:
+        """Make staged relations visible together, on top of generation ``base``."""
+        number, content = self.generation()
+        if number != base:
+            raise ConcurrentUpdate(f"generation {number} was published while {base} was being changed")
+        relations = {**content["relations"], **folders}
+        top = content["top_id"]
+        if "files" in folders:
+            top = max(top, self.read(folders["files"]).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+        jvm, path, system = self._files()
+        system.mkdirs(path)
+        draft = jvm.org.apache.hadoop.fs.Path(path, f".{uuid.uuid4().hex}")
+        stream = system.create(draft, False)
+        stream.write(json.dumps({"relations": relations, "top_id": top}).encode())
+        stream.close()
+        target = jvm.org.apache.hadoop.fs.Path(path, f"gen-{number + 1:012d}.json")
+        if system.exists(target) or not system.rename(draft, target):
+            raise ConcurrentUpdate(f"generation {number + 1} is there already")
+
+    def save(self, **relations: DataFrame) -> None:
+        """Write new versions of the given relations and publish them together."""
+        base = self.generation()[0]
+        self.publish(base, {name: self.stage(name, df) for name, df in relations.items()})
 
     def create(self) -> None:
         """Empty relations, unless there are some already."""
-        missing = {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items() if self.version(n) is None}
-        if self.version("doc_stats") is None:
+        there = self.generation()[1]["relations"]
+        missing = {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items() if n not in there}
+        if "doc_stats" not in there:
             missing["doc_stats"] = self.spark.createDataFrame([], "id bigint, n_tokens bigint")
         if missing:
             self.save(**missing)

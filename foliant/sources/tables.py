@@ -8,27 +8,17 @@ from pyspark.sql import functions as F
 from foliant.operators.chunking import chunk_files
 
 
-# Tables whose rows carry whole texts, and the size under which they are spread.
-TEXT_TABLES = ("documents", "pages", "conversations")
-SPREAD_BELOW_BYTES = 256 * 1024 * 1024
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small(spark, df) if name in TEXT_TABLES else df
-
-
-def spread_small(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread a small text table over all cores.
+def table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
+    """A supplied table; ``spread`` deals its rows over that many partitions.
 
     A file with a single row group is read by one task, which then does all
-    the text work.  Tables above the bound come in enough splits and are left
-    as they are, so large inputs are never shuffled here.
+    the work.  Such small files can be spread by the caller's choice, here or
+    for all tables with the setting ``foliant.spread``; otherwise rows stay
+    where they are read.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread = spread or int(spark.conf.get("foliant.spread", "0"))
+    return df.repartition(spread) if spread else df
 
 
 def document_path() -> Column:
@@ -42,14 +32,14 @@ def document_name() -> Column:
 def files(spark: SparkSession, sf_dir: str, review: bool = False, transcripts: bool = False) -> DataFrame:
     """``files`` relation over ``documents``.
 
-    The joins with ``labels`` and ``conversations`` are left out unless asked
-    for: a plan that needs neither scans ``documents`` alone.
+    The join with ``labels`` and the files of ``conversations`` are left out
+    unless asked for: a plan that needs neither scans ``documents`` alone.
     """
     out = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         document_path().alias("file_path"),
         document_name().alias("file_name"),
-        F.substring("text", 1, 80).alias("description"),
+        F.col("source").alias("description"),
         F.col("text").alias("text_content"),
         F.lit("").alias("transcript_text"),
         F.concat_ws(", ", "lang", "source").alias("tags"),
@@ -69,27 +59,29 @@ def files(spark: SparkSession, sf_dir: str, review: bool = False, transcripts: b
             .drop("flag")
         )
     if transcripts:
-        out = (
-            out.drop("transcript_text")
-            .join(transcripts_by_file(spark, sf_dir), "id", "left")
-            .withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
-        )
+        out = out.unionByName(recordings(spark, sf_dir))
     return out.select(
         "id", "file_path", "file_name", "description", "text_content", "transcript_text", "tags", "needs_review",
         "indexed_at",
     )
 
 
-def transcripts_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening turn of each conversation, keyed like the file it belongs to.
+def turn_path() -> Column:
+    return F.concat(F.lit("/calls/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".mp3"))
 
-    Keeping one turn is an aggregate with a fixed-size state; a conversation
-    may hold any number of rows.
-    """
-    return (
-        table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("id"))
-        .agg(F.min(F.struct("turn", "text"))["text"].alias("transcript_text"))
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation as a recording of its own, with its words as transcript."""
+    return table(spark, sf_dir, "conversations").select(
+        (-1 - (F.col("conv_id") * 1_000_000 + F.col("turn"))).alias("id"),
+        turn_path().alias("file_path"),
+        F.concat(F.col("turn").cast("string"), F.lit(".mp3")).alias("file_name"),
+        F.col("role").alias("description"),
+        F.lit("").alias("text_content"),
+        F.col("text").alias("transcript_text"),
+        F.lit("").alias("tags"),
+        F.lit(0).alias("needs_review"),
+        (F.lit(1_700_000_000) + F.col("conv_id")).cast("long").alias("indexed_at"),
     )
 
 

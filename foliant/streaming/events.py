@@ -12,8 +12,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators import events as E
-from foliant.operators import index as I
-from foliant.sources.store import IndexStore
 
 
 def _sorted_batch(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -21,12 +19,12 @@ def _sorted_batch(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], kind="stable")
 
 
-def dedup_stream(events: DataFrame, window_ms: int = E.DEDUP_MS, late: str = "1 hour") -> DataFrame:
+def dedup_stream(events: DataFrame, late: str, window_ms: int = E.DEDUP_MS) -> DataFrame:
     """Add events without repeats of a path within the window of the last kept one.
 
     The state per path is one time stamp.  It is dropped once the watermark,
-    ``late`` behind the newest event, is ten windows past it; events older
-    than the watermark are not taken.
+    ``late`` behind the newest event, is ten windows past it.  Events older
+    than the watermark are dropped: choose ``late`` so that none are.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,15 +54,19 @@ def dedup_stream(events: DataFrame, window_ms: int = E.DEDUP_MS, late: str = "1
 
 
 def rate_limit_stream(
-    events: DataFrame, key: str, limit: int = E.RATE_PER_SECOND, window_ms: int = E.RATE_WINDOW_MS
+    events: DataFrame, key: str, late: str, limit: int = E.RATE_PER_SECOND, window_ms: int = E.RATE_WINDOW_MS
 ) -> DataFrame:
     """First ``limit`` events of each window of a watcher; ``key`` tells watchers apart.
 
-    The state is the window start and a count, as for a single watcher.
+    The state is the window start and a count, and expires like that of
+    ``dedup_stream``; events older than the watermark are dropped likewise.
     """
     shape = f"{key} string, event_id long, path string, ts_ms long"
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
         rows = _sorted_batch(batches)
         keep = []
@@ -74,25 +76,27 @@ def rate_limit_stream(
             count += 1
             keep.append(count <= limit)
         state.update((start, count))
+        state.setTimeoutTimestamp(max(start + 10 * window_ms, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[keep, [key, "event_id", "path", "ts_ms"]]
 
     return (
-        events.select(key, "event_id", "path", "ts_ms")
+        events.select(key, "event_id", "path", "ts_ms", F.timestamp_millis("ts_ms").alias("at"))
+        .withWatermark("at", late)
         .groupBy(key)
-        .applyInPandasWithState(step, shape, "start long, count long", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, shape, "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def debounce_stream(events: DataFrame, key: str, quiet_ms: int = E.DEBOUNCE_MS, late: str = "10 seconds") -> DataFrame:
-    """Last event of every burst, once the burst is over."""
+def debounce_stream(events: DataFrame, key: str, late: str, quiet_ms: int = E.DEBOUNCE_MS) -> DataFrame:
+    """Last event of every burst, once the burst is over; events later than ``late`` are dropped."""
     stamped = events.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     session = F.session_window("at", f"{quiet_ms} milliseconds")
     bursts = stamped.groupBy(key, session.alias("burst")).agg(F.max(F.struct("ts_ms", "event_id")).alias("last"))
     return bursts.select(key, "last.ts_ms", "last.event_id")
 
 
-def windowed_counts(events: DataFrame, width: str, late: str = "10 seconds") -> DataFrame:
-    """Events per tumbling window and kind."""
+def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
+    """Events per tumbling window and kind; events later than ``late`` are dropped."""
     stamped = events.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     return stamped.groupBy(F.window("at", width).alias("w"), "op").agg(F.count(F.lit(1)).alias("n"))
 
@@ -127,12 +131,14 @@ def index_arrivals(
 
 
 def reconcile_periodically(
-    ticks: DataFrame, store: IndexStore, list_folder: Callable[[], DataFrame], checkpoint: str, interval: str = "60 seconds"
+    ticks: DataFrame, reconcile: Callable[[], Any], checkpoint: str, interval: str = "60 seconds"
 ) -> StreamingQuery:
-    """Compare index and folder on every tick of a stream."""
+    """Compare index and folder on every tick of a stream.
+
+    ``reconcile`` brings all relations of the index up to date, not files alone.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
-        now = F.unix_timestamp().cast("long")
-        store.save(files=I.reconcile(store.load("files"), list_folder(), now))
+        reconcile()
 
     return start(ticks, handle, checkpoint, interval)

@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.api import Index
-from foliant.errors import IndexNotInitialized, InvalidPath, WatcherNotRunning
+from foliant.errors import ConcurrentUpdate, IndexNotInitialized, InvalidPath, WatcherNotRunning
 from foliant.functions.embed import hash_embedder
 from foliant.operators import rag
-from foliant.plans.extract_queries import docx_bytes
 from foliant.streaming import events as streams
 
+from test_extract import docx_bytes
+
 BATCH = "file_path string, file_name string, description string, text_content string"
 
 
@@ -31,7 +32,7 @@ def test_life_of_an_index(spark, ix):
     add(ix, ("/rust_guide.txt", "rust_guide.txt", "Guide", "Rust is a systems programming language"), ("/cooking.txt", "cooking.txt", "Food", "How to cook pasta"))
     assert ix.is_file_indexed("/rust_guide.txt") and not ix.is_file_indexed("/x")
     hit = ix.search_files("progr").first()
-    assert (hit.file_path, hit.snippet) == ("/rust_guide.txt", "Rust is a systems <b>programming</b> language")
+    assert (hit.file_path, hit.snippet) == ("/rust_guide.txt", "Rust is a systems programming language")
     assert hit.rank < 0 < hit.relevance < 1
 
     ix.update_transcript(spark.createDataFrame([("/cooking.txt", "quantum basil")], "file_path string, transcript_text string"))
@@ -84,6 +85,38 @@ def test_models_can_be_swapped(ix):
     assert ix.store.load("embeddings").select(F.size("embedding")).first()[0] == 64
 
 
+def test_repeated_paths_and_generations(spark, ix):
+    add(ix, ("/a", "a", "first", "one"), ("/n", "n", "new", "two"), ("/a", "a", "second", "three"), ("/n", "n", "newer", None))
+    rows = {r.file_path: r for r in ix.files.collect()}
+    assert ix.get_indexed_file_count() == 2 and len({r.id for r in rows.values()}) == 2
+    batch = spark.createDataFrame([("/a", "x", 2), ("/a", "y", 3), ("/a", "z", 1)], "file_path string, text_content string, seq int")
+    ix.update_text(batch, order="seq")
+    assert ix.get_indexed_file_count() == 2 and ix.search_files("y").count() == 1 and ix.search_files("x").count() == 0
+    # a removed file's id is never given out again
+    top = max(r.id for r in rows.values())
+    ix.remove_from_index(spark.createDataFrame([(p,) for p, r in rows.items() if r.id == top], "file_path string"))
+    add(ix, ("/z", "z", "", "fresh"))
+    assert ix.files.filter("file_path = '/z'").first().id > top
+    # a writer that started from an older generation is refused
+    base = ix.store.generation()[0]
+    staged = ix.store.stage("files", ix.files)
+    ix.mark_enriched(ix.files)
+    with pytest.raises(ConcurrentUpdate):
+        ix.store.publish(base, {"files": staged})
+
+
+def test_cancelled_questions(spark, ix, monkeypatch):
+    add(ix, ("/a.txt", "a.txt", "", "some text"))
+    assert ix.rag_query("some text", tag="q1")["error_code"] is None
+
+    def stop(*_):
+        raise RuntimeError("Job 7 cancelled part of cancelled job tags q1")
+
+    monkeypatch.setattr(ix, "semantic_search", stop)
+    assert ix.rag_query("some text", tag="q1")["error_code"] == "cancelled"
+    ix.cancel("q1")
+
+
 def test_missing_index(spark, tmp_path):
     with pytest.raises(IndexNotInitialized):
         Index(spark, str(tmp_path / "none")).get_indexed_file_count()
@@ -109,6 +142,16 @@ def test_watching_a_folder(spark, ix, tmp_path):
     removed, new = ix.reconcile(str(inbox))
     assert removed == 1 and [r.file_name for r in new.collect()] == ["d.txt"]
     assert ix.search_files("alpha").count() == 0
+    ix.add_new(str(inbox))
+    assert [r.file_name for r in ix.search_files("delta").collect()] == ["d.txt"]
+    # the watch takes vanished files out when it next runs, and new ones have vectors
+    (inbox / "c.txt").unlink()
+    (inbox / "e.txt").write_text("epsilon body")
+    ix.start_watching(str(inbox), interval=None).awaitTermination(120)
+    assert ix.search_files("gamma").count() == 0 and ix.has_embeddings(f"{inbox}/e.txt")
+    wanted = spark.createDataFrame([(f"{inbox}/e.txt",), (f"{inbox}/gone.txt",)], "path string")
+    codes = {r.path.rsplit("/", 1)[1]: r.error_code for r in ix.extract_paths(wanted, str(inbox)).collect()}
+    assert codes == {"e.txt": None, "gone.txt": "file_not_found"}
 
 
 def test_answer_events(spark):
@@ -149,23 +192,23 @@ def test_stream_dedup(spark, tmp_path):
         if path not in last or t - last[path] >= 300:
             last[path] = t
             expected.append(i)
-    got = drain(streams.dedup_stream(source(spark, tmp_path, ROWS)), tmp_path)
+    got = drain(streams.dedup_stream(source(spark, tmp_path, ROWS), "1 hour"), tmp_path)
     assert sorted(r.event_id for r in got) == expected
 
 
 def test_stream_rate_limit(spark, tmp_path):
-    got = drain(streams.rate_limit_stream(source(spark, tmp_path, ROWS), "watcher", limit=3), tmp_path)
+    got = drain(streams.rate_limit_stream(source(spark, tmp_path, ROWS), "watcher", "1 hour", limit=3), tmp_path)
     assert sorted(r.event_id for r in got) == [0, 1, 2, 8, 9]
 
 
 def test_stream_debounce(spark, tmp_path):
     rows = [(i, "/p", "add", t, "w") for i, t in enumerate([0, 100, 5_000, 5_100, 100_000])]
     stream = source(spark, tmp_path, rows)
-    got = drain(streams.debounce_stream(stream, "path"), tmp_path)
+    got = drain(streams.debounce_stream(stream, "path", "10 seconds"), tmp_path)
     assert sorted(r.event_id for r in got) == [1, 3]
 
 
 def test_stream_counts(spark, tmp_path):
     rows = [(i, "/p", "add", t, "w") for i, t in enumerate([0, 100, 5_000, 100_000])]
-    got = drain(streams.windowed_counts(source(spark, tmp_path, rows), "1 second"), tmp_path)
+    got = drain(streams.windowed_counts(source(spark, tmp_path, rows), "1 second", "10 seconds"), tmp_path)
     assert sorted(r.n for r in got) == [1, 2]

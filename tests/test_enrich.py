@@ -73,8 +73,30 @@ def test_embedded_steps_run(make_files):
 def test_close_tags_are_dropped(spark):
     rows = [(1, i + 1, f"w{i}", v) for i, v in enumerate([[1.0, 0.0], [0.99, 0.05], [0.0, 1.0], [0.05, 0.99], [-1.0, 0.0]])]
     df = spark.createDataFrame(rows, "id long, position int, word string, embedding array<float>")
-    assert E.distinct_tags(df).first().tags == ["w0", "w2", "w4"]
-    assert E.distinct_tags(df, max_tags=2).first().tags == ["w0", "w2"]
+    words, vectors = df.drop("embedding"), df.select("word", "embedding")
+    attach = lambda block: block.join(vectors, "word")
+    assert E.distinct_tags(words, attach).first().tags == ["w0", "w2", "w4"]
+    assert E.distinct_tags(words, attach, max_tags=2).first().tags == ["w0", "w2"]
+
+
+def test_distinct_tags_walk_the_whole_list(spark):
+    """Fifty near duplicates come first; six better ones follow, for one file after three rounds."""
+    same = [(1, k + 1, f"same{k:02d}", [1.0, 0.001 * k] + [0.0] * 8) for k in range(50)]
+    other = [(1, 51 + k, f"other{k}", [0.0, 0.0] + [float(k == j) for j in range(8)]) for k in range(6)]
+    few = [(2, 1, "only", [1.0] + [0.0] * 9)]
+    exact = [(3, k + 1, f"x{k:02d}", [1.0] * 10) for k in range(E.FIRST_BLOCK)]
+    df = spark.createDataFrame(same + other + few + exact, "id long, position int, word string, embedding array<float>")
+    vectors = df.select("id", "position", "embedding")
+    got = E.distinct_tags(df.drop("embedding"), lambda block: block.join(vectors, ["id", "position"])).collect()
+    assert {r.id: r.tags for r in got} == {1: ["same00", *(f"other{k}" for k in range(6))], 2: ["only"], 3: ["x00"]}
+
+
+def test_long_texts_are_read_to_the_end(make_files):
+    filler = "\n\n".join(f"Some plain paragraph number{k % 50} says nothing of note." for k in range(20_000))
+    text = filler + "\n\n" + "zebra " * 40_000
+    assert len(text) > 1_000_000
+    row = run(make_files, E.tag, text)
+    assert row.tags[0] == "zebra"
 
 
 def test_tfidf(spark):

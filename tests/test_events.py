@@ -95,6 +95,17 @@ def test_debounce(spark):
         assert sorted(r.event_id for r in got) == expected
 
 
+def test_one_dense_key_inside_a_window(spark):
+    """A million instants of one path, all within one window, and a few behind it."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.lit("/hot").alias("path"), F.lit("add").alias("op"), F.col("id").alias("ts_ms"))
+    late = spark.range(3).select((F.col("id") + n), F.lit("/hot"), F.lit("add"), (F.col("id") * 5 + 2 * n))
+    got = sorted(r.event_id for r in E.dedup(rows.union(late), 2 * n + 7).collect())
+    assert got == [0, n + 2]
+    spaced = sorted(r.event_id for r in E.dedup(rows, 250_000).collect())
+    assert spaced == [0, 250_000, 500_000, 750_000]
+
+
 def test_notices_once_a_day(spark):
     day = 24 * 3600 * 1000
     rows = [(1, "/a", "add", 0, "k"), (2, "/a", "add", day - 1, "k"), (3, "/a", "add", day, "k"), (4, "/a", "add", day + 5, "k")]

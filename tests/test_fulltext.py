@@ -4,6 +4,7 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.operators import fulltext as X
 
@@ -61,35 +62,16 @@ def test_prefix_search_equals_fts5(corpus, query):
         assert rank == pytest.approx(ranks[i], rel=1e-9)
 
 
-@pytest.mark.parametrize("query", ["eau", "foo-bar", "eau foo doc-x"])
-def test_stored_index_ranks_alike(corpus, query):
-    files, con = corpus
-    postings, lengths = X.build_postings(files), X.document_lengths(files)
-    phrases = X.parse_query(query)
-    expected = dict(sqlite_rank(con, match_text(phrases), X.WEIGHTS))
-    got = {r.id: r.rank for r in X.rank_postings(X.layout_postings(postings, 3), lengths, phrases).collect()}
-    assert got.keys() == expected.keys()
-    for i, rank in got.items():
-        assert rank == pytest.approx(expected[i], rel=1e-9)
-
-
-def test_any_keyword_equals_fts5(corpus):
-    files, con = corpus
-    phrases = X.parse_keywords("find pdf_doc, foobar or naïve eau?")
-    expected = dict(sqlite_rank(con, match_text(phrases, " OR "), X.UNWEIGHTED))
-    got = {r.id: r.rank for r in X.rank_files(files, phrases, X.UNWEIGHTED, require_all=False).collect()}
-    assert got.keys() == expected.keys()
-    for i, rank in got.items():
-        assert rank == pytest.approx(expected[i], rel=1e-9)
+def test_snippets(spark):
+    text = "First words here. Second one has Éau in it!\nThird line: foo, bar follow. Eau again."
+    df = spark.createDataFrame([(text,), ("  Nothing to see. Really",), ("",), (None,)], "t string")
 
+    def cut(query):
+        return [r[0] for r in df.select(X.snippet(F.col("t"), X.parse_query(query))).collect()]
 
-@pytest.mark.parametrize("query", ["eau", "foo-bar", "ete", "cafe doc", "zzz", "straße pdf"])
-def test_snippets_equal_fts5(corpus, query):
-    files, con = corpus
-    specs = [(p.tokens, p.prefix) for p in X.parse_query(query)]
-    sql = "SELECT rowid, text_content, snippet(t, 2, '<b>', '</b>', '...', 32) FROM t WHERE t MATCH ?"
-    for rowid, text, expected in con.execute(sql, (match_text(X.parse_query(query)),)):
-        assert X.best_window(text, specs, "<b>", "</b>", "...", 32) == expected, rowid
+    assert cut("eau") == ["Second one has Éau in it!", "Nothing to see.", "", ""]
+    assert cut("foo-bar")[0] == "Third line: foo, bar follow."
+    assert cut("zzz")[0] == cut("")[0] == "First words here."
 
 
 def test_queries_parse():
