@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import ship_package
+from foliant.session import shared_dir, ship_package
 
 #: Bits of the membership bitmap; fixed, so its broadcast never grows with the data.
 BITMAP_BITS = 1 << 26
@@ -21,17 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset on a
-    local master, a folder below the warehouse stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/foliant-llm/{purpose}-{uuid.uuid4().hex}"
+    """New folder below the one that driver and executors share, as named by ``spark.checkpoint.dir``."""
+    return f"{shared_dir(spark).rstrip('/')}/foliant-llm/{purpose}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:

@@ -9,8 +9,8 @@ count c of n becomes (c / n - fp) / (1 - fp).  The largest corrected share
 decides; ties go to the smaller name.
 
 Training.  N-grams are runs of ``ORDER`` letters of words, folded to lower case
-and framed by blanks.  A bounded sample of labelled texts, ``SAMPLE`` per
-language, chosen by a hash of the id, gives each n-gram's share of a language's
+and framed by blanks.  A bounded sample of labelled texts, about ``SAMPLE`` per
+language, chosen by a bound on a hash of the id, gives each n-gram's share of a language's
 texts; a language holds an n-gram if its share is at least ``LEAST`` there and
 at least ``KEEN`` of the largest share in any language.  At most ``CAPACITY``
 n-grams per language enter the filter, the most frequent first, so what reaches
@@ -109,18 +109,20 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("text is not null and lang is not null")
-    # the sample is found on ids alone, and texts follow by the bound it gives
-    ranked = rows.select("lang", F.xxhash64("id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    bound = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("bound"), F.count(F.lit(1)).alias("texts"))
-    bounds = [(r["lang"], r["bound"], r["texts"]) for r in bound.collect()]
-    if not bounds:
-        return filters([])
-    if len(bounds) > 64:
+    amounts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("amount")).limit(65).collect()
+    if len(amounts) > 64:
         raise ValueError("more than 64 languages")
+    if not amounts:
+        return filters([])
     spark = labelled.sparkSession
-    limits = spark.createDataFrame(bounds, "lang string, bound long, texts long")
-    sample = rows.join(F.broadcast(limits), "lang").filter(F.xxhash64("id") <= F.col("bound"))
+    # a hash bound that lets about SAMPLE texts of each language through
+    parts = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (SAMPLE << 64) // r["amount"])) for r in amounts]
+    bounds = F.broadcast(spark.createDataFrame(parts, "lang string, bound long"))
+    chosen_rows = rows.join(bounds, "lang").filter(F.xxhash64("id") <= F.col("bound"))
+    taken = [(r["lang"], r["texts"]) for r in chosen_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).collect()]
+    if not taken:
+        return filters([])
+    sample = chosen_rows.join(F.broadcast(spark.createDataFrame(taken, "lang string, texts long")), "lang")
 
     def distinct_grams(batches):
         for batch in sliced(batches, "text"):
