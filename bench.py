@@ -23,6 +23,7 @@ HEADLINE = (
     "fts_and_prefix",
     "fts_or_exact",
     "fts_index_search",
+    "fts_scan_search",
     "postings",
     "chunk_text",
     "cosine_scores",

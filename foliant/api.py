@@ -19,7 +19,6 @@ from foliant.errors import LlmNotLoaded, WatcherAlreadyRunning, WatcherNotRunnin
 from foliant.functions import embed as M
 from foliant.functions import paths, prompts
 from foliant.functions import text as X
-from foliant.functions.vectors import relevance
 from foliant.operators import enrich, fulltext, hybrid, index, rag
 from foliant.operators.chunking import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_files
 from foliant.session import ship_package
@@ -60,27 +59,32 @@ class Index:
         return F.unix_timestamp().cast("long")
 
     def _publish(self, snapshot: DataFrame, touched: DataFrame) -> None:
-        """Store a ``files`` snapshot together with the inverted index of the touched paths.
+        """Lay the touched rows of a ``files`` snapshot over the index, with their postings and lengths.
 
-        The snapshot is staged first and read back, so that ids are settled;
-        all relations become visible at once.
+        The rows are staged first and read back, so that ids are settled; all
+        relations become visible at once.
         """
         base = self.store.generation()[0]
         paths_ = touched.select("file_path").distinct()
-        staged = self.store.stage("files", snapshot)
+        rows = self.store.stage("files", snapshot.join(paths_, "file_path", "left_semi"))
         old = self.files.join(paths_, "file_path", "left_semi").select("id")
-        new = self.store.read(staged).join(paths_, "file_path", "left_semi")
-        changed = old.union(new.select("id")).distinct()
-        postings = index.replace_for_keys(self.store.load("postings"), fulltext.build_postings(new), changed, "id")
-        lengths = index.replace_for_keys(self.store.load("doc_stats"), fulltext.document_lengths(new), changed, "id")
+        new = self.store.read(rows)
+        changed = old.union(new.select("id"))
         self.store.publish(
             base,
-            {
-                "files": staged,
-                "postings": self.store.stage("postings", postings),
-                "doc_stats": self.store.stage("doc_stats", lengths),
+            changes={
+                "files": (rows, self.store.stage_gone("files", old)),
+                "postings": (
+                    self.store.stage("postings", fulltext.build_postings(new)),
+                    self.store.stage_gone("postings", changed),
+                ),
+                "doc_stats": (
+                    self.store.stage("doc_stats", fulltext.document_lengths(new)),
+                    self.store.stage_gone("doc_stats", changed),
+                ),
             },
         )
+        self.store.compact()
 
     def index_files(self, batch: DataFrame, preserve_text: bool = True, order: str | None = None) -> None:
         """Index (file_path, file_name, description, text_content) rows; the last by ``order`` of a path counts."""
@@ -106,18 +110,12 @@ class Index:
         self._publish(index.save_review(self.files, batch, order), batch)
 
     def mark_enriched(self, paths_: DataFrame) -> None:
-        self.store.save(files=index.mark_enriched(self.files, paths_))
+        marked = index.mark_enriched(self.files, paths_).join(paths_.select("file_path").distinct(), "file_path", "left_semi")
+        self.store.change(files=(marked, marked.select("id")))
 
     def remove_from_index(self, paths_: DataFrame) -> None:
-        left = index.remove(self.files, paths_)
-        keys = left.select("id")
-        self.store.save(
-            files=left,
-            chunks=index.cascade(self.store.load("chunks"), keys),
-            embeddings=index.cascade(self.store.load("embeddings"), keys),
-            postings=index.cascade(self.store.load("postings"), keys, "id"),
-            doc_stats=index.cascade(self.store.load("doc_stats"), keys, "id"),
-        )
+        gone = self.files.join(paths_.select("file_path"), "file_path", "left_semi").select("id")
+        self.store.change(**{n: (None, gone) for n in ("files", "chunks", "embeddings", "postings", "doc_stats")})
 
     def clear_file_index(self) -> None:
         names = ("files", "chunks", "embeddings", "postings", "doc_stats")
@@ -170,17 +168,7 @@ class Index:
         phrases = fulltext.parse_query(query, stem_ru)
         ranked = fulltext.rank_postings(self.store.load("postings"), self.store.load("doc_stats"), phrases)
         top = ranked.orderBy("rank", "id").limit(limit)
-        found = self.files.join(top, "id")
-        return found.select(
-            "file_path",
-            "file_name",
-            "description",
-            fulltext.snippet(F.col("text_content"), phrases).alias("snippet"),
-            "rank",
-            relevance(F.col("rank")).alias("relevance"),
-            "indexed_at",
-            "id",
-        ).orderBy("rank", "id").drop("id")
+        return fulltext.result_page(self.files, top, phrases).orderBy("rank", "id").drop("id")
 
     # -- vectors ----------------------------------------------------------
 
@@ -203,11 +191,8 @@ class Index:
         return M.embed_chunks(chunks, self._embedder)
 
     def store_chunks_and_embeddings(self, chunks: DataFrame, embeddings: DataFrame) -> None:
-        touched = chunks.select("file_id").distinct()
-        self.store.save(
-            chunks=index.replace_for_keys(self.store.load("chunks"), chunks, touched),
-            embeddings=index.replace_for_keys(self.store.load("embeddings"), embeddings, touched),
-        )
+        touched = chunks.select("file_id")
+        self.store.change(chunks=(chunks, touched), embeddings=(embeddings, touched))
 
     def embed_missing(self) -> None:
         """Chunk and embed every file that lacks vectors of the current width."""

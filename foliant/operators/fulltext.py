@@ -154,13 +154,23 @@ def keyword_search(
     weights: dict[str, float] = WEIGHTS,
 ) -> DataFrame:
     """Best files for a search box query, with snippets; ties go to the lower id."""
-    top = rank_files(files, parse_query(query, stem_ru), weights).orderBy("rank", "id").limit(limit)
-    return top.select(
+    phrases = parse_query(query, stem_ru)
+    top = rank_files(files, phrases, weights).orderBy("rank", "id").limit(limit)
+    return _page(top, phrases)
+
+
+def result_page(files: DataFrame, best: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
+    """What a result page shows of the files in ``best`` (id, rank)."""
+    return _page(files.join(best, "id"), phrases)
+
+
+def _page(found: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
+    return found.select(
         "id",
         "file_path",
         "file_name",
         "description",
-        snippet(F.col("text_content"), parse_query(query, stem_ru)).alias("snippet"),
+        snippet(F.col("text_content"), phrases).alias("snippet"),
         "rank",
         relevance(F.col("rank")).alias("relevance"),
         "indexed_at",

@@ -8,6 +8,7 @@ from foliant.operators import fulltext as X
 from foliant.plans import sqlparts as P
 from foliant.plans.registry import query
 from foliant.sources import tables as S
+from foliant.sources.searchable import Searchable, searchable
 
 RANK_DIGITS = 12
 
@@ -27,6 +28,14 @@ def _ranked(df, limit: int | None = None):
     return out.orderBy("rank", "id").limit(limit) if limit else out
 
 
+def _documents(spark, sf_dir) -> Searchable:
+    return searchable(spark, sf_dir, "documents", ("documents",), lambda: S.files(spark, sf_dir))
+
+
+def _search(index: Searchable, phrases, weights=X.WEIGHTS, require_all: bool = True):
+    return X.rank_postings(index.postings, index.lengths, phrases, weights, require_all)
+
+
 @query("postings", f"WITH {P.FILES}, {P.POSTINGS} SELECT id, CAST(col AS INTEGER) AS col, pos, token FROM postings")
 def postings(spark, sf_dir):
     return X.build_postings(S.files(spark, sf_dir))
@@ -56,7 +65,10 @@ def _page_sql(text: str) -> str:
 
 
 def _page(spark, sf_dir, text: str):
-    top = X.keyword_search(S.files(spark, sf_dir), text, 20)
+    """The best files by the stored index; only they are looked up and cut into snippets."""
+    phrases = X.parse_query(text)
+    best = _search(_documents(spark, sf_dir), phrases).orderBy("rank", "id").limit(20)
+    top = X.result_page(S.files(spark, sf_dir), best, phrases).orderBy("rank", "id")
     return top.withColumns({c: F.round(c, RANK_DIGITS) for c in ("rank", "relevance")})
 
 
@@ -73,22 +85,22 @@ def snippet(spark, sf_dir):
 
 @query("bm25_weighted", _rank_sql(X.parse_query("reau"), X.WEIGHTS, True))
 def bm25_weighted(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("reau")))
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("reau")))
 
 
 @query("bm25_unweighted", _rank_sql(X.parse_query("reau"), X.UNWEIGHTED, True))
 def bm25_unweighted(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("reau"), X.UNWEIGHTED))
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("reau"), X.UNWEIGHTED))
 
 
 @query("fts_and_prefix", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True))
 def fts_and_prefix(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("enp eau")))
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("enp eau")))
 
 
 @query("fts_phrase_prefix", _rank_sql(X.parse_query("de-la"), X.WEIGHTS, True))
 def fts_phrase_prefix(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("de-la")))
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("de-la")))
 
 
 OR_QUESTION = "Which documents mention eaux, leaux and die-und please?"
@@ -96,25 +108,32 @@ OR_QUESTION = "Which documents mention eaux, leaux and die-und please?"
 
 @query("fts_or_exact", _rank_sql(X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
 def fts_or_exact(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
 
 
 @query("fts_transcript", _rank_sql(X.parse_query("que"), X.WEIGHTS, True, base=P.FILES_TRANSCRIPT))
 def fts_transcript(spark, sf_dir):
-    """Search over files that also carry a transcript."""
-    return _ranked(X.rank_files(S.files(spark, sf_dir, transcripts=True), X.parse_query("que")))
+    """Search over documents and recordings, which carry a transcript."""
+    build = lambda: S.files(spark, sf_dir, transcripts=True)
+    index = searchable(spark, sf_dir, "transcripts", ("documents", "conversations"), build)
+    return _ranked(_search(index, X.parse_query("que")))
 
 
 @query("fts_top", _rank_sql(X.parse_query("th en"), X.WEIGHTS, True, limit=50))
 def fts_top(spark, sf_dir):
-    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("th en")), 50)
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("th en")), 50)
 
 
-@query("fts_index_search", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True))
+@query("fts_scan_search", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True))
+def fts_scan_search(spark, sf_dir):
+    """The same ranking without an index: two passes over all texts."""
+    return _ranked(X.rank_files(S.files(spark, sf_dir), X.parse_query("enp eau")))
+
+
+@query("fts_index_search", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True, limit=20))
 def fts_index_search(spark, sf_dir):
-    """The same ranking as ``fts_and_prefix`` by way of postings."""
-    files = S.files(spark, sf_dir)
-    return _ranked(X.rank_postings(X.build_postings(files), X.document_lengths(files), X.parse_query("enp eau")))
+    """Best files by the stored index."""
+    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("enp eau")), 20)
 
 
 @query(
@@ -125,7 +144,7 @@ def fts_index_search(spark, sf_dir):
 def relevance(spark, sf_dir):
     from foliant.functions.vectors import relevance as score
 
-    ranked = X.rank_files(S.files(spark, sf_dir), X.parse_query("reau"))
+    ranked = _search(_documents(spark, sf_dir), X.parse_query("reau"))
     return ranked.select("id", F.round(score(F.col("rank")), RANK_DIGITS).alias("relevance"))
 
 
@@ -135,6 +154,10 @@ CYRILLIC_FILES = P.FILES.replace("text AS text_content", "translate(lower(text),
 @query("fts_stemmed", _rank_sql(X.parse_query("тионами", stem_ru=True), X.WEIGHTS, True, base=CYRILLIC_FILES))
 def fts_stemmed(spark, sf_dir):
     """Stemmed search over texts spelled in Cyrillic letters."""
-    spelled = F.translate(F.lower("text_content"), "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувюыез")
-    files = S.files(spark, sf_dir).withColumn("text_content", spelled)
-    return _ranked(X.rank_files(files, X.parse_query("тионами", stem_ru=True)))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувюыез"
+
+    def build():
+        return S.files(spark, sf_dir).withColumn("text_content", F.translate(F.lower("text_content"), latin, cyrillic))
+
+    index = searchable(spark, sf_dir, "cyrillic", ("documents",), build)
+    return _ranked(_search(index, X.parse_query("тионами", stem_ru=True)))

@@ -28,13 +28,24 @@ SCHEMAS = {
 }
 
 
+# What a change replaces in each relation.
+KEYS = {"files": "id", "chunks": "file_id", "embeddings": "file_id", "postings": "id", "doc_stats": "id"}
+#: Changes laid over a relation before it is written anew.
+MAX_CHANGES = 8
+
+
 class IndexStore:
     """Relations under one folder, in generations.
 
-    A generation names the folder of every relation, and becomes visible as one
-    small file once all of them are written.  A job that dies leaves the
-    generation before it in place, readers never mix two, and of two writers
-    that started from the same generation the later one is refused.
+    A relation is a full version and the changes laid over it: each change
+    holds new rows, and the ids whose older rows they replace.  So a batch
+    writes what it touches, however large the index is; after ``MAX_CHANGES``
+    the relation is written anew.
+
+    A generation names all these folders and becomes visible as one small file
+    once they are written.  A job that dies leaves the generation before it in
+    place, readers never mix two, and of two writers that started from the same
+    generation the later one is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -62,10 +73,15 @@ class IndexStore:
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
     def load(self, name: str) -> DataFrame:
-        folder = self.generation()[1]["relations"].get(name)
-        if folder is None:
+        parts = self.generation()[1]["relations"].get(name)
+        if parts is None:
             raise IndexNotInitialized(f"no snapshot of {name} under {self.root}")
-        return self.read(folder)
+        whole = self.read(parts[0]["rows"])
+        for part in parts[1:]:
+            whole = whole.join(self.read(part["gone"]), KEYS[name], "left_anti")
+            if part["rows"]:
+                whole = whole.unionByName(self.read(part["rows"]))
+        return whole
 
     def top_id(self) -> int:
         """No id up to this one is given out again, even when its file is gone."""
@@ -82,15 +98,31 @@ class IndexStore:
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.root}/{folder}")
         return folder
 
-    def publish(self, base: int, folders: dict[str, str]) -> None:
-        """Make staged relations visible together, on top of generation ``base``."""
+    def stage_gone(self, name: str, ids: DataFrame) -> str:
+        """Write the ids, in the first column, whose rows of a relation a change replaces."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        ids.select(F.col(ids.columns[0]).alias(KEYS[name])).distinct().write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def publish(
+        self, base: int, full: dict[str, str] | None = None, changes: dict[str, tuple[str | None, str]] | None = None
+    ) -> None:
+        """Make staged folders visible together, on top of generation ``base``.
+
+        ``full`` replaces relations, ``changes`` lays (rows, ids) over them.
+        """
         number, content = self.generation()
         if number != base:
             raise ConcurrentUpdate(f"generation {number} was published while {base} was being changed")
-        relations = {**content["relations"], **folders}
+        relations = dict(content["relations"])
+        for name, folder in (full or {}).items():
+            relations[name] = [{"rows": folder, "gone": None}]
+        for name, (rows, gone) in (changes or {}).items():
+            relations[name] = [*relations[name], {"rows": rows, "gone": gone}]
         top = content["top_id"]
-        if "files" in folders:
-            top = max(top, self.read(folders["files"]).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+        for folder in ((full or {}).get("files"), (changes or {}).get("files", (None,))[0]):
+            if folder:
+                top = max(top, self.read(folder).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
         jvm, path, system = self._files()
         system.mkdirs(path)
         draft = jvm.org.apache.hadoop.fs.Path(path, f".{uuid.uuid4().hex}")
@@ -102,10 +134,24 @@ class IndexStore:
             raise ConcurrentUpdate(f"generation {number + 1} is there already")
 
     def save(self, **relations: DataFrame) -> None:
-        """Write new versions of the given relations and publish them together."""
+        """Write whole relations anew and publish them together."""
         base = self.generation()[0]
         self.publish(base, {name: self.stage(name, df) for name, df in relations.items()})
 
+    def change(self, **changes: tuple[DataFrame | None, DataFrame]) -> None:
+        """Lay (new rows, replaced ids) over relations and publish them together."""
+        base = self.generation()[0]
+        staged = {n: (None if rows is None else self.stage(n, rows), self.stage_gone(n, ids)) for n, (rows, ids) in changes.items()}
+        self.publish(base, changes=staged)
+        self.compact()
+
+    def compact(self) -> None:
+        """Write relations with many changes anew."""
+        base, content = self.generation()
+        long = [n for n, parts in content["relations"].items() if len(parts) > MAX_CHANGES]
+        if long:
+            self.publish(base, {n: self.stage(n, self.load(n)) for n in long})
+
     def create(self) -> None:
         """Empty relations, unless there are some already."""
         there = self.generation()[1]["relations"]

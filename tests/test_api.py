@@ -9,6 +9,7 @@ from foliant.api import Index
 from foliant.errors import ConcurrentUpdate, IndexNotInitialized, InvalidPath, WatcherNotRunning
 from foliant.functions.embed import hash_embedder
 from foliant.operators import rag
+from foliant.sources import store
 from foliant.streaming import events as streams
 
 from test_extract import docx_bytes
@@ -105,6 +106,17 @@ def test_repeated_paths_and_generations(spark, ix):
         ix.store.publish(base, {"files": staged})
 
 
+def test_changes_are_laid_over_and_merged(spark, ix, monkeypatch):
+    monkeypatch.setattr(store, "MAX_CHANGES", 3)
+    for k in range(5):
+        add(ix, (f"/f{k % 3}", f"f{k % 3}", "", f"word{k} common"))
+        parts = ix.store.generation()[1]["relations"]["files"]
+        assert len(parts) <= 4
+        assert ix.search_files(f"word{k}").count() == 1 and ix.get_indexed_file_count() == min(k + 1, 3)
+    assert {r.file_path for r in ix.search_files("common").collect()} == {"/f0", "/f1", "/f2"}
+    assert ix.search_files("word0").count() == ix.search_files("word1").count() == 0
+
+
 def test_cancelled_questions(spark, ix, monkeypatch):
     add(ix, ("/a.txt", "a.txt", "", "some text"))
     assert ix.rag_query("some text", tag="q1")["error_code"] is None
