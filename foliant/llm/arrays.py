@@ -134,21 +134,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice take ``limit`` bytes, or are one text."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        _, offsets = text_bytes(batch.column(column))
-        at = 0
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            yield batch.slice(at, min(to, n) - at)
-            at = to
-
-
-def code_points(data: np.ndarray) -> np.ndarray:
-    """Running count of code points: entry i counts those that begin before byte i."""
-    out = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
-    return out
+    """Cut batches so that the texts of a slice take ``limit`` bytes, or are one text.
+
+    Workers outlive their tasks; at the end, memory that is free goes back.
+    """
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            _, offsets = text_bytes(batch.column(column))
+            at = 0
+            while at < n:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+                yield batch.slice(at, min(to, n) - at)
+                at = to
+    finally:
+        pa.default_memory_pool().release_unused()

@@ -33,14 +33,16 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bitmap_of(ids: DataFrame, column: str) -> Broadcast:
-    """Broadcast bitmap of hashed ids: false positives only, and of fixed size.
+def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Broadcast:
+    """Broadcast bitmap of ids: false positives only, and of fixed size.
 
     It thins out rows before a join that decides exactly; at most
-    ``BITMAP_BITS`` bits reach the driver.
+    ``BITMAP_BITS`` bits reach the driver.  ``hashed`` ids are taken by their
+    low bits, others are hashed first.
     """
+    key = F.col(column) if hashed else F.xxhash64(column)
     # Spark's bucket numbers and positions count from 1: value v is bit v - 1.
-    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)) + 1
+    bit = F.pmod(key, F.lit(BITMAP_BITS)) + 1
     rows = (
         ids.filter(F.col(column).isNotNull())
         .select(bit.alias("bit"))
@@ -56,6 +58,12 @@ def bitmap_of(ids: DataFrame, column: str) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
+def bits_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in a bitmap of hashed ids."""
+    place = values.astype(np.int64) & (BITMAP_BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def maybe_in(df: DataFrame, column: str, bitmap: Broadcast) -> DataFrame:
     """Adds ``_maybe``: false only for rows whose id is surely not in the bitmap."""
     names = df.columns
@@ -67,9 +75,8 @@ def maybe_in(df: DataFrame, column: str, bitmap: Broadcast) -> DataFrame:
 
         bits = bitmap.value
         for batch in batches:
-            bit = batch.column("_bit").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            columns = [batch.column(n) for n in names] + [pa.array(hit.astype(bool))]
+            hit = bits_set(bits, batch.column("_bit").fill_null(0).to_numpy(zero_copy_only=False))
+            columns = [batch.column(n) for n in names] + [pa.array(hit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "_maybe"])
 
     return hashed.mapInArrow(flag, schema)

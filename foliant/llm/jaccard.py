@@ -32,12 +32,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.arrays import SPACED, Words, mix, sliced, text_bytes
-from foliant.llm.common import bitmap_of, maybe_in, saved
+from foliant.llm.common import bitmap_of, bits_set, maybe_in, saved
 
 ENUMERATED_K = 3
 SPREAD = 1.3
@@ -178,8 +179,11 @@ def signatures(values: np.ndarray, ends: np.ndarray, sim: Similarity) -> tuple[n
     return sig[order].view(np.int64), out
 
 
-def features(docs: DataFrame, sim: Similarity, signed: bool) -> DataFrame:
-    """(doc_id, n, d1, d2) of each row, or (doc_id, n, sigs) when ``signed``."""
+def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast | None = None) -> DataFrame:
+    """(doc_id, n, d1, d2) of each row, or (doc_id, n, sigs) when ``signed``.
+
+    With a bitmap ``wanted``, signatures that are surely not in it are left out.
+    """
     schema = "doc_id long, n long, sigs array<long>" if signed else "doc_id long, n long, d1 long, d2 long"
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -189,6 +193,10 @@ def features(docs: DataFrame, sim: Similarity, signed: bool) -> DataFrame:
             made = [batch.column("doc_id"), pa.array(np.diff(ends))]
             if signed:
                 sig, out = signatures(values, ends, sim)
+                if wanted is not None:
+                    keep = bits_set(wanted.value, sig)
+                    out = np.concatenate(([0], np.cumsum(keep)))[out]
+                    sig = sig[keep]
                 made.append(pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig)))
             else:
                 made += [pa.array(x) for x in digests(values, ends)]
@@ -223,15 +231,19 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     links = copies.select(F.col("id").alias("a"), F.col("class_id").alias("b"))
     labels = contract(links, None)
 
-    signed = features(docs, sim, signed=True).filter(F.col("doc_id").isNotNull())
-    rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
-    shared = (
-        signed.select(F.explode("sigs").alias("sig"))
+    known_docs = docs.filter(F.col("doc_id").isNotNull())
+    shared = saved(
+        features(known_docs, sim, signed=True)
+        .select(F.explode("sigs").alias("sig"))
         .groupBy("sig")
         .agg(F.count(F.lit(1)).alias("members"))
         .filter("members > 1")
-        .select("sig")
+        .select("sig"),
+        "shared",
     )
+    # most signatures have one member: a bitmap keeps them out of the join
+    rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
+    rows = rows.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
     members = saved(
         rows.join(shared, "sig").join(copies.select("id"), "id", "left_anti").select("sig", "id", "n"), "members"
     )
