@@ -219,9 +219,15 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """(id, label) of documents whose component's smallest id is another's."""
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # exact copies: one class per set, all other copies leave the candidate search
-    classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    # (aggregates are stored before they are joined: Spark can then split the hot keys of the join)
+    classes = saved(
+        known.groupBy("d1", "d2", "n")
+        .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1"),
+        "classes",
+    )
     copies = saved(
-        known.join(classes.filter("copies > 1"), ["d1", "d2", "n"])
+        known.join(classes, ["d1", "d2", "n"])
         .filter(F.col("doc_id") != F.col("class_id"))
         .select(F.col("doc_id").alias("id"), "class_id")
         .distinct(),
@@ -266,11 +272,12 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with labels, of the signatures that still join different components."""
     current = members.select("sig", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     current = current.select("sig", "id", "n", "label")
-    split = (
+    split = saved(
         current.groupBy("sig")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high")
-        .select("sig")
+        .select("sig"),
+        "split",
     )
     return saved(current.join(split, "sig"), "open")
 
@@ -310,7 +317,8 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     that starts with the pivot.
     """
     # the side with more pairs acts as the pivot
-    load = pairs.select(F.explode(F.array("p", "q")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("load"))
+    ends = pairs.select(F.explode(F.array("p", "q")).alias("id"))
+    load = saved(ends.groupBy("id").agg(F.count(F.lit(1)).alias("load")), "load")
     dealt = (
         pairs.join(load.select(F.col("id").alias("p"), F.col("load").alias("lp")), "p")
         .join(load.select(F.col("id").alias("q"), F.col("load").alias("lq")), "q")
@@ -376,6 +384,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     plan = weight.groupBy("sig").agg(
         F.max(F.struct("size", "label"))["label"].alias("largest"), F.ceil(F.sum("total") / BLOCK).alias("blocks")
     )
+    plan = saved(plan, "plan")
     placed = members.join(plan, "sig")
     inside = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.lit(0))
     outside = (
