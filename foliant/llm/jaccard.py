@@ -46,6 +46,8 @@ SPREAD = 1.3
 CHUNK = 200
 #: Pivots per signature, round by round.
 STARS = (1, 8)
+#: Signatures counted in one task, and the most such tasks.
+PART_ROWS, MAX_PARTS = 500_000, 50_000
 #: Shingles of the members that one task holds when it compares components.
 BLOCK = 4_000_000
 MAX_SIZE = 1 << 40
@@ -205,6 +207,27 @@ def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast |
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 
 
+def shared_signatures(docs: DataFrame, sim: Similarity, shingles: int) -> DataFrame:
+    """(sig) of all signatures with two members or more.
+
+    Members are counted within slices before the shuffle, so a signature of
+    very many documents sends a row per slice.  Nearly all others are distinct:
+    they go straight to partitions of about ``PART_ROWS``, without tables of
+    them in the mapping tasks.
+    """
+
+    def count(batches):
+        for batch in sliced(batches, "text"):
+            sig, _ = signatures(*shingle_sets(batch.column("text"), sim), sim)
+            distinct, members = np.unique(sig, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.minimum(members, 2).astype(np.int32))], names=["sig", "members"])
+
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, shingles // (2 * PART_ROWS)))
+    counted = docs.select("text").mapInArrow(count, "sig long, members int").repartition(parts, "sig")
+    return counted.groupBy("sig").agg(F.sum("members").alias("members")).filter("members > 1").select("sig")
+
+
 def components(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -238,15 +261,7 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     labels = contract(links, None)
 
     known_docs = docs.filter(F.col("doc_id").isNotNull())
-    shared = saved(
-        features(known_docs, sim, signed=True)
-        .select(F.explode("sigs").alias("sig"))
-        .groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("members"))
-        .filter("members > 1")
-        .select("sig"),
-        "shared",
-    )
+    shared = saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
     # most signatures have one member: a bitmap keeps them out of the join
     rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
     rows = rows.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
