@@ -33,6 +33,24 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one computation, deleted together once its result is stored."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.root, self.count = spark, shared_folder(spark, purpose), 0
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table below the shared folder and read it back, like ``saved``."""
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Broadcast:
     """Broadcast bitmap of ids: false positives only, and of fixed size.
 

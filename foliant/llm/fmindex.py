@@ -36,7 +36,7 @@ SAMPLE = 16
 #: Text bytes of one shard.
 SHARD_BYTES = 8 << 20
 #: Bytes of test items broadcast at a time; a larger test set is searched block by block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class Phrases:
@@ -239,6 +239,9 @@ class Shards:
             items: dict[int, set[str]] = {}
             for broadcast in self.broadcasts:
                 phrases = broadcast.value
+                if len(self.broadcasts) > 1:
+                    # one block at a time in a worker's memory: it is read again for the next shard
+                    broadcast.__dict__.pop("_value", None)
                 at, length, which = shard_hits(words, phrases)
                 np.add.at(depth, at, 1)
                 np.add.at(depth, at + length, -1)

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.arrays import SPACED, Words, mix, sliced, text_bytes
-from foliant.llm.common import bitmap_of, bits_set, maybe_in, saved
+from foliant.llm.common import Scratch, bitmap_of, bits_set, maybe_in, saved
 
 ENUMERATED_K = 3
 SPREAD = 1.3
 #: Members verified against one pivot in one task.
 CHUNK = 200
 #: Pivots per signature, round by round.
-STARS = (1, 8)
+STARS = (1, 4)
 #: Signatures counted in one task, and the most such tasks.
 PART_ROWS, MAX_PARTS = 500_000, 50_000
 #: Shingles of the members that one task holds when it compares components.
@@ -232,24 +232,26 @@ def components(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = saved(features(docs, sim, signed=False), "sets")
-    labels = saved(link_labels(docs, sets, sim), "labels")
+    scratch = Scratch(docs.sparkSession, "links")
+    labels = saved(link_labels(docs, sets, sim, scratch), "labels")
+    scratch.discard()
     return sets.join(labels, sets.doc_id == labels.id, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
     )
 
 
-def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """(id, label) of documents whose component's smallest id is another's."""
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # exact copies: one class per set, all other copies leave the candidate search
     # (aggregates are stored before they are joined: Spark can then split the hot keys of the join)
-    classes = saved(
+    classes = scratch.saved(
         known.groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1"),
         "classes",
     )
-    copies = saved(
+    copies = scratch.saved(
         known.join(classes, ["d1", "d2", "n"])
         .filter(F.col("doc_id") != F.col("class_id"))
         .select(F.col("doc_id").alias("id"), "class_id")
@@ -258,53 +260,63 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     )
     # one id with several sets belongs to several classes: those are links too
     links = copies.select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    labels = contract(links, None)
+    labels = contract(links, None, scratch)
 
     known_docs = docs.filter(F.col("doc_id").isNotNull())
-    shared = saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
+    shared = scratch.saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
     # most signatures have one member: a bitmap keeps them out of the join
     rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
     rows = rows.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
-    members = saved(
+    members = scratch.saved(
         rows.join(shared, "sig").join(copies.select("id"), "id", "left_anti").select("sig", "id", "n"), "members"
     )
     ids = members.select("id").distinct()
-    texts = saved(
+    texts = scratch.saved(
         maybe_in(docs, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi"),
         "texts",
     )
     for pivots in STARS:
-        members = open_members(members, labels)
+        members = open_members(members, labels, scratch)
         if members.isEmpty():
             return labels
-        pairs, members = pivot_pairs(members, pivots, sim)
-        labels = contract(verified(pairs, texts, sim), labels)
-    members = open_members(members, labels)
-    return labels if members.isEmpty() else contract(cross_links(members, texts, sim), labels)
+        pairs, members = pivot_pairs(members, pivots, sim, scratch)
+        labels = contract(verified(pairs, texts, sim, scratch), labels, scratch)
+    members = open_members(members, labels, scratch)
+    return labels if members.isEmpty() else contract(cross_links(members, texts, sim, scratch), labels, scratch)
 
 
-def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels, of the signatures that still join different components."""
+def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members, with labels, of the signatures that still join different components.
+
+    Of signatures with the same members one is kept; sets are told apart by
+    their size, smallest and largest id and a 64-bit sum.
+    """
     current = members.select("sig", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     current = current.select("sig", "id", "n", "label")
-    split = saved(
+    split = scratch.saved(
         current.groupBy("sig")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.struct(F.count(F.lit(1)), F.min("id"), F.max("id"), F.bit_xor(F.xxhash64("id"))).alias("members"),
+        )
         .filter("low <> high")
+        .groupBy("members")
+        .agg(F.min("sig").alias("sig"))
         .select("sig"),
         "split",
     )
-    return saved(current.join(split, "sig"), "open")
+    return scratch.saved(current.join(split, "sig"), "open")
 
 
-def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs of each signature's next pivots with its members, and the members without these pivots.
 
     Signatures of one group of near copies have much the same members, and as
     all choose by the same order they choose much the same pivots.
     """
     order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
-    pivot = saved(
+    pivot = scratch.saved(
         members.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= pivots)
         .select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")),
@@ -321,10 +333,10 @@ def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity) -> tuple[DataF
         .distinct()
     )
     rest = members.join(pivot.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
-    return saved(pairs, "pairs"), rest
+    return scratch.saved(pairs, "pairs"), rest
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """Links (a, b): the pairs (p, q) whose sets are similar enough, checked on whole texts.
 
     The members of a pivot are dealt over chunks of about ``CHUNK``, so a pivot
@@ -333,7 +345,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """
     # the side with more pairs acts as the pivot
     ends = pairs.select(F.explode(F.array("p", "q")).alias("id"))
-    load = saved(ends.groupBy("id").agg(F.count(F.lit(1)).alias("load")), "load")
+    load = scratch.saved(ends.groupBy("id").agg(F.count(F.lit(1)).alias("load")), "load")
     dealt = (
         pairs.join(load.select(F.col("id").alias("p"), F.col("load").alias("lp")), "p")
         .join(load.select(F.col("id").alias("q"), F.col("load").alias("lq")), "q")
@@ -344,12 +356,12 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         )
         .withColumn("chunk", F.pmod(F.xxhash64("member"), F.ceil(F.col("load") / CHUNK)))
     )
-    dealt = saved(dealt.select("hub", "chunk", "member"), "dealt")
+    dealt = scratch.saved(dealt.select("hub", "chunk", "member"), "dealt")
     wanted = dealt.select("hub", "chunk", F.col("member").alias("id"), F.lit(1).alias("part")).unionByName(
         dealt.select("hub", "chunk", F.col("hub").alias("id"), F.lit(0).alias("part")).distinct()
     )
     ready = (
-        wanted.join(texts, F.col("id") == F.col("doc_id"))
+        wanted.join(_only(texts, load), F.col("id") == F.col("doc_id"))
         .select("hub", "chunk", "part", "id", "text")
         .repartition("hub", "chunk")
         .sortWithinPartitions("hub", "chunk", "part")
@@ -376,6 +388,11 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     return ready.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of ids that may be wanted, so that the others are not shuffled."""
+    return maybe_in(texts, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe")
+
+
 def sketch(own: np.ndarray, words: int) -> np.ndarray:
     """Parity of the elements hashed to each of ``64 * words`` bits.
 
@@ -386,7 +403,7 @@ def sketch(own: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.uint64)
 
 
-def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """Links (a, b) between different components of each signature, all pairs compared.
 
     Every member outside a signature's largest component meets all members of
@@ -399,7 +416,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     plan = weight.groupBy("sig").agg(
         F.max(F.struct("size", "label"))["label"].alias("largest"), F.ceil(F.sum("total") / BLOCK).alias("blocks")
     )
-    plan = saved(plan, "plan")
+    plan = scratch.saved(plan, "plan")
     placed = members.join(plan, "sig")
     inside = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.lit(0))
     outside = (
@@ -411,7 +428,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     ready = (
         inside.select(*columns)
         .unionByName(outside.select(*columns))
-        .join(texts, F.col("id") == F.col("doc_id"))
+        .join(_only(texts, members), F.col("id") == F.col("doc_id"))
         .select(*columns, "text")
         .repartition("sig", "block")
         .sortWithinPartitions("sig", "block", "part")
@@ -474,7 +491,7 @@ class _Block:
         return list(out.values())
 
 
-def contract(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+def contract(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """(id, label): each linked document with the smallest id of its component.
 
     Every document hooks onto the smallest neighbour; hooked nodes are merged
@@ -491,15 +508,15 @@ def contract(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             .withColumn(side, F.coalesce("_to", side))
             .drop("_to")
         )
-    edges = saved(links.filter("a <> b").select("a", "b").distinct(), "edges")
+    edges = scratch.saved(links.filter("a <> b").select("a", "b").distinct(), "edges")
     while not edges.isEmpty():
-        hooks = saved(
+        hooks = scratch.saved(
             edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).groupBy("u").agg(F.min("v").alias("v")),
             "hooks",
         )
         moved = labels.join(hooks, labels.label == hooks.u, "left").select("id", F.coalesce("v", "label").alias("label"))
         fresh = hooks.join(labels, hooks.u == labels.id, "left_anti").select(F.col("u").alias("id"), F.col("v").alias("label"))
-        labels = saved(moved.unionByName(fresh), "labels")
+        labels = scratch.saved(moved.unionByName(fresh), "labels")
         ends = edges
         for side in ("a", "b"):
             ends = (
@@ -508,7 +525,7 @@ def contract(links: DataFrame, labels: DataFrame | None) -> DataFrame:
                 .drop("_to")
             )
         onward = hooks.join(hooks.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select(F.col("v").alias("a"), F.col("w").alias("b"))
-        edges = saved(ends.unionByName(onward).filter("a <> b").select("a", "b").distinct(), "edges")
+        edges = scratch.saved(ends.unionByName(onward).filter("a <> b").select("a", "b").distinct(), "edges")
     return labels
 
 
