@@ -25,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -239,22 +240,41 @@ class ByteBPE:
             raise JoinedSpace
         return self.units[lead + first] + b"".join(map(self.units.__getitem__, [" " + p for p in rest]))
 
+    def forget(self) -> None:
+        """Drop what was remembered; the compiled automaton stays."""
+        for known in (self.words, self.units):
+            known.clear()
+            known.older = {}
+        self.automaton.allowed.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return self.automaton.decode(ids.tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> ByteBPE:
-    """The worker's coder; it outlives a task when the worker does."""
+    """The worker's coder; its automaton outlives a task when the worker does."""
     return ByteBPE(path)
 
 
+@contextmanager
+def closing(own: ByteBPE) -> Iterator[ByteBPE]:
+    """Words are remembered within a task: idle workers hold little memory."""
+    try:
+        yield own
+    finally:
+        own.forget()
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256.  Null counts as empty."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        own = coder(path)
+        with closing(coder(path)) as own:
+            yield from rows(batches, own)
+
+    def rows(batches, own):
         for batch in sliced(batches, "text"):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
@@ -276,7 +296,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, n_tokens, token_ids, and whether they decode to the text."""
 
     def run(batches):
-        own = coder(path)
+        with closing(coder(path)) as own:
+            yield from rows(batches, own)
+
+    def rows(batches, own):
         for batch in sliced(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             made = [np.frombuffer(own.encode(t), dtype="<u4") for t in texts]

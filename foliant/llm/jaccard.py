@@ -393,24 +393,51 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe_in(texts, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe")
 
 
+def sketch_words(size: int, sim: Similarity) -> int:
+    """Words of a set's sketch: a power of two with about 16 bits for each element two linked sets may differ in."""
+    most = size * (sim.den - sim.num) // sim.num + 1
+    return 1 << min(8, max(0, (most // 4).bit_length()))
+
+
 def sketch(own: np.ndarray, words: int) -> np.ndarray:
-    """Parity of the elements hashed to each of ``64 * words`` bits.
+    """Parity of the elements hashed to each of ``64 * words`` bits, ``words`` a power of two.
 
     Two sketches differ in at most as many bits as their sets differ in elements.
     """
-    place = (mix(own ^ np.uint64(0xC0FFEE)) >> np.uint64(32)) * np.uint64(64 * words) >> np.uint64(32)
+    place = mix(own ^ np.uint64(0xC0FFEE)) & np.uint64(64 * words - 1)
     parity = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.uint64)
 
 
+def folded(own: np.ndarray, words: int) -> np.ndarray:
+    """The same set's sketch with fewer words: its halves laid over each other."""
+    while len(own) > words:
+        own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+    return own
+
+
+def sketches(texts: DataFrame, sim: Similarity) -> DataFrame:
+    """(id, n, sketch) of each text."""
+
+    def build(batches):
+        for batch in sliced(batches, "text"):
+            values, ends = shingle_sets(batch.column("text"), sim)
+            sizes = np.diff(ends)
+            made = [sketch(values[a:b], sketch_words(b - a, sim)).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(build, "id long, n long, sketch binary")
+
+
 def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """Links (a, b) between different components of each signature, all pairs compared.
 
     Every member outside a signature's largest component meets all members of
     other components.  Members lie in blocks of at most ``BLOCK`` shingles (or
     one member), outsiders come as a stream to every block, and pairs live in
-    the tasks only: out comes one link per outsider, block and component.
-    Sketches rule out most pairs, the rest is compared on whole sets.
+    the tasks only.  A first pass over sketches finds which members and
+    outsiders of a block can have a link at all; a second one over the texts of
+    these alone decides: out comes one link per outsider, block and component.
     """
     weight = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     plan = weight.groupBy("sig").agg(
@@ -424,15 +451,91 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch:
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("part", F.lit(1))
     )
+    columns = ["sig", "block", "part", "id", "label"]
+    dealt = inside.select(*columns).unionByName(outside.select(*columns))
+    short = scratch.saved(sketches(_only(texts, members), sim), "sketches")
+    near = scratch.saved(_in_blocks(dealt.join(short, "id"), [*columns, "n", "sketch"], _near(sim), columns), "near")
+    full = near.join(_only(texts, near), F.col("id") == F.col("doc_id"))
+    return _in_blocks(full, [*columns, "text"], _linked(sim), ["a", "b"]).distinct()
+
+
+_TYPES = {"sig": "long", "block": "long", "part": "int", "id": "long", "label": "long", "a": "long", "b": "long"}
+
+
+def _in_blocks(rows: DataFrame, columns: list[str], compare, out: list[str]) -> DataFrame:
+    """Run ``compare`` over rows sorted by block, members before outsiders."""
+    ready = rows.select(*columns).repartition("sig", "block").sortWithinPartitions("sig", "block", "part")
+    return ready.mapInArrow(compare, ", ".join(f"{c} {_TYPES[c]}" for c in out))
+
+
+def _near(sim: Similarity):
+    """Rows of the blocks whose sketches allow a link with the other side."""
+    names = ["sig", "block", "part", "id", "label"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def compare(batches):
+        block = None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "sketch")), strict=True):
+                sig, number, part, own_id, label, n, raw = row
+                if block is None or block.key != (sig, number):
+                    if block is not None:
+                        out += block.touched()
+                    block = _Sketches((sig, number), sim)
+                own = np.frombuffer(raw, dtype=np.uint64)
+                if part == 0:
+                    block.add(row[:5], n, own)
+                elif block.meet(label, n, own):
+                    out.append(row[:5])
+            yield _batch(out, names, kinds)
+        if block is not None:
+            yield _batch(block.touched(), names, kinds)
+
+    return compare
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+class _Sketches:
+    """Sketches of the members of one block."""
+
+    def __init__(self, key: tuple, sim: Similarity):
+        self.key, self.sim, self.rows, self.sizes, self.held, self.matrix = key, sim, [], [], [], None
+
+    def add(self, row: tuple, n: int, own: np.ndarray) -> None:
+        self.rows.append(row)
+        self.sizes.append(n)
+        self.held.append(own)
+
+    def meet(self, label: int, n: int, own: np.ndarray) -> bool:
+        """Marks the members an outsider may be linked with; are there any?"""
+        if not self.rows:
+            return False
+        if self.matrix is None:
+            self.words = min(map(len, self.held))
+            self.matrix = np.stack([folded(x, self.words) for x in self.held])
+            self.size, self.label = np.array(self.sizes), np.array([r[4] for r in self.rows])
+            self.hit = np.zeros(len(self.rows), dtype=bool)
+        matrix = self.matrix
+        if len(own) < self.words:
+            matrix = np.stack([folded(x, len(own)) for x in matrix])
+        gap, both = self.sim.den - self.sim.num, self.sim.den + self.sim.num
+        apart = np.bitwise_count(matrix ^ folded(own, min(len(own), self.words))).sum(axis=1, dtype=np.int64)
+        near = (apart * both <= gap * (self.size + n)) & (self.label != label)
+        self.hit |= near
+        return bool(near.any())
+
+    def touched(self) -> list[tuple]:
+        return [] if self.matrix is None else [self.rows[i] for i in np.flatnonzero(self.hit).tolist()]
+
+
+def _linked(sim: Similarity):
+    """Links between the members and the outsiders of the blocks."""
     columns = ("sig", "block", "part", "id", "label")
-    ready = (
-        inside.select(*columns)
-        .unionByName(outside.select(*columns))
-        .join(_only(texts, members), F.col("id") == F.col("doc_id"))
-        .select(*columns, "text")
-        .repartition("sig", "block")
-        .sortWithinPartitions("sig", "block", "part")
-    )
 
     def compare(batches):
         key, block = None, None
@@ -452,7 +555,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch:
                     b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return ready.mapInArrow(compare, "a long, b long").distinct()
+    return compare
 
 
 class _Block:
@@ -468,8 +571,7 @@ class _Block:
 
     def _close(self) -> None:
         self.sizes = np.array([len(s) for s in self.sets])
-        most = int(self.sizes.max()) * (self.sim.den - self.sim.num) // self.sim.num + 1
-        self.words = min(256, max(1, most // 4))
+        self.words = sketch_words(int(self.sizes.max()), self.sim)
         self.sketches = np.stack([sketch(s, self.words) for s in self.sets])
         self.marks = np.array(self.labels)
 

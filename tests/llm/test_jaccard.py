@@ -146,3 +146,4 @@ def test_sketches_never_exceed_the_distance():
         apart = len(np.setxor1d(a, b))
         for words in (1, 4, 64):
             assert np.bitwise_count(jaccard.sketch(a, words) ^ jaccard.sketch(b, words)).sum() <= apart
+            assert jaccard.folded(jaccard.sketch(a, 4 * words), words).tolist() == jaccard.sketch(a, words).tolist()
