@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -46,6 +47,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let go of the shuffle files of finished jobs.
+
+        Spark deletes them when the driver's garbage collector finds their jobs
+        gone, which on an idle driver may be much later.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def discard(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

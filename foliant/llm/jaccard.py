@@ -264,6 +264,7 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
 
     known_docs = docs.filter(F.col("doc_id").isNotNull())
     shared = scratch.saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
+    scratch.settle()
     # most signatures have one member: a bitmap keeps them out of the join
     rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
     rows = rows.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
@@ -276,11 +277,13 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
         "texts",
     )
     for pivots in STARS:
+        scratch.settle()
         members = open_members(members, labels, scratch)
         if members.isEmpty():
             return labels
         pairs, members = pivot_pairs(members, pivots, sim, scratch)
         labels = contract(verified(pairs, texts, sim, scratch), labels, scratch)
+    scratch.settle()
     members = open_members(members, labels, scratch)
     return labels if members.isEmpty() else contract(cross_links(members, texts, sim, scratch), labels, scratch)
 
@@ -455,6 +458,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch:
     dealt = inside.select(*columns).unionByName(outside.select(*columns))
     short = scratch.saved(sketches(_only(texts, members), sim), "sketches")
     near = scratch.saved(_in_blocks(dealt.join(short, "id"), [*columns, "n", "sketch"], _near(sim), columns), "near")
+    scratch.settle()
     full = near.join(_only(texts, near), F.col("id") == F.col("doc_id"))
     return _in_blocks(full, [*columns, "text"], _linked(sim), ["a", "b"]).distinct()
 
