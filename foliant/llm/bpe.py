@@ -27,7 +27,6 @@ import json
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -240,30 +239,19 @@ class ByteBPE:
             raise JoinedSpace
         return self.units[lead + first] + b"".join(map(self.units.__getitem__, [" " + p for p in rest]))
 
-    def forget(self) -> None:
-        """Drop what was remembered; the compiled automaton stays."""
-        for known in (self.words, self.units):
-            known.clear()
-            known.older = {}
-        self.automaton.allowed.clear()
-
     def decode(self, ids: np.ndarray) -> str:
         return self.automaton.decode(ids.tolist()).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> ByteBPE:
-    """The worker's coder; its automaton outlives a task when the worker does."""
-    return ByteBPE(path)
-
-
 @contextmanager
-def closing(own: ByteBPE) -> Iterator[ByteBPE]:
-    """Words are remembered within a task: idle workers hold little memory."""
+def coder(path: str) -> Iterator[ByteBPE]:
+    """A task's coder.  It goes with the task: compiling takes a third of a second, and idle workers hold no memory."""
+    own = ByteBPE(path)
     try:
         yield own
     finally:
-        own.forget()
+        del own
+        pa.default_memory_pool().release_unused()
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +259,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        with closing(coder(path)) as own:
+        with coder(path) as own:
             yield from rows(batches, own)
 
     def rows(batches, own):
@@ -296,7 +284,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, n_tokens, token_ids, and whether they decode to the text."""
 
     def run(batches):
-        with closing(coder(path)) as own:
+        with coder(path) as own:
             yield from rows(batches, own)
 
     def rows(batches, own):

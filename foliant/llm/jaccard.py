@@ -456,7 +456,7 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch:
     )
     columns = ["sig", "block", "part", "id", "label"]
     dealt = inside.select(*columns).unionByName(outside.select(*columns))
-    short = scratch.saved(sketches(_only(texts, members), sim), "sketches")
+    short = scratch.saved(sketches(texts, sim), "sketches")
     near = scratch.saved(_in_blocks(dealt.join(short, "id"), [*columns, "n", "sketch"], _near(sim), columns), "near")
     scratch.settle()
     full = near.join(_only(texts, near), F.col("id") == F.col("doc_id"))
