@@ -12,6 +12,8 @@ from foliant.llm import bpe, fmindex, jaccard, quality, secrets
 from foliant.llm.common import saved, table
 from foliant.llm.queries import BYTE_TOKENIZER, tokenizer
 
+#: Words a task of the last stage remembers; the executors hold much of other stages by then.
+REMEMBERED = 100_000
 #: Shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard.Similarity(words=5, num=4, den=5)
 
@@ -38,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, n_tokens, token_ids, exact (they decode to the text)."""
-    return bpe.encoded(docs, tokenizer(BYTE_TOKENIZER))
+    return bpe.encoded(docs, tokenizer(BYTE_TOKENIZER), REMEMBERED)
 
 
 STAGES = [

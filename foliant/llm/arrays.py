@@ -6,6 +6,7 @@ so words of UTF-8 texts can be cut and hashed on their bytes alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,6 +135,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice take ``limit`` bytes, or are one text.
 
@@ -150,4 +159,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 yield batch.slice(at, min(to, n) - at)
                 at = to
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.arrays import sliced
+from foliant.llm.arrays import give_back, sliced
 
 #: Words a worker remembers; twice as many at most.
 REMEMBERED = 250_000
@@ -177,7 +177,7 @@ class Remembered(dict):
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -194,8 +194,8 @@ class ByteBPE:
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pattern = regex.compile(PATTERN)
-        self.words = Remembered(self._word, REMEMBERED)
-        self.units = Remembered(self._unit, REMEMBERED)
+        self.words = Remembered(self._word, remembered)
+        self.units = Remembered(self._unit, remembered)
 
     def _word(self, text: str) -> bytes:
         return array("I", self.automaton.encode(text.encode())).tobytes()
@@ -244,14 +244,14 @@ class ByteBPE:
 
 
 @contextmanager
-def coder(path: str) -> Iterator[ByteBPE]:
+def coder(path: str, remembered: int = REMEMBERED) -> Iterator[ByteBPE]:
     """A task's coder.  It goes with the task: compiling takes a third of a second, and idle workers hold no memory."""
-    own = ByteBPE(path)
+    own = ByteBPE(path, remembered)
     try:
         yield own
     finally:
         del own
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,11 +280,16 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, token_ids, and whether they decode to the text."""
+def encoded(
+    docs: DataFrame, path: str, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row: doc_id, n_tokens, token_ids, and whether they decode to the text.
+
+    ``remembered`` words per task trade memory for time.
+    """
 
     def run(batches):
-        with coder(path) as own:
+        with coder(path, remembered) as own:
             yield from rows(batches, own)
 
     def rows(batches, own):

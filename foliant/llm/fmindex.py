@@ -34,7 +34,7 @@ from foliant.llm.arrays import ALNUM, Words, sliced, text_bytes
 WINDOW = 10
 SAMPLE = 16
 #: Text bytes of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of test items broadcast at a time; a larger test set is searched block by block.
 BLOCK_BYTES = 1 << 20
 
