@@ -4,7 +4,10 @@ A page is cut into blocks at block elements.  The first pass classifies each
 block by its length, link density and stop-word density:
 
 * blocks inside elements that never hold the article (navigation, forms,
-  scripts ...), or inside elements whose class or id names such a part, are bad;
+  scripts ...), or inside elements with a class, id or role that as a whole
+  names such a part, are bad; names never condemn ``html``, ``body``, ``main``,
+  ``article`` or an element that contains one of the last two, and forms around
+  one of these or around most of the page are neutral;
 * blocks of mostly links are bad;
 * long blocks with enough stop words are good, without them bad;
 * blocks of middle length are good or near good by their stop words;
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,13 +61,18 @@ ASIDE = frozenset(
     "nav footer aside form head title script style noscript iframe template svg select option button textarea input label menu"
     " dialog object canvas audio video header".split()
 )
-#: Words in a class, id or role that name such a part.
+#: Words that name such a part, and words that may stand beside them in a class, id or role.
 PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|"
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|"
     r"login|masthead|menu|modal|nav\w*|newsletter|notice|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|share|"
-    r"sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|trending|widget)(?:$|[\s_-])",
+    r"sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|trending|widget",
     re.I,
 )
+BESIDE = frozenset(
+    "area articles bar block bottom box buttons container form global group icons inner item items link links list main outer page"
+    " panel posts primary secondary section site slot stories top unit wrap wrapper".split()
+)
+BETWEEN = re.compile(r"[-_]+")
 ARTICLE = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -72,15 +81,65 @@ WORD = re.compile(r"[^\W\d_]+")
 
 LONG, SHORT = 200, 70
 LINKS_MOST = 0.5
+#: A form with more than this share of the page's text is neutral.
+FORM_MOST = 0.5
 STOPS_HIGH, STOPS_LOW = 0.25, 0.12
 
 
+@lru_cache(maxsize=4096)
+def names_part(name: str) -> bool:
+    """Does the whole of a class, id or role name a part?  ``tag-x`` and ``has-sidebar`` do not."""
+    words = [w for w in BETWEEN.split(name.lower()) if w]
+    if len(words) > 1 and words[0] == "tag":
+        return False
+    parts = [bool(PART.fullmatch(w)) for w in words]
+    return any(parts) and all(part or w in BESIDE for part, w in zip(parts, words, strict=True))
+
+
+class Aside:
+    """An element that may condemn what it contains.
+
+    ``hard`` ones always do, named ones unless spared, forms unless spared or
+    around most of the page.  ``outer`` is the next such element around.
+    """
+
+    __slots__ = ("outer", "hard", "form", "spared", "bad", "size")
+
+    def __init__(self, outer: Aside | None, hard: bool, form: bool):
+        self.outer, self.hard, self.form = outer, hard or (outer is not None and outer.hard), form
+        self.spared, self.bad, self.size = False, False, 0
+
+
 class Block:
-    __slots__ = ("text", "linked", "aside", "heading", "container", "label")
+    __slots__ = ("text", "linked", "within", "aside", "heading", "container", "label")
+
+    def __init__(self, text: str, linked: int, within: Aside | None, heading: bool, container: int):
+        self.text, self.linked, self.within, self.heading, self.container = text, linked, within, heading, container
+        self.aside, self.label = False, ""
+
+
+def judged(found: list[Block], asides: list[Aside]) -> None:
+    """Settles which elements, listed from the outside in, condemn their blocks."""
+    for x in asides:
+        x.bad = x.hard or (x.outer is not None and x.outer.bad) or not (x.form or x.spared)
+    total = 0
+    for block in found:
+        x = block.within
+        if x is None or not x.bad:
+            total += len(block.text)
+            if x is not None:
+                x.size += len(block.text)
+    for x in reversed(asides):
+        if x.outer is not None:
+            x.outer.size += x.size
+    for x in asides:
+        x.bad = x.bad or (x.outer is not None and x.outer.bad) or (x.form and not x.spared and x.size <= FORM_MOST * total)
+    for block in found:
+        block.aside = block.within is not None and block.within.bad
+
 
-    def __init__(self, text: str, linked: int, aside: bool, heading: bool, container: int):
-        self.text, self.linked, self.aside, self.heading, self.container = text, linked, aside, heading, container
-        self.label = ""
+def _named(attributes: str) -> bool:
+    return bool(attributes) and any(names_part(w) for x in ATTRIBUTE.findall(attributes) for w in next(filter(None, x), "").split())
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,7 +147,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # element, inside an aside, article or main around it
+    stack: list[tuple[str, Aside | None, int]] = []  # element, aside around it, article or main around it
+    asides: list[Aside] = []
     links, containers, at = 0, 0, 0
 
     def close() -> None:
@@ -96,7 +156,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             if text:
-                top = stack[-1] if stack else ("", False, 0)
+                top = stack[-1] if stack else ("", None, 0)
                 out.append(Block(text, linked, top[1], any(e in HEADINGS for e, _, _ in stack[-3:]), top[2]))
             held.clear()
         linked = 0
@@ -135,14 +195,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
-        inside, container = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        inside, container = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
         if name in ("html", "body"):
-            inside = False
+            inside = None
+        elif name in ARTICLE:
+            x = inside
+            while x is not None and not x.spared:
+                x.spared, x = True, x.outer
         else:
-            named = any(PART.search(next(filter(None, x), "")) for x in ATTRIBUTE.findall(m[3])) if m[3] else False
             # a header within an article is its title
-            inside = inside or named or (name in ASIDE and not (name == "header" and container))
-        if name in ARTICLE and not inside:
+            aside = name in ASIDE and not (name == "header" and container)
+            hard = aside and name != "form"
+            if hard or aside or _named(m[3]):
+                inside = Aside(inside, hard, name == "form" and not _named(m[3]))
+                asides.append(inside)
+        if name in ARTICLE and not (inside is not None and inside.hard):
             containers += 1
             container = containers
         if name == "a":
@@ -162,6 +229,7 @@ def blocks(page: str) -> list[Block]:
         if not m[3].endswith("/"):
             stack.append((name, inside, container))
     close()
+    judged(out, asides)
     return out
 
 

@@ -44,3 +44,24 @@ def test_odd_pages(spark):
     assert len(got) == 6 and got[1].text == "" and got[2].text == "" and got[4].n_chars == 0
     assert got[None].text == PROSE.strip()
     assert htmltext.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_keep_their_article():
+    text = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    for page in (
+        f'<article class="post-42 post hentry tag-politics tag-social">{text}</article>',
+        f'<div class="layout has-sidebar"><div>{text}</div></div>',
+        f'<div class="site-main no-sidebar">{text}</div>',
+        f'<div class="post tag-news tag-menu">{text}</div>',
+        f'<body class="sidebar"><main class="widget">{text}</main></body>',
+        f'<div class="modal"><section id="notice"><article>{text}</article></section></div>',
+        f'<form action="page.aspx"><div><nav><a href=x>Home</a></nav>{text}</div><footer><p>{PROSE}</p></footer></form>',
+        f'<div class="comments"><p>{PROSE * 5}</p></div><form><div>{text}</div></form>',
+        f'<p>{PROSE * 5}</p><form><main>{text}</main></form>',
+    ):
+        assert f"{PROSE}{PROSE}".strip() in main_text(page), page
+    # what the wrappers must not bring back
+    for part in ("sidebar", "site-footer", "cookie-notice", "related-posts", "x widget-area"):
+        assert main_text(f'<div class="{part}"><p>{PROSE}</p></div>{text}') == f"{PROSE}{PROSE}".strip(), part
+    assert main_text(f"<form><p>{PROSE}</p></form>{text}") == f"{PROSE}{PROSE}".strip()
+    assert main_text("<form>" * 5000 + f"<p>{PROSE}") == PROSE.strip()
