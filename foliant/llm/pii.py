@@ -17,6 +17,12 @@ every round can be undone with the key.  Formats with gaps (dates, numbers with
 forbidden groups) are walked on until a valid value comes up, which is again a
 permutation of the valid ones.  Separators, capitals and country codes stay.
 
+Values may stand side by side: a run of digit groups is searched for cards of
+13 to 19 digits that start and end with a group (single groups and groups as on
+cards first, then from each start the longest), an IBAN has its country's length, else that of any
+group border.  Telephone numbers have the North American form, or a plus sign
+and a country code.
+
 Null stays null, a text without findings passes unchanged.
 """
 
@@ -25,7 +31,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,14 +49,32 @@ DAYS = (dt.date(2100, 1, 1) - FIRST_DAY).days
 DIGIT = re.compile(r"[0-9]")
 PATTERNS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
+    "abroad": re.compile(r"(?<![0-9A-Za-z.+])\+[1-9](?:[\x20.-]?(?:\([0-9]{1,4}\)|[0-9])){7,14}(?![0-9A-Za-z])"),
     "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
     "date": re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"),
 }
 
+#: Runs of digit groups, and the places where an IBAN may start, with all that may belong to it.
+DIGITS = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,}(?![0-9A-Za-z])")
+GROUP = re.compile(r"[0-9]+")
+#: Digit groups as cards print them.
+SHAPES = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18"
+        " FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24"
+        " ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23"
+        " ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+#: Country codes of one and of two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66"
+                  " 81 82 84 86 90 91 92 93 94 95 98".split())
+
 
 class Permuter:
     """Keyed permutations of mixed-radix values."""
@@ -140,22 +166,22 @@ def _email(m: re.Match, p: Permuter) -> str:
     return (refill(local, _letters(p, "email", kept)) if kept else local) + m[0][len(local) :]
 
 
-def _iban(m: re.Match, p: Permuter) -> str | None:
-    plain = m[0].replace(" ", "")
+def _iban(text: str, p: Permuter) -> str | None:
+    plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
         return None
     account = _letters(p, "iban" + plain[:2], plain[4:]).upper()
     check = 98 - iban_rest(plain[:2] + "00" + account)
-    return refill(m[0], f"{plain[:2]}{check:02d}{account}")
+    return refill(text, f"{plain[:2]}{check:02d}{account}")
 
 
-def _card(m: re.Match, p: Permuter) -> str | None:
-    digits = [int(c) for c in m[0] if c.isdigit()]
+def _card(text: str, p: Permuter) -> str | None:
+    digits = [int(c) for c in text if c.isdigit()]
     if not luhn(digits) or not any(digits):
         return None
     body = p.walk("card", digits[:-1], [10] * (len(digits) - 1), any)
     last = next(d for d in range(10) if luhn([*body, d]))
-    return refill(m[0], "".join(map(str, [*body, last])))
+    return refill(text, "".join(map(str, [*body, last])))
 
 
 def _ssn_new(m: re.Match, p: Permuter) -> str | None:
@@ -169,6 +195,12 @@ def _phone(m: re.Match, p: Permuter) -> str:
     return refill(m[0], code + _letters(p, "phone", own))
 
 
+def _abroad(m: re.Match, p: Permuter) -> str | None:
+    digits = "".join(c for c in m[0] if c.isdigit())
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3])
+    return refill(m[0], code + _letters(p, "phone", digits[len(code) :]))
+
+
 def _ip(m: re.Match, p: Permuter) -> str | None:
     parts = m[0].split(".")
     if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
@@ -209,24 +241,128 @@ def _ambiguous(day: dt.date) -> bool:
     return day.day <= 12
 
 
-MAKERS = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn_new, "phone": _phone, "ip": _ip, "date": _date}
+MAKERS = {"email": _email, "ssn": _ssn_new, "phone": _phone, "abroad": _abroad, "ip": _ip, "date": _date}
+
+Finding = tuple[int, int, str, str]
+
 
+class Taken:
+    """Disjoint spans in order."""
 
-def replacements(text: str, permuter: Permuter) -> list[tuple[int, int, str, str]]:
+    def __init__(self, found: list[Finding]):
+        found = sorted(found)
+        self.starts, self.ends = [x[0] for x in found], [x[1] for x in found]
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
+def ibans(text: str, taken: Taken, permuter: Permuter) -> Iterator[Finding]:
+    # those of their country's length before any others
+    own = list(_ibans(text, taken, permuter, True))
+    yield from own
+    yield from _ibans(text, taken, permuter, False, Taken(own))
+
+
+def _ibans(text: str, taken: Taken, permuter: Permuter, known: bool, more: Taken | None = None) -> Iterator[Finding]:
+    at = 0
+    while m := IBAN.search(text, at):
+        start, run = m.start(), m[1]
+        places = [i for i, c in enumerate(run) if c != " "]
+        # ends of groups, the longest first
+        ends = [i + 1 for i in reversed(places) if not _plain(text, start + i + 1)]
+        length = IBAN_LENGTHS.get(run[:2])
+        if known:
+            ends = [places[length - 1] + 1] if length is not None and length <= len(places) and places[length - 1] + 1 in ends else []
+        elif length is not None:
+            ends = ends[:1]
+        at = start + 1
+        for e in ends:
+            if taken.touches(start, start + e) or (more is not None and more.touches(start, start + e)):
+                continue
+            if fresh := _iban(run[:e], permuter):
+                yield start, start + e, "iban", fresh
+                at = start + e
+                break
+
+
+def _plain(text: str, at: int) -> bool:
+    return at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
+def cards(text: str, taken: Taken, permuter: Permuter) -> Iterator[Finding]:
+    for m in DIGITS.finditer(text):
+        spans = [g.span() for g in GROUP.finditer(m[0])]
+        groups = [(m.start() + s, m.start() + e) for s, e in spans]
+        widths = [e - s for s, e in spans]
+        free = [not taken.touches(s, e) for s, e in groups]
+        # Luhn sums of all digits before, those at even places plain or doubled
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        twice = [2 * d if d < 5 else 2 * d - 9 for d in digits]
+        plain = [0, *accumulate(t if i % 2 else d for i, (d, t) in enumerate(zip(digits, twice, strict=True)))]
+        doubled = [0, *accumulate(d if i % 2 else t for i, (d, t) in enumerate(zip(digits, twice, strict=True)))]
+        at = [0, *accumulate(widths)]
+
+        def card(i: int, j: int) -> Finding | None:
+            """The card of groups i to j, the last not included."""
+            sums = plain if at[j] % 2 else doubled  # noqa: B023
+            if (sums[at[j]] - sums[at[i]]) % 10:  # noqa: B023
+                return None
+            s, e = groups[i][0], groups[j - 1][1]  # noqa: B023
+            fresh = _card(text[s:e], permuter)
+            return fresh and (s, e, "card", fresh)
+
+        # groups that are a card by themselves or lie as on a card
+        for i, width in enumerate(widths):
+            for shape in ((width,), *SHAPES) if 13 <= width <= 19 else SHAPES if width == 4 else ():
+                j = i + len(shape)
+                if tuple(widths[i:j]) == shape and all(free[i:j]) and (found := card(i, j)):
+                    yield found
+                    free[i:j] = [False] * len(shape)
+                    break
+        i = 0
+        while i < len(groups):
+            ends, j = [], i
+            while j < len(groups) and free[j] and at[j + 1] - at[i] <= 19:
+                j += 1
+                if j > i + 1 and at[j] - at[i] >= 13:
+                    ends.append(j)
+            step = i + 1
+            for j in reversed(ends):
+                if found := card(i, j):
+                    yield found
+                    step = j
+                    break
+            i = step
+
+
+FINDERS = {"iban": ibans, "card": cards}
+
+
+def replacements(text: str, permuter: Permuter) -> list[Finding]:
     """(start, end, kind, pseudonym) of all findings in order; kinds listed first win overlaps."""
     mail = "@" in text
     if not mail and not DIGIT.search(text):
         return []
-    out: list[tuple[int, int, str, str]] = []
+    out: list[Finding] = []
     for kind in KINDS:
         if kind == "email" and not mail:
             continue
-        for m in PATTERNS[kind].finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in out):
+        if kind in FINDERS:
+            out += list(FINDERS[kind](text, Taken(out), permuter))
+            continue
+        for form in ("phone", "abroad") if kind == "phone" else (kind,):
+            if form == "abroad" and "+" not in text:
                 continue
-            fresh = MAKERS[kind](m, permuter)
-            if fresh is not None:
-                out.append((m.start(), m.end(), kind, fresh))
+            taken, found = Taken(out), []
+            for m in PATTERNS[form].finditer(text):
+                if taken.touches(m.start(), m.end()):
+                    continue
+                fresh = MAKERS[form](m, permuter)
+                if fresh is not None:
+                    found.append((m.start(), m.end(), kind, fresh))
+            out += found
     return sorted(out)
 
 

@@ -102,3 +102,31 @@ def test_table(spark, docs, small_dir):
     assert pii.pseudonymised(docs([]), b"k").count() == 0
     again = pii.pseudonymised(docs(rows), b"other key").collect()
     assert {r.doc_id: r.text for r in again} != {r.doc_id: r.text for r in got}
+
+
+def test_adjacent_values():
+    found = lambda text: [(k, text[s:e]) for s, e, k, _ in pii.replacements(text, P)]
+    spaced, plain = "4111 1111 1111 1111", "4845168114407329"
+    assert pii.luhn(list(map(int, plain)))
+    for text in (f"{spaced} 123", f"{spaced} 12/25", f"7 {spaced} 3rd", f"({spaced} 00)"):
+        assert found(text) == [("card", spaced)], text
+    assert found(f"2020-12-05 {plain}") == [("date", "2020-12-05"), ("card", plain)]
+    assert found(f"97.51.17.173 {plain}") == [("ip", "97.51.17.173"), ("card", plain)]
+    assert found(f"{plain} 123-45-6789") == [("card", plain), ("ssn", "123-45-6789")]
+    assert found(f"{spaced} {spaced}") == [("card", spaced)] * 2
+    belgian, spanish = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"
+    for text in (f"{belgian} EUR 100", f"{belgian} 2020", f"AB12 {belgian} X", f"{belgian} {belgian}"):
+        assert found(text) == [("iban", belgian)] * text.count(belgian), text
+    assert found(f"{spanish} BIC CAIXESBB") == [("iban", spanish)]
+    assert found(f"{spanish} {spaced}") == [("iban", spanish), ("card", spaced)]
+    # the values beside do not change a pseudonym
+    assert pii.replacements(f"{plain} 123", P)[0][3] == one(plain)[1]
+    assert pii.replacements(f"{belgian} EUR 100", P)[0][3] == one(belgian)[1]
+
+
+def test_telephone_numbers_abroad():
+    for text, code in (("+44 20 7946 0958", "+44 "), ("+49-30-1234567", "+49-"), ("+353 1 234 5678", "+353 "), ("+33 (1) 23 45 67 89", "+33 (")):
+        kind, fresh = one(f"call {text}, now")
+        assert kind == "phone" and fresh != text and fresh.startswith(code)
+        assert re.sub("[0-9]", "0", fresh) == re.sub("[0-9]", "0", text)
+    assert pii.replacements("a +1 b +12 34", P) == []
