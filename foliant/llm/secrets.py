@@ -11,12 +11,18 @@ points, end exclusive):
 Weak candidates say little alone: an access identifier, a secret-like word (long,
 letters and digits mixed) or an endpoint (a host name, address or URL).  They
 are linked by an interval join within scopes.  A scope is a paragraph (text
-between blank lines); two parts join when at most ``REACH`` code points lie
-between them in one scope.  A weak secret is reported only beside an identifier
-or an endpoint, an endpoint only beside a secret, an identifier that is no base
-finding only beside a secret.  The join is a search in sorted positions, so it
-takes n log n time for any number of parts in a scope and lists no pairs.
-Parts that overlap a base finding are that finding.
+between blank lines).  A weak secret that is the value of a name, as in JSON or
+INI entries, joins with every part of its scope; for bare words at most
+``REACH`` code points lie between two parts.  A weak secret is reported only
+beside an identifier or an endpoint, an endpoint only beside a secret, an
+identifier that is no base finding only beside a secret.  The join is a search
+in sorted positions, so it takes n log n time for any number of parts in a scope
+and lists no pairs.  Parts that overlap a base finding are that finding.
+
+A URL is cut at the base findings and keys it holds: values of its query, user
+data before the host, and parts of its path other than words and numbers joined
+by hyphens.  Its other pieces are endpoints.  Host names may have any top-level
+domain in one case of letters.
 
 Null and empty texts have no findings.
 """
@@ -47,7 +53,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Other names that give an identifier, and values that look like keys.
 IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.A | re.I)
 KEY_LIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+[^\s\"'<>]*|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|net|org|io|internal|local)\b(?::[0-9]+)?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]+\b", re.A)
+ENDPOINT = re.compile(
+    r"https?://[A-Za-z0-9.-]+[^\s\"'<>]*"
+    r"|(?<![A-Za-z0-9_-])(?<![A-Za-z0-9]\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[a-z]{2,63}|[A-Z]{2,63}|[Xx][Nn]--[A-Za-z0-9-]{2,59})(?![A-Za-z0-9_-])(?::[0-9]+)?"
+    r"|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]+\b",
+    re.A,
+)
+#: A URL's user data and host, the words behind them, and parts of a path that are words.
+AUTHORITY = re.compile(r"https?://(?:([^\s\"'<>/?#]*)@)?[^\s\"'<>/?#@]*")
+URL_VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_%~.-]{16,}=*|[A-Za-z0-9+_%~-]{16,}=*(?![^/?#&;,:@.)\]}|!$*(])")
+URL_USER = re.compile(r"[^:@]{16,}")
+MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+TITLE = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_+~]+(?:[A-Za-z]+|[0-9]+))*")
 BREAK = re.compile(r"\n[ \t\r]*\n")
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
@@ -71,40 +88,100 @@ class Places:
         self.starts = [s for s, _, _ in spans]
         self.ends = [e for _, e, _ in spans]
 
-    def near(self, start: int, end: int, scope: tuple[int, int]) -> bool:
-        """Is there a span within reach and scope?"""
-        low, high = max(scope[0], start - REACH), min(scope[1], end + REACH)
+    def near(self, start: int, end: int, scope: tuple[int, int], reach: int | None = None) -> bool:
+        """Is there a span within reach and scope?  Without a reach, the whole scope counts."""
+        low, high = scope if reach is None else (max(scope[0], start - reach), min(scope[1], end + reach))
         i = bisect_left(self.ends, low + 1)
         return i < len(self.starts) and self.starts[i] < high
 
+    def within(self, start: int, end: int) -> list[Span]:
+        """The spans that overlap another."""
+        i, out = bisect_right(self.ends, start), []
+        while i < len(self.starts) and self.starts[i] < end:
+            out.append((self.starts[i], self.ends[i], "taken"))
+            i += 1
+        return out
+
     def touches(self, start: int, end: int) -> bool:
         i = bisect_right(self.ends, start)
         return i < len(self.starts) and self.starts[i] < end
 
 
 def merged(spans: list[Span]) -> list[Span]:
-    """Union of spans as disjoint ones; the kind of the first stays."""
+    """Union of spans as disjoint ones that do not touch; the kind of the first stays."""
     out: list[Span] = []
     for s, e, kind in sorted(spans):
-        if out and s < out[-1][1]:
+        if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
         else:
             out.append((s, e, kind))
     return out
 
 
+def url_keys(url: str) -> list[tuple[int, int]]:
+    """Spans of the key-like parts of a URL."""
+    head = AUTHORITY.match(url)
+    out = [(head.start(1) + m.start(), head.start(1) + m.end()) for m in URL_USER.finditer(head[1] or "") if MIXED.match(m[0])]
+    return out + path_keys(url, head.end())
+
+
+def path_keys(url: str, at: int) -> list[tuple[int, int]]:
+    """Those behind a place."""
+    found = (m for m in URL_VALUE.finditer(url, at) if MIXED.match(m[0]))
+    return [m.span() for m in found if url[m.start() - 1] == "=" or not TITLE.fullmatch(m[0])]
+
+
+def cut_urls(endpoints: list[Span], text: str, taken: Places) -> tuple[list[Span], list[Span]]:
+    """Endpoints without the base findings and keys that URLs hold, and these keys."""
+    whole, keys = [], []
+    for s, e, kind in endpoints:
+        if "://" not in text[s : min(e, s + 8)]:
+            if not taken.touches(s, e):
+                whole.append((s, e, kind))
+            continue
+        own = [(s + a, s + b, "secret") for a, b in url_keys(text[s:e]) if not taken.touches(s + a, s + b)]
+        keys += own
+        at = s
+        for a, b, _ in merged(own + taken.within(s, e)):
+            if at < a:
+                whole.append((at, a, kind))
+            at = max(at, b)
+        if at < e:
+            whole.append((at, e, kind))
+    return whole, keys
+
+
+def is_value(text: str, start: int, end: int) -> bool:
+    """Is the word the value of a name, as in ``"name": "word"`` or ``name=word``?"""
+    word = text[start:end]
+    if "=" in word.strip("="):
+        return True
+    at = start - 1
+    if at >= 0 and text[at] in "\"'":
+        at -= 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    return at >= 0 and text[at] in ":=" and not word.startswith("//")
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates whose complementary parts co-occur."""
     taken = Places(merged(base))
     free = lambda found: [x for x in found if not taken.touches(x[0], x[1])]
-    endpoints = free([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]) if "." in text else []
+    endpoints, keys = cut_urls([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)], text, taken) if "." in text or "://" in text else ([], [])
     marked = ":" in text or "=" in text
     identifiers = free([(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)]) if marked else []
     if not (endpoints or identifiers or any(k == "access" for _, _, k in base)):
         return []
     secrets = free([(m.start(), m.end(), "secret") for m in KEY_LIKE.finditer(text)])
-    other = Places(merged(endpoints + identifiers))
+    other = Places(merged(endpoints + identifiers + keys))
+    # a word that starts within a host name goes on as the path of a URL
+    for s, e, _ in secrets:
+        for _, end, _ in other.within(s, e)[-1:]:
+            keys += [(s + a, s + b, "secret") for a, b in path_keys(text[s:e], end - s)]
     secrets = [x for x in secrets if not other.touches(x[0], x[1])]
+    values = Places([x for x in secrets if is_value(text, x[0], x[1])])
+    secrets += keys
     strong_secret = Places(merged([x for x in base if x[2] in ("assign", "hex")] + secrets))
     anchors = Places(merged(endpoints + identifiers + [x for x in base if x[2] == "access"]))
     breaks = [m.start() for m in BREAK.finditer(text)]
@@ -113,8 +190,12 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         i = bisect_right(breaks, start)
         return (breaks[i - 1] if i else 0, breaks[i] if i < len(breaks) else len(text))
 
-    out = [x for x in secrets if anchors.near(x[0], x[1], scope(x[0]))]
-    return out + [x for x in endpoints + identifiers if strong_secret.near(x[0], x[1], scope(x[0]))]
+    out = [x for x in secrets if anchors.near(x[0], x[1], scope(x[0]), None if values.touches(x[0], x[1]) else REACH)]
+    for x in endpoints + identifiers:
+        own = scope(x[0])
+        if strong_secret.near(x[0], x[1], own, REACH) or values.near(x[0], x[1], own):
+            out.append(x)
+    return out
 
 
 def findings(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -91,3 +91,41 @@ def test_many_parts_in_one_scope():
     text = "client_id: bob Zm9vYmFyMTIzNDU2Nzg5 " * 20000
     base, linked = secrets.findings(text)
     assert not base and len(linked) == 40000
+
+
+def test_values_join_over_their_scope():
+    key = "Zm9vYmFyMTIzNDU2Nzg5"
+    kinds = lambda text: sorted(k for _, _, k in secrets.findings(text)[1])
+    comment = "# the certificate of the service follows here\n" * 12
+    assert kinds(f"client_id = bob\n{comment}signing = {key}\n") == ["identifier", "secret"]
+    assert kinds(f'{{"client_id": "bob",\n "note": "{"x " * 300}",\n "signing": "{key}"}}') == ["identifier", "secret"]
+    assert kinds(f"signing={key}\n{comment}host = db.example.de\n") == ["endpoint", "secret"]
+    assert kinds(f"client_id = bob\n\n{comment}signing = {key}\n") == []
+
+
+def test_keys_within_urls():
+    key = "Zx81kfj2039sQpw7"
+    for url in (
+        f"https://host.example.com/path?sig={key}", f"https://host.example.com/path?a=1&sig={key}&b=2", f"https://intranet/hook/{key}",
+        f"https://{key}@host.example.com/x", f"https://bob:{key}@host.example.com/x", f"https://hooks.example.com/T01/{key}/x", f"https://h.example.com/#{key}",
+    ):
+        text = f"see {url} now"
+        linked = secrets.findings(text)[1]
+        assert [text[s:e] for s, e, k in linked if k == "secret"] == [key], url
+        # the pieces are the URL
+        assert "".join(text[s:e] for s, e, _ in sorted(linked)) == url
+    for url in ("https://example.com/2024/05/the-best-article-of-2024", "https://example.com/v1", "https://example.com/news?page=2"):
+        assert secrets.findings(f"see {url} now")[1] == [], url
+    for url in (f"ftp://host.example.com/dir/{key}", f"host.example.com/{key}"):
+        assert (url.index(key) + 4, url.index(key) + 20, "secret") in secrets.findings(f"see {url} now")[1], url
+    # a base finding cuts the URL too
+    text = f"https://host.example.com/?token=abcdef123&sig={key} x"
+    base, linked = secrets.findings(text)
+    assert [k for _, _, k in base] == ["assign"] and key in [text[s:e] for s, e, _ in linked]
+
+
+def test_any_top_level_domain():
+    key = "Zm9vYmFyMTIzNDU2Nzg5"
+    for host in ("db.example.de", "api.example.dev:8443", "example.co.uk", "x.museum", "bücher.example.xn--p1ai"):
+        assert "endpoint" in [k for _, _, k in secrets.findings(f"at {host} {key}")[1]], host
+    assert secrets.findings(f"the end.Next 3.14 {key}")[1] == []
