@@ -182,17 +182,17 @@ def signatures(values: np.ndarray, ends: np.ndarray, sim: Similarity) -> tuple[n
 
 
 def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast | None = None) -> DataFrame:
-    """(doc_id, n, d1, d2) of each row, or (doc_id, n, sigs) when ``signed``.
+    """(doc_id, n, d1, d2) of each row, with sigs when ``signed``.
 
     With a bitmap ``wanted``, signatures that are surely not in it are left out.
     """
-    schema = "doc_id long, n long, sigs array<long>" if signed else "doc_id long, n long, d1 long, d2 long"
+    schema = "doc_id long, n long, d1 long, d2 long" + (", sigs array<long>" if signed else "")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def build(batches):
         for batch in sliced(batches, "text"):
             values, ends = shingle_sets(batch.column("text"), sim)
-            made = [batch.column("doc_id"), pa.array(np.diff(ends))]
+            made = [batch.column("doc_id"), pa.array(np.diff(ends)), *(pa.array(x) for x in digests(values, ends))]
             if signed:
                 sig, out = signatures(values, ends, sim)
                 if wanted is not None:
@@ -200,8 +200,6 @@ def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast |
                     out = np.concatenate(([0], np.cumsum(keep)))[out]
                     sig = sig[keep]
                 made.append(pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig)))
-            else:
-                made += [pa.array(x) for x in digests(values, ends)]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(build, schema)
@@ -254,7 +252,7 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     copies = scratch.saved(
         known.join(classes, ["d1", "d2", "n"])
         .filter(F.col("doc_id") != F.col("class_id"))
-        .select(F.col("doc_id").alias("id"), "class_id")
+        .select(F.col("doc_id").alias("id"), "class_id", "d1", "d2", "n")
         .distinct(),
         "copies",
     )
@@ -267,9 +265,10 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     scratch.settle()
     # most signatures have one member: a bitmap keeps them out of the join
     rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
-    rows = rows.select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
+    rows = rows.select(F.col("doc_id").alias("id"), "n", "d1", "d2", F.explode("sigs").alias("sig"))
+    # a copy leaves by its text: other texts of its id stay
     members = scratch.saved(
-        rows.join(shared, "sig").join(copies.select("id"), "id", "left_anti").select("sig", "id", "n"), "members"
+        rows.join(shared, "sig").join(copies.drop("class_id"), ["id", "d1", "d2", "n"], "left_anti").select("sig", "id", "n"), "members"
     )
     ids = members.select("id").distinct()
     texts = scratch.saved(
@@ -291,8 +290,9 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
 def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members, with labels, of the signatures that still join different components.
 
-    Of signatures with the same members one is kept; sets are told apart by
-    their size, smallest and largest id and a 64-bit sum.
+    Of signatures with the same members one is kept; rows of members are told
+    apart by their number, smallest and largest id and the exact sum of a 64-bit
+    mix, in which repeated ids do not cancel out.
     """
     current = members.select("sig", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     current = current.select("sig", "id", "n", "label")
@@ -301,7 +301,7 @@ def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> Dat
         .agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.struct(F.count(F.lit(1)), F.min("id"), F.max("id"), F.bit_xor(F.xxhash64("id"))).alias("members"),
+            F.struct(F.count(F.lit(1)), F.min("id"), F.max("id"), F.sum(F.xxhash64("id").cast("decimal(19,0)"))).alias("members"),
         )
         .filter("low <> high")
         .groupBy("members")

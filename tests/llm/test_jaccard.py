@@ -147,3 +147,36 @@ def test_sketches_never_exceed_the_distance():
         for words in (1, 4, 64):
             assert np.bitwise_count(jaccard.sketch(a, words) ^ jaccard.sketch(b, words)).sum() <= apart
             assert jaccard.folded(jaccard.sketch(a, 4 * words), words).tolist() == jaccard.sketch(a, words).tolist()
+
+
+def texts_apart(rng, n=60):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_one_id_with_several_texts(spark, docs):
+    rng = random.Random(4)
+    sim = Similarity(5, 4, 5)
+    rows = []
+    for k in range(0, 40, 10):
+        a, b = texts_apart(rng), texts_apart(rng)
+        near = [*b[:-1], "other"]
+        rows += [(k + 3, " ".join(a)), (k + 7, " ".join(a)), (k + 7, " ".join(b)), (k + 9, " ".join(near))]
+    expected = brute(rows, sim)
+    assert (9, 56, 3) in expected
+    assert sorted(map(tuple, jaccard.components(docs(rows), sim).collect())) == expected
+    assert {r["doc_id"] for r in jaccard.one_per_component(docs(rows), sim).collect()} == {3, 13, 23, 33}
+
+
+def test_doubled_table(spark, docs):
+    sim = Similarity(3, 9, 10)
+    rows = varied(3) * 2
+    assert sorted(map(tuple, jaccard.components(docs(rows), sim).collect())) == brute(rows, sim)
+
+
+def test_signatures_of_repeated_rows_differ(spark):
+    rows = [(sig, i, 10) for sig, own in ((1, (1, 5, 9)), (2, (1, 6, 9)), (3, (1, 6, 9))) for i in own] * 2
+    members = spark.createDataFrame(rows, "sig long, id long, n long")
+    scratch = jaccard.Scratch(spark, "test")
+    got = jaccard.open_members(members, spark.createDataFrame([], "id long, label long"), scratch).collect()
+    assert {r["sig"] for r in got} == {1, 2}
+    scratch.discard()
