@@ -9,6 +9,7 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.session import shared_dir, ship_package
 
@@ -42,10 +43,14 @@ class Scratch:
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table below the shared folder and read it back, like ``saved``."""
+        return self.stored(df, name)[0]
+
+    def stored(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """The table as read back, and the folder it lies in."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
 
     def settle(self) -> None:
         """Let go of the shuffle files of finished jobs.
@@ -109,3 +114,53 @@ def maybe_in(df: DataFrame, column: str, bitmap: Broadcast) -> DataFrame:
 
     return hashed.mapInArrow(flag, schema)
 
+
+
+#: Rows of a lookup table that may be broadcast; above it the join is left to shuffle.
+SMALL_ROWS = 100_000
+
+
+def numbered(stored: DataFrame, group: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """``stored`` with ``pos``, the place of a row within its group from 0, and ``total``, the rows of the group.
+
+    Built-in functions only.  Rows are ranged by (group, order), so that no
+    group is one task's, and each range numbers its own; what stands before a
+    range is a running sum over one row per range and group.  ``order`` should
+    end in a column that tells equal rows apart, or they share a range.
+    ``stored`` is read twice (ranging samples it), hence a written table.
+    """
+    taken = set(stored.columns)
+    part, at, shift = (fresh(taken, name) for name in ("part", "at", "shift"))
+    id_ = F.monotonically_increasing_id()  # range number and place in the range
+    ranged = stored.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    ranged = scratch.saved(ranged.withColumn(part, F.shiftright(id_, 33)).withColumn(at, id_.bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
+    counts = ranged.groupBy(*group, part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.saved(
+        counts.select(
+            *group,
+            part,
+            (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias(shift),
+            F.sum("n").over(Window.partitionBy(*group)).alias("total"),
+        ),
+        "bases",
+    )
+    return (
+        ranged.join(small(bases), [*group, part])
+        .withColumn("pos", F.col(at) + F.col(shift))
+        .drop(part, at, shift)
+    )
+
+
+def small(stored: DataFrame) -> DataFrame:
+    """A stored lookup table, marked for broadcast where its counted rows allow it."""
+    return F.broadcast(stored) if stored.count() <= SMALL_ROWS else stored
+
+
+def fresh(taken: set[str], name: str) -> str:
+    """A column name that no column has."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    taken.add(name)
+    return name

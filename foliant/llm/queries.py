@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, chat, fmindex, htmltext, jaccard, langid, pii, quality, secrets, tokenfiles
+from foliant.llm import bpe, chat, divergence, fmindex, htmltext, jaccard, langid, merkle, pii, quality, secrets, sharding, tokenfiles, twins
 from foliant.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(saved(chat.formatted(turns.unionByName(extra)), "chat"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"))).drop("proof")
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
 
 QUERIES = {
     f.__name__: f
@@ -79,7 +89,10 @@ QUERIES = {
         op8_html_extraction,
         op9_language_id,
         op10_chat_format,
+        op11_merkle_manifest,
+        op12_feistel_shards,
+        op13_source_divergence,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(twins.SQL)
