@@ -47,10 +47,11 @@ SMOOTHING = 5
 REPORTED = 50
 SCALE = 1_000_000_000
 #: Terms of a shard, and bytes of shards that a task keeps.
-SHARD_TERMS = 1 << 15
+SHARD_TERMS = 1 << 12
 HELD_BYTES = 64 << 20
-#: Entries a task counts before it hands them on.
+#: Terms a task counts before it hands them on, and occurrences that it sums up at a time.
 FLUSH_ROWS = 1 << 18
+SUMMED = 1 << 20
 #: Cells (sources x terms) of a block of the comparison.
 CELLS = 1 << 15
 
@@ -312,12 +313,15 @@ def recounted(parts: DataFrame, words: Vocabulary) -> DataFrame:
         shelf = Shelf(folder, directory, shard_terms)
         names: dict[tuple[str, str], int] = {}
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        met: list[np.ndarray] = []
 
-        def merged(more: list[np.ndarray]):
-            every = np.concatenate([keys, *more])
-            weight = np.concatenate([counts, *[np.ones(len(m), np.int64) for m in more]])
-            out, inverse = np.unique(every, return_inverse=True)
-            return out, np.bincount(inverse, weights=weight, minlength=len(out)).astype(np.int64)
+        def merged():
+            fresh, often = np.unique(np.concatenate([keys[:0], *met]), return_counts=True)
+            every, weight = np.concatenate([keys, fresh]), np.concatenate([counts, often])
+            order = np.argsort(every, kind="stable")
+            every, weight = every[order], weight[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+            return every[first], np.add.reduceat(weight, first) if len(first) else weight
 
         def rows():
             who = list(names)
@@ -340,16 +344,18 @@ def recounted(parts: DataFrame, words: Vocabulary) -> DataFrame:
             owner = np.repeat(np.arange(len(pairs)), np.diff(first))
             spoken = np.unique(np.array(langs, dtype=object)).tolist()
             which = np.array([spoken.index(x) for x in langs])[owner]
-            more = []
             for i, lang in enumerate(spoken):
                 here = np.flatnonzero(which == i)
                 place = shelf.ordinals(lang, data, starts[here], ends[here])
                 hit = place >= 0
-                more.append((group[owner[here[hit]]] << 40) | place[hit])
-            keys, counts = merged(more)
-            if len(keys) > FLUSH_ROWS:
+                met.append((group[owner[here[hit]]] << 40) | place[hit])
+            if sum(map(len, met)) > SUMMED:
+                keys, counts = merged()
+                met.clear()
+            if len(keys) > 2 * SUMMED and not met:
                 yield from rows()
                 keys, counts, names = keys[:0], counts[:0], {}
+        keys, counts = merged()
         yield from rows()
 
     made = parts.mapInArrow(run, "lang string, source string, ord long, n long")
