@@ -2,17 +2,19 @@
 
 The policies are folds over an ordered stream.  Run one by one they would put a
 busy path, or the whole stream, into one task.  ``greedy_anchors`` cuts such a
-fold into ranges of equally many rows instead and chains the ranges.
+fold into ranges of equally many rows instead and finds the ranges' entries by pointer doubling.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,19 +48,25 @@ def classify(kind: Column) -> Column:
 # greedy anchors
 
 
+def _jumps(instants: np.ndarray, window: int) -> np.ndarray:
+    """For each position the one a greedy walk goes on to, ``len(instants)`` behind the end."""
+    return np.searchsorted(instants, instants + window)
+
+
 def _hops(instants: np.ndarray, start: int, window: int) -> list[int]:
     """Positions a greedy walk keeps: first at or after ``start``, then one window on, ..."""
+    jump = _jumps(instants, window).tolist()
     kept, i = [], int(np.searchsorted(instants, start))
-    while i < len(instants):
+    while i < len(jump):
         kept.append(i)
-        i = int(np.searchsorted(instants, instants[i] + window))
+        i = jump[i]
     return kept
 
 
 def _last_hops(instants: np.ndarray, window: int) -> np.ndarray:
     """For a walk starting at each position, the last position it keeps."""
     n = len(instants)
-    jump = np.append(np.searchsorted(instants, instants + window), n)
+    jump = np.append(_jumps(instants, window), n)
     last = np.arange(n)
     while True:
         ahead = jump[last]
@@ -71,6 +79,45 @@ def _last_hops(instants: np.ndarray, window: int) -> np.ndarray:
         jump = np.where(double < n, double, jump)
 
 
+@dataclass(frozen=True)
+class _Ranges:
+    """What is known of the ranges of one table: as many rows as there are ranges.
+
+    ``tail`` marks ranges that lie inside one key and continue it; only their
+    walks depend on where they are entered.  ``until`` is, for each range, the
+    position behind the last tail that continues its last key.
+    """
+
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    continues: np.ndarray
+    tail: np.ndarray
+    until: np.ndarray
+
+    @classmethod
+    def of(cls, edges: list) -> _Ranges:
+        rows = sorted(edges, key=lambda e: e["r"])
+        n = len(rows)
+        continues = np.array([i > 0 and rows[i - 1]["high"]["k"] == rows[i]["low"]["k"] for i in range(n)], dtype=bool)
+        tail = continues & np.array([e["low"]["k"] == e["high"]["k"] for e in rows], dtype=bool)
+        until = np.arange(1, n + 1)
+        for i in range(n - 2, -1, -1):
+            if tail[i + 1]:
+                until[i] = until[i + 1]
+        pick = lambda side: np.array([e[side]["t"] for e in rows], dtype=np.int64)
+        return cls(np.array([e["r"] for e in rows], dtype=np.int64), pick("low"), pick("high"), continues, tail, until)
+
+    def onward(self, at: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tail in which the first instant at or after each query lies, -1 for none, and that instant where it is an edge."""
+        a, b = at + 1, int(self.until[at])
+        found = a + np.searchsorted(self.high[a:b], query)
+        inside = found < b
+        place = np.where(inside, found, 0)
+        edge = inside & (query <= self.low[place])
+        return np.where(inside, self.number[place], -1), np.where(edge, self.low[place], _NEVER)
+
+
 def greedy_anchors(df: DataFrame, keys: Sequence[str], time_ms: str, window_ms: int, order: str) -> DataFrame:
     """(keys, time, first ``order`` value, anchor) for every distinct instant of each key.
 
@@ -81,108 +128,182 @@ def greedy_anchors(df: DataFrame, keys: Sequence[str], time_ms: str, window_ms:
 
     1. Equal instants are merged, and the rest is cut into ranges of about
        equally many rows, sorted by key and time and stored.
-    2. Each range works out on its own where a walk entering it would leave it.
-       A range in which keys change leaves with the walk of its last key, which
-       is known; only ranges that lie inside one key depend on their entry.
-    3. These short rows, one per range, are chained in order.
+    2. The walk of a key is known in the range in which the key begins.  A
+       later range depends on its *first anchor*, which lies within the first
+       window of the range.  For each instant there (a node), the range finds
+       the last anchor of a walk that begins at it, and with it the range and
+       the instant in which that walk goes on: a pointer from node to node.
+    3. The pointers that are followed from the beginning of each key are found
+       by doubling: rounds of joins, each of which makes pointers twice as
+       long, as many rounds as the longest key's ranges have binary digits.
     4. Each range is walked again from its now known entry.
 
-    A task holds the time stamps of one range at a time.
+    A task holds the time stamps of one range at a time, and nodes stay rows
+    of distributed tables; up to ``DRIVER_NODES`` of them are followed in one
+    place instead.  The driver holds a few numbers per range.
     """
     spark = df.sparkSession
-    instants = df.groupBy(*keys, F.col(time_ms).alias("t")).agg(F.min(order).alias("o"))
     folder = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
-    ranged = instants.repartitionByRange(*keys, "t").sortWithinPartitions(*keys, "t").withColumn("r", F.spark_partition_id())
-    ranged.write.parquet(f"{folder}/ranges")
-    ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/ranges")
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    inside = Window.partitionBy("r").orderBy(*keys, "t")
-    before = F.lag(key).over(inside)
-    first_row = F.lag("t").over(inside).isNull()
-    flagged = ranged.withColumn("fresh", first_row | ~before.eqNullSafe(key))
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
-        for r, at, starts, _ in _ranges(batches):
-            upto, leave = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(starts) == 1:
-                stop = min(len(at), int(np.searchsorted(at, at[0] + window_ms)) + 1)
-                ends = at[_last_hops(at, window_ms)[:stop]]
-                final = np.append(ends[1:] != ends[:-1], True)
-                upto, leave = at[:stop][final], ends[final]
-            tail = at[starts[-1] :]
-            own = int(tail[_hops(tail, int(tail[0]), window_ms)[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r], pa.int32()), pa.array([len(starts) == 1]), pa.array([own], pa.int64()), pa.array([upto], kind), pa.array([leave], kind)],
-                ["r", "single", "own", "upto", "leave"],
-            )
 
-    summaries = flagged.select("r", "t", "fresh").mapInArrow(
-        summarise, "r int, single boolean, own bigint, upto array<bigint>, leave array<bigint>"
-    )
-    edges = ranged.groupBy("r").agg(F.min(F.struct(key.alias("k"), F.col("t"))).alias("low"), F.max(F.struct(key.alias("k"), F.col("t"))).alias("high"))
-    ahead = Window.orderBy("r")  # as many rows as there are ranges
-    linked = edges.select("r", F.coalesce(F.lag("high.k").over(ahead).eqNullSafe(F.col("low.k")) & (F.row_number().over(ahead) > 1), F.lit(False)).alias("continues"))
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor = _NEVER
-        for batch in batches:
-            entries = []
-            single, own, on = (batch.column(c).to_pylist() for c in ("single", "own", "continues"))
-            for i in range(batch.num_rows):
-                entry = anchor if on[i] else _NEVER
-                entries.append(entry)
-                anchor = own[i]
-                if single[i]:
-                    upto = batch.column("upto")[i].values.to_numpy()
-                    hit = int(np.searchsorted(upto, entry + window_ms))
-                    anchor = batch.column("leave")[i].values[hit].as_py() if hit < len(upto) else _first_after(entry, own[i])
-            yield pa.RecordBatch.from_arrays([batch.column("r"), pa.array(entries, pa.int64())], ["r", "entry"])
-
-    entries = summaries.join(linked, "r").repartition(1).sortWithinPartitions("r").mapInArrow(chain, "r int, entry bigint")
-    entries.write.parquet(f"{folder}/entries")
-    entries = spark.read.schema(entries.schema).parquet(f"{folder}/entries")
+    instants = df.groupBy(*keys, F.col(time_ms).alias("t")).agg(F.min(order).alias("o"))
+    ranged = instants.repartitionByRange(*keys, "t").sortWithinPartitions(*keys, "t").withColumn("r", F.spark_partition_id())
+    ranged = keep(ranged, "ranges")
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    edge = F.struct(key.alias("k"), F.col("t"))
+    known = _Ranges.of(ranged.groupBy("r").agg(F.min(edge).alias("low"), F.max(edge).alias("high")).collect())
+    entries = _entries(ranged, known, keys, window_ms, keep)
 
-    fields = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
     names = [*keys, "t", "o"]
+    fields = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, at, starts, rows in _ranges(batches):
-            entry = rows.column("entry")[0].as_py()
+        for r, at, starts, rows in _ranges(batches, keys):
             anchors = np.empty(len(at), dtype=np.int64)
             for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(at)], strict=True)):
-                begin = entry if i == 0 else _NEVER
+                begin = entries.get(r, _NEVER) if i == 0 else _NEVER
                 own = at[a:b]
                 kept = np.array(_hops(own, begin + window_ms, window_ms), dtype=np.int64)
                 anchors[a:b] = np.concatenate(([begin], own[kept]))[np.searchsorted(kept, np.arange(len(own)), side="right")]
             yield pa.RecordBatch.from_arrays([*[_flat(rows.column(n)) for n in names], pa.array(anchors)], [*names, "anchor"])
 
     return (
-        flagged.join(entries, "r")
-        .repartition("r")
-        .sortWithinPartitions("r", *keys, "t")
-        .select("r", *names, "fresh", "entry")
+        _whole(ranged, keys)
         .mapInArrow(walk, ", ".join(f"`{n}` {fields[n]}" for n in names) + ", anchor bigint")
         .select(*keys, F.col("t").alias(time_ms), F.col("o").alias(order), "anchor")
     )
 
 
-def _first_after(entry: int, own: int) -> int:
-    """A walk that enters behind a whole range leaves as it came."""
-    return entry if entry != _NEVER else own
+def _whole(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranges brought together again: files may have been split where they were read."""
+    return ranged.repartition("r").sortWithinPartitions("r", *keys, "t")
+
+
+def _entries(
+    ranged: DataFrame, known: _Ranges, keys: Sequence[str], window: int, keep: Callable[[DataFrame, str], DataFrame]
+) -> dict[int, int]:
+    """The last anchor before each range that continues a key."""
+    if not known.continues.any():
+        return {}
+    position = {int(r): i for i, r in enumerate(known.number.tolist())}
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes (r, t) with the last anchor of their walk and where it goes on; the first range of a key has one."""
+        for r, at, starts, _ in _ranges(batches, keys):
+            i = position[r]
+            if known.tail[i]:
+                stop = int(np.searchsorted(at, at[0] + window))
+                begin, out = at[:stop], at[_last_hops(at, window)[:stop]]
+            else:
+                tail = at[starts[-1] :]
+                begin, out = tail[:1], tail[_hops(tail, int(tail[0]), window)[-1:]]
+            to, edge = known.onward(i, out + window)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(begin), r), pa.int32()), pa.array(begin), pa.array(out), pa.array(to, pa.int32(), mask=to < 0),
+                    pa.array(out + window), pa.array(edge, mask=edge == _NEVER),
+                ],
+                ["r", "t", "out", "to_r", "query", "to_t"],
+            )
+
+    nodes = keep(_whole(ranged, keys).mapInArrow(leave, "r int, t bigint, out bigint, to_r int, query bigint, to_t bigint"), "nodes")
+    asked = nodes.filter(F.col("to_t").isNull() & F.col("to_r").isNotNull()).select(F.col("to_r").alias("r"), F.col("query").alias("t")).distinct()
+    answers = _successors(ranged.select("r", "t"), asked).select(F.col("r").alias("to_r"), F.col("t").alias("query"), "found")
+    # a range of the first column is never asked for, so heads keep what they know
+    moves = nodes.join(answers, ["to_r", "query"], "left").select("r", "t", "out", "to_r", F.coalesce("to_t", "found").alias("to_t"))
+    moves = keep(moves, "moves")
+    heads = {int(r) for r, tail in zip(known.number.tolist(), known.tail.tolist(), strict=True) if not tail}
+    out = _followed(moves, heads, int((known.until - np.arange(len(known.until))).max()), keep)
+    entries, last = {}, _NEVER
+    for i, r in enumerate(known.number.tolist()):
+        if known.continues[i]:
+            entries[r] = last
+        last = out.get(r, last) if known.tail[i] else out[r]
+    return entries
+
+
+#: Nodes that are followed in one place; more are followed by doubling.
+DRIVER_NODES = 50_000
+
+
+def _followed(moves: DataFrame, heads: set[int], longest: int, keep: Callable[[DataFrame, str], DataFrame]) -> dict[int, int]:
+    """The last anchor of each range that a walk from the beginning of its key visits.
+
+    A range is visited at one node at most, so what is followed has no more
+    rows than there are ranges.
+    """
+    spark = moves.sparkSession
+    if moves.count() <= DRIVER_NODES:
+        table = {(m["r"], m["t"]): m for m in moves.collect()}
+        out = {}
+        for (r, _), node in table.items():
+            while r in heads and node is not None:
+                out[node["r"]] = node["out"]
+                node = table.get((node["to_r"], node["to_t"]))
+        return out
+    at_head = F.col("r").isin(sorted(heads))
+    visited = {(m["r"], m["t"]) for m in moves.filter(at_head).select("r", "t").collect()}
+    jumps, reach = moves.filter(F.col("to_r").isNotNull()).select("r", "t", "to_r", "to_t"), 1
+    while True:
+        here = F.broadcast(spark.createDataFrame(sorted(visited), "r int, t bigint"))
+        visited |= {(m["to_r"], m["to_t"]) for m in jumps.join(here, ["r", "t"]).select("to_r", "to_t").collect()}
+        reach *= 2
+        if reach > longest:
+            break
+        onward = jumps.select(F.col("r").alias("to_r"), F.col("t").alias("to_t"), F.col("to_r").alias("r2"), F.col("to_t").alias("t2"))
+        doubled = jumps.join(onward, ["to_r", "to_t"]).select("r", "t", F.col("r2").alias("to_r"), F.col("t2").alias("to_t"))
+        jumps = keep(doubled, f"jumps-{reach}")
+    here = F.broadcast(spark.createDataFrame(sorted(visited), "r int, t bigint"))
+    return {m["r"]: m["out"] for m in moves.join(here, ["r", "t"]).select("r", "out").collect()}
+
+
+def _successors(instants: DataFrame, asked: DataFrame) -> DataFrame:
+    """(r, t, found): the first instant of range r at or after t, which is known to exist.
+
+    Both are read as one stream, latest first, that remembers one instant.
+    """
+    both = instants.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, ask = batch.column("t").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False)
+            place = np.maximum.accumulate(np.where(ask, -1, np.arange(len(t))))
+            found = np.where(place < 0, carried, t[np.maximum(place, 0)])
+            carried = int(found[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("r").filter(pa.array(ask)), pa.array(t[ask]), pa.array(found[ask])], ["r", "t", "found"]
+            )
+
+    return both.repartition("r").sortWithinPartitions("r", F.desc("t"), "ask").mapInArrow(run, "r int, t bigint, found bigint")
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[int], pa.Table]]:
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; nulls equal each other."""
+    before, after = column.slice(0, len(column) - 1), column.slice(1)
+    differ = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+    return differ | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[int, np.ndarray, list[int], pa.Table]]:
     """Ranges of a sorted stream: number, time stamps, places where a key begins, rows."""
     held: list[pa.RecordBatch] = []
 
     def done() -> tuple[int, np.ndarray, list[int], pa.Table]:
         rows = pa.Table.from_batches(held)
-        fresh = rows.column("fresh").to_numpy()
+        fresh = np.zeros(rows.num_rows, dtype=bool)
+        fresh[0] = True
+        for k in keys:
+            fresh[1:] |= _changes(_flat(rows.column(k)))
         return rows.column("r")[0].as_py(), rows.column("t").to_numpy(), np.flatnonzero(fresh).tolist(), rows
 
     for batch in batches:
@@ -364,13 +485,13 @@ def admit(events: DataFrame, cap: int, existing: int = 0) -> DataFrame:
     return events.withColumn("admitted", key <= edge)
 
 
-def fan_out(events: DataFrame, config: AppConfig) -> DataFrame:
-    """Jobs of each added file: (…, job_index, job_type).
+def job_list(path: Column, config: AppConfig) -> Column:
+    """Job types of an added file, in order.
 
     Files that need preprocessing get content jobs only; vectors, summaries
     and tags follow once text is there.
     """
-    ext = P.extension(F.col("path"))
+    ext = P.extension(path)
     media = ext.isin(*P.AUDIO_EXTENSIONS, *P.VIDEO_EXTENSIONS)
     needs_text = ext.isin(*P.RICH_EXTENSIONS, *P.QUEUE_IMAGE_EXTENSIONS) | media
     rules = [
@@ -379,10 +500,16 @@ def fan_out(events: DataFrame, config: AppConfig) -> DataFrame:
         (config.is_enabled("ocr"), ext.isin(*P.QUEUE_IMAGE_EXTENSIONS), "ocr"),
         *[(on, ~needs_text, job) for on, job in _followups(config)],
     ]
-    jobs = [F.when(test, F.lit(job)) for on, test, job in rules if on]
-    if not jobs:
-        return events.limit(0).select("*", F.lit(0).alias("job_index"), F.lit("").alias("job_type"))
-    return events.select("*", F.posexplode(F.array_compact(F.array(*jobs))).alias("job_index", "job_type"))
+    return _chosen([F.when(test, F.lit(job)) for on, test, job in rules if on])
+
+
+def _chosen(jobs: list[Column]) -> Column:
+    return F.array_compact(F.array(*jobs)) if jobs else F.array().cast("array<string>")
+
+
+def fan_out(events: DataFrame, config: AppConfig) -> DataFrame:
+    """Jobs of each added file: (…, job_index, job_type)."""
+    return events.select("*", F.posexplode(job_list(F.col("path"), config)).alias("job_index", "job_type"))
 
 
 def _followups(config: AppConfig) -> list[tuple[bool, str]]:
@@ -393,21 +520,30 @@ def _followups(config: AppConfig) -> list[tuple[bool, str]]:
     ]
 
 
-def next_jobs(finished: DataFrame, config: AppConfig) -> DataFrame:
-    """Jobs that follow finished content jobs: (path, job_type).
-
-    Input rows are (path, job_type, text).  Meaningful text leads to vectors,
-    summary and tags; a PDF without text goes to recognition.
-    """
+def useful_text(text: Column) -> Column:
+    """Whether a content job gave text worth going on with."""
     from foliant.functions.text import is_meaningful
 
-    text = F.coalesce("text", F.lit(""))
-    useful = is_meaningful(text)
-    retry = (F.col("job_type") == "text_extraction") & (text == "") & (P.extension(F.col("path")) == "pdf")
-    jobs = [F.when(useful, F.lit(job)) for on, job in _followups(config) if on]
+    return is_meaningful(F.coalesce(text, F.lit("")))
+
+
+def next_job_list(path: Column, job_type: Column, text: Column, config: AppConfig) -> Column:
+    """Job types that follow a finished content job.
+
+    Meaningful text leads to vectors, summary and tags; a PDF without text
+    goes to recognition.
+    """
+    retry = (job_type == "text_extraction") & (F.coalesce(text, F.lit("")) == "") & (P.extension(path) == "pdf")
+    jobs = [F.when(useful_text(text), F.lit(job)) for on, job in _followups(config) if on]
     if config.is_enabled("ocr"):
         jobs.append(F.when(retry, F.lit("ocr")))
-    return finished.select("path", F.explode(F.array_compact(F.array(*jobs) if jobs else F.array(F.lit(None).cast("string")))).alias("job_type"))
+    return _chosen(jobs)
+
+
+def next_jobs(finished: DataFrame, config: AppConfig) -> DataFrame:
+    """Jobs that follow finished content jobs (path, job_type, text): (path, job_type)."""
+    following = next_job_list(F.col("path"), F.col("job_type"), F.col("text"), config)
+    return finished.select("path", F.explode(following).alias("job_type"))
 
 
 def outcomes(jobs: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(T.TOKEN_PATTERN))
 
 
-def _bm25(idf: Sequence[Column], frequency: Sequence[Column], length: Column, mean_length: Column) -> Column:
+def bm25(factors: Sequence[Column], frequency: Sequence[Column], length: Column, mean_length: Column) -> Column:
     norm = K1 * (1 - B + B * length / mean_length)
-    return -reduce(add, (i * f * (K1 + 1) / (f + norm) for i, f in zip(idf, frequency, strict=True)))
+    return -reduce(add, (i * f * (K1 + 1) / (f + norm) for i, f in zip(factors, frequency, strict=True)))
 
 
-def _idf(rows: Column, hits: Column) -> Column:
+def idf(rows: Column, hits: Column) -> Column:
     raw = F.ln((rows - hits + 0.5) / (hits + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
@@ -137,8 +137,8 @@ def rank_files(
         .withColumn("_totals", totals)
     )
     total = F.col("_totals")
-    rank = _bm25(
-        [_idf(total["n_files"], total[f"hits_{i}"]) for i in range(len(phrases))],
+    rank = bm25(
+        [idf(total["n_files"], total[f"hits_{i}"]) for i in range(len(phrases))],
         [F.col(f"_n_{i}") for i in range(len(phrases))],
         F.col("_length"),
         total["n_tokens"] / total["n_files"],
@@ -210,7 +210,7 @@ def layout_postings(postings: DataFrame, partitions: int | None = None) -> DataF
     return ranged.sortWithinPartitions(*keys)
 
 
-def _token_matches(phrase: Phrase, position: int) -> Column:
+def token_matches(phrase: Phrase, position: int) -> Column:
     token = phrase.tokens[position]
     last = position == len(phrase.tokens) - 1
     return F.startswith(F.col("token"), F.lit(token)) if last and phrase.prefix else F.col("token") == token
@@ -218,9 +218,9 @@ def _token_matches(phrase: Phrase, position: int) -> Column:
 
 def phrase_occurrences(postings: DataFrame, phrase: Phrase) -> DataFrame:
     """(id, col, pos) where a phrase starts."""
-    out = postings.filter(_token_matches(phrase, 0)).select("id", "col", "pos")
+    out = postings.filter(token_matches(phrase, 0)).select("id", "col", "pos")
     for i in range(1, len(phrase.tokens)):
-        following = postings.filter(_token_matches(phrase, i)).select("id", "col", (F.col("pos") - i).alias("pos"))
+        following = postings.filter(token_matches(phrase, i)).select("id", "col", (F.col("pos") - i).alias("pos"))
         out = out.join(following, ["id", "col", "pos"], "left_semi")
     return out
 
@@ -240,7 +240,7 @@ def rank_postings(
     ids = range(len(phrases))
     # All single tokens share one pass over the postings.
     single = [i for i in ids if len(phrases[i].tokens) == 1]
-    matches = {i: _token_matches(phrases[i], 0) for i in single}
+    matches = {i: token_matches(phrases[i], 0) for i in single}
     parts = []
     if single:
         found = postings.filter(reduce(or_, matches.values()))
@@ -257,8 +257,8 @@ def rank_postings(
     found = per_file.agg(*[F.count_if(F.col(f"f_{i}") > 0).alias(f"hits_{i}") for i in ids])
     totals, found = totals.select(F.struct("*")).scalar(), found.select(F.struct("*")).scalar()
     present = [F.col(f"f_{i}") > 0 for i in ids]
-    rank = _bm25(
-        [_idf(totals["n_files"], found[f"hits_{i}"]) for i in ids],
+    rank = bm25(
+        [idf(totals["n_files"], found[f"hits_{i}"]) for i in ids],
         [F.col(f"f_{i}") for i in ids],
         F.col("n_tokens"),
         totals["n_tokens"] / totals["n_files"],

@@ -134,6 +134,16 @@ def best_per_file(scored: DataFrame) -> DataFrame:
     )
 
 
+def relatively_good(top: DataFrame) -> DataFrame:
+    """Hits close enough to the best of them."""
+    best = F.max("score").over(Window.partitionBy(F.lit(0)))  # over top_k rows only
+    return (
+        top.withColumn("best", best)
+        .filter(F.col("score") >= F.greatest(F.round(F.col("best") * RELATIVE_KEEP, SCORE_DIGITS), F.lit(MIN_SCORE)))
+        .drop("best")
+    )
+
+
 def similarity_search(
     embedded_chunks: DataFrame, query: str, query_vector: Sequence[float] | None, top_k: int = DEFAULT_TOP_K
 ) -> DataFrame:
@@ -152,12 +162,7 @@ def similarity_search(
         scored = scored.filter(F.col("lexical") > 0)
     top = best_per_file(scored).orderBy(F.desc("score"), "file_id", "chunk_index").limit(top_k)
     if not single:
-        best = F.max("score").over(Window.partitionBy(F.lit(0)))  # over top_k rows only
-        top = (
-            top.withColumn("best", best)
-            .filter(F.col("score") >= F.greatest(F.round(F.col("best") * RELATIVE_KEEP, SCORE_DIGITS), F.lit(MIN_SCORE)))
-            .drop("best")
-        )
+        top = relatively_good(top)
     return top.orderBy(F.desc("score"), "file_id", "chunk_index").select(*HIT_SCHEMA.names)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from foliant.functions import jsonfmt
 from foliant.functions import text as X
 from foliant.functions.prompts import CONTEXT_SEPARATOR, stub_answer
-from foliant.operators import fulltext
+from foliant.operators import fulltext, names
 
 MIN_SIMILARITY = 0.05
 SOURCE_CHARS = 200
@@ -84,7 +84,7 @@ def _first_group(df: DataFrame, column: str) -> DataFrame:
 
 
 def fallback_context(files: DataFrame, question: str, top_k: int) -> DataFrame:
-    """Keyword search, or file names when that finds nothing."""
+    """Keyword search, or file names when that finds nothing: two scans of ``files``."""
 
     def by_text() -> DataFrame:
         return _fallback_parts(keyword_hits(files, question, top_k).withColumnRenamed("rank", "order"))
@@ -95,6 +95,44 @@ def fallback_context(files: DataFrame, question: str, top_k: int) -> DataFrame:
     return first_available(by_text, by_name)
 
 
+def indexed_fallback(
+    files: DataFrame,
+    question: str,
+    top_k: int,
+    by_keyword: Callable[[list[fulltext.Phrase], int], DataFrame],
+    file_names: DataFrame,
+    grams: DataFrame,
+) -> DataFrame:
+    """``fallback_context`` from stored indexes; texts are read of the ``top_k`` files found.
+
+    ``by_keyword`` gives (id, rank) of the best files that hold any of some
+    exact phrases, unweighted.  Names are searched through their trigrams,
+    keyword by keyword until one is found.
+    """
+
+    def contents(order: dict[int, float]) -> DataFrame:
+        ranks = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])
+        found = files.filter(F.col("id").isin(list(order)))  # ids reach the scan
+        shown = found.select("id", "file_path", X.first_text(F.col("text_content"), F.col("description")).alias("content"))
+        return _fallback_parts(shown.withColumn("order", ranks[F.col("id")].cast("double")))
+
+    def by_text() -> dict[int, float]:
+        phrases = fulltext.parse_keywords(question)
+        return {r["id"]: r["rank"] for r in by_keyword(phrases, top_k).collect()} if phrases else {}
+
+    def by_name() -> dict[int, float]:
+        for keyword in (k for k in X.query_keywords_literal(question) if len(k) >= 3):
+            ids = names.names_like(file_names, grams, keyword).orderBy("id").limit(top_k).collect()
+            if ids:
+                return {r["id"]: 0.0 for r in ids}
+        return {}
+
+    order = by_text() or by_name()
+    if not order:
+        return _fallback_parts(files.limit(0).select("id", "file_path", F.lit("").alias("content"), F.lit(0.0).alias("order")))
+    return contents(order)
+
+
 def _fallback_parts(hits: DataFrame) -> DataFrame:
     """Context rows with the whole contents of the files found, ``top_k`` at most."""
     order = Window.partitionBy(F.lit(0)).orderBy("order", "id")  # top_k rows

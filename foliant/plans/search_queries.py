@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import fulltext as X
+from foliant.operators.blockmax import best_files
 from foliant.plans import sqlparts as P
 from foliant.plans.registry import query
 from foliant.sources import tables as S
@@ -28,7 +29,8 @@ def _ranked(df, limit: int | None = None):
     return out.orderBy("rank", "id").limit(limit) if limit else out
 
 
-def _documents(spark, sf_dir) -> Searchable:
+def documents_index(spark, sf_dir) -> Searchable:
+    """The stored index of ``documents``."""
     return searchable(spark, sf_dir, "documents", ("documents",), lambda: S.files(spark, sf_dir))
 
 
@@ -67,7 +69,7 @@ def _page_sql(text: str) -> str:
 def _page(spark, sf_dir, text: str):
     """The best files by the stored index; only they are looked up and cut into snippets."""
     phrases = X.parse_query(text)
-    best = _search(_documents(spark, sf_dir), phrases).orderBy("rank", "id").limit(20)
+    best = best_files(documents_index(spark, sf_dir), phrases, 20, digits=RANK_DIGITS)
     top = X.result_page(S.files(spark, sf_dir), best, phrases).orderBy("rank", "id")
     return top.withColumns({c: F.round(c, RANK_DIGITS) for c in ("rank", "relevance")})
 
@@ -85,22 +87,22 @@ def snippet(spark, sf_dir):
 
 @query("bm25_weighted", _rank_sql(X.parse_query("reau"), X.WEIGHTS, True))
 def bm25_weighted(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("reau")))
+    return _ranked(_search(documents_index(spark, sf_dir), X.parse_query("reau")))
 
 
 @query("bm25_unweighted", _rank_sql(X.parse_query("reau"), X.UNWEIGHTED, True))
 def bm25_unweighted(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("reau"), X.UNWEIGHTED))
+    return _ranked(_search(documents_index(spark, sf_dir), X.parse_query("reau"), X.UNWEIGHTED))
 
 
 @query("fts_and_prefix", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True))
 def fts_and_prefix(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("enp eau")))
+    return _ranked(_search(documents_index(spark, sf_dir), X.parse_query("enp eau")))
 
 
 @query("fts_phrase_prefix", _rank_sql(X.parse_query("de-la"), X.WEIGHTS, True))
 def fts_phrase_prefix(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("de-la")))
+    return _ranked(_search(documents_index(spark, sf_dir), X.parse_query("de-la")))
 
 
 OR_QUESTION = "Which documents mention eaux, leaux and die-und please?"
@@ -108,7 +110,7 @@ OR_QUESTION = "Which documents mention eaux, leaux and die-und please?"
 
 @query("fts_or_exact", _rank_sql(X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
 def fts_or_exact(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
+    return _ranked(_search(documents_index(spark, sf_dir), X.parse_keywords(OR_QUESTION), X.UNWEIGHTED, False))
 
 
 @query("fts_transcript", _rank_sql(X.parse_query("que"), X.WEIGHTS, True, base=P.FILES_TRANSCRIPT))
@@ -121,7 +123,8 @@ def fts_transcript(spark, sf_dir):
 
 @query("fts_top", _rank_sql(X.parse_query("th en"), X.WEIGHTS, True, limit=50))
 def fts_top(spark, sf_dir):
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("th en")), 50)
+    """Common words: only blocks of files that can reach the best fifty are opened."""
+    return best_files(documents_index(spark, sf_dir), X.parse_query("th en"), 50, digits=RANK_DIGITS)
 
 
 @query("fts_scan_search", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True))
@@ -133,7 +136,16 @@ def fts_scan_search(spark, sf_dir):
 @query("fts_index_search", _rank_sql(X.parse_query("enp eau"), X.WEIGHTS, True, limit=20))
 def fts_index_search(spark, sf_dir):
     """Best files by the stored index."""
-    return _ranked(_search(_documents(spark, sf_dir), X.parse_query("enp eau")), 20)
+    return best_files(documents_index(spark, sf_dir), X.parse_query("enp eau"), 20, digits=RANK_DIGITS)
+
+
+ANY_QUESTION = "Which und oder les mit documents?"
+
+
+@query("fts_top_any", _rank_sql(X.parse_keywords(ANY_QUESTION), X.UNWEIGHTED, False, limit=30))
+def fts_top_any(spark, sf_dir):
+    """Best files that hold any of some words."""
+    return best_files(documents_index(spark, sf_dir), X.parse_keywords(ANY_QUESTION), 30, X.UNWEIGHTED, False, RANK_DIGITS)
 
 
 @query(
@@ -144,7 +156,7 @@ def fts_index_search(spark, sf_dir):
 def relevance(spark, sf_dir):
     from foliant.functions.vectors import relevance as score
 
-    ranked = _search(_documents(spark, sf_dir), X.parse_query("reau"))
+    ranked = _search(documents_index(spark, sf_dir), X.parse_query("reau"))
     return ranked.select("id", F.round(score(F.col("rank")), RANK_DIGITS).alias("relevance"))
 
 

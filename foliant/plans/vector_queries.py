@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from foliant.functions import jsonfmt
 from foliant.functions import vectors as V
-from foliant.operators import fulltext, hybrid, rag
+from foliant.operators import fulltext, hybrid, nearest, rag
+from foliant.operators.blockmax import best_files
 from foliant.plans import sqlparts as P
 from foliant.plans.registry import query
+from foliant.plans.search_queries import documents_index
 from foliant.sources import tables as S
+from foliant.sources.searchable import stored, vector_index
 
 SINGLE, SHORT, PHRASE = "eau", "le un", "enpare reheer stion under"
 DIGITS = 6
@@ -20,7 +23,7 @@ def _embedded(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, text: str, k: int):
-    return hybrid.similarity_search(_embedded(spark, sf_dir), text, S.query_vector(spark, sf_dir), k)
+    return nearest.similarity_search(vector_index(spark, sf_dir), text, S.query_vector(spark, sf_dir), k).hits
 
 
 VECTOR_SQL = f"array_to_string(list_transform(V, lambda x: printf('%.{DIGITS}f', x + 0.0)), ',')"
@@ -128,7 +131,40 @@ def hybrid_phrase(spark, sf_dir):
 def similar_files(spark, sf_dir):
     files = S.files(spark, sf_dir)
     probe = files.agg(F.max_by("file_path", "id")).first()[0]
-    return _shown(hybrid.similar_files(_embedded(spark, sf_dir), probe, 10))
+    return _shown(nearest.similar_files(vector_index(spark, sf_dir), probe, 10).hits)
+
+
+@query(
+    "nearest_files",
+    f"""WITH {P.FILES}, {P.EMBEDDED}, {P.QUERY_VECTOR}, near AS (
+      SELECT *, round(least(1.0, greatest(-1.0, {P.COSINE})), 9) AS score FROM embedded, qv), best AS (
+      SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_index) AS rn FROM near)
+    SELECT file_path, file_name, chunk_index, {P.truncate("chunk_text", 200)} AS chunk_snippet, chunk_offset,
+      round(score, {DIGITS}) AS score FROM best WHERE rn = 1 ORDER BY best.score DESC, file_id, chunk_index LIMIT 25""",
+)
+def nearest_files(spark, sf_dir):
+    """Pure vector search: only clusters that can still win are read."""
+    q = S.query_vector(spark, sf_dir)
+    return _shown(nearest.search(vector_index(spark, sf_dir), q, nearest.by_cosine(q), 25).hits)
+
+
+@query(
+    "similar_files_all",
+    f"""WITH {P.FILES}, {P.EMBEDDED}, parts AS (
+      SELECT file_id, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embedded),
+    means AS (SELECT file_id, pos, avg(v) AS m FROM parts GROUP BY file_id, pos),
+    centred AS (SELECT file_id AS own_id, list(m ORDER BY pos) AS q FROM means GROUP BY file_id),
+    near AS (
+      SELECT own_id, file_id, chunk_index, round(least(1.0, greatest(-1.0, {P.COSINE})), 9) AS score
+      FROM centred, embedded WHERE own_id <> file_id),
+    best AS (SELECT own_id, file_id, max(score) AS score, arg_min(chunk_index, (-score, chunk_index)) AS chunk_index FROM near GROUP BY own_id, file_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY own_id ORDER BY score DESC, file_id) AS INTEGER) AS rank FROM best)
+    SELECT own_id AS file_id, rank, file_id AS other_id, chunk_index, round(score, {DIGITS}) AS score FROM ranked WHERE rank <= 5""",
+)
+def similar_files_all(spark, sf_dir):
+    """The five most similar files of every file."""
+    found = nearest.all_similar_files(vector_index(spark, sf_dir), stored(spark), 5)
+    return found.withColumn("score", F.round("score", DIGITS))
 
 
 @query(
@@ -264,20 +300,27 @@ def _parts(context):
     return context.select("rank", "file_path", F.md5("part").alias("part_md5"), "chunk_snippet", "chunk_offset")
 
 
+def _fallback(spark, sf_dir, question: str):
+    """Keyword search over the stored index, then file names by their trigrams."""
+    index = documents_index(spark, sf_dir)
+    by_keyword = lambda phrases, k: best_files(index, phrases, k, fulltext.UNWEIGHTED, False, digits=12)
+    return rag.indexed_fallback(S.files(spark, sf_dir), question, 5, by_keyword, index.names, index.grams)
+
+
 @query("rag_fallback_fts", f"WITH {_fts_parts(QUESTION, 5)} {SHOW_PARTS}")
 def rag_fallback_fts(spark, sf_dir):
-    return _parts(rag.fallback_context(S.files(spark, sf_dir), QUESTION, 5))
+    return _parts(_fallback(spark, sf_dir, QUESTION))
 
 
 @query("rag_fallback_like", f"WITH {NAME_PARTS} {SHOW_PARTS}")
 def rag_fallback_like(spark, sf_dir):
-    return _parts(rag.fallback_context(S.files(spark, sf_dir), NAME_QUESTION, 5))
+    return _parts(_fallback(spark, sf_dir, NAME_QUESTION))
 
 
 def _cascade(spark, sf_dir, text: str, question: str):
     return rag.first_available(
         lambda: _full(spark, sf_dir, text, 5),
-        lambda: rag.fallback_context(S.files(spark, sf_dir), question, 5),
+        lambda: _fallback(spark, sf_dir, question),
     )
 
 

@@ -1,33 +1,42 @@
-"""Inverted indexes of the supplied tables, stored once per data folder."""
+"""Indexes of the supplied tables, stored once per data folder."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.operators import fulltext
+from foliant.operators import blockmax, fulltext, names
 from foliant.session import shared_dir
+from foliant.sources import tables, vectors
 
 
 class Searchable(NamedTuple):
+    """Stored tables of an inverted index over files."""
+
     postings: DataFrame
     lengths: DataFrame
+    #: postings in blocks with bounds, and the corpus totals
+    blocks: DataFrame
+    totals: DataFrame
+    #: trigrams of file names, and the names
+    grams: DataFrame
+    names: DataFrame
 
 
-def searchable(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> Searchable:
-    """The stored index ``name`` over files that ``build`` makes from ``tables``.
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], write: Callable[[str], None]) -> str:
+    """Folder that ``write`` filled, from tables as they are now.
 
-    It is written when it is missing or a table has changed.  Postings are
-    sorted by token, so a query reads the row groups of its tokens alone.
+    It is written when it is missing or a table has changed, and appears as a
+    whole: sessions that build at once do not disturb each other.
     """
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
+    Path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
     seen = [sf_dir]
-    for table in tables:
+    for table in inputs:
         path = Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
         system = path.getFileSystem(conf)
         files = system.listFiles(path, True)
@@ -35,9 +44,52 @@ def searchable(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, .
             status = files.next()
             seen.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
     folder = f"{shared_dir(spark).rstrip('/')}/search/{name}-{zlib.crc32(chr(10).join(sorted(seen)).encode()):08x}"
-    done = Path(f"{folder}/lengths/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        files = build()
-        fulltext.layout_postings(fulltext.build_postings(files)).write.mode("overwrite").parquet(f"{folder}/postings")
-        fulltext.document_lengths(files).write.mode("overwrite").parquet(f"{folder}/lengths")
-    return Searchable(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+    vectors.publish(spark, folder, write)
+    return folder
+
+
+def searchable(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], build: Callable[[], DataFrame]) -> Searchable:
+    """The stored inverted index ``name`` over files that ``build`` makes from the input tables.
+
+    Postings are sorted by token, so a query reads the row groups of its
+    tokens alone.
+    """
+
+    def write(folder: str) -> None:
+        write_search_index(build(), folder)
+
+    folder = stored_folder(spark, sf_dir, name, inputs, write)
+    return Searchable(*[spark.read.parquet(f"{folder}/{part}") for part in Searchable._fields])
+
+
+def write_search_index(files: DataFrame, folder: str) -> None:
+    """Tokenise, sort and store all parts of an index below ``folder``."""
+    spark = files.sparkSession
+    fulltext.layout_postings(fulltext.build_postings(files)).write.parquet(f"{folder}/postings")
+    fulltext.document_lengths(files).write.parquet(f"{folder}/lengths")
+    postings, lengths = (spark.read.parquet(f"{folder}/{part}") for part in ("postings", "lengths"))
+    blockmax.layout_blocks(blockmax.build_blocks(postings, lengths)).write.parquet(f"{folder}/blocks")
+    blockmax.corpus_totals(lengths).write.parquet(f"{folder}/totals")
+    names.layout_name_grams(names.build_name_grams(files)).write.parquet(f"{folder}/grams")
+    files.select("id", "file_name").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/names")
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored chunks of ``documents`` with their vectors, by cluster."""
+
+    def write(folder: str) -> None:
+        embedded = tables.embedded_chunks(spark, sf_dir, keep=("file_path", "file_name"))
+        vectors.write_index(embedded, folder, tables.vector_table(spark, sf_dir))
+
+    return vectors.read_index(spark, stored_folder(spark, sf_dir, "vectors", ("documents", "embeddings"), write))
+
+
+def stored(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes intermediate tables of one computation below a folder of its own, and reads them back."""
+    root = f"{shared_dir(spark).rstrip('/')}/work/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return keep
