@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import Broadcast
@@ -13,8 +14,10 @@ from pyspark.sql.window import Window
 
 from foliant.session import shared_dir, ship_package
 
-#: Bits of the membership bitmap; fixed, so its broadcast never grows with the data.
+#: Fewest and most bits of a membership bitmap (8 to 128 MB), and bits per id between them.
 BITMAP_BITS = 1 << 26
+MOST_BITMAP_BITS = 1 << 30
+BITS_PER_ID = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,54 +69,62 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Broadcast:
-    """Broadcast bitmap of ids: false positives only, and of fixed size.
+@dataclass(frozen=True)
+class Bitmap:
+    """Broadcast membership bitmap of ids: false positives only."""
 
-    It thins out rows before a join that decides exactly; at most
-    ``BITMAP_BITS`` bits reach the driver.  ``hashed`` ids are taken by their
-    low bits, others are hashed first.
+    bits: int
+    shared: Broadcast
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Which 64-bit hashes may be in it."""
+        held = self.shared.value
+        place = hashes.astype(np.int64) & (self.bits - 1)
+        return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Bitmap:
+    """Bitmap of the ids of a stored table.
+
+    It thins out rows before a join that decides exactly.  Its size follows the
+    number of ids up to ``MOST_BITMAP_BITS``, which bounds the broadcast; with
+    still more ids it lets more rows through, and nothing else changes.
+    ``hashed`` ids are taken by their low bits, others are hashed first.
     """
+    bits = min(max(BITMAP_BITS, 1 << (BITS_PER_ID * max(ids.count(), 1) - 1).bit_length()), MOST_BITMAP_BITS)
     key = F.col(column) if hashed else F.xxhash64(column)
     # Spark's bucket numbers and positions count from 1: value v is bit v - 1.
-    bit = F.pmod(key, F.lit(BITMAP_BITS)) + 1
+    bit = F.pmod(key, F.lit(bits)) + 1
     rows = (
         ids.filter(F.col(column).isNotNull())
         .select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        .collect()
     )
-    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in rows:
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for row in rows.toLocalIterator():
         part = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         start = (row["bucket"] - 1) * len(part)
-        bits[start : start + len(part)] |= part
-    return ids.sparkSession.sparkContext.broadcast(bits)
+        held[start : start + len(part)] |= part
+    return Bitmap(bits, ids.sparkSession.sparkContext.broadcast(held))
 
 
-def bits_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values may be in a bitmap of hashed ids."""
-    place = values.astype(np.int64) & (BITMAP_BITS - 1)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+def maybe_in(df: DataFrame, column: str, bitmap: Bitmap) -> tuple[DataFrame, str]:
+    """``df`` with a flag that is false only for rows whose id is surely not in the bitmap, and the flag's name."""
+    names, taken = df.columns, set(df.columns)
+    key, flag = fresh(taken, "key"), fresh(taken, "maybe")
+    hashed = df.withColumn(key, F.xxhash64(column))
+    schema = df.withColumn(flag, F.lit(True)).schema
 
-
-def maybe_in(df: DataFrame, column: str, bitmap: Broadcast) -> DataFrame:
-    """Adds ``_maybe``: false only for rows whose id is surely not in the bitmap."""
-    names = df.columns
-    hashed = df.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)))
-    schema = df.withColumn("_maybe", F.lit(True)).schema
-
-    def flag(batches):
+    def run(batches):
         import pyarrow as pa
 
-        bits = bitmap.value
         for batch in batches:
-            hit = bits_set(bits, batch.column("_bit").fill_null(0).to_numpy(zero_copy_only=False))
+            hit = bitmap.may_hold(batch.column(key).fill_null(0).to_numpy(zero_copy_only=False))
             columns = [batch.column(n) for n in names] + [pa.array(hit)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_maybe"])
-
-    return hashed.mapInArrow(flag, schema)
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, flag])
 
+    return hashed.mapInArrow(run, schema), flag
 
 
 #: Rows of a lookup table that may be broadcast; above it the join is left to shuffle.

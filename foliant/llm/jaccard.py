@@ -32,13 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.arrays import SPACED, Words, mix, sliced, text_bytes
-from foliant.llm.common import Scratch, bitmap_of, bits_set, maybe_in, saved
+from foliant.llm.common import Bitmap, Scratch, bitmap_of, fresh, maybe_in, saved
 
 ENUMERATED_K = 3
 SPREAD = 1.3
@@ -181,7 +180,7 @@ def signatures(values: np.ndarray, ends: np.ndarray, sim: Similarity) -> tuple[n
     return sig[order].view(np.int64), out
 
 
-def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast | None = None) -> DataFrame:
+def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Bitmap | None = None) -> DataFrame:
     """(doc_id, n, d1, d2) of each row, with sigs when ``signed``.
 
     With a bitmap ``wanted``, signatures that are surely not in it are left out.
@@ -196,7 +195,7 @@ def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Broadcast |
             if signed:
                 sig, out = signatures(values, ends, sim)
                 if wanted is not None:
-                    keep = bits_set(wanted.value, sig)
+                    keep = wanted.may_hold(sig)
                     out = np.concatenate(([0], np.cumsum(keep)))[out]
                     sig = sig[keep]
                 made.append(pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig)))
@@ -265,16 +264,17 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     scratch.settle()
     # most signatures have one member: a bitmap keeps them out of the join
     rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
-    rows = rows.select(F.col("doc_id").alias("id"), "n", "d1", "d2", F.explode("sigs").alias("sig"))
-    # a copy leaves by its text: other texts of its id stay
-    members = scratch.saved(
-        rows.join(shared, "sig").join(copies.drop("class_id"), ["id", "d1", "d2", "n"], "left_anti").select("sig", "id", "n"), "members"
-    )
-    ids = members.select("id").distinct()
-    texts = scratch.saved(
-        maybe_in(docs, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi"),
-        "texts",
-    )
+    # a copy leaves by its text: other texts of its id stay.  Few rows may be copies; these
+    # carry a mark that is decided by a join of their members alone
+    text = F.xxhash64("doc_id", "d1", "d2", "n")
+    marks = scratch.saved(copies.select("id", F.xxhash64("id", "d1", "d2", "n").alias("mark")).distinct(), "marks")
+    rows, flag = maybe_in(rows.withColumn("mark", text), "mark", bitmap_of(marks, "mark"))
+    rows = rows.select(F.col("doc_id").alias("id"), "n", F.when(F.col(flag), F.col("mark")).alias("mark"), F.explode("sigs").alias("sig"))
+    met = scratch.saved(rows.join(shared, "sig").select("sig", "id", "n", "mark"), "members")
+    clear = met.filter("mark IS NULL").drop("mark")
+    members = clear.unionByName(met.filter("mark IS NOT NULL").join(marks, ["id", "mark"], "left_anti").select(*clear.columns))
+    ids = scratch.saved(members.select("id").distinct(), "ids")
+    texts = scratch.saved(texts_of(docs, ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     for pivots in STARS:
         scratch.settle()
         members = open_members(members, labels, scratch)
@@ -287,6 +287,12 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     return labels if members.isEmpty() else contract(cross_links(members, texts, sim, scratch), labels, scratch)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among stored ids; nearly all others are left out."""
+    flagged, flag = maybe_in(docs, "doc_id", bitmap_of(ids, "id"))
+    return flagged.filter(flag).drop(flag)
+
+
 def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members, with labels, of the signatures that still join different components.
 
@@ -393,7 +399,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scrat
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of ids that may be wanted, so that the others are not shuffled."""
-    return maybe_in(texts, "doc_id", bitmap_of(ids, "id")).filter("_maybe").drop("_maybe")
+    return texts_of(texts, ids)
 
 
 def sketch_words(size: int, sim: Similarity) -> int:
@@ -643,8 +649,9 @@ def one_per_component(docs: DataFrame, sim: Similarity) -> DataFrame:
     doc_id and its text, all stay.
     """
     sets = components(docs, sim)
-    dropped = saved(sets.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    flagged = maybe_in(docs, "doc_id", bitmap_of(dropped, "_dropped"))
-    clear = flagged.filter(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.filter("_maybe").drop("_maybe").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    gone = fresh(set(docs.columns), "dropped")
+    dropped = saved(sets.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    flagged, flag = maybe_in(docs, "doc_id", bitmap_of(dropped, gone))
+    clear = flagged.filter(~F.col(flag)).drop(flag)
+    rest = flagged.filter(flag).drop(flag).join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
     return clear.unionByName(rest)

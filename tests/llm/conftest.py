@@ -13,9 +13,11 @@ def docs(spark):
     """``documents`` out of (doc_id, text), with columns that operators use inside."""
 
     def make(rows):
-        full = [(i, t, None, "src", None if t is None else len(t), "x", 1) for i, t in rows]
+        full = [(i, t, None, "src", None if t is None else len(t), "x", 1, True, 2, "y", 3) for i, t in rows]
         return spark.createDataFrame(
-            full, "doc_id long, text string, lang string, source string, n_chars long, sig string, n int"
+            full,
+            "doc_id long, text string, lang string, source string, n_chars long, sig string, n int,"
+            " _maybe boolean, _bit int, _dropped string, mark long",
         )
 
     return make
