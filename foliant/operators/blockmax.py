@@ -18,30 +18,30 @@ several tokens need positions, which blocks do not have.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add, and_, or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.fulltext import WEIGHTS, Phrase, bm25, idf, rank_postings, token_matches
+from foliant.operators.fulltext import IDF_FLOOR, K1, WEIGHTS, B, Phrase, rank_postings
 
 #: Ids of a block, and blocks opened before there is a mark.
 BLOCK_IDS = 1_024
 FIRST_BLOCKS = 16
+#: Bounds that the driver holds; more stay distributed.
+DRIVER_BLOCKS = 20_000
 #: Sums may be rounded differently in a bound and in a score.
 SLACK = 1e-9
 
 
 @dataclass(frozen=True)
 class Ranked:
-    """Best files (id, rank), and how many block rows were there and opened."""
+    """Best files (id, rank), and how many block rows of the query's tokens were opened."""
 
     top: DataFrame
-    blocks: int
     opened: int
 
 
@@ -72,28 +72,39 @@ def corpus_totals(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
 
 
-def _weighted(counts: Column, weights: dict[str, float], columns: Sequence[str]) -> Column:
-    return reduce(add, (F.get(counts, F.lit(i)) * float(weights.get(c, 0.0)) for i, c in enumerate(columns)))
+def _weighted(counts: str, weights: dict[str, float], columns: Sequence[str]) -> str:
+    return " + ".join(f"get({counts}, {i}) * {float(weights.get(c, 0.0))!r}D" for i, c in enumerate(columns))
 
 
-def _files_hit(rows: DataFrame, phrases: Sequence[Phrase], matches: Sequence[Column], weights: dict[str, float], columns: Sequence[str]) -> list[int]:
-    """Files per phrase.  A file counts once, however many tokens of a prefix it holds, and only where columns have weight.
+def _test(phrase: Phrase) -> str:
+    word = phrase.tokens[0].replace("\\", "\\\\").replace("'", "\\'")
+    return f"startswith(token, '{word}')" if phrase.prefix else f"token = '{word}'"
 
-    Exact tokens are counted from the block rows alone, prefixes from the ids
-    of their blocks, block by block.
+
+def _summary(rows: DataFrame, phrases: Sequence[Phrase], weights: dict[str, float], columns: Sequence[str]) -> DataFrame:
+    """Per block: its rows, most occurrences (f) and files hit (h) of each phrase, and its shortest file.
+
+    A file counts once, however many tokens of a prefix it holds, and only
+    where columns have weight.  Exact tokens are counted from the block rows
+    alone, prefixes from the ids in them.
     """
     every = all(weights.get(c, 0.0) > 0 for c in columns)
-    narrow = [i for i, p in enumerate(phrases) if every and not p.prefix]
-    wide = [i for i in range(len(phrases)) if i not in narrow]
-    ids = F.col("docs.id") if every else F.filter("docs", lambda d: _weighted(d["counts"], weights, columns) > 0)["id"]
-    out: dict[str, int] = {}
-    if narrow:
-        out |= rows.agg(*[F.sum(F.when(matches[i], F.col("n")).otherwise(0)).alias(str(i)) for i in narrow]).first().asDict()
-    if wide:
-        held = [F.size(F.array_distinct(F.flatten(F.collect_list(F.when(matches[i], ids))))).alias(str(i)) for i in wide]
-        per_block = rows.filter(reduce(or_, (matches[i] for i in wide))).groupBy("block").agg(*held)
-        out |= per_block.agg(*[F.sum(str(i)).alias(str(i)) for i in wide]).first().asDict()
-    return [out[str(i)] or 0 for i in range(len(phrases))]
+    ids = "docs.id" if every else f"transform(filter(docs, d -> {_weighted('d.counts', weights, columns)} > 0), d -> d.id)"
+    made = ["count(1) AS tokens", "min(shortest) AS shortest"]
+    for i, phrase in enumerate(phrases):
+        test = _test(phrase)
+        made.append(f"sum(CASE WHEN {test} THEN {_weighted('most', weights, columns)} ELSE 0D END) AS f{i}")
+        if every and not phrase.prefix:
+            made.append(f"sum(CASE WHEN {test} THEN n ELSE 0 END) AS h{i}")
+        else:
+            made.append(f"cast(size(array_distinct(flatten(collect_list(CASE WHEN {test} THEN {ids} END)))) AS bigint) AS h{i}")
+    return rows.groupBy("block").agg(*map(F.expr, made))
+
+
+def _factor(files: int, hits: int) -> float:
+    """Inverse document frequency of a phrase."""
+    raw = math.log((files - hits + 0.5) / (hits + 0.5))
+    return raw if raw > 0 else IDF_FLOOR
 
 
 def rank_top(
@@ -109,68 +120,76 @@ def rank_top(
     """The ``limit`` best files by (rank, id), from stored blocks.
 
     ``digits`` rounds ranks before they are compared.  At most ``limit`` rows
-    and ``FIRST_BLOCKS`` block numbers reach the driver.
+    per step reach the driver, and the bounds of up to ``DRIVER_BLOCKS``
+    blocks; beyond these, bounds stay a distributed table.
     """
     spark = blocks.sparkSession
-    empty = spark.createDataFrame([], "id long, rank double")
+    empty = Ranked(spark.createDataFrame([], "id long, rank double"), 0)
     if not phrases:
-        return Ranked(empty, 0, 0)
+        return empty
     if any(len(p.tokens) > 1 for p in phrases):
         raise ValueError("blocks have no positions: phrases of several tokens are ranked by postings")
     if any(v < 0 for v in weights.values()):
         raise ValueError("bounds hold for weights of at least 0")
     ids = range(len(phrases))
-    matches = [token_matches(p, 0) for p in phrases]
-    rows = blocks.filter(reduce(or_, matches))
+    rows = blocks.filter(" OR ".join(_test(p) for p in phrases))
+    summary = _summary(rows, phrases, weights, columns)
+    known = summary.limit(DRIVER_BLOCKS + 1).collect()
+    local = len(known) <= DRIVER_BLOCKS
+    if local:
+        hit = [sum(r[f"h{i}"] for r in known) for i in ids]
+    else:
+        hit = list(summary.agg(*[F.sum(f"h{i}") for i in ids]).first())
+    if not known or not (all if require_all else any)(hit):
+        return empty
     total = totals.first()
-    hit = _files_hit(rows, phrases, matches, weights, columns)
-    if not total["n_files"] or not (all if require_all else any)(hit):
-        return Ranked(empty, 0, 0)
-    factors = [idf(F.lit(float(total["n_files"])), F.lit(float(h))) for h in hit]
-    mean = F.lit(total["n_tokens"] / total["n_files"])
-
-    def both(tests: list[Column]) -> Column:
-        return reduce(and_ if require_all else or_, tests)
-
-    def scored(opened: DataFrame) -> DataFrame:
-        files = opened.select(*[m.alias(f"m{i}") for i, m in enumerate(matches)], F.inline("docs"))
-        own = _weighted(F.col("counts"), weights, columns)
+    factors = [_factor(total["n_files"], h) for h in hit]
+    mean = total["n_tokens"] / total["n_files"]
+    both = " AND " if require_all else " OR "
+    present = both.join(f"f{i} > 0" for i in ids)
+
+    def rank(length: str) -> str:
+        norm = f"{K1!r}D * ({1 - B!r}D + {B!r}D * {length} / {mean!r}D)"
+        return "-(" + " + ".join(f"{v!r}D * f{i} * {K1 + 1!r}D / (f{i} + {norm})" for i, v in enumerate(factors)) + ")"
+
+    def best_of(opened: DataFrame) -> list:
+        own = _weighted("counts", weights, columns)
+        files = opened.selectExpr(*[f"{_test(p)} AS m{i}" for i, p in enumerate(phrases)], "inline(docs)")
         found = files.groupBy("id").agg(
-            *[F.sum(F.when(F.col(f"m{i}"), own).otherwise(0.0)).alias(f"f{i}") for i in ids],
-            *[F.max(f"m{i}").alias(f"p{i}") for i in ids],
-            F.first("n_tokens").alias("n_tokens"),
+            *[F.expr(f"sum(CASE WHEN m{i} THEN {own} ELSE 0D END) AS f{i}") for i in ids], F.expr("first(n_tokens) AS n_tokens")
         )
-        rank = bm25(factors, [F.col(f"f{i}") for i in ids], F.col("n_tokens"), mean)
-        shown = rank if digits is None else F.round(rank, digits)
-        # a file without weight in any column has no occurrence that counts
-        return found.filter(both([F.col(f"p{i}") & (F.col(f"f{i}") > 0) for i in ids])).select("id", shown.alias("rank"))
-
-    most = _weighted(F.col("most"), weights, columns)
-    bounds = rows.groupBy("block").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        *[F.sum(F.when(m, most).otherwise(0.0)).alias(f"f{i}") for i, m in enumerate(matches)],
-        F.min("shortest").alias("shortest"),
-    )
-    bound = bm25(factors, [F.col(f"f{i}") for i in ids], F.col("shortest"), mean)
-    bounds = bounds.filter(both([F.col(f"f{i}") > 0 for i in ids])).select("block", "tokens", bound.alias("bound"))
-
-    first = bounds.orderBy("bound", "block").limit(FIRST_BLOCKS).collect()
-    numbers = [r["block"] for r in first]
-    order = ("rank", "id")
-    best = scored(rows.filter(F.col("block").isin(numbers))).orderBy(*order).limit(limit).collect() if first else []
-    opened = sum(r["tokens"] for r in first)
-    if len(first) == FIRST_BLOCKS:
-        open_blocks = bounds.filter(~F.col("block").isin(numbers))
-        if len(best) == limit:
-            open_blocks = open_blocks.filter(F.col("bound") <= best[-1]["rank"] + SLACK * (1 + abs(best[-1]["rank"])) + (0 if digits is None else 10.0**-digits))
-        count = open_blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-        if count:
-            opened += count
-            more = scored(rows.join(open_blocks.select("block"), "block", "left_semi")).orderBy(*order).limit(limit).collect()
-            best = sorted({(r["rank"], r["id"]) for r in best + more})[:limit]
-            best = [{"rank": r, "id": i} for r, i in best]
-    there = rows.count()
-    return Ranked(spark.createDataFrame([(r["id"], r["rank"]) for r in best], "id long, rank double"), there, opened)
+        shown = rank("n_tokens") if digits is None else f"round({rank('n_tokens')}, {digits})"
+        return found.filter(present).selectExpr("id", f"{shown} AS rank").orderBy("rank", "id").limit(limit).collect()
+
+    if local:
+        bounds = sorted((_bound(r, factors, mean), r["block"], r["tokens"]) for r in known if (all if require_all else any)(r[f"f{i}"] > 0 for i in ids))
+    else:
+        table = summary.filter(present).selectExpr("block", "tokens", f"{rank('shortest')} AS bound")
+        bounds = [(r["bound"], r["block"], r["tokens"]) for r in table.orderBy("bound", "block").limit(FIRST_BLOCKS).collect()]
+    first = [b[1] for b in bounds[:FIRST_BLOCKS]]
+    best = best_of(rows.filter(F.col("block").isin(first)))
+    opened = sum(b[2] for b in bounds[:FIRST_BLOCKS])
+    mark = float("inf")
+    if len(best) == limit:
+        mark = best[-1]["rank"] + SLACK * (1 + abs(best[-1]["rank"])) + (0 if digits is None else 10.0**-digits)
+    more = []
+    if local:
+        rest = [b for b in bounds[FIRST_BLOCKS:] if b[0] <= mark]
+        opened += sum(b[2] for b in rest)
+        if rest:
+            numbers = spark.createDataFrame([(b[1],) for b in rest], "block long")
+            more = best_of(rows.join(F.broadcast(numbers), "block", "left_semi"))
+    else:
+        rest = table.filter(~F.col("block").isin(first) & (F.col("bound") <= mark))
+        opened += rest.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        more = best_of(rows.join(rest.select("block"), "block", "left_semi"))
+    found = sorted((r["rank"], r["id"]) for r in best + more)[:limit]
+    return Ranked(spark.createDataFrame([(i, r) for r, i in found], "id long, rank double"), opened)
+
+
+def _bound(row: Any, factors: Sequence[float], mean: float) -> float:
+    norm = K1 * (1 - B + B * row["shortest"] / mean)
+    return -sum(v * row[f"f{i}"] * (K1 + 1) / (row[f"f{i}"] + norm) for i, v in enumerate(factors))
 
 
 def best_files(

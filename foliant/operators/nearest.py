@@ -96,15 +96,15 @@ def search(index: S.VectorIndex, query: Sequence[float], scoring: Scoring, top_k
     rows = index.rows if without is None else index.rows.filter(F.col("file_id") != without)
 
     def best_of(chosen: list[int], mark: float | None) -> list:
-        test = F.lit(False)
-        wanted = [index.clusters[i] for i in chosen]
-        if mark is None or not prunable:
-            test = F.col("cluster").isin([c.number for c in wanted])
-        else:
+        wanted = [(angles[i], index.clusters[i]) for i in chosen]
+        reach = np.pi
+        if mark is not None and prunable:
             reach = float(np.arccos(np.clip(scoring.needed(mark - SCORE_SLACK), -1.0, 1.0))) + S.ANGLE_SLACK
-            for i, c in zip(chosen, wanted, strict=True):
-                own = F.col("cluster") == c.number
-                test = test | (own if c.centre is None else own & F.col("angle").between(angles[i] - reach, angles[i] + reach))
+        whole = [c.number for a, c in wanted if c.centre is None or (a - reach <= c.low and c.high <= a + reach)]
+        # the rest is cut by angle: clusters are folders, angles are sorted in their files
+        tests = [f"cluster IN ({', '.join(map(str, whole))})"] if whole else []
+        tests += [f"(cluster = {c.number} AND angle BETWEEN {a - reach!r}D AND {a + reach!r}D)" for a, c in wanted if c.number not in whole]
+        test = F.expr(" OR ".join(tests))
         top = hybrid.best_per_file(scoring.score(rows.filter(test).drop("angle", "cluster")))
         return top.orderBy(F.desc("score"), "file_id", "chunk_index").limit(top_k).select(*hybrid.HIT_SCHEMA.names).collect()
 

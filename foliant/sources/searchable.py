@@ -59,7 +59,23 @@ def searchable(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, .
         write_search_index(build(), folder)
 
     folder = stored_folder(spark, sf_dir, name, inputs, write)
-    return Searchable(*[spark.read.parquet(f"{folder}/{part}") for part in Searchable._fields])
+    return read_search_index(spark, folder)
+
+
+#: Schemas of the parts, so that reading them costs no look into their files.
+SCHEMAS = Searchable(
+    "id bigint, col int, pos int, token string",
+    "id bigint, n_tokens bigint",
+    "token string, block bigint, n bigint, most array<bigint>, shortest bigint,"
+    " docs array<struct<id: bigint, counts: array<bigint>, n_tokens: bigint>>",
+    "n_files bigint, n_tokens bigint",
+    "gram string, id bigint",
+    "id bigint, file_name string",
+)
+
+
+def read_search_index(spark: SparkSession, folder: str) -> Searchable:
+    return Searchable(*[spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in zip(Searchable._fields, SCHEMAS, strict=True)])
 
 
 def write_search_index(files: DataFrame, folder: str) -> None:

@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 SAMPLE = 10_000
 MAX_CLUSTERS = 1_024
 LOOSE = -1
-#: Files among which the rows of a cluster are dealt.
-SALTS = 4
 #: Angles are exact to far less than this.
 ANGLE_SLACK = 1e-6
 
@@ -129,8 +127,9 @@ def write_index(embedded: DataFrame, folder: str, vectors: DataFrame | None = No
         if len(units):
             centres = spherical_centres(units, min(clusters or isqrt(len(units)), MAX_CLUSTERS, len(units)))
     placed = embedded.withColumn("at", place(F.col("embedding"), centres)).select("*", "at.cluster", "at.angle").drop("at")
-    placed = placed.select(*COLUMNS, F.pmod(F.hash("file_id", "chunk_index"), F.lit(SALTS)).alias("salt"))
-    placed.repartition("cluster", "salt").sortWithinPartitions("cluster", "angle").drop("salt").write.partitionBy("cluster").parquet(f"{folder}/rows")
+    # rebalancing splits a large cluster over several tasks and files
+    ordered = placed.select(*COLUMNS).hint("rebalance", "cluster").sortWithinPartitions("cluster", "angle")
+    ordered.write.partitionBy("cluster").parquet(f"{folder}/rows")
     spark = embedded.sparkSession
     known = spark.read.schema(ROWS).parquet(f"{folder}/rows").groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.min("angle").alias("low"), F.max("angle").alias("high")
@@ -141,7 +140,8 @@ def write_index(embedded: DataFrame, folder: str, vectors: DataFrame | None = No
 
 def read_index(spark: SparkSession, folder: str) -> VectorIndex:
     """At most ``MAX_CLUSTERS`` + 1 rows come to the driver."""
-    rows = spark.read.parquet(f"{folder}/clusters").orderBy("cluster").collect()
+    schema = "cluster int, size long, low double, high double, centre array<double>"
+    rows = sorted(spark.read.schema(schema).parquet(f"{folder}/clusters").collect(), key=lambda r: r["cluster"])
     clusters = [
         Cluster(r["cluster"], r["size"], r["low"], r["high"], None if r["centre"] is None else np.array(r["centre"])) for r in rows
     ]
