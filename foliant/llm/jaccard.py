@@ -180,18 +180,39 @@ def signatures(values: np.ndarray, ends: np.ndarray, sim: Similarity) -> tuple[n
     return sig[order].view(np.int64), out
 
 
-def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Bitmap | None = None) -> DataFrame:
+def marks_of(ids: np.ndarray, n: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """64-bit mark of a row by its id and set."""
+    own = mix(ids.view(np.uint64))
+    for part in (n, d1, d2):
+        own = mix(own ^ np.ascontiguousarray(part).view(np.uint64))
+    return own.view(np.int64)
+
+
+def marked(copies: DataFrame) -> DataFrame:
+    """(id, mark) out of (id, n, d1, d2)."""
+
+    def run(batches):
+        for batch in batches:
+            own = marks_of(*(batch.column(c).to_numpy() for c in ("id", "n", "d1", "d2")))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own)], names=["id", "mark"])
+
+    return copies.select("id", "n", "d1", "d2").mapInArrow(run, "id long, mark long")
+
+
+def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Bitmap | None = None, marks: Bitmap | None = None) -> DataFrame:
     """(doc_id, n, d1, d2) of each row, with sigs when ``signed``.
 
-    With a bitmap ``wanted``, signatures that are surely not in it are left out.
+    With a bitmap ``wanted``, signatures that are surely not in it are left
+    out; with one of ``marks``, rows have theirs where it may be in it.
     """
-    schema = "doc_id long, n long, d1 long, d2 long" + (", sigs array<long>" if signed else "")
+    schema = "doc_id long, n long, d1 long, d2 long" + (", sigs array<long>" if signed else "") + (", mark long" if marks else "")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def build(batches):
         for batch in sliced(batches, "text"):
             values, ends = shingle_sets(batch.column("text"), sim)
-            made = [batch.column("doc_id"), pa.array(np.diff(ends)), *(pa.array(x) for x in digests(values, ends))]
+            sizes, sums = np.diff(ends), digests(values, ends)
+            made = [batch.column("doc_id"), pa.array(sizes), *(pa.array(x) for x in sums)]
             if signed:
                 sig, out = signatures(values, ends, sim)
                 if wanted is not None:
@@ -199,6 +220,9 @@ def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Bitmap | No
                     out = np.concatenate(([0], np.cumsum(keep)))[out]
                     sig = sig[keep]
                 made.append(pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig)))
+            if marks is not None:
+                mark = marks_of(batch.column("doc_id").to_numpy(), sizes.astype(np.int64), *sums)
+                made.append(pa.array(mark, mask=~marks.may_hold(mark)))
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(build, schema)
@@ -263,13 +287,11 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     shared = scratch.saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
     scratch.settle()
     # most signatures have one member: a bitmap keeps them out of the join
-    rows = features(known_docs, sim, signed=True, wanted=bitmap_of(shared, "sig", hashed=True))
     # a copy leaves by its text: other texts of its id stay.  Few rows may be copies; these
     # carry a mark that is decided by a join of their members alone
-    text = F.xxhash64("doc_id", "d1", "d2", "n")
-    marks = scratch.saved(copies.select("id", F.xxhash64("id", "d1", "d2", "n").alias("mark")).distinct(), "marks")
-    rows, flag = maybe_in(rows.withColumn("mark", text), "mark", bitmap_of(marks, "mark"))
-    rows = rows.select(F.col("doc_id").alias("id"), "n", F.when(F.col(flag), F.col("mark")).alias("mark"), F.explode("sigs").alias("sig"))
+    marks = scratch.saved(marked(copies).distinct(), "marks")
+    rows = features(known_docs, sim, True, bitmap_of(shared, "sig", hashed=True), bitmap_of(marks, "mark", hashed=True))
+    rows = rows.select(F.col("doc_id").alias("id"), "n", "mark", F.explode("sigs").alias("sig"))
     met = scratch.saved(rows.join(shared, "sig").select("sig", "id", "n", "mark"), "members")
     clear = met.filter("mark IS NULL").drop("mark")
     members = clear.unionByName(met.filter("mark IS NOT NULL").join(marks, ["id", "mark"], "left_anti").select(*clear.columns))
