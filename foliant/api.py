@@ -6,6 +6,7 @@ Results come back as DataFrames of at most the requested number of rows.
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Callable, Sequence
 
@@ -19,12 +20,15 @@ from foliant.errors import LlmNotLoaded, WatcherAlreadyRunning, WatcherNotRunnin
 from foliant.functions import embed as M
 from foliant.functions import paths, prompts
 from foliant.functions import text as X
-from foliant.operators import enrich, fulltext, hybrid, index, rag
+from foliant.operators import enrich, fulltext, hybrid, index, names, rag
 from foliant.operators.chunking import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_files
 from foliant.session import ship_package
 from foliant.sources import extract, files
+from foliant.sources import folder as folders
+from foliant.sources.searchable import stored
 from foliant.sources.store import IndexStore
 from foliant.streaming import events as streams
+from foliant.streaming import jobs
 
 # Maps (system prompt, user prompt, token limit) to an answer; "" means none.
 AnswerModel = Callable[[str, str, int], str]
@@ -42,6 +46,8 @@ class Index:
         self._dim = M.STUB_DIM
         self._model: AnswerModel | None = None
         self._watch: StreamingQuery | None = None
+        # jobs of a stream write one after the other: two changes of one generation would refuse each other
+        self._writing = threading.RLock()
 
     # -- index ------------------------------------------------------------
 
@@ -58,16 +64,19 @@ class Index:
     def _now(self):
         return F.unix_timestamp().cast("long")
 
+    def _touched(self, batch: DataFrame) -> DataFrame:
+        """Stored rows of the paths in a batch; a change builds on these alone."""
+        return self.files.join(batch.select("file_path").distinct(), "file_path", "left_semi")
+
     def _publish(self, snapshot: DataFrame, touched: DataFrame) -> None:
-        """Lay the touched rows of a ``files`` snapshot over the index, with their postings and lengths.
+        """Lay changed rows of ``files`` over the index, with their postings and lengths.
 
         The rows are staged first and read back, so that ids are settled; all
         relations become visible at once.
         """
         base = self.store.generation()[0]
-        paths_ = touched.select("file_path").distinct()
-        rows = self.store.stage("files", snapshot.join(paths_, "file_path", "left_semi"))
-        old = self.files.join(paths_, "file_path", "left_semi").select("id")
+        rows = self.store.stage("files", snapshot)
+        old = self._touched(touched).select("id")
         new = self.store.read(rows)
         changed = old.union(new.select("id"))
         self.store.publish(
@@ -89,25 +98,25 @@ class Index:
     def index_files(self, batch: DataFrame, preserve_text: bool = True, order: str | None = None) -> None:
         """Index (file_path, file_name, description, text_content) rows; the last by ``order`` of a path counts."""
         top = self.store.top_id()
-        self._publish(index.upsert(self.files, batch, self._now(), preserve_text, order, top), batch)
+        self._publish(index.upsert(self._touched(batch), batch, self._now(), preserve_text, order, top), batch)
 
     def index_for_review(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.insert_for_review(self.files, batch, self._now(), order, self.store.top_id()), batch)
+        self._publish(index.insert_for_review(self._touched(batch), batch, self._now(), order, self.store.top_id()), batch)
 
     def update_text(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.update_text(self.files, batch, self._now(), order), batch)
+        self._publish(index.update_text(self._touched(batch), batch, self._now(), order), batch)
 
     def update_transcript(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.update_transcript(self.files, batch, self._now(), order), batch)
+        self._publish(index.update_transcript(self._touched(batch), batch, self._now(), order), batch)
 
     def update_description(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.update_description(self.files, batch, self._now(), order), batch)
+        self._publish(index.update_description(self._touched(batch), batch, self._now(), order), batch)
 
     def update_tags(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.update_tags(self.files, batch, self._now(), order), batch)
+        self._publish(index.update_tags(self._touched(batch), batch, self._now(), order), batch)
 
     def save_review(self, batch: DataFrame, order: str | None = None) -> None:
-        self._publish(index.save_review(self.files, batch, order), batch)
+        self._publish(index.save_review(self._touched(batch), batch, order), batch)
 
     def mark_enriched(self, paths_: DataFrame) -> None:
         marked = index.mark_enriched(self.files, paths_).join(paths_.select("file_path").distinct(), "file_path", "left_semi")
@@ -199,8 +208,11 @@ class Index:
         names = index.without_embeddings(self.files, self.store.load("embeddings"), self._dim)
         todo = self.files.join(names.select("file_path"), "file_path", "left_semi")
         joined = X.embedding_text(*[F.col(c) for c in ("description", "tags", "text_content", "transcript_text")])
-        chunks = chunk_files(todo.withColumn("joined", joined), "joined")
-        self.store_chunks_and_embeddings(chunks, self.compute_embeddings(chunks))
+        # written before they are ordered for storage, so that chunking and the model run once
+        keep = stored(self.spark)
+        chunks = keep(chunk_files(todo.withColumn("joined", joined), "joined"), "chunks")
+        self.store_chunks_and_embeddings(chunks, keep(self.compute_embeddings(chunks), "embeddings"))
+        keep.discard()
 
     def clear_all_embeddings(self) -> None:
         self.store.save(**{n: index.clear(self.store.load(n)) for n in ("chunks", "embeddings")})
@@ -261,7 +273,7 @@ class Index:
         hits = self.semantic_search(question, top_k).persist()
         try:
             if hits.isEmpty():
-                context = rag.fallback_context(self.files, question, top_k)
+                context = self._fallback(question, top_k)
             else:
                 context = rag.full_context(hits) if full_context else rag.snippet_context(hits)
             row = rag.answer(context).first()
@@ -272,6 +284,18 @@ class Index:
             answer = self._generate(question, row["context"], max_tokens) or answer
         return {"answer": answer, "sources": [s.asDict() for s in row["sources"]], "error_code": row["error_code"]}
 
+    def _fallback(self, question: str, top_k: int) -> DataFrame:
+        """Files by keyword from the stored postings, else by name; only their texts are read."""
+
+        def by_keyword(phrases: list[fulltext.Phrase], k: int) -> DataFrame:
+            ranked = fulltext.rank_postings(
+                self.store.load("postings"), self.store.load("doc_stats"), phrases, fulltext.UNWEIGHTED, require_all=False
+            )
+            return ranked.orderBy("rank", "id").limit(k)
+
+        named = self.files.select("id", "file_name")
+        return rag.indexed_fallback(self.files, question, top_k, by_keyword, named, names.build_name_grams(named))
+
     def _generate(self, question: str, context: str, max_tokens: int) -> str:
         if self._model is None:
             raise LlmNotLoaded("no generative model")
@@ -294,6 +318,10 @@ class Index:
     def get_default_watch_path(self) -> str:
         return files.default_watch_dir()
 
+    def get_default_watch_path_preview(self) -> str:
+        """The same for display: nothing is made, and a session without a home folder raises."""
+        return files.default_watch_dir()
+
     def extract_folder(self, folder: str, pdf_reader: extract.PageReader | None = None) -> DataFrame:
         limits = self.config.effective_limits
         scanned = files.scan(self.spark, folder)
@@ -320,33 +348,152 @@ class Index:
     def is_ocr_supported(self, files_: DataFrame) -> DataFrame:
         return files_.select("path", paths.is_ocr_supported(F.col("path")).alias("supported"))
 
+    def _place(self, kind: str, folder: str) -> str:
+        return f"{self.store.root}/_{kind}/{zlib.crc32(folder.encode())}"
+
+    def folder_events(self, folder: str | None = None, max_files_per_trigger: int | None = None, name: str = "events") -> DataFrame:
+        """Stream of added, changed and removed files, each once over restarts; ``name`` tells its readers apart."""
+        target = files.resolve_watch_dir(folder)
+        return folders.folder_events(self.spark, target, f"{self._place(name, target)}/snapshots", max_files_per_trigger)
+
+    def keep_events(self, path: str, folder: str | None = None, interval: str | None = None) -> StreamingQuery:
+        """Keep the events of a folder below ``path``, each once; ``sources.folder.read_events`` reads them."""
+        target = files.resolve_watch_dir(folder)
+        return folders.write_events(self.folder_events(target, name="kept"), path, f"{self._place('kept', target)}/checkpoint", interval)
+
     def start_watching(
-        self, folder: str | None = None, interval: str | None = "1 second", max_files_per_trigger: int | None = None
+        self,
+        folder: str | None = None,
+        interval: str | None = "1 second",
+        max_files_per_trigger: int | None = None,
+        follow_edits: bool = False,
     ) -> StreamingQuery:
-        """Index files as they arrive; without an interval, drain the folder once.
+        """Keep the index in step with a folder; without an interval, take in what has happened and stop.
 
-        Every batch also takes vanished files out and gives new ones vectors
-        where the configuration asks for them.
+        Added files are indexed for review and get vectors where the
+        configuration asks for them; removed files leave all relations, also
+        when nothing else happens.  Edits count with ``follow_edits`` only.
         """
         if self._watch is not None and self._watch.isActive:
             raise WatcherAlreadyRunning("a folder is being watched")
         target = files.resolve_watch_dir(folder)
-        limits = self.config.effective_limits
-        stream = files.arrivals(self.spark, target, max_files_per_trigger)
-        add = streams.index_arrivals(
-            self.index_for_review, lambda b: extract.extract_content(b, limits.max_file_size_mb)
-        )
+        events = self.folder_events(target, max_files_per_trigger, "watch")
+        limit = self.config.effective_limits.max_file_size_mb
 
-        def handle(batch: DataFrame, number: int) -> None:
-            add(batch, number)
-            self.remove_missing(target)
-            if self.config.is_enabled("embeddings") or self.config.is_enabled("semantic_similarity"):
-                self.embed_missing()
+        def texts(rows: DataFrame) -> DataFrame:
+            scanned = folders.with_content(rows, limit * 1024 * 1024)
+            return extract.extract_content(scanned, limit).select(
+                F.col("path").alias("file_path"), paths.base_name(F.col("path")).alias("file_name"), F.col("text").alias("text_content")
+            )
 
-        checkpoint = f"{self.store.root}/_watch/{zlib.crc32(target.encode())}"
-        self._watch = streams.start(stream, handle, checkpoint, interval)
+        def handle(batch: DataFrame, number: int) -> None:
+            ops = {op: batch.filter(F.col("op") == op) for op in ("remove", "add", "change")}
+            there = {r["op"] for r in batch.select("op").distinct().collect()}
+            with self._writing:
+                if "remove" in there:
+                    self.remove_from_index(ops["remove"].select(F.col("path").alias("file_path")))
+                if "add" in there:
+                    self.index_for_review(texts(ops["add"]))
+                if "change" in there and follow_edits:
+                    self.update_text(texts(ops["change"]))
+                if "add" in there and (self.config.is_enabled("embeddings") or self.config.is_enabled("semantic_similarity")):
+                    self.embed_missing()
+
+        self._watch = streams.start(events, handle, f"{self._place('watch', target)}/checkpoint", interval)
         return self._watch
 
+    def start_enriching(
+        self,
+        folder: str | None = None,
+        interval: str | None = "1 second",
+        readers: dict[str, extract.PageReader] | None = None,
+        timeout_ms: int = 600_000,
+        progress: jobs.Progress | None = None,
+    ) -> StreamingQuery:
+        """Run the jobs of added files and those that follow from their texts, as the configuration asks.
+
+        ``readers`` may have ``pdf``, ``ocr`` and ``transcription``.  Files
+        whose jobs gave text are marked enriched.  At most
+        ``max_concurrent_jobs`` kinds of jobs run at once; without an interval,
+        one round of what is due is run.
+        """
+        target = files.resolve_watch_dir(folder)
+        place = self._place("enrich", target)
+        limits = self.config.effective_limits
+        work = jobs.Enrichment(self.spark, f"{place}/results", self._jobs(readers or {}), self._settle, limits.max_concurrent_jobs)
+        messages = work.messages(self.folder_events(target, name="enrich"))
+        actions = jobs.track(jobs.Progress.observed(messages), self.config, timeout_ms)
+        if progress is not None:
+            self.spark.streams.addListener(progress)
+        writer = jobs.Progress.observed_actions(actions).writeStream.foreachBatch(work.handle).outputMode("update")
+        trigger = {"processingTime": interval} if interval else {"availableNow": True}
+        return writer.option("checkpointLocation", f"{place}/checkpoint").trigger(**trigger).start()
+
+    def _settle(self, outcomes: DataFrame) -> None:
+        done = outcomes.filter(F.col("outcome") == "enriched").select(F.col("path").alias("file_path"))
+        with self._writing:
+            self.mark_enriched(done)
+
+    def _jobs(self, readers: dict[str, extract.PageReader]) -> dict[str, jobs.Job]:
+        """A function per job type: (path) to (path, text), with the index brought up to date."""
+        limits = self.config.effective_limits
+
+        def content(paths_: DataFrame) -> DataFrame:
+            return folders.with_content(paths_, limits.max_file_size_mb * 1024 * 1024)
+
+        def kept(found: DataFrame, update: Callable[[DataFrame], None]) -> DataFrame:
+            """Texts as they were found, once, and the index with them."""
+            rows = stored(self.spark)(found.select("path", "text", "error_code"), "texts")
+            good = rows.filter("error_code IS NULL")
+            batch = good.select(F.col("path").alias("file_path"), paths.base_name(F.col("path")).alias("file_name"), F.col("text").alias("text_content"))
+            with self._writing:
+                self.index_for_review(batch.withColumn("text_content", F.lit("")))
+                update(batch)
+            return good.select("path", "text")
+
+        def spoken(batch: DataFrame) -> None:
+            self.update_transcript(batch.withColumnRenamed("text_content", "transcript_text"))
+
+        def mine(paths_: DataFrame) -> DataFrame:
+            return self.files.join(paths_.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+
+        def made(rows: DataFrame, column: str, update: Callable[[DataFrame], None]) -> DataFrame:
+            batch = stored(self.spark)(rows, "made")
+            with self._writing:
+                update(batch.filter(F.col(column) != ""))
+            return batch.select(F.col("file_path").alias("path"), F.col(column).alias("text"))
+
+        def text_extraction(paths_: DataFrame) -> DataFrame:
+            found = extract.extract_content(content(paths_), limits.max_file_size_mb, limits.max_pages_per_pdf, readers.get("pdf"))
+            return kept(found, self.update_text)
+
+        def ocr(paths_: DataFrame) -> DataFrame:
+            return kept(extract.ocr(content(paths_), readers.get("ocr"), limits.max_file_size_mb, limits.max_pages_per_pdf), self.update_text)
+
+        def transcription(paths_: DataFrame) -> DataFrame:
+            found = extract.transcribe(content(paths_), readers.get("transcription"), limits.max_file_size_mb, limits.max_media_minutes)
+            return kept(found, spoken)
+
+        def embeddings(paths_: DataFrame) -> DataFrame:
+            with self._writing:
+                self.embed_missing()
+            return paths_.withColumn("text", F.lit(""))
+
+        def auto_summary(paths_: DataFrame) -> DataFrame:
+            own = mine(paths_)
+            rows = enrich.summarise(own, self._embedder if self.is_semantic_model_ready() else None)
+            rows = rows.join(own.select("id", "file_path"), "id").select("file_path", F.coalesce("summary", F.lit("")).alias("description"))
+            return made(rows, "description", self.update_description)
+
+        def auto_tags(paths_: DataFrame) -> DataFrame:
+            own = mine(paths_)
+            rows = enrich.tag(own, self._embedder if self.is_semantic_model_ready() else None)
+            rows = rows.join(own.select("id", "file_path"), "id").select("file_path", X.join_tags(F.col("tags")).alias("tags"))
+            return made(rows, "tags", self.update_tags)
+
+        own = (text_extraction, ocr, transcription, embeddings, auto_summary, auto_tags)
+        return {job.__name__: job for job in own}
+
     def start_reconciling(self, folder: str, interval: str = "60 seconds") -> StreamingQuery:
         """Compare index and folder again and again, without waiting for arrivals."""
 

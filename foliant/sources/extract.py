@@ -92,18 +92,21 @@ def document_text(xml: bytes) -> str:
 
 
 def docx_to_text(content: Column) -> Column:
-    """Text of DOCX files, null where a file is not one."""
+    """(text, failure) of DOCX files; a file that cannot be read has no text, and says why."""
 
-    @F.pandas_udf("string")
-    def read(files: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("struct<text:string,failure:string>")
+    def read(files: pd.Series) -> pd.DataFrame:
+        rows = []
         for blob in files:
+            if blob is None:
+                rows.append((None, None))
+                continue
             try:
-                with zipfile.ZipFile(io.BytesIO(bytes(blob or b""))) as archive:
-                    out.append(document_text(archive.read("word/document.xml")))
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                out.append(None)
-        return pd.Series(out, dtype="object")
+                with zipfile.ZipFile(io.BytesIO(bytes(blob))) as archive:
+                    rows.append((document_text(archive.read("word/document.xml")), None))
+            except Exception as failure:  # damaged, encrypted or of an unknown method: it concerns this file alone
+                rows.append((None, f"{type(failure).__name__}: {failure}"))
+        return pd.DataFrame(rows, columns=["text", "failure"])
 
     return read(content)
 
@@ -140,7 +143,7 @@ def extract_content(
     texts = accepted.withColumn("kind", check["content_type"]).select(
         "path", "kind", plain.alias("plain"), docx.alias("docx"), pdf.alias("pdf")
     )
-    text = F.coalesce("plain", "docx", "pdf.text")
+    text = F.coalesce("plain", "docx.text", "pdf.text")
     done = texts.select(
         "path",
         F.coalesce(text, F.lit("")).alias("text"),
@@ -149,7 +152,7 @@ def extract_content(
         F.when(text.isNull(), "extraction_failed")
         .when(_too_many(F.col("pdf.total"), max_pages), "too_many_pages")
         .alias("error_code"),
-        F.col("pdf.failure").alias("detail"),
+        F.coalesce("pdf.failure", "docx.failure").alias("detail"),
     )
     return done.unionByName(rejected)
 
@@ -195,12 +198,20 @@ def _read_pages(content: Column, reader: PageReader | None, max_pages: int | Non
 
 
 def recognise(
-    scanned: DataFrame, checked: Column, reader: PageReader | None, max_pages: int | None, missing_code: str
+    scanned: DataFrame,
+    checked: Column,
+    reader: PageReader | None,
+    limit: int | None,
+    missing_code: str,
+    most: int | None,
+    over_code: str,
 ) -> DataFrame:
     """Run a pluggable recogniser over files that pass ``checked``.
 
-    Rejected files go their own way without ``content``.  Without a reader
-    every accepted file reports ``missing_code``.
+    The reader is handed ``limit``; a file whose total, in the reader's unit,
+    is above ``most`` reports ``over_code``.  Rejected files go their own way
+    without ``content``.  Without a reader every accepted file reports
+    ``missing_code``.
     """
     rejected = scanned.select("path", checked.alias("c")).filter(F.col("c.error_code").isNotNull())
     rejected = rejected.select(
@@ -208,7 +219,7 @@ def recognise(
         F.lit(None).cast("string").alias("detail"),
     )
     accepted = scanned.filter(checked["error_code"].isNull())
-    read = _read_pages(F.col("content"), reader, max_pages)
+    read = _read_pages(F.col("content"), reader, limit)
     rows = accepted.select("path", checked["content_type"].alias("content_type"), read.alias("r"))
     done = rows.select(
         "path",
@@ -216,7 +227,7 @@ def recognise(
         "content_type",
         F.coalesce("r.pages", F.lit(0)).alias("pages_processed"),
         F.when(F.col("r.text").isNull(), missing_code)
-        .when(_too_many(F.col("r.total"), max_pages), "too_many_pages")
+        .when(_too_many(F.col("r.total"), most), over_code)
         .alias("error_code"),
         F.col("r.failure").alias("detail"),
     )
@@ -226,7 +237,7 @@ def recognise(
 def ocr(scanned: DataFrame, reader: PageReader | None = None, max_mb: int | None = None, max_pages: int | None = None) -> DataFrame:
     """Recognised text with the fixed confidence of each kind of file."""
     check = check_ocr(F.col("path"), F.col("length"), F.lit(True), max_mb)
-    done = recognise(scanned, check, reader, max_pages, "ocr_failed")
+    done = recognise(scanned, check, reader, max_pages, "ocr_failed", max_pages, "too_many_pages")
     blank = F.col("error_code").isNull() & (trim_ws(F.col("text")) == "")
     return done.withColumn(
         "confidence",
@@ -237,6 +248,11 @@ def ocr(scanned: DataFrame, reader: PageReader | None = None, max_mb: int | None
 def transcribe(
     scanned: DataFrame, reader: PageReader | None = None, max_mb: int | None = None, max_minutes: int | None = None
 ) -> DataFrame:
-    """Transcripts by a pluggable reader, which gets the limit in minutes."""
+    """Transcripts by a pluggable reader: (content, minutes) to (text, seconds heard, seconds in all).
+
+    Media longer than the limit report ``media_too_long``.
+    """
     check = check_transcription(F.col("path"), F.col("length"), F.lit(True), max_mb, max_minutes)
-    return recognise(scanned, check, reader, max_minutes, "not_implemented").drop("pages_processed")
+    seconds = None if max_minutes is None else 60 * max_minutes
+    done = recognise(scanned, check, reader, max_minutes, "not_implemented", seconds, "media_too_long")
+    return done.withColumnRenamed("pages_processed", "duration_seconds")

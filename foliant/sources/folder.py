@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
     InputPartition,
     WriterCommitMessage,
 )
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from foliant.functions import paths as P
 from foliant.session import ship_package
@@ -37,6 +37,7 @@ from foliant.sources.files import resolve_watch_dir
 
 #: ``op`` is add, change or remove.  ``ts_ms`` is when the snapshot was taken, ``event_id`` ascends with snapshots.
 EVENTS = "event_id long, op string, path string, file_name string, length long, modified_ms long, ts_ms long"
+SCAN = "path string, file_name string, modified_at timestamp, length long, content binary"
 #: Files of a listing that one task compares.
 BUCKET_FILES = 50_000
 LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified_us", pa.int64())])
@@ -262,34 +263,35 @@ def folder_events(
 
 
 def with_content(events: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Files of events as a scan gives them: (path, file_name, modified_at, length, content).
+    """Files (path) of events as a scan gives them: (path, file_name, modified_at, length, content).
 
-    Each file is read where its row is.  Files above ``max_bytes`` are not
-    opened, and have no content; files that are gone meanwhile are left out,
-    their removal is another event.
+    Each file is looked up and read where its row is.  Files above
+    ``max_bytes`` are not opened, and have no content; files that are gone
+    meanwhile are left out, their removal is another event.
     """
-    rows = events.select("path", "file_name", F.timestamp_millis("modified_ms").alias("modified_at"), "length")
-    schema = StructType([*rows.schema.fields, StructField("content", BinaryType())])
 
     def run(batches):
         for batch in batches:
-            keep, contents = [], []
-            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                content = None
+            rows = []
+            for path in batch.column("path").to_pylist():
+                system, own = fs.FileSystem.from_uri(as_uri(path))
+                info, content = system.get_file_info(own), None
+                if info.type != fs.FileType.File:
+                    continue
                 try:
-                    if max_bytes is None or length <= max_bytes:
-                        system, own = fs.FileSystem.from_uri(as_uri(path))
+                    if max_bytes is None or info.size <= max_bytes:
                         with system.open_input_stream(own) as stream:
                             content = stream.read()
-                    keep.append(True)
                 except FileNotFoundError:
-                    keep.append(False)
-                contents.append(content)
-            mask = pa.array(keep, pa.bool_())
-            columns = [c.filter(mask) for c in batch.columns] + [pa.array(contents, pa.binary()).filter(mask)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "content"])
-
-    return rows.mapInArrow(run, schema)
+                    continue
+                rows.append((path, path.rsplit("/", 1)[-1], (info.mtime_ns or 0) // 1000, info.size, content))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["path", "file_name", "modified_at", "length", "content"]
+            )
+
+    return events.select("path").mapInArrow(run, SCAN)
 
 
 # --------------------------------------------------------------------------

@@ -100,12 +100,17 @@ def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
     return vectors.read_index(spark, stored_folder(spark, sf_dir, "vectors", ("documents", "embeddings"), write))
 
 
-def stored(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+class stored:  # noqa: N801  (used like a function)
     """Writes intermediate tables of one computation below a folder of its own, and reads them back."""
-    root = f"{shared_dir(spark).rstrip('/')}/work/{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/work/{uuid.uuid4().hex}"
 
-    return keep
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def discard(self) -> None:
+        """Delete the tables, once nothing is read from them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.api import Index
+from foliant.config import AppConfig
 from foliant.errors import ConcurrentUpdate, IndexNotInitialized, InvalidPath, WatcherNotRunning
 from foliant.functions.embed import hash_embedder
 from foliant.operators import rag
@@ -224,3 +225,71 @@ def test_stream_counts(spark, tmp_path):
     rows = [(i, "/p", "add", t, "w") for i, t in enumerate([0, 100, 5_000, 100_000])]
     got = drain(streams.windowed_counts(source(spark, tmp_path, rows), "1 second", "10 seconds"), tmp_path)
     assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_watch_follows_removals_and_edits(spark, ix, tmp_path):
+    """A pure removal needs no arrival; edits count when asked for; events are kept once."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name in ("a.txt", "b.txt"):
+        (inbox / name).write_text(f"{name[0]}lpha body")
+    ix.start_watching(str(inbox), interval=None).awaitTermination(180)
+    ix.keep_events(str(tmp_path / "kept"), str(inbox)).awaitTermination(180)
+    (inbox / "a.txt").unlink()
+    ix.start_watching(str(inbox), interval=None).awaitTermination(180)
+    assert [r.file_name for r in ix.files.collect()] == ["b.txt"]
+    (inbox / "b.txt").write_text("omega body instead")
+    ix.start_watching(str(inbox), interval=None, follow_edits=True).awaitTermination(180)
+    assert [r.file_name for r in ix.search_files("omega").collect()] == ["b.txt"]
+    ix.keep_events(str(tmp_path / "kept"), str(inbox)).awaitTermination(180)
+    from foliant.sources.folder import read_events
+
+    seen = sorted((r.op, r.file_name) for r in read_events(spark, str(tmp_path / "kept")).collect())
+    assert seen == [("add", "a.txt"), ("add", "b.txt"), ("change", "b.txt"), ("remove", "a.txt")]
+
+
+def test_enriching_a_folder(spark, tmp_path):
+    """Arrival, extraction, tags and outcome; one file that cannot be read stays for review."""
+    from foliant.streaming import jobs
+
+    body = "Rust is a systems language. Memory safety matters in systems programming. Compilers check memory use."
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "good.docx").write_bytes(docx_bytes(body))
+    (inbox / "bad.docx").write_bytes(b"no archive")
+    config = AppConfig(auto_tags=True, embeddings=False, semantic_similarity=False)
+    ix = Index(spark, str(tmp_path / "ix"), config)
+    ix.init_index()
+    before = spark.conf.get(jobs.STATE_STORE[0], None)
+    try:
+        for _ in range(3):
+            ix.start_enriching(str(inbox), interval=None).awaitTermination(180)
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0]) if before is None else spark.conf.set(jobs.STATE_STORE[0], before)
+    rows = {r.file_name: r for r in ix.files.collect()}
+    assert set(rows) == {"good.docx"}
+    assert rows["good.docx"].needs_review == 0 and "memory" in rows["good.docx"].tags and rows["good.docx"].text_content == body
+
+
+def test_embedder_runs_once(spark, ix, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def counting(texts):
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return [[1.0, 0.0]] * len(texts)
+
+    ix.init_semantic_model(counting, 2)
+    rows = [(f"/f{i}", f"f{i}.txt", "", f"text number {i} " * 30) for i in range(5)]
+    ix.index_files(spark.createDataFrame(rows, "file_path string, file_name string, description string, text_content string"))
+    ix.embed_missing()
+    chunks = ix.store.load("chunks").count()
+    assert ix.get_embedding_count() == chunks == len(open(log).read())
+
+
+def test_fallback_by_stored_index(spark, ix):
+    rows = [("/a.txt", "a.txt", "", "contains zebra"), ("/zebra_b.txt", "zebra_b.txt", "", "nothing"), ("/c_special.txt", "c_special.txt", "", "else")]
+    ix.index_files(spark.createDataFrame(rows, "file_path string, file_name string, description string, text_content string"))
+    assert [r.file_path for r in ix._fallback("where is the zebra", 5).collect()] == ["/a.txt", "/zebra_b.txt"]
+    assert [r.file_path for r in ix._fallback("the special thing", 5).collect()] == ["/c_special.txt"]
+    assert ix._fallback("unknown", 5).count() == 0

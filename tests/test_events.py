@@ -51,8 +51,11 @@ def test_dedup(spark, n, seed, gaps):
     assert sorted(r.event_id for r in got) == expected
 
 
+@pytest.mark.parametrize("nodes", [E.DRIVER_NODES, 0])
 @pytest.mark.parametrize(("n", "seed", "gaps"), CASES)
-def test_rate_limit(spark, n, seed, gaps):
+def test_rate_limit(spark, monkeypatch, n, seed, gaps, nodes):
+    """Ranges of one key, whose pointers are followed in one place or by doubling."""
+    monkeypatch.setattr(E, "DRIVER_NODES", nodes)
     rows = stream(n, seed, gaps)
     start, count, expected = None, 0, []
     for i, _, _, t, _ in rows:

@@ -131,3 +131,32 @@ def test_watch_folder_rules():
     assert files.default_watch_dir("/home/u").endswith("/Desktop/Foliant")
     with pytest.raises(DesktopDirNotFound):
         files.default_watch_dir("")
+
+
+def test_damaged_documents_fail_alone(spark):
+    """Whatever is wrong with one archive is told in its own row."""
+    good = docx_bytes("fine")
+    cut = bytearray(good)
+    at = cut.find(b"word/document.xml") + len("word/document.xml")
+    cut[at + 3 : at + 20] = b"\xff" * 17  # the deflated data
+    locked = bytearray(good)
+    for head, place in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.find(head) + place] |= 1  # encrypted
+    method = bytearray(good)
+    for head, place in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):
+        method[method.find(head) + place] = 99
+    rows = [(f"/{n}.docx", bytearray(b)) for n, b in (("good", good), ("cut", cut), ("locked", locked), ("method", method), ("none", b""))]
+    scanned = spark.createDataFrame([(p, len(b), b) for p, b in rows], "path string, length long, content binary")
+    got = {r.path: r for r in extract.extract_content(scanned).collect()}
+    assert got["/good.docx"].text == "fine" and got["/good.docx"].error_code is None
+    for name in ("cut", "locked", "method", "none"):
+        assert got[f"/{name}.docx"].error_code == "extraction_failed" and got[f"/{name}.docx"].detail
+
+
+def test_media_too_long(spark):
+    rows = [("/a.mp3", 1, bytearray(b"a")), ("/b.mp3", 1, bytearray(b"b"))]
+    scanned = spark.createDataFrame(rows, "path string, length long, content binary")
+    heard = lambda blob, minutes: ("words", 60, 90 if blob == b"a" else 61 * 60)
+    got = {r.path: r for r in extract.transcribe(scanned, heard, max_minutes=60).collect()}
+    assert got["/a.mp3"].error_code is None and got["/a.mp3"].duration_seconds == 60
+    assert got["/b.mp3"].error_code == "media_too_long"

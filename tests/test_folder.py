@@ -103,6 +103,7 @@ def test_content_of_events(spark, tmp_path):
     rows = [(1, "add", f"{tmp_path}/{n}", n, size, 0, 0) for n, size in [("a.txt", 4), ("big.txt", 100), ("gone.txt", 1)]]
     got = D.with_content(spark.createDataFrame(rows, D.EVENTS), max_bytes=50).collect()
     assert {r.file_name: r.content and bytes(r.content) for r in got} == {"a.txt": b"body", "big.txt": None}
+    assert {r.file_name: r.length for r in got} == {"a.txt": 4, "big.txt": 100} and all(r.modified_at.year > 2000 for r in got)
 
 
 def test_killed_batch_is_kept_once(tmp_path):
