@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -149,8 +150,14 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     stack: list[tuple[str, Aside | None, int]] = []  # element, aside around it, article or main around it
     asides: list[Aside] = []
+    #: open elements by name: an end tag without one, of which broken pages have many, is passed over at once
+    held_open: Counter[str] = Counter()
     links, containers, at = 0, 0, 0
 
+    def leave(i: int) -> None:
+        held_open.subtract(e for e, _, _ in stack[i:])
+        del stack[i:]
+
     def close() -> None:
         nonlocal linked
         if held:
@@ -188,9 +195,9 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if held_open[name] > 0 else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    leave(i)
                     break
             continue
         if name in VOID:
@@ -218,9 +225,9 @@ def blocks(page: str) -> list[Block]:
             # an open paragraph ends where the next begins
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    leave(i)
                     break
-            if links and not any(e == "a" for e, _, _ in stack):
+            if links and not held_open["a"]:
                 links = 0
         if name in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -228,6 +235,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if not m[3].endswith("/"):
             stack.append((name, inside, container))
+            held_open[name] += 1
     close()
     judged(out, asides)
     return out

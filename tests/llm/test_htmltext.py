@@ -65,3 +65,15 @@ def test_wrappers_keep_their_article():
         assert main_text(f'<div class="{part}"><p>{PROSE}</p></div>{text}') == f"{PROSE}{PROSE}".strip(), part
     assert main_text(f"<form><p>{PROSE}</p></form>{text}") == f"{PROSE}{PROSE}".strip()
     assert main_text("<form>" * 5000 + f"<p>{PROSE}") == PROSE.strip()
+
+
+def test_many_unmatched_tags_take_linear_time():
+    """A megabyte of open elements and end tags without a beginning."""
+    import time
+
+    from foliant.llm.htmltext import blocks
+
+    for page in ("<b>" * 150_000 + "</i>" * 150_000, "<a>" + "<b>" * 100_000 + "<p>x" * 100_000, "<div><p>one</div></div></span>two"):
+        start = time.perf_counter()
+        blocks(page)
+        assert time.perf_counter() - start < 10
