@@ -4,12 +4,16 @@ A page is cut into blocks at block elements.  The first pass classifies each
 block by its length, link density and stop-word density:
 
 * blocks inside elements that never hold the article (navigation, forms,
-  scripts ...), or inside elements with a class, id or role that as a whole
-  names such a part, are bad; names never condemn ``html``, ``body``, ``main``,
-  ``article`` or an element that contains one of the last two, and forms around
-  one of these or around most of the page are neutral;
+  scripts ...), or inside elements with a class, id or role that names such a
+  part, are bad.  Names never condemn ``html`` or ``body``, and what holds an
+  ``article`` or ``main`` only where one of at least its size stands outside
+  such parts (for comments: where any stands outside).  Forms, and elements
+  whose name only begins or ends with the word of a part, are neutral around
+  most of the page;
 * blocks of mostly links are bad;
-* long blocks with enough stop words are good, without them bad;
+* long blocks with enough stop words are good, without them bad; where the page
+  as a whole has few known stop words, its own frequent short words take their
+  place, and blocks with ends of sentences count as prose;
 * blocks of middle length are good or near good by their stop words;
 * short blocks, and blocks without a verdict, are ambiguous.
 
@@ -73,42 +77,64 @@ BESIDE = frozenset(
     "area articles bar block bottom box buttons container form global group icons inner item items link links list main outer page"
     " panel posts primary secondary section site slot stories top unit wrap wrapper".split()
 )
+#: Words that name a part where a longer name begins or ends with them, and those that deny it.
+EDGE = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|menu|nav|navbar|navigation|newsletter|"
+    r"notice|pagination|popup|promo|related|replies|reply|sharing|sidebar|sponsor\w*|subscribe",
+    re.I,
+)
+DENIED = frozenset("has is no not tag tags with without".split())
+COMMENTS = re.compile(r"comments?|disqus|replies|reply", re.I)
 BETWEEN = re.compile(r"[-_]+")
 ARTICLE = frozenset(("article", "main"))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\u2026](?:\s|$)|[\u0964\u3002\uff01\uff1f]")
 
 LONG, SHORT = 200, 70
 LINKS_MOST = 0.5
-#: A form with more than this share of the page's text is neutral.
-FORM_MOST = 0.5
-STOPS_HIGH, STOPS_LOW = 0.25, 0.12
+#: A form, or an element with a doubtful name, with more than this share of the page's text is neutral.
+SOFT_MOST = 0.5
+#: Words of a page that stand in for unknown stop words: at most so long, found at least so often.
+STOP_LENGTH, STOP_COUNT = 4, 2
+#: Prose ends a sentence at least once in so many characters.
+SENTENCE_MOST = 400
+STOPS_LOW = 0.12
 
 
 @lru_cache(maxsize=4096)
-def names_part(name: str) -> bool:
-    """Does the whole of a class, id or role name a part?  ``tag-x`` and ``has-sidebar`` do not."""
+def names_part(name: str) -> str:
+    """What a class, id or role says: ``whole`` or ``edge`` of it names a part, ``comments`` being one of its own, or nothing."""
     words = [w for w in BETWEEN.split(name.lower()) if w]
-    if len(words) > 1 and words[0] == "tag":
-        return False
+    if not words or (len(words) > 1 and words[0] in DENIED):
+        return ""
     parts = [bool(PART.fullmatch(w)) for w in words]
-    return any(parts) and all(part or w in BESIDE for part, w in zip(parts, words, strict=True))
+    whole = any(parts) and all(part or w in BESIDE for part, w in zip(parts, words, strict=True))
+    if not (whole or EDGE.fullmatch(words[0]) or EDGE.fullmatch(words[-1])):
+        return ""
+    comments = COMMENTS.fullmatch(words[0]) or COMMENTS.fullmatch(words[-1])
+    return ("whole" if whole else "edge") + (" comments" if comments else "")
 
 
 class Aside:
     """An element that may condemn what it contains.
 
-    ``hard`` ones always do, named ones unless spared, forms unless spared or
-    around most of the page.  ``outer`` is the next such element around.
+    ``hard`` ones always do, named ones unless spared, ``soft`` ones unless
+    spared or around most of the page.  ``outer`` is the next such element
+    around, ``within`` tells whether it or one around is named, ``holds`` is the
+    size of the largest article inside.
     """
 
-    __slots__ = ("outer", "hard", "form", "spared", "bad", "size")
+    __slots__ = ("outer", "hard", "soft", "named", "within", "comments", "holds", "spared", "bad", "size")
 
-    def __init__(self, outer: Aside | None, hard: bool, form: bool):
-        self.outer, self.hard, self.form = outer, hard or (outer is not None and outer.hard), form
-        self.spared, self.bad, self.size = False, False, 0
+    def __init__(self, outer: Aside | None, hard: bool, named: str = "", form: bool = False):
+        self.outer, self.hard, self.named = outer, hard or (outer is not None and outer.hard), bool(named)
+        self.soft = not named.startswith("whole") if named else form
+        self.within = self.named or (outer is not None and outer.within)
+        self.comments = "comments" in named or (outer is not None and outer.comments)
+        self.holds, self.spared, self.bad, self.size = -1, False, False, 0
 
 
 class Block:
@@ -119,10 +145,29 @@ class Block:
         self.aside, self.label = False, ""
 
 
+def spare(found: list[Block], asides: list[Aside], homes: list[tuple[int, Aside | None]]) -> None:
+    """Spares elements that hold the article.  ``homes`` lists every article with the element around it."""
+    size: Counter[int] = Counter()
+    for block in found:
+        size[block.container] += len(block.text)
+    free = 0
+    for container, x in homes:
+        if x is not None:
+            x.holds = max(x.holds, size[container])
+        if x is None or not (x.within or x.hard):
+            free = max(free, size[container])
+    for x in reversed(asides):
+        if x.outer is not None:
+            x.outer.holds = max(x.outer.holds, x.holds)
+    for x in asides:
+        x.spared = x.holds >= 0 and not (x.named and free and (x.comments or free >= x.holds))
+        x.soft = x.soft and not (x.comments and free)
+
+
 def judged(found: list[Block], asides: list[Aside]) -> None:
     """Settles which elements, listed from the outside in, condemn their blocks."""
     for x in asides:
-        x.bad = x.hard or (x.outer is not None and x.outer.bad) or not (x.form or x.spared)
+        x.bad = x.hard or (x.outer is not None and x.outer.bad) or not (x.soft or x.spared)
     total = 0
     for block in found:
         x = block.within
@@ -134,13 +179,17 @@ def judged(found: list[Block], asides: list[Aside]) -> None:
         if x.outer is not None:
             x.outer.size += x.size
     for x in asides:
-        x.bad = x.bad or (x.outer is not None and x.outer.bad) or (x.form and not x.spared and x.size <= FORM_MOST * total)
+        x.bad = x.bad or (x.outer is not None and x.outer.bad) or (x.soft and not x.spared and x.size <= SOFT_MOST * total)
     for block in found:
         block.aside = block.within is not None and block.within.bad
 
 
-def _named(attributes: str) -> bool:
-    return bool(attributes) and any(names_part(w) for x in ATTRIBUTE.findall(attributes) for w in next(filter(None, x), "").split())
+def _named(attributes: str) -> str:
+    """The strongest that the names of an element say."""
+    if not attributes:
+        return ""
+    said = {names_part(w) for x in ATTRIBUTE.findall(attributes) for w in next(filter(None, x), "").split()}
+    return max(said, default="")
 
 
 def blocks(page: str) -> list[Block]:
@@ -150,6 +199,7 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     stack: list[tuple[str, Aside | None, int]] = []  # element, aside around it, article or main around it
     asides: list[Aside] = []
+    homes: list[tuple[int, Aside | None]] = []
     #: open elements by name: an end tag without one, of which broken pages have many, is passed over at once
     held_open: Counter[str] = Counter()
     links, containers, at = 0, 0, 0
@@ -205,20 +255,18 @@ def blocks(page: str) -> list[Block]:
         inside, container = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
         if name in ("html", "body"):
             inside = None
-        elif name in ARTICLE:
-            x = inside
-            while x is not None and not x.spared:
-                x.spared, x = True, x.outer
         else:
+            named = _named(m[3])
             # a header within an article is its title
             aside = name in ASIDE and not (name == "header" and container)
-            hard = aside and name != "form"
-            if hard or aside or _named(m[3]):
-                inside = Aside(inside, hard, name == "form" and not _named(m[3]))
+            # a doubtful name says nothing of an article
+            if aside or (named and not (name in ARTICLE and named == "edge")):
+                inside = Aside(inside, aside and name != "form", named, name == "form")
                 asides.append(inside)
         if name in ARTICLE and not (inside is not None and inside.hard):
             containers += 1
             container = containers
+            homes.append((container, inside))
         if name == "a":
             links += 1
         if name == "p":
@@ -237,11 +285,21 @@ def blocks(page: str) -> list[Block]:
             stack.append((name, inside, container))
             held_open[name] += 1
     close()
+    spare(out, asides, homes)
     judged(out, asides)
     return out
 
 
-def first_pass(block: Block) -> str:
+def page_words(found: list[Block]) -> frozenset[str] | None:
+    """The page's own stop words where it has few known ones, else none."""
+    words = [w for b in found if not b.aside and b.linked <= LINKS_MOST * len(b.text) and len(b.text) >= SHORT for w in WORD.findall(b.text.lower())]
+    if not words or sum(w in STOP_WORDS for w in words) >= STOPS_LOW * len(words):
+        return None
+    return frozenset(w for w, n in Counter(words).items() if n >= STOP_COUNT and len(w) <= STOP_LENGTH)
+
+
+def first_pass(block: Block, own: frozenset[str] | None = None) -> str:
+    """The first label of a block; ``own`` are the page's stop words where the known ones do not fit."""
     if block.aside:
         return "bad"
     size = len(block.text)
@@ -250,10 +308,10 @@ def first_pass(block: Block) -> str:
     if block.heading or size < SHORT:
         return "short"
     words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS_HIGH:
-        return "good" if size >= LONG else "near"
-    if stops >= STOPS_LOW:
+    known = STOP_WORDS if own is None else STOP_WORDS | own
+    stops = sum(w in known for w in words) / max(1, len(words))
+    prose = own is not None and len(SENTENCE.findall(block.text)) * SENTENCE_MOST >= size
+    if stops >= STOPS_LOW or prose:
         return "good" if size >= LONG else "near"
     return "short" if block.container or size < LONG else "bad"
 
@@ -297,8 +355,9 @@ def second_pass(found: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
+    own = page_words(found)
     for block in found:
-        block.label = first_pass(block)
+        block.label = first_pass(block, own)
     second_pass(found)
     return " ".join(b.text for b in found if b.label == "good")
 

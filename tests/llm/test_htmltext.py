@@ -77,3 +77,52 @@ def test_many_unmatched_tags_take_linear_time():
         start = time.perf_counter()
         blocks(page)
         assert time.perf_counter() - start < 10
+
+
+def test_comments_notices_and_sidebars_go():
+    text, other = f"<p>{PROSE}</p><p>{PROSE}</p>", f"<p>A reader said that {PROSE}</p>"
+    kept = f"{PROSE}{PROSE}".strip()
+    for part in ("comment-content", "comment-text", "comment__body", "cookie-notice-text", "sidebar-left", "left-sidebar", "newsletter-signup-form"):
+        assert main_text(f'{text}<div class="{part}">{other}</div>') == kept, part
+    comments = "".join(f'<article class="comment"><div class="comment-content">{other}{other}</div></article>' for _ in range(3))
+    assert main_text(f'<article>{text}</article><section class="comments">{comments}</section>') == kept
+    assert main_text(f'<main><article>{text}<section class="comments">{comments}</section></article></main>') == kept
+    assert main_text(f"<article>{text}</article>{comments}") == kept
+    assert main_text(f'<article>{text}</article><div class="related"><article>{other}</article></div>') == kept
+    # a page of nothing else keeps its article, and names in the middle or denied say nothing
+    assert main_text(f'<section class="comments"><article>{text}</article></section>') == kept
+    for name in ("no-comments", "has-sidebar", "the-comments-page", "post-header", "sidebar-left"):
+        assert main_text(f'<div class="{name}">{text}</div>') == kept, name
+
+
+def test_languages_without_known_stop_words():
+    russian = (
+        "В начале года город жил тихо, и никто не думал о том, что скоро всё изменится. Люди ходили на работу, дети шли в школу, а по"
+        " вечерам все собирались у реки. Но однажды утром на площади появился человек, и он сказал, что в городе больше нет хлеба."
+    )
+    turkish = (
+        "Bu sabah deniz çok sakindi ve balıkçılar erkenden yola çıktı. Bir çocuk iskelede durup onlara el salladı. Akşam olunca hava"
+        " bozdu, rüzgar sertleşti ve tekneler birer birer limana döndü. Herkes evine gitti, sokaklar boş kaldı."
+    )
+    chinese = "今天早上天气很好，我们决定去山上走一走。路上遇到了很多人，大家都很高兴。" * 8
+    for text in (russian, turkish, chinese):
+        assert main_text(f"<div><nav><a href=x>A</a></nav><div><p>{text}</p><p>{text}</p></div></div>") == f"{text} {text}"
+    # a long list of words is no prose
+    words = " ".join(f"слово{chr(1072 + i % 30)}{chr(1072 + i // 30)}" for i in range(80))
+    assert main_text(f"<div>{words}</div><p>{russian}</p>") == russian
+
+
+def test_quotes_count_behind_an_equals_sign_alone():
+    text = f"<p>{PROSE}</p>"
+    assert main_text(f"<div><p data-x=Don't>{PROSE}</p><p>It isn't so. {PROSE}</p></div>") == f"{PROSE}It isn't so. {PROSE}".strip()
+    assert main_text(f"<p title='a > b' data-y = \"x > y\">{PROSE}</p>") == PROSE.strip()
+    assert main_text(f'{text}<p data-x="open>{PROSE}') == f"{PROSE}{PROSE}".strip()
+
+
+def test_many_quotes_take_linear_time():
+    import time
+
+    for page in ("<p a=" + "='" * 300_000, "<p " + "a=\"" * 200_001 + "x", "<p a='" * 150_001, '<article class="comment">' * 20_000 + PROSE):
+        start = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - start < 10
