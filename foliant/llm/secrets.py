@@ -11,9 +11,12 @@ points, end exclusive):
 Weak candidates say little alone: an access identifier, a secret-like word (long,
 letters and digits mixed) or an endpoint (a host name, address or URL).  They
 are linked by an interval join within scopes.  A scope is a paragraph (text
-between blank lines).  A weak secret that is the value of a name, as in JSON or
-INI entries, joins with every part of its scope; for bare words at most
-``REACH`` code points lie between two parts.  A weak secret is reported only
+between blank lines), whatever its length.  How weak a candidate is decides how
+it joins: the value of a name, as in JSON or INI entries, and a bare word whose
+neighbouring characters change between capitals, small letters and digits in a
+share of at least ``MIXED_LEAST`` join with every part of their scope.  Bare
+words below it, which may be product names or slugs, need a part within
+``REACH`` code points.  A weak secret is reported only
 beside an identifier or an endpoint, an endpoint only beside a secret, an
 identifier that is no base finding only beside a secret.  The join is a search
 in sorted positions, so it takes n log n time for any number of parts in a scope
@@ -22,7 +25,7 @@ and lists no pairs.  Parts that overlap a base finding are that finding.
 A URL is cut at the base findings and keys it holds: values of its query, user
 data before the host, and parts of its path other than words and numbers joined
 by hyphens.  Its other pieces are endpoints.  Host names may have any top-level
-domain in one case of letters.
+domain in one case of letters.  Every pattern is linear in the text, whatever its bytes.
 
 Null and empty texts have no findings.
 """
@@ -40,6 +43,7 @@ from pyspark.sql import functions as F
 from foliant.llm.arrays import sliced
 
 REACH = 200
+MIXED_LEAST = 0.2
 
 
 def _either(word: str) -> str:
@@ -53,15 +57,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Other names that give an identifier, and values that look like keys.
 IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.A | re.I)
 KEY_LIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(
-    r"https?://[A-Za-z0-9.-]+[^\s\"'<>]*"
-    r"|(?<![A-Za-z0-9_-])(?<![A-Za-z0-9]\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[a-z]{2,63}|[A-Z]{2,63}|[Xx][Nn]--[A-Za-z0-9-]{2,59})(?![A-Za-z0-9_-])(?::[0-9]+)?"
-    r"|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]+\b",
-    re.A,
-)
+URL = re.compile(r"https?://(?=[A-Za-z0-9.-])")
+URL_END = re.compile(r"[\s\"'<>]|\Z")
+#: Runs that may hold a host name, its last label and its port.
+RUN = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]*+\.[A-Za-z0-9.-]*+")
+TOP_LEVEL = re.compile(r"[a-z]{2,63}|[A-Z]{2,63}|[Xx][Nn]--[A-Za-z0-9-]{2,59}")
+PORT = re.compile(r":[0-9]+")
+ADDRESS = re.compile(r"\b(?=([0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]+\b))", re.A)
 #: A URL's user data and host, the words behind them, and parts of a path that are words.
 AUTHORITY = re.compile(r"https?://(?:([^\s\"'<>/?#]*)@)?[^\s\"'<>/?#@]*")
-URL_VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_%~.-]{16,}=*|[A-Za-z0-9+_%~-]{16,}=*(?![^/?#&;,:@.)\]}|!$*(])")
+URL_VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_%~.-]{16,}=*|(?<![A-Za-z0-9+_%~-])[A-Za-z0-9+_%~-]{16,}+=*+(?![^/?#&;,:@.)\]}|!$*(])")
 URL_USER = re.compile(r"[^:@]{16,}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 TITLE = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_+~]+(?:[A-Za-z]+|[0-9]+))*")
@@ -127,8 +132,51 @@ def url_keys(url: str) -> list[tuple[int, int]]:
 
 def path_keys(url: str, at: int) -> list[tuple[int, int]]:
     """Those behind a place."""
-    found = (m for m in URL_VALUE.finditer(url, at) if MIXED.match(m[0]))
-    return [m.span() for m in found if url[m.start() - 1] == "=" or not TITLE.fullmatch(m[0])]
+    found = (m for m in URL_VALUE.finditer(url[at:]) if MIXED.match(m[0]))
+    return [(at + m.start(), at + m.end()) for m in found if url[at + m.start() - 1] == "=" or not TITLE.fullmatch(m[0])]
+
+
+def hosts(text: str) -> list[Span]:
+    """Host names: labels joined by single dots up to the last that can be a top-level domain, with a port behind it."""
+    out = []
+    for m in RUN.finditer(text):
+        at = m.start()
+        begin, end = None, None
+        # a name begins at the run, and behind an empty label or one that ends in a hyphen
+        free = not (at and text[at - 1] == "_")
+        for label in (*m[0].split("."), ""):
+            stop = at + len(label)
+            if not label:
+                if end is not None:
+                    port = PORT.match(text, end)
+                    out.append((begin, port.end() if port else end, "endpoint"))
+                begin, end, free = None, None, True
+            elif begin is None:
+                begin = at if free else None
+                free = label[-1] == "-"
+            elif TOP_LEVEL.fullmatch(label) and text[stop : stop + 1] != "_":
+                end = stop
+            at = stop + 1
+    return out
+
+
+def endpoints_of(text: str) -> list[Span]:
+    """URLs, host names and addresses with a port, leftmost and non-overlapping."""
+    found = [(m.start(), 0, m.end()) for m in URL.finditer(text)] if "://" in text else []
+    found += [(s, 1, e) for s, e, _ in hosts(text)] + [(m.start(1), 2, m.end(1)) for m in ADDRESS.finditer(text)]
+    out, at = [], 0
+    for s, kind, e in sorted(found):
+        if s >= at:
+            e = e if kind else URL_END.search(text, e).start()
+            out.append((s, e, "endpoint"))
+            at = e
+    return out
+
+
+def mixed_share(word: str) -> float:
+    """How often neighbouring letters and digits of a word differ in kind: capital, small, digit."""
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 for c in word if c.isalnum()]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
 
 
 def cut_urls(endpoints: list[Span], text: str, taken: Places) -> tuple[list[Span], list[Span]]:
@@ -168,7 +216,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates whose complementary parts co-occur."""
     taken = Places(merged(base))
     free = lambda found: [x for x in found if not taken.touches(x[0], x[1])]
-    endpoints, keys = cut_urls([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)], text, taken) if "." in text or "://" in text else ([], [])
+    endpoints, keys = cut_urls(endpoints_of(text), text, taken) if "." in text or "://" in text else ([], [])
     marked = ":" in text or "=" in text
     identifiers = free([(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)]) if marked else []
     if not (endpoints or identifiers or any(k == "access" for _, _, k in base)):
@@ -180,7 +228,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         for _, end, _ in other.within(s, e)[-1:]:
             keys += [(s + a, s + b, "secret") for a, b in path_keys(text[s:e], end - s)]
     secrets = [x for x in secrets if not other.touches(x[0], x[1])]
-    values = Places([x for x in secrets if is_value(text, x[0], x[1])])
+    values = Places([x for x in secrets if is_value(text, x[0], x[1]) or mixed_share(text[x[0] : x[1]]) >= MIXED_LEAST])
     secrets += keys
     strong_secret = Places(merged([x for x in base if x[2] in ("assign", "hex")] + secrets))
     anchors = Places(merged(endpoints + identifiers + [x for x in base if x[2] == "access"]))
