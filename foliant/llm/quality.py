@@ -1,7 +1,10 @@
 """Quality rules: word and symbol counts, and compression bands.
 
 The compression verdict looks at zstandard ratios (raw bytes / compressed
-bytes) of the whole text and of its consecutive fixed chunks.  Repetitive text
+bytes) of the whole text and of its consecutive fixed chunks, which cover every
+byte: a last piece shorter than a chunk can be judged by goes with the chunk
+before it, and a text as short as that is one chunk under the limits of whole
+texts of its length.  Repetitive text
 compresses too well, noise hardly at all; short texts carry frame overhead and
 little context, so the limits depend on the length.  A null text has no words.
 """
@@ -47,6 +50,14 @@ def band_of(bands: tuple[Band, ...], size: int) -> Band:
     return next(b for b in reversed(bands) if size >= b.from_bytes)
 
 
+def chunk_borders(start: int, end: int) -> list[tuple[int, int]]:
+    """Consecutive chunks of a text; a tail too short to be judged is part of the last."""
+    cuts = list(range(start, end, CHUNK_BYTES))
+    if len(cuts) > 1 and end - cuts[-1] < CHUNK.from_bytes:
+        cuts.pop()
+    return list(zip(cuts, [*cuts[1:], end], strict=True))
+
+
 def repeated_words(words: Words) -> np.ndarray:
     """Per text: words covered by windows of 3 words that occur twice or more in the text."""
     h, owner = words.hashes, words.owner()
@@ -108,14 +119,12 @@ def measure(column: pa.Array, compressor) -> list[np.ndarray]:
         if a == b:
             continue
         ratio[i] = (b - a) / len(compressor.compress(raw[a:b]))
-        for at in range(a, b, CHUNK_BYTES):
-            size = min(b, at + CHUNK_BYTES) - at
-            if size < CHUNK.from_bytes:
-                break
-            chunks[i] += 1
-            own = size / len(compressor.compress(raw[at : at + size]))
-            bad[i] += not CHUNK.low <= own <= CHUNK.high
         band = band_of(WHOLE, b - a)
+        for at, end in chunk_borders(a, b):
+            limits = CHUNK if end - at >= CHUNK.from_bytes else band
+            own = (end - at) / len(compressor.compress(raw[at:end]))
+            bad[i] += not limits.low <= own <= limits.high
+            chunks[i] += 1
         kept[i] &= band.low <= ratio[i] <= band.high and bad[i] <= CHUNK_SHARE * chunks[i]
     return [counts, per_text(leads), per_text(symbols), repeated_lines(data, words), repeats, ratio, bad, chunks, failed, kept]
 

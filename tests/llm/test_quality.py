@@ -31,8 +31,10 @@ def band_verdict(text):
     ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
     band = [b for b in quality.WHOLE if len(raw) >= b.from_bytes][-1]
     chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
-    chunks = [c for c in chunks if len(c) >= 1024]
-    bad = sum(not quality.CHUNK.low <= ratio(c) <= quality.CHUNK.high for c in chunks)
+    if len(chunks) > 1 and len(chunks[-1]) < 1024:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    limits = [quality.CHUNK if len(c) >= 1024 else band for c in chunks]
+    bad = sum(not x.low <= ratio(c) <= x.high for x, c in zip(limits, chunks, strict=True))
     return band.low <= ratio(raw) <= band.high and bad <= len(chunks) / 2
 
 
@@ -74,3 +76,10 @@ def test_slices_do_not_matter(cut):
     own = zstandard.ZstdCompressor(level=3)
     parts = [quality.measure(b.column("text"), own) for b in sliced(iter([batch]), "text", cut)]
     assert [x for p in parts for x in p[4].tolist()] == [brute(t)[4] for t in texts]
+
+
+def test_chunks_cover_every_byte():
+    for size, expected in ((1, [1]), (1023, [1023]), (4096, [4096]), (4097, [4097]), (5119, [5119]), (5120, [4096, 1024]), (9000, [4096, 4904])):
+        borders = quality.chunk_borders(7, 7 + size)
+        assert [b - a for a, b in borders] == expected
+        assert borders[0][0] == 7 and borders[-1][1] == 7 + size and all(x[1] == y[0] for x, y in zip(borders, borders[1:], strict=False))
