@@ -14,6 +14,11 @@ All phrases are searched backward at once, word by word; an occurrence is
 located by stepping back to a kept position.  Occurrences are merged into
 removal spans per text.
 
+Test items are cut into blocks by tasks, each written as an Arrow file to the
+shared folder and listed in a stored table.  Tasks that hold a shard read the
+blocks one by one, so neither the driver nor a broadcast carries test items.
+The files stay until the caller deletes the work folder.
+
 Phrases: windows of ``WINDOW`` consecutive words of a test item, or the whole
 item if it has fewer words but at least one.  Null or wordless texts and items
 have no occurrences.  Items that repeat an id count as one item.
@@ -22,21 +27,27 @@ have no occurrences.  Items that repeat an id count as one item.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import ALNUM, Words, sliced, text_bytes
+from foliant.llm.common import Scratch
+from foliant.llm.tokenfiles import as_uri
 
 WINDOW = 10
 SAMPLE = 16
 #: Text bytes of one shard.
 SHARD_BYTES = 2 << 20
-#: Bytes of test items broadcast at a time; a larger test set is searched block by block.
+#: Bytes of test items of one block (or one item); a larger test set is searched block by block.
 BLOCK_BYTES = 1 << 20
+#: Bytes of blocks a task holds on to; others are read again for its next shard.
+HELD_BYTES = 64 << 20
 
 
 class Phrases:
@@ -59,6 +70,29 @@ class Phrases:
             self.symbols[i, : len(row)] = row
         self.items = [sorted(str(x) for x in windows[r] if x is not None) for r in rows]
 
+    @property
+    def nbytes(self) -> int:
+        return self.vocabulary.nbytes + self.lengths.nbytes + self.symbols.nbytes
+
+    def table(self) -> pa.Table:
+        """The block as a table of one row."""
+        columns = {
+            "vocabulary": (self.vocabulary, pa.uint64()),
+            "lengths": (self.lengths, pa.int64()),
+            "symbols": (self.symbols.ravel(), pa.int64()),
+        }
+        rows = {name: pa.array([values], pa.list_(kind)) for name, (values, kind) in columns.items()}
+        return pa.table({**rows, "items": pa.array([self.items], pa.list_(pa.list_(pa.string())))})
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Phrases:
+        made = cls.__new__(cls)
+        values = {name: table.column(name).combine_chunks().flatten().to_numpy() for name in ("vocabulary", "lengths", "symbols")}
+        made.vocabulary, made.lengths = values["vocabulary"], values["lengths"]
+        made.symbols = values["symbols"].reshape(-1, WINDOW)
+        made.items = table.column("items")[0].as_py()
+        return made
+
 
 class WaveletMatrix:
     """Ranks of symbols over a sequence, one bit level at a time."""
@@ -211,25 +245,73 @@ def shard_hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
     return word[index.locate(rows)], phrases.lengths[which], which
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Phrases]:
-    """The test items in blocks of at most ``BLOCK_BYTES`` (or one item) each."""
-    held, size = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        own = len((row["t"] or "").encode())
-        if held and size + own > BLOCK_BYTES:
-            yield Phrases(held)
-            held, size = [], 0
-        held.append((row["i"], row["t"]))
-        size += own
-    if held:
-        yield Phrases(held)
+class Blocks:
+    """The stored blocks of test items, as a task reads them."""
+
+    def __init__(self, folder: str, directory: str):
+        self.folder, self.directory = folder, directory
+        self.names: list[str] | None = None
+        self.held: dict[str, Phrases] = {}
+        self.size = 0
+
+    def __iter__(self) -> Iterator[Phrases]:
+        import pyarrow.dataset as ds
+
+        if self.names is None:
+            system, base = fs.FileSystem.from_uri(as_uri(self.directory))
+            self.names = sorted(ds.dataset(base, filesystem=system, format="parquet").to_table().column("name").to_pylist())
+        for name in self.names:
+            if name in self.held:
+                yield self.held[name]
+                continue
+            system, base = fs.FileSystem.from_uri(self.folder)
+            with system.open_input_file(f"{base}/{name}") as file:
+                block = Phrases.of(pa.ipc.open_file(file).read_all())
+            # blocks come round in one order: the first that fit stay, the others are read each time
+            if self.size + block.nbytes <= HELD_BYTES:
+                self.held[name], self.size = block, self.size + block.nbytes
+            yield block
+
+
+def blocks(items: DataFrame, id_col: str, text_col: str) -> Blocks:
+    """Write the test items as blocks of at most ``BLOCK_BYTES`` (or one item) each."""
+    scratch = Scratch(items.sparkSession, "phrases")
+    folder, most = as_uri(f"{scratch.root}/blocks"), BLOCK_BYTES
+    own = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+
+        def written(held: list) -> pa.RecordBatch:
+            system.create_dir(base, recursive=True)
+            # a repeated task writes files of other names; those that count are the listed ones
+            name, table = f"{uuid.uuid4().hex}.arrow", Phrases(held).table()
+            with system.open_output_stream(f"{base}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as writer:
+                writer.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+        held, size = [], 0
+        for batch in sliced(batches, "t"):
+            for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                more = len((text or "").encode())
+                if held and size + more > most:
+                    yield written(held)
+                    held, size = [], 0
+                held.append((i, text))
+                size += more
+        if held:
+            yield written(held)
+
+    parts = max(1, min(total["n"], -(-total["bytes"] // most)))
+    return Blocks(folder, scratch.stored(own.repartition(parts, "i", "t").mapInArrow(run, "name string"), "directory")[1])
 
 
 class Shards:
     """Cuts batches into shards, indexes each and marks the words that phrases cover."""
 
-    def __init__(self, broadcasts: list, column: str):
-        self.broadcasts, self.column = broadcasts, column
+    def __init__(self, phrases: Blocks, column: str):
+        self.phrases, self.column = phrases, column
 
     def __call__(self, batches):
         for batch in sliced(batches, self.column, SHARD_BYTES):
@@ -237,11 +319,7 @@ class Shards:
             words = Words(data, offsets, ALNUM, fold=True)
             depth = np.zeros(len(words.hashes) + 1, dtype=np.int64)
             items: dict[int, set[str]] = {}
-            for broadcast in self.broadcasts:
-                phrases = broadcast.value
-                if len(self.broadcasts) > 1:
-                    # one block at a time in a worker's memory: it is read again for the next shard
-                    broadcast.__dict__.pop("_value", None)
+            for phrases in self.phrases:
                 at, length, which = shard_hits(words, phrases)
                 np.add.at(depth, at, 1)
                 np.add.at(depth, at + length, -1)
@@ -251,17 +329,13 @@ class Shards:
             yield batch, data, offsets, words, np.cumsum(depth)[:-1] > 0, items
 
 
-def send(spark, items: DataFrame, id_col: str, text_col: str) -> list:
-    return [spark.sparkContext.broadcast(p) for p in blocks(items, id_col, text_col)]
-
-
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated and the removal spans.
 
     ``spans`` are byte ranges of the UTF-8 text, end exclusive, each from the
     first to the last word of a merged run of hit words.
     """
-    shards = Shards(send(docs.sparkSession, items, "item_id", "text"), "text")
+    shards = Shards(blocks(items, "item_id", "text"), "text")
     schema = (
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean,"
         " spans array<struct<start: long, end: long>>"
@@ -309,14 +383,13 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     counted anew.  Words on both sides of a cut can form a phrase again; the
     text is searched until none is left.
     """
-    broadcasts = send(docs.sparkSession, items, "item_id", "text")
-    shards = Shards(broadcasts, text_col)
+    shards = Shards(blocks(items, "item_id", "text"), text_col)
     counts = "n_chars" in docs.columns
 
     def once(texts: list[str]) -> list[str]:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["t"])
         out = []
-        for part, data, offsets, words, hit, _ in Shards(broadcasts, "t")(iter([batch])):
+        for part, data, offsets, words, hit, _ in Shards(shards.phrases, "t")(iter([batch])):
             out += [cut_out(data, offsets, words, hit, i) for i in range(part.num_rows)]
         return out
 

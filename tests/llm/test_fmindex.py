@@ -103,6 +103,21 @@ def test_blocks_of_items_give_the_same(spark, docs, monkeypatch):
     assert fmindex.contamination(docs(rows), items_table(spark, items)).collect() == whole
 
 
+def test_blocks_are_read_back_as_written(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k % 7}x{j}" for j in range(k))) for k in range(40)] + [(None, "lone words"), (41, None), (42, "")]
+    monkeypatch.setattr(fmindex, "BLOCK_BYTES", 200)
+    found = fmindex.blocks(items_table(spark, rows), "item_id", "text")
+    first, again = ([(b.vocabulary[row[:n] - 1].tolist(), names) for b in found for row, n, names in zip(b.symbols, b.lengths, b.items, strict=True)] for _ in range(2))
+    assert len(found.names) > 5 and first == again
+    known = {}
+    for window, names in first:
+        known.setdefault(tuple(window), set()).update(names)
+    assert sorted(map(sorted, known.values())) == sorted(sorted(str(x) for x in v if x is not None) for v in windows(rows).values())
+    monkeypatch.setattr(fmindex, "HELD_BYTES", 0)
+    found.held, found.size = {}, 0
+    assert len(list(found)) == len(found.names) and all(b.nbytes == 0 for b in found.held.values())
+
+
 def test_cleaned_texts_hold_no_window(spark, docs, small_dir):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
     known = windows(items)
