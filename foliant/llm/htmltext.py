@@ -32,6 +32,7 @@ import html
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,7 +90,6 @@ BETWEEN = re.compile(r"[-_]+")
 ARTICLE = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\u2026](?:\s|$)|[\u0964\u3002\uff01\uff1f]")
 
@@ -138,11 +138,16 @@ class Aside:
 
 
 class Block:
-    __slots__ = ("text", "linked", "within", "aside", "heading", "container", "label")
+    __slots__ = ("text", "linked", "within", "aside", "heading", "container", "label", "_words")
 
     def __init__(self, text: str, linked: int, within: Aside | None, heading: bool, container: int):
         self.text, self.linked, self.within, self.heading, self.container = text, linked, within, heading, container
-        self.aside, self.label = False, ""
+        self.aside, self.label, self._words = False, "", None
+
+    def words(self) -> list[str]:
+        if self._words is None:
+            self._words = WORD.findall(self.text.lower())
+        return self._words
 
 
 def spare(found: list[Block], asides: list[Aside], homes: list[tuple[int, Aside | None]]) -> None:
@@ -205,13 +210,14 @@ def blocks(page: str) -> list[Block]:
     links, containers, at = 0, 0, 0
 
     def leave(i: int) -> None:
-        held_open.subtract(e for e, _, _ in stack[i:])
+        for e, _, _ in stack[i:]:
+            held_open[e] -= 1
         del stack[i:]
 
     def close() -> None:
         nonlocal linked
         if held:
-            text = SPACE.sub(" ", "".join(held)).strip()
+            text = " ".join("".join(held).split())
             if text:
                 top = stack[-1] if stack else ("", None, 0)
                 out.append(Block(text, linked, top[1], any(e in HEADINGS for e, _, _ in stack[-3:]), top[2]))
@@ -292,10 +298,16 @@ def blocks(page: str) -> list[Block]:
 
 def page_words(found: list[Block]) -> frozenset[str] | None:
     """The page's own stop words where it has few known ones, else none."""
-    words = [w for b in found if not b.aside and b.linked <= LINKS_MOST * len(b.text) and len(b.text) >= SHORT for w in WORD.findall(b.text.lower())]
-    if not words or sum(w in STOP_WORDS for w in words) >= STOPS_LOW * len(words):
+    texts = [b.words() for b in found if not b.aside and b.linked <= LINKS_MOST * len(b.text) and len(b.text) >= SHORT]
+    total = sum(map(len, texts))
+    if not total or sum(stops_in(words, STOP_WORDS) for words in texts) >= STOPS_LOW * total:
         return None
-    return frozenset(w for w, n in Counter(words).items() if n >= STOP_COUNT and len(w) <= STOP_LENGTH)
+    counts = Counter(chain.from_iterable(texts))
+    return frozenset(w for w, n in counts.items() if n >= STOP_COUNT and len(w) <= STOP_LENGTH)
+
+
+def stops_in(words: list[str], known: frozenset[str]) -> int:
+    return sum(map(known.__contains__, words))
 
 
 def first_pass(block: Block, own: frozenset[str] | None = None) -> str:
@@ -307,9 +319,9 @@ def first_pass(block: Block, own: frozenset[str] | None = None) -> str:
         return "bad"
     if block.heading or size < SHORT:
         return "short"
-    words = WORD.findall(block.text.lower())
+    words = block.words()
     known = STOP_WORDS if own is None else STOP_WORDS | own
-    stops = sum(w in known for w in words) / max(1, len(words))
+    stops = stops_in(words, known) / max(1, len(words))
     prose = own is not None and len(SENTENCE.findall(block.text)) * SENTENCE_MOST >= size
     if stops >= STOPS_LOW or prose:
         return "good" if size >= LONG else "near"
