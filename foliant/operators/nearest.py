@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import vectors as V
 from foliant.operators import hybrid
+from foliant.session import shared_dir
 from foliant.sources import vectors as S
+from foliant.sources.folder import as_uri
 
 #: Rows, per wanted file, that the first round reads at least.
 FIRST_ROWS = 50
 #: Scores are rounded to ``hybrid.SCORE_DIGITS``; bounds give way by more than that.
 SCORE_SLACK = 1e-8
-#: Vectors of a packed block.
+#: Vectors of a packed block, and most tasks that groups of means are dealt to.
 BLOCK = 2_048
+MOST_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -153,6 +158,10 @@ def similar_files(index: S.VectorIndex, file_path: str, top_k: int = 10) -> Foun
 # similar files of every file
 
 _PACKED = "cluster int, block long, ids binary, parts binary, vectors binary"
+_WRITTEN = "cluster int, name string"
+_SIMILAR = "file_id long, rank int, other_id long, chunk_index int, score double"
+#: Vectors per wanted file that a block first offers to a mean; more follow where these are too few files.
+OFFERED = 8
 
 
 def _pack(vector: str, width: int):
@@ -170,119 +179,191 @@ def _pack(vector: str, width: int):
     return run
 
 
-def packed(rows: DataFrame, vector: str, width: int) -> DataFrame:
-    """Stored rows (cluster, file_id, part, vector) in blocks of about ``BLOCK`` vectors, one row each."""
+def _dealt(rows: DataFrame, key: Column) -> tuple[DataFrame, int]:
+    """Rows of a stored table with ``block``, about ``BLOCK`` rows of a cluster each, and the number of blocks."""
     # one row per cluster, of which there are at most S.MAX_CLUSTERS
-    blocks = F.lit(1)
+    blocks, total = F.lit(1), 0
     for cluster, size in rows.groupBy("cluster").count().collect():
+        total += -(-size // BLOCK)
         if size > BLOCK:
             blocks = F.when(F.col("cluster") == cluster, -(-size // BLOCK)).otherwise(blocks)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("file_id", "part"), blocks.cast("long")))
-    return dealt.select("cluster", "block", "file_id", "part", vector).groupBy("cluster", "block").applyInArrow(_pack(vector, width), _PACKED)
-
-
-def block_best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, parts: np.ndarray, vectors: np.ndarray, top_k: int):
-    """Per query the best ``top_k`` files of a block sorted by (file, chunk): query row, file, chunk, score."""
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    files, ends = ids[starts], np.append(starts[1:], len(ids))
-    scores = np.round(np.clip(queries @ vectors.T, -1.0, 1.0), hybrid.SCORE_DIGITS)
-    best = np.maximum.reduceat(scores, starts, axis=1)
-    who, what, where, how = [], [], [], []
-    for q in range(len(queries)):
-        row = best[q]
-        allowed = np.flatnonzero(files != own[q])
-        if len(allowed) > top_k:
-            edge = np.partition(row[allowed], len(allowed) - top_k)[len(allowed) - top_k]
-            allowed = allowed[row[allowed] >= edge]
-        allowed = allowed[np.lexsort((files[allowed], -row[allowed]))][:top_k]
-        for f in allowed.tolist():
-            at = starts[f] + int(np.argmax(scores[q, starts[f] : ends[f]]))
-            who.append(q)
-            what.append(int(files[f]))
-            where.append(int(parts[at]))
-            how.append(float(row[f]))
-    return who, what, where, how
-
-
-def _compare(top_k: int, width: int):
+    return rows.withColumn("block", F.pmod(key, blocks.cast("long"))), total
+
+
+def owned_vectors(chunks: DataFrame, top_k: int) -> DataFrame:
+    """Distinct vectors (cluster, embedding, owners) of chunks, with the files that can still count.
+
+    Chunks of equal vectors have equal scores.  Of the files that share one
+    the ``top_k`` + 1 lowest ids suffice: any other file has ``top_k`` before
+    it, even where the file that asks is one of them.
+    """
+    pairs = chunks.groupBy("cluster", "embedding", "file_id").agg(F.min("chunk_index").alias("part"))
+    place = F.row_number().over(Window.partitionBy("cluster", "embedding").orderBy("file_id"))
+    kept = pairs.withColumn("place", place).filter(F.col("place") <= top_k + 1)
+    return kept.groupBy("cluster", "embedding").agg(F.collect_list(F.struct("file_id", "part")).alias("owners"))
+
+
+def _write_block(folder: str, width: int):
+    """Stores the distinct vectors of a block as a file, and names it."""
+
+    def run(key, rows):
+        cluster = key[0].as_py()
+        units, good = S.units_of(rows.column("embedding"), width)
+        owners = rows.column("owners").combine_chunks().take(pa.array(good))
+        flat = owners.flatten()
+        lists = [units.ravel(), owners.value_lengths().to_numpy(), *(flat.field(c).to_numpy().astype(np.int64) for c in ("file_id", "part"))]
+        table = pa.table([pa.array([x.tobytes()], pa.large_binary()) for x in lists], names=["vectors", "counts", "files", "parts"])
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        # a repeated task writes files of other names; those that count are the listed ones
+        name = f"{uuid.uuid4().hex}.arrow"
+        with system.open_output_stream(f"{base}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as writer:
+            writer.write_table(table)
+        return pa.table([pa.array([cluster], pa.int32()), pa.array([name])], names=["cluster", "name"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Block:
+    """Distinct unit vectors, and the files with each: vector i has those from ``starts[i]`` to ``starts[i + 1]``."""
+
+    vectors: np.ndarray
+    starts: np.ndarray
+    files: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def read(cls, path: str, width: int) -> Block:
+        system, base = fs.FileSystem.from_uri(path)
+        with system.open_input_file(base) as file:
+            row = pa.ipc.open_file(file).read_all().to_pylist()[0]
+        vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+        files, parts = (np.frombuffer(row[n], np.int64) for n in ("files", "parts"))
+        return cls(vectors, np.append(0, np.cumsum(counts)), files, parts)
+
+    def owners(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``files`` of the owners of some vectors, and whose they are."""
+        amount = self.starts[which + 1] - self.starts[which]
+        whose = np.repeat(np.arange(len(which)), amount)
+        return self.starts[which][whose] + np.arange(len(whose)) - np.repeat(np.cumsum(amount) - amount, amount), whose
+
+
+class BestFiles:
+    """The best ``top_k`` files of a group of means, block by block; memory does not grow with the blocks seen."""
+
+    def __init__(self, means: np.ndarray, own: np.ndarray, top_k: int):
+        self.means, self.own, self.top_k = means, own, top_k
+        self.narrow = means.astype(np.float32)
+        # products of narrow floats differ from the exact ones by less than half of this
+        self.error = 1e-6 + 2.5e-7 * means.shape[1]
+        #: who, file, part, score of the hits so far, and the last score of each mean that has all its hits
+        self.hits = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.mark = np.full(len(means), -2.0)
+
+    def _merge(self, *found: np.ndarray) -> None:
+        who, files, parts, scores = (np.concatenate(pair) for pair in zip(self.hits, found, strict=True))
+        order = np.lexsort((parts, -scores, files, who))
+        who, files = who[order], files[order]
+        order = order[np.append(True, (who[1:] != who[:-1]) | (files[1:] != files[:-1]))] if len(order) else order
+        who, files, parts, scores = (np.concatenate(pair)[order] for pair in zip(self.hits, found, strict=True))
+        order = np.lexsort((files, -scores, who))
+        starts = np.searchsorted(who[order], np.arange(len(self.means)))
+        place = np.arange(len(order)) - starts[who[order]]
+        self.hits = [x[order][place < self.top_k] for x in (who, files, parts, scores)]
+        last = place == self.top_k - 1
+        self.mark[who[order][last]] = scores[order][last]
+
+    def add(self, block: Block, rows: np.ndarray) -> None:
+        """Let the means ``rows`` meet a block."""
+        vectors, offered = block.vectors.astype(np.float32), OFFERED * self.top_k
+        while len(rows):
+            narrow = self.narrow[rows] @ vectors.T
+            hit = narrow >= (self.mark[rows] - self.error).astype(np.float32)[:, None]
+            many = np.flatnonzero(hit.sum(axis=1) > offered) if offered < len(vectors) else np.zeros(0, np.int64)
+            edge = np.partition(narrow[many], len(vectors) - offered, axis=1)[:, len(vectors) - offered] if len(many) else np.zeros(0)
+            hit[many] &= narrow[many] >= (edge - self.error).astype(np.float32)[:, None]
+            who, which = np.nonzero(hit)
+            who = rows[who]
+            scores = np.round(np.clip(np.einsum("ij,ij->i", self.means[who], block.vectors[which]), -1.0, 1.0), hybrid.SCORE_DIGITS)
+            good = scores >= self.mark[who]
+            at, whose = block.owners(which[good])
+            who, scores = who[good][whose], scores[good][whose]
+            other = block.files[at] != self.own[who]
+            if other.any():
+                self._merge(who[other], block.files[at][other], block.parts[at][other], scores[other])
+            # what lay below the edge matters where the hits do not reach it
+            rows = rows[many][self.mark[rows[many]] < edge - self.error / 2]
+            offered *= 8
+
+
+def _search_groups(top_k: int, width: int, clusters: list[S.Cluster], names: dict[int, list[str]], folder: str):
+    """Groups of means walk through the stored blocks, nearest clusters first, and leave out clusters that cannot win."""
+    centres = np.array([c.centre for c in clusters])
+    low, high = (np.array([getattr(c, n) for c in clusters]) for n in ("low", "high"))
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = {n: batch.column(n)[i].as_py() for n in ("q_ids", "q_vectors", "ids", "parts", "vectors")}
-                own, ids, parts = (np.frombuffer(raw[n], np.int64) for n in ("q_ids", "ids", "parts"))
-                if not len(own) or not len(ids):
+                own = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                if not len(own):
                     continue
-                queries, vectors = (np.frombuffer(raw[n], np.float64).reshape(-1, width) for n in ("q_vectors", "vectors"))
-                who, what, where, how = block_best(queries, own, ids, parts, vectors, top_k)
+                means = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(-1, width)
+                angle = np.arccos(np.clip(means @ centres.T, -1.0, 1.0))
+                gap = np.maximum(0.0, np.maximum(angle - high, low - angle) - S.ANGLE_SLACK)
+                bound = np.cos(np.minimum(gap, np.pi))
+                best = BestFiles(means, own, top_k)
+                for c in np.lexsort((angle.sum(axis=0), -bound.sum(axis=0))).tolist():
+                    for name in names.get(clusters[c].number, ()):
+                        rows = np.flatnonzero(bound[:, c] >= best.mark - SCORE_SLACK)
+                        if not len(rows):
+                            break
+                        best.add(Block.read(f"{folder}/{name}", width), rows)
+                who, files, parts, scores = best.hits
+                starts = np.searchsorted(who, np.arange(len(own)))
+                rank = np.arange(len(who)) - starts[who] + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[who]), pa.array(what, pa.int64()), pa.array(where, pa.int32()), pa.array(how, pa.float64())],
-                    names=["file_id", "other_id", "chunk_index", "score"],
+                    [pa.array(own[who]), pa.array(rank, pa.int32()), pa.array(files), pa.array(parts, pa.int32()), pa.array(scores)],
+                    names=["file_id", "rank", "other_id", "chunk_index", "score"],
                 )
 
     return run
 
 
-def _best(candidates: DataFrame, top_k: int) -> DataFrame:
-    """Candidates of several blocks: the best chunk per pair of files, then the best files."""
-    order = F.struct("score", (-F.col("chunk_index")).alias("tie"))
-    pairs = candidates.groupBy("file_id", "other_id").agg(F.max(order).alias("m"))
-    pairs = pairs.select("file_id", "other_id", (-F.col("m.tie")).cast("int").alias("chunk_index"), F.col("m.score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("score"), "other_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= top_k)
-
-
 def all_similar_files(index: S.VectorIndex, stored: Callable[[DataFrame, str], DataFrame], top_k: int = 10) -> DataFrame:
     """For every file, the files closest to its mean vector: file_id, rank, other_id, chunk_index, score.
 
-    Vectors are packed in blocks; a task multiplies a block of means with a
-    block of chunks and keeps the best files per mean, so no pair of rows is
-    ever listed.  Every mean first meets its own cluster.  Its last hit then
-    tells which other clusters can still matter, and only to these it is sent.
-    Vectors of another width, and zero vectors, take no part.  ``stored``
-    writes a table to the shared folder and reads it back.
+    Distinct vectors lie in files of about ``BLOCK`` of them in the shared
+    folder, each with the files that have it.  A task takes a group of means
+    and multiplies it with one block after the other, nearest clusters first;
+    it holds one block and the hits so far, and passes over clusters that can
+    no longer win.  So no candidates are written, whatever the vectors are
+    like; the products still grow with means times distinct vectors where
+    these have no structure.  Vectors of another width, and zero vectors, take
+    no part.  ``stored`` writes a table to the shared folder and reads it back.
     """
     centres = index.centres
     spark = index.rows.sparkSession
     if not centres.size:
-        return spark.createDataFrame([], "file_id long, rank int, other_id long, chunk_index int, score double")
+        return spark.createDataFrame([], _SIMILAR)
     width, clusters = centres.shape[1], [c for c in index.clusters if c.centre is not None]
-    numbers = [c.number for c in clusters]
     rows = index.rows.filter(F.col("cluster") != S.LOOSE)
-    chunks = rows.select("cluster", "file_id", F.col("chunk_index").alias("part"), "embedding")
-    blocks = stored(packed(chunks, "embedding", width), "chunks")
+    vectors = stored(owned_vectors(rows, top_k), "vectors")
+    folder = f"{as_uri(shared_dir(spark).rstrip('/'))}/work/vectors-{uuid.uuid4().hex}"
+    dealt, _ = _dealt(vectors, F.xxhash64("embedding"))
+    written = dealt.groupBy("cluster", "block").applyInArrow(_write_block(folder, width), _WRITTEN)
+    names: dict[int, list[str]] = {}
+    # one short row per block of vectors
+    for row in stored(written, "names").collect():
+        names.setdefault(row["cluster"], []).append(row["name"])
     means = V.mean_vector(rows, "embedding", "file_id").withColumn("at", S.place(F.col("mean_vector"), all_centres(index)))
     means = stored(means.select(F.col("at.cluster").alias("cluster"), "file_id", F.lit(0).alias("part"), "mean_vector"), "means")
-
-    def met(queries: DataFrame) -> DataFrame:
-        own = packed(queries, "mean_vector", width).select("cluster", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        joined = own.join(blocks.select("cluster", "ids", "parts", "vectors"), "cluster")
-        return joined.drop("cluster").mapInArrow(_compare(top_k, width), "file_id long, other_id long, chunk_index int, score double")
-
-    near = stored(_best(met(means), top_k).drop("rank"), "near")
-    marks = near.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("mark"))
-    open_means = means.filter(F.col("cluster") != S.LOOSE).join(marks, "file_id", "left")
-
-    def onward(batches):
-        """Other clusters that a mean's last hit leaves open."""
-        own = np.array([c.centre for c in clusters])
-        low, high = (np.array([getattr(c, n) for c in clusters]) for n in ("low", "high"))
-        for batch in batches:
-            units, good = S.units_of(batch.column("mean_vector"), width)
-            angle = np.arccos(np.clip(units @ own.T, -1.0, 1.0))
-            gap = np.maximum(0.0, np.maximum(angle - high, low - angle) - S.ANGLE_SLACK)
-            mark = batch.column("mark").fill_null(-2.0).to_numpy(zero_copy_only=False)[good]
-            mark = np.where(batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)[good] < top_k, -2.0, mark)
-            here = batch.column("cluster").to_numpy()[good]
-            wanted = (np.cos(np.minimum(gap, np.pi)) >= mark[:, None] - SCORE_SLACK) & (np.array(numbers) != here[:, None])
-            which, target = np.nonzero(wanted)
-            pick = pa.array(good[which])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(numbers, np.int32)[target]), batch.column("file_id").take(pick), batch.column("part").take(pick), batch.column("mean_vector").take(pick)],
-                names=["cluster", "file_id", "part", "mean_vector"],
-            )
-
-    far = met(stored(open_means.mapInArrow(onward, means.schema), "sent"))
-    return _best(near.unionByName(far), top_k).select("file_id", "rank", "other_id", "chunk_index", "score")
+    dealt, groups = _dealt(means, F.xxhash64("file_id"))
+    packed = dealt.groupBy("cluster", "block").applyInArrow(_pack("mean_vector", width), _PACKED)
+    # a group is little to read and much to do: each may have a task
+    spread = stored(packed, "groups").repartition(max(1, min(groups, MOST_TASKS)))
+    return spread.mapInArrow(_search_groups(top_k, width, clusters, names, folder), _SIMILAR)
 
 
 def all_centres(index: S.VectorIndex) -> np.ndarray:

@@ -121,3 +121,44 @@ def test_publish_keeps_the_first(spark, tmp_path):
     S.publish(spark, folder, write("slow", lambda: S.publish(spark, folder, write("fast"))))
     assert [r.t for r in spark.read.parquet(f"{folder}/t").collect()] == ["fast"]
     assert [p.name for p in tmp_path.iterdir()] == ["x"]
+
+
+def test_all_similar_files_writes_no_candidates(spark, tmp_path):
+    """Vectors without structure leave every cluster open; copies of a vector count once."""
+    base = np.random.default_rng(7).normal(size=(150, WIDTH)).tolist()
+    frame = embedded(spark, rows_of(base * 4))
+    S.write_index(frame, str(tmp_path / "i"))
+    written = {}
+
+    def counted(df, name, keep=stored(spark)):
+        out = keep(df, name)
+        written[name] = out.count()
+        return out
+
+    found = nearest.all_similar_files(S.read_index(spark, str(tmp_path / "i")), counted, 5)
+    assert found.count() == 200 * 5
+    assert max(written.values()) <= 200
+
+
+@pytest.mark.parametrize("offered", [1, 8])
+def test_best_files_of_blocks(monkeypatch, offered):
+    """One file owns all near vectors of a block, so further ones have to be offered."""
+    monkeypatch.setattr(nearest, "OFFERED", offered)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, WIDTH))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    means = np.concatenate([vectors[:3], rng.normal(size=(5, WIDTH))])
+    means /= np.linalg.norm(means, axis=1)[:, None]
+    files = np.where(vectors @ means[0] > -0.2, 7, np.arange(400) % 40)
+    best = nearest.BestFiles(means, np.arange(8), 4)
+    for part in np.split(np.arange(400), 5):
+        block = nearest.Block(vectors[part], np.arange(len(part) + 1), files[part], part)
+        best.add(block, np.arange(8))
+    for q in range(8):
+        own = {}
+        for i, f in enumerate(files.tolist()):
+            if f != q:
+                own[f] = min(own.get(f, (9, 0)), (-round(float(means[q] @ vectors[i]), 9), i))
+        expected = [(f, i, -s) for s, f, i in sorted((s, f, i) for f, (s, i) in own.items())[:4]]
+        mine = best.hits[0] == q
+        assert [x[mine].tolist() for x in best.hits[1:]] == [list(x) for x in zip(*expected, strict=True)]
