@@ -19,23 +19,35 @@ several tokens need positions, which blocks do not have.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.operators.fulltext import IDF_FLOOR, K1, WEIGHTS, B, Phrase, rank_postings
 
 #: Ids of a block, and blocks opened before there is a mark.
 BLOCK_IDS = 1_024
 FIRST_BLOCKS = 16
+#: Tokens of files that a task groups at once.
+SLICE_TOKENS = 500_000
 #: Bounds that the driver holds; more stay distributed.
 DRIVER_BLOCKS = 20_000
 #: Sums may be rounded differently in a bound and in a score.
 SLACK = 1e-9
 
+_PIECES = "token string, block bigint, ids array<bigint>, lengths array<int>, counts array<int>, places array<int>"
+BLOCKS = (
+    "token string, block bigint, n bigint, most array<bigint>, shortest bigint,"
+    " docs array<struct<id: bigint, counts: array<bigint>, n_tokens: bigint>>, places array<array<bigint>>"
+)
+
 
 @dataclass(frozen=True)
 class Ranked:
@@ -62,6 +74,147 @@ def build_blocks(postings: DataFrame, lengths: DataFrame, columns: Sequence[str]
     )
 
 
+def indexed_blocks(files: DataFrame, keep: Callable[[DataFrame, str], DataFrame], columns: Sequence[str] = tuple(WEIGHTS), block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The rows of ``build_blocks`` with ``places``, straight from texts, in storage order.
+
+    ``places`` has per file of ``docs`` its occurrences of the token, each as
+    column << 32 | position.  Texts are cut once.  A task groups the tokens of
+    a slice of files by (token, block) before anything is shuffled; the pieces
+    are ranged by (token, block) and joined where they meet.  Rows without a
+    token list all files of a block with their lengths.  ``keep`` writes a
+    table and reads it back (ranging reads it twice).
+    """
+    cut = [F.regexp_extract_all(T.fold_for_index(F.coalesce(F.col(c), F.lit(""))), F.lit(T.TOKEN_PATTERN), 0).alias(f"c{i}") for i, c in enumerate(columns)]
+    pieces = keep(files.select("id", *cut).mapInArrow(_pieces(len(columns), block_ids), _PIECES), "pieces")
+    low = F.get("ids", F.lit(0))
+    ranged = pieces.repartitionByRange("token", "block").sortWithinPartitions("token", "block", low)
+    return ranged.mapInArrow(_joined(len(columns)), BLOCKS)
+
+
+def _pieces(width: int, block_ids: int):
+    def piece(ids: np.ndarray, lists: list[pa.Array], sizes: np.ndarray) -> pa.RecordBatch:
+        by_id = np.argsort(ids, kind="stable")
+        ids, place = ids[by_id], np.argsort(by_id, kind="stable")
+        lengths = sizes.sum(axis=1)[by_id]
+        doc = np.concatenate([np.repeat(place, sizes[:, c]) for c in range(width)])
+        column = np.repeat(np.arange(width), sizes.sum(axis=0))
+        pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes.T])
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        key = words.indices.to_numpy().astype(np.int64) * len(ids) + doc
+        order = np.argsort(key, kind="stable")  # columns and positions stay in order
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        counts = np.bincount(pair * width + column[order], minlength=len(first) * width)
+        code, holder = key[first] // len(ids), key[first] % len(ids)
+        # beside the tokens one run of all files, without a token
+        block = np.append(ids[holder], ids) // block_ids
+        code = np.append(code, np.full(len(ids), -1))
+        start = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+        holder = np.append(holder, np.arange(len(ids)))
+        ends = np.append(start, len(holder))
+        token = words.dictionary.take(pa.array(code[start], mask=code[start] < 0))
+        places = np.append(first, np.full(len(ids), len(key)))
+
+        def lists_of(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+        return pa.RecordBatch.from_arrays(
+            [
+                token,
+                pa.array(block[start]),
+                lists_of(ends, ids[holder]),
+                lists_of(ends, lengths[holder].astype(np.int32)),
+                lists_of(ends * width, np.append(counts, np.zeros(len(ids) * width, np.int64)).astype(np.int32)),
+                lists_of(np.append(places[start], len(key)), pos[order].astype(np.int32)),
+            ],
+            names=["token", "block", "ids", "lengths", "counts", "places"],
+        )
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            lists = [batch.column(f"c{c}") for c in range(width)]
+            sizes = np.stack([x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists], axis=1)
+            total, at = np.append(0, np.cumsum(sizes.sum(axis=1))), 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_TOKENS, side="right")) - 1)
+                yield piece(ids[at:to], [x.slice(at, to - at) for x in lists], sizes[at:to])
+                at = to
+
+    return run
+
+
+def _joined(width: int):
+    """Joins pieces of one (token, block) that follow each other; a run may go on in the next batch."""
+
+    def codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        token = pc.fill_null(rows.column("token").combine_chunks(), "").dictionary_encode()
+        return token.indices.to_numpy(), rows.column("block").to_numpy()
+
+    def block_rows(rows: pa.Table) -> pa.RecordBatch:
+        code, block = codes(rows)
+        start = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+        ids_of = rows.column("ids").combine_chunks()
+        held = ids_of.value_lengths().to_numpy()
+        ids, lengths, counts, places = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "lengths", "counts", "places"))
+        counts = counts.reshape(-1, width).astype(np.int64)
+        group = np.repeat(np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code)))), held)
+        places = np.repeat(np.tile(np.arange(width), len(ids)), counts.ravel()) << 32 | places
+        amount = counts.sum(axis=1)
+        order = np.lexsort((ids, group))
+        if (order[1:] < order[:-1]).any():
+            begin = np.cumsum(amount) - amount
+            ids, lengths, counts, amount, begin = ids[order], lengths[order], counts[order], amount[order], begin[order]
+            places = places[np.repeat(begin - (np.cumsum(amount) - amount), amount) + np.arange(amount.sum())]
+        low = np.searchsorted(group, np.arange(len(start)))
+        ends = pa.array(np.append(low, len(ids)).astype(np.int32))
+        fixed = lambda n, values: pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * width).astype(np.int32)), pa.array(values.ravel()))
+        docs = pa.StructArray.from_arrays([pa.array(ids), fixed(len(ids), counts), pa.array(lengths.astype(np.int64))], names=["id", "counts", "n_tokens"])
+        held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(amount)).astype(np.int32)), pa.array(places))
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("token").combine_chunks().take(pa.array(start)),
+                pa.array(block[start]),
+                pa.array(np.diff(np.append(low, len(ids)))),
+                fixed(len(start), np.maximum.reduceat(counts, low, axis=0)),
+                pa.array(np.minimum.reduceat(lengths, low).astype(np.int64)),
+                pa.ListArray.from_arrays(ends, docs),
+                pa.ListArray.from_arrays(ends, held),
+            ],
+            names=["token", "block", "n", "most", "shortest", "docs", "places"],
+        )
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            code, block = codes(rows)
+            last = int(np.flatnonzero((code != code[-1]) | (block != block[-1]))[-1]) + 1 if ((code != code[-1]) | (block != block[-1])).any() else 0
+            if last:
+                yield block_rows(rows.slice(0, last).combine_chunks())
+            rest = rows.slice(last)
+        if rest is not None:
+            yield block_rows(rest.combine_chunks())
+
+    return run
+
+
+def postings_of(blocks: DataFrame) -> DataFrame:
+    """(id, col, pos, token) out of blocks with ``places``."""
+    rows = blocks.select("token", F.explode(F.arrays_zip(F.col("docs.id").alias("id"), F.col("places"))).alias("doc"))
+    places = rows.select("token", F.col("doc.id").alias("id"), F.explode("doc.places").alias("place"))
+    return places.select("id", F.shiftright("place", 32).cast("int").alias("col"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "token")
+
+
+def lengths_of(blocks: DataFrame) -> DataFrame:
+    """(id, n_tokens) of all files, from the rows without a token."""
+    return blocks.filter(F.col("token").isNull()).select(F.inline("docs")).select("id", "n_tokens")
+
+
 def layout_blocks(blocks: DataFrame) -> DataFrame:
     """Order for storage: a query's tokens lie in few row groups, whatever their number of blocks."""
     return blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block")

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.operators import blockmax, fulltext, names
+from foliant.operators import blockmax, names
 from foliant.session import shared_dir
 from foliant.sources import tables, vectors
 
@@ -51,8 +52,8 @@ def stored_folder(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str
 def searchable(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], build: Callable[[], DataFrame]) -> Searchable:
     """The stored inverted index ``name`` over files that ``build`` makes from the input tables.
 
-    Postings are sorted by token, so a query reads the row groups of its
-    tokens alone.
+    Blocks are sorted by token, so a query reads the row groups of its tokens
+    alone; postings are a view of them.
     """
 
     def write(folder: str) -> None:
@@ -62,30 +63,31 @@ def searchable(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, .
     return read_search_index(spark, folder)
 
 
-#: Schemas of the parts, so that reading them costs no look into their files.
-SCHEMAS = Searchable(
-    "id bigint, col int, pos int, token string",
-    "id bigint, n_tokens bigint",
-    "token string, block bigint, n bigint, most array<bigint>, shortest bigint,"
-    " docs array<struct<id: bigint, counts: array<bigint>, n_tokens: bigint>>",
-    "n_files bigint, n_tokens bigint",
-    "gram string, id bigint",
-    "id bigint, file_name string",
-)
+#: Schemas of the stored parts, so that reading them costs no look into their files.
+SCHEMAS = {
+    "lengths": "id bigint, n_tokens bigint",
+    "blocks": blockmax.BLOCKS,
+    "totals": "n_files bigint, n_tokens bigint",
+    "grams": "gram string, id bigint",
+    "names": "id bigint, file_name string",
+}
 
 
 def read_search_index(spark: SparkSession, folder: str) -> Searchable:
-    return Searchable(*[spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in zip(Searchable._fields, SCHEMAS, strict=True)])
+    """Postings are the places that blocks hold; a filter of tokens reaches the files of the blocks."""
+    parts = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in SCHEMAS.items()}
+    blocks = parts.pop("blocks").filter(F.col("token").isNotNull())
+    return Searchable(postings=blockmax.postings_of(blocks), blocks=blocks.drop("places"), **parts)
 
 
 def write_search_index(files: DataFrame, folder: str) -> None:
-    """Tokenise, sort and store all parts of an index below ``folder``."""
+    """Tokenise, group and store all parts of an index below ``folder``."""
     spark = files.sparkSession
-    fulltext.layout_postings(fulltext.build_postings(files)).write.parquet(f"{folder}/postings")
-    fulltext.document_lengths(files).write.parquet(f"{folder}/lengths")
-    postings, lengths = (spark.read.parquet(f"{folder}/{part}") for part in ("postings", "lengths"))
-    blockmax.layout_blocks(blockmax.build_blocks(postings, lengths)).write.parquet(f"{folder}/blocks")
-    blockmax.corpus_totals(lengths).write.parquet(f"{folder}/totals")
+    keep = stored(spark)
+    blockmax.indexed_blocks(files, keep).write.parquet(f"{folder}/blocks")
+    keep.discard()
+    blockmax.lengths_of(spark.read.schema(blockmax.BLOCKS).parquet(f"{folder}/blocks")).write.parquet(f"{folder}/lengths")
+    blockmax.corpus_totals(spark.read.schema(SCHEMAS["lengths"]).parquet(f"{folder}/lengths")).write.parquet(f"{folder}/totals")
     names.layout_name_grams(names.build_name_grams(files)).write.parquet(f"{folder}/grams")
     files.select("id", "file_name").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/names")
 

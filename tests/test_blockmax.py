@@ -100,3 +100,41 @@ def test_empty_index(spark, files, tmp_path):
     own = read_search_index(spark, str(tmp_path / "i"))
     assert blockmax.rank_top(own.blocks, own.totals, fulltext.parse_query("the"), 5).top.count() == 0
     assert names.names_like(own.names, own.grams, "note").count() == 0
+
+
+@pytest.mark.parametrize("slice_tokens", [500_000, 40])
+def test_index_holds_each_token_once_in_shuffle_order(spark, files, tmp_path, monkeypatch, slice_tokens):
+    """Blocks come from one shuffle of grouped tokens, and equal those that are built of single occurrences."""
+    monkeypatch.setattr(blockmax, "SLICE_TOKENS", slice_tokens)
+    kept = {}
+
+    def keep(df, name):
+        df.write.parquet(str(tmp_path / name))
+        kept[name] = spark.read.schema(df.schema).parquet(str(tmp_path / name))
+        return kept[name]
+
+    made = blockmax.indexed_blocks(files.repartition(5), keep, block_ids=64).persist()
+    postings, lengths = fulltext.build_postings(files), fulltext.document_lengths(files)
+    if slice_tokens > 40:
+        assert kept["pieces"].count() < postings.select("token", "id").distinct().count()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    with_token = made.filter("token IS NOT NULL")
+    assert rows(blockmax.postings_of(with_token)) == rows(postings)
+    assert rows(blockmax.lengths_of(made)) == rows(lengths)
+    columns = ["token", "block", "n", "most", "shortest", "docs"]
+    assert rows(with_token.select(columns)) == rows(blockmax.build_blocks(postings, lengths, block_ids=64).select(columns))
+    made.unpersist()
+
+
+def test_token_filter_reaches_the_blocks(index):
+    plan = fulltext.phrase_occurrences(index.postings, fulltext.Phrase(("the",), True))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,the)" in plan and "most" not in plan
+
+
+def test_result_page_shuffles_no_texts(spark, files, index):
+    phrases = fulltext.parse_query("rare")
+    best = blockmax.best_files(index, phrases, 5)
+    page = fulltext.result_page(files.withColumn("indexed_at", F.lit(0)), best, phrases)
+    assert sorted(r.id for r in page.collect()) == [51, 612, 1797]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
