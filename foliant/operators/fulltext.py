@@ -160,8 +160,8 @@ def keyword_search(
 
 
 def result_page(files: DataFrame, best: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
-    """What a result page shows of the files in ``best`` (id, rank)."""
-    return _page(files.join(best, "id"), phrases)
+    """What a result page shows of the files in ``best`` (id, rank), a page's worth of rows; no text is shuffled."""
+    return _page(files.join(F.broadcast(best), "id"), phrases)
 
 
 def _page(found: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
