@@ -87,17 +87,12 @@ def unit_vector(vector: Column) -> Column:
     return scale(vector)
 
 
-def mean_to_others(unit: str, total: str, count: str) -> Column:
-    """Mean cosine of a unit vector to the others of its group, from the group's sum."""
-
-    @F.arrow_udf("double")
-    def score(u: pa.Array, s: pa.Array, n: pa.Array) -> pa.Array:
-        own, lengths = _rows(u)
-        summed, _ = _rows(s)
-        others = n.to_numpy(zero_copy_only=False).astype(np.float64) - 1
-        return pa.array((_sums(own * summed, lengths) - _sums(own * own, lengths)) / np.where(others > 0, others, 1.0))
-
-    return score(F.col(unit), F.col(total), F.col(count))
+def units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of rows of one width as a matrix; a zero vector stays zero."""
+    values, lengths = _rows(column)
+    matrix = values.reshape(len(lengths), -1)
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    return matrix / np.where(norms > 0, norms, 1.0)[:, None]
 
 
 def unit_or_zero(vector: Sequence[float]) -> np.ndarray:

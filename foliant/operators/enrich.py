@@ -54,43 +54,88 @@ def first_sentences(files: DataFrame, text: str = "text_content") -> DataFrame:
     )
 
 
-def _centrality(embedded_sentences: DataFrame, *keep: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    unit = embedded_sentences.select("id", "sentence_index", *keep, V.unit_vector(F.col("embedding")).alias("u"))
-    totals = unit.groupBy("id").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("u")))).alias("s"), F.count(F.lit(1)).alias("n")
-    )
-    return unit.join(totals, "id").select(
-        "id", "sentence_index", *keep, F.when(F.col("n") > 1, V.mean_to_others("u", "s", "n")).otherwise(0.0).alias("centrality")
-    )
+def _in_files(embedded_sentences: DataFrame, *keep: str) -> DataFrame:
+    """Sentences in order, all of a file in one partition; vectors as they came, which are narrower than unit vectors."""
+    rows = embedded_sentences.select("id", "sentence_index", *keep, "embedding")
+    return rows.repartition("id").sortWithinPartitions("id", "sentence_index")
+
+
+def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by id, cut between files."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if rest is not None and rest[-1].column("id")[-1] == batch.column("id")[0]:
+            # the file goes on: its rows are joined once it ends
+            if batch.column("id")[0] == batch.column("id")[-1]:
+                rest.append(rows)
+                continue
+        elif rest is not None:
+            yield pa.concat_tables(rest).combine_chunks()
+            rest = None
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(ids, ids[-1]))
+        if last:
+            yield pa.concat_tables([*(rest or []), rows.slice(0, last)]).combine_chunks()
+            rest = None
+        rest = [*(rest or []), rows.slice(last)]
+    if rest is not None:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+def _central(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where each file begins, and the centrality of each sentence."""
+    ids = rows.column("id").to_numpy()
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    units = V.units(rows.column("embedding").combine_chunks())
+    n = np.diff(np.append(starts, len(ids)))
+    sums, file = np.add.reduceat(units, starts, axis=0), np.repeat(np.arange(len(starts)), n)
+    others = n[file] - 1
+    score = (np.einsum("ij,ij->i", units, sums[file]) - np.einsum("ij,ij->i", units, units)) / np.maximum(others, 1)
+    return starts, np.where(others > 0, score, 0.0)
 
 
 def sentence_centrality(embedded_sentences: DataFrame) -> DataFrame:
     """(id, sentence_index, centrality): mean cosine to the other sentences of the file.
 
     With unit vectors u and their sum S this is (u.S - u.u) / (n - 1), which
-    needs one sum per file instead of all pairs of sentences.
+    needs one sum per file instead of all pairs of sentences.  One shuffle
+    brings the vectors of a file together; a task holds a batch of rows, or
+    the sentences of one file.
     """
-    return _centrality(embedded_sentences)
+
+    def run(batches):
+        for rows in _whole_files(batches):
+            _, score = _central(rows)
+            yield from rows.select(["id", "sentence_index"]).append_column("centrality", pa.array(score)).to_batches()
+
+    return _in_files(embedded_sentences).mapInArrow(run, "id long, sentence_index int, centrality double")
 
 
 def central_summary(embedded_sentences: DataFrame) -> DataFrame:
     """(id, summary): the three most central sentences, in their original order.
 
     Input rows are (id, sentence_index, sentence, embedding).  The sentences
-    travel with their scores, and a file keeps three of them while it is
-    grouped, so no list of all its sentences is built.
+    travel with their vectors, and the task that scores them picks.
     """
-    scores = _centrality(embedded_sentences, "sentence").withColumn("centrality", F.round("centrality", 9))
-    order = Window.partitionBy("id").orderBy(F.desc("centrality"), "sentence_index")
-    chosen = scores.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SUMMARY_SENTENCES)
-    return (
-        chosen.groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("sentence_index", "sentence"))).alias("rows"))
-        .select("id", F.array_join(F.transform("rows", lambda r: r["sentence"]), " ").alias("summary"))
-    )
+
+    def run(batches):
+        for rows in _whole_files(batches):
+            starts, score = _central(rows)
+            at = rows.column("sentence_index").to_numpy()
+            file = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+            order = np.lexsort((at, -np.round(score, 9), file))
+            best = order[np.arange(len(order)) - starts[file[order]] < SUMMARY_SENTENCES]
+            best = np.sort(best)  # rows are in the order of the text
+            texts = rows.column("sentence").take(pa.array(best)).to_pylist()
+            ends = np.searchsorted(file[best], np.arange(len(starts) + 1))
+            summaries = [" ".join(texts[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            ids = rows.column("id").combine_chunks().take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(summaries, pa.string())], names=["id", "summary"])
+
+    return _in_files(embedded_sentences, "sentence").mapInArrow(run, "id long, summary string")
 
 
 def _run_starts(items: str, key: Callable[[Column], Column]) -> Column:

@@ -107,3 +107,29 @@ def test_tfidf(spark):
     total = 15
     assert rows["alpha"].score == pytest.approx(2 / total * (np.log(2 / 1) + 1))
     assert rows["beta"].score == pytest.approx(2 / total * 1)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_centrality_of_files_across_batches(spark, batch):
+    """Files that begin, end or last over several batches; one shuffle of vectors in all."""
+    rng = np.random.default_rng(5)
+    rows = [(f, i, f"sentence {f} {i}", rng.normal(size=4).tolist()) for f, n in enumerate([1, 2, 7, 1, 4, 12, 3]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, sentence_index int, sentence string, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {(r.id, r.sentence_index): r.centrality for r in E.sentence_centrality(df).collect()}
+        chosen = {r.id: r.summary for r in E.central_summary(df).collect()}
+        plan = E.central_summary(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    unit = {(f, i): np.array(v) / np.linalg.norm(v) for f, i, _, v in rows}
+    expected = {}
+    for key, u in unit.items():
+        others = [float(u @ v) for other, v in unit.items() if other[0] == key[0] and other != key]
+        expected[key] = sum(others) / len(others) if others else 0.0
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in expected)
+    for f in {f for f, _ in unit}:
+        best = sorted(sorted((k for k in expected if k[0] == f), key=lambda k: (-round(expected[k], 6), k))[:3])
+        assert chosen[f] == " ".join(f"sentence {f} {i}" for _, i in best)
+    assert plan.count("Exchange") == 1
