@@ -9,10 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions import text as X
 from foliant.functions import vectors as V
 from foliant.operators import hybrid
 from foliant.session import shared_dir
@@ -21,6 +22,8 @@ from foliant.sources.folder import as_uri
 
 #: Rows, per wanted file, that the first round reads at least.
 FIRST_ROWS = 50
+#: Rows fetched per wanted file.
+ROWS_PER_FILE = 4
 #: Scores are rounded to ``hybrid.SCORE_DIGITS``; bounds give way by more than that.
 SCORE_SLACK = 1e-8
 #: Vectors of a packed block, and most tasks that groups of means are dealt to.
@@ -91,13 +94,15 @@ def search(index: S.VectorIndex, query: Sequence[float], scoring: Scoring, top_k
     Clusters are taken in the order of their bounds.  A first round reads
     enough of them to know ``top_k`` files; the last of these sets the mark
     that every further cluster, and every row by its angle, must be able to
-    reach.  At most ``top_k`` rows per round reach the driver.
+    reach.  At most ``ROWS_PER_FILE`` rows per wanted file reach the driver
+    at a time; where these are of too few files, the others are asked again.
     """
     spark = index.rows.sparkSession
     angles = _angles(index, query)
     prunable = bool(len(index.centres)) and len(query) == index.centres.shape[1] and bool(np.any(query))
     bound = [scoring.highest(c.best_cosine(a)) if prunable else scoring.highest(1.0) for c, a in zip(index.clusters, angles, strict=True)]
     order = sorted(range(len(bound)), key=lambda i: (-bound[i], i))
+    snippet = X.truncate(F.col("chunk_text"), hybrid.SNIPPET_CHARS)
     rows = index.rows if without is None else index.rows.filter(F.col("file_id") != without)
 
     def best_of(chosen: list[int], mark: float | None) -> list:
@@ -110,8 +115,19 @@ def search(index: S.VectorIndex, query: Sequence[float], scoring: Scoring, top_k
         tests = [f"cluster IN ({', '.join(map(str, whole))})"] if whole else []
         tests += [f"(cluster = {c.number} AND angle BETWEEN {a - reach!r}D AND {a + reach!r}D)" for a, c in wanted if c.number not in whole]
         test = F.expr(" OR ".join(tests))
-        top = hybrid.best_per_file(scoring.score(rows.filter(test).drop("angle", "cluster")))
-        return top.orderBy(F.desc("score"), "file_id", "chunk_index").limit(top_k).select(*hybrid.HIT_SCHEMA.names).collect()
+        scored = scoring.score(rows.filter(test).drop("angle", "cluster"))
+        hits: dict[int, Row] = {}
+        while len(hits) < top_k:
+            # the best rows of all: the first row of a file is its best chunk, and no other row is shuffled
+            others = scored.filter(~F.col("file_id").isin(list(hits))) if hits else scored
+            most = ROWS_PER_FILE * (top_k - len(hits))
+            best = others.withColumn("chunk_snippet", snippet).select(*hybrid.HIT_SCHEMA.names).orderBy(F.desc("score"), "file_id", "chunk_index").limit(most).collect()
+            for row in best:
+                if len(hits) < top_k:
+                    hits.setdefault(row["file_id"], row)
+            if len(best) < most:
+                break
+        return list(hits.values())
 
     first, held = [], 0
     while len(first) < len(order) and held < FIRST_ROWS * top_k:

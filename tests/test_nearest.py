@@ -162,3 +162,18 @@ def test_best_files_of_blocks(monkeypatch, offered):
         expected = [(f, i, -s) for s, f, i in sorted((s, f, i) for f, (s, i) in own.items())[:4]]
         mine = best.hits[0] == q
         assert [x[mine].tolist() for x in best.hits[1:]] == [list(x) for x in zip(*expected, strict=True)]
+
+
+def test_search_shuffles_no_texts(data, monkeypatch):
+    """Files with many near chunks: further rounds leave out the files found, and results are those of the scan."""
+    monkeypatch.setattr(nearest, "ROWS_PER_FILE", 1)
+    monkeypatch.setattr(nearest.hybrid, "best_per_file", lambda scored: pytest.fail("groups all rows with their texts"))
+    _, frame, index = data
+    q = clustered(1, 4)[0].tolist()
+    scored = nearest.by_cosine(q).score(frame).collect()
+    best = {}
+    for r in scored:
+        best[r.file_id] = min(best.get(r.file_id, (9, 0)), (-r.score, r.chunk_index))
+    expected = [(f, c, -s) for s, f, c in sorted((s, f, c) for f, (s, c) in best.items())[:20]]
+    found = nearest.search(index, q, nearest.by_cosine(q), 20).hits
+    assert sorted(((r.file_id, r.chunk_index, r.score) for r in found.collect()), key=lambda r: (-r[2], r[0])) == expected
