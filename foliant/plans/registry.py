@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.session import ship_package
+from foliant.session import bound_batches, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            bound_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

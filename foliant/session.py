@@ -39,6 +39,21 @@ def local_session(app_name: str = "foliant", cores: int | str = "*", extra: dict
     return spark
 
 
+#: Bytes of a batch that goes to Python; Spark by itself counts rows, whatever their texts hold.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut batches for Python functions by bytes, unless the session has a bound of its own.
+
+    A worker's memory then does not follow the length of texts; a batch is at
+    least one row.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _shipped: set[str] = set()
 
 
