@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,62 +140,103 @@ def central_summary(embedded_sentences: DataFrame) -> DataFrame:
     return _in_files(embedded_sentences, "sentence").mapInArrow(run, "id long, summary string")
 
 
-def _run_starts(items: str, key: Callable[[Column], Column]) -> Column:
-    """Positions in a sorted array column where a new key begins."""
-    at = lambda i: key(F.get(F.col(items), i))
-    positions = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
-    return F.filter(positions, lambda i: (i == 0) | (at(i) != at(i - 1)))
-
-
-def _runs(starts: str, items: str, build: Callable[[Column, Column], Column]) -> Column:
-    """One element per run of a sorted array, from its start and length."""
-    end = lambda k: F.coalesce(F.get(F.col(starts), k + 1), F.size(items))
-    return F.transform(F.col(starts), lambda s, k: build(s, end(k) - s))
+@dataclass(frozen=True)
+class Counted:
+    """Distinct words of a batch of files, by file and word."""
+
+    #: number of files, and of the words and paragraphs of each
+    files: int
+    totals: np.ndarray
+    paragraphs: np.ndarray
+    #: per distinct word of a file: the file, the word as its place in ``words``, occurrences, paragraphs with it
+    file: np.ndarray
+    code: np.ndarray
+    tf: np.ndarray
+    df: np.ndarray
+    words: pa.Array
+
+    @classmethod
+    def of(cls, blocks: pa.Array) -> Counted:
+        """From the words of each paragraph of each file."""
+        paragraphs = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        inner = blocks.flatten()
+        lengths = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = inner.flatten().dictionary_encode()
+        order = pc.sort_indices(held.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        paragraph = np.repeat(np.arange(len(lengths)), lengths)
+        file = np.repeat(np.arange(len(blocks)), paragraphs)[paragraph]
+        width = max(len(order), 1)
+        key = file * width + place[held.indices.to_numpy()]
+        sort = np.argsort(key, kind="stable")  # paragraphs stay in order
+        key, paragraph = key[sort], paragraph[sort]
+        fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+        starts = np.flatnonzero(fresh)
+        turned = fresh | np.append(True, paragraph[1:] != paragraph[:-1])[: len(key)]
+        df = np.add.reduceat(turned.astype(np.int64), starts) if len(starts) else starts
+        totals = np.bincount(file, minlength=len(blocks))
+        words = held.dictionary.take(pa.array(order))
+        return cls(len(blocks), totals, paragraphs, key[starts] // width, key[starts] % width, np.diff(np.append(starts, len(key))), df, words)
+
+    def lists(self, values: pa.Array, file: np.ndarray) -> pa.Array:
+        """Values, in the order of their files, as one list per file."""
+        ends = np.append(0, np.cumsum(np.bincount(file, minlength=self.files)))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+    def ranked(self, most: int | None) -> pa.Array:
+        """Words that may be tags, best first, ``most`` per file; equal scores in word order."""
+        kept = ~pc.is_in(self.words, pa.array(X.TAG_STOPWORDS)).to_numpy(zero_copy_only=False)
+        kept = kept[self.code] if len(self.code) else np.zeros(0, bool)
+        file, code, tf, df = self.file[kept], self.code[kept], self.tf[kept], self.df[kept]
+        score = (tf / self.totals[file]) * (np.log(np.maximum(self.paragraphs, 1)[file] / df) + 1.0)
+        order = np.argsort(-np.round(score, 9), kind="stable")  # words of a file are in order
+        order = order[np.argsort(file[order], kind="stable")]
+        file, code = file[order], code[order]
+        if most is not None:
+            first = np.arange(len(file)) - np.searchsorted(file, np.arange(self.files))[file] < most
+            file, code = file[first], code[first]
+        return self.lists(self.words.take(pa.array(code)), file)
+
+
+def _word_blocks(files: DataFrame, text: str) -> DataFrame:
+    """(id, blocks): the words of each paragraph of texts long enough to tag."""
+    blocks = F.transform(X.split_paragraphs(F.col(text)), X.tag_words)
+    return files.filter(content_error(F.col(text)).isNull()).select("id", blocks.alias("blocks"))
 
 
 def term_arrays(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, total, paragraphs, terms) of texts long enough to tag.
 
     ``terms`` holds (word, tf, df): occurrences in the file, and paragraphs
-    with the word.  A file's words are counted within its row: they are sorted
-    and runs of equal words measured, and nothing is shuffled.  Arrays read inside lambdas are columns
-    of the step before; an expression there would run once per element.
+    with the word.  Words are counted for a batch of files at once, and nothing
+    is shuffled.
     """
-    blocks = F.transform(X.split_paragraphs(F.col(text)), X.tag_words)
-    pairs = F.transform(
-        "blocks", lambda b, p: F.transform(b, lambda w: F.struct(w.alias("word"), p.alias("paragraph")))
-    )
-    # A run remembers where it starts, so occurrences are a difference of positions.
-    in_paragraph = _runs(
-        "starts", "pairs", lambda s, n: F.struct(F.get(F.col("pairs"), s)["word"].alias("word"), s.alias("at"))
-    )
-    in_file = _runs(
-        "starts",
-        "counts",
-        lambda s, n: F.struct(
-            F.get(F.col("counts"), s)["word"].alias("word"),
-            (F.coalesce(F.get(F.col("counts"), s + n)["at"], F.col("total")) - F.get(F.col("counts"), s)["at"])
-            .cast("long")
-            .alias("tf"),
-            n.cast("long").alias("df"),
-        ),
-    )
-    rows = files.filter(content_error(F.col(text)).isNull()).select("id", blocks.alias("blocks"))
-    rows = rows.select(
-        "id", F.greatest(F.size("blocks"), F.lit(1)).alias("paragraphs"), F.sort_array(F.flatten(pairs)).alias("pairs")
-    )
-    rows = rows.withColumn("starts", _run_starts("pairs", lambda e: e))
-    rows = rows.select("id", "paragraphs", F.size("pairs").alias("total"), in_paragraph.alias("counts"))
-    rows = rows.withColumn("starts", _run_starts("counts", lambda e: e["word"]))
-    # ``inline`` of one element stops later filters from being pushed down here,
-    # where the steps above would be spelled out inside them over and over.
-    result = F.struct("total", "paragraphs", F.coalesce(in_file, F.array().cast(_TERMS)).alias("terms"))
-    return rows.select("id", F.inline(F.array(result)))
+
+    @F.arrow_udf(f"struct<total:int,paragraphs:int,terms:{_TERMS}>")
+    def count(blocks: pa.Array) -> pa.Array:
+        own = Counted.of(blocks)
+        terms = pa.StructArray.from_arrays([own.words.take(pa.array(own.code)), pa.array(own.tf), pa.array(own.df)], names=["word", "tf", "df"])
+        totals, paragraphs = pa.array(own.totals.astype(np.int32)), pa.array(np.maximum(own.paragraphs, 1).astype(np.int32))
+        return pa.StructArray.from_arrays([totals, paragraphs, own.lists(terms, own.file)], names=["total", "paragraphs", "terms"])
+
+    return _word_blocks(files, text).select("id", F.inline(F.array(count("blocks"))))
 
 
 _TERMS = "array<struct<word:string,tf:bigint,df:bigint>>"
 
 
+def _ranked_words(files: DataFrame, text: str, most: int | None) -> DataFrame:
+    """(id, words), best first."""
+
+    @F.arrow_udf("array<string>")
+    def rank(blocks: pa.Array) -> pa.Array:
+        return Counted.of(blocks).ranked(most)
+
+    # ``inline`` keeps later filters from being pushed down here, where words would be ranked once more
+    return _word_blocks(files, text).select("id", F.inline(F.array(F.struct(rank("blocks").alias("words")))))
+
+
 def scored_terms(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, terms) with (word, tf, df, score); stop words count in totals only."""
     rows = term_arrays(files, text)
@@ -220,23 +263,15 @@ def tfidf(files: DataFrame, text: str = "text_content") -> DataFrame:
     return scored_terms(files, text).select("id", F.inline("terms"))
 
 
-def _best_words(n: int) -> Column:
-    """The ``n`` best words of ``terms``; equal scores in word order."""
-    ranked = F.transform("terms", lambda t: F.struct((-F.round(t["score"], 9)).alias("order"), t["word"].alias("word")))
-    return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda t: t["word"])
-
-
 def tag_candidates(files: DataFrame, text: str = "text_content") -> DataFrame:
     """(id, position, word): all words of each file that may be tags, best first."""
-    ranked = F.transform("terms", lambda t: F.struct((-F.round(t["score"], 9)).alias("order"), t["word"].alias("word")))
-    best = scored_terms(files, text).select("id", F.posexplode(F.sort_array(ranked)).alias("at", "entry"))
-    return best.select("id", (F.col("at") + 1).alias("position"), "entry.word")
+    best = _ranked_words(files, text, None).select("id", F.posexplode("words").alias("at", "word"))
+    return best.select("id", (F.col("at") + 1).alias("position"), "word")
 
 
 def tags(files: DataFrame, text: str = "text_content", max_tags: int = MAX_TAGS) -> DataFrame:
     """(id, tags), best first, of files that have any."""
-    best = F.struct(_best_words(max_tags).alias("tags"))
-    return scored_terms(files, text).select("id", F.inline(F.array(best))).filter(F.size("tags") > 0)
+    return _ranked_words(files, text, max_tags).filter(F.size("words") > 0).withColumnRenamed("words", "tags")
 
 
 Attach = Callable[[DataFrame], DataFrame]
@@ -287,27 +322,42 @@ def distinct_tags(
     return picked.select("id", F.transform("kept", lambda r: r["word"]).alias("tags"))
 
 
+def _unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (zero vectors stay zero), padded to the widest, and their widths."""
+    widths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    matrix = np.zeros((len(widths), int(widths.max(initial=0))))
+    matrix[np.arange(matrix.shape[1]) < widths[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    good = norms >= V.EPSILON
+    return np.where(good[:, None], matrix / np.where(good, norms, 1.0)[:, None], 0.0), widths
+
+
 def _walk(kept: Column, rows: Column, max_tags: int, threshold: float) -> Column:
     """The kept words with their vectors after one more block, a matrix product per word."""
 
     @F.arrow_udf("array<struct<word:string,embedding:array<float>>>")
     def walk(before: pa.Array, block: pa.Array) -> pa.Array:
-        out = []
-        for old, fresh in zip(before.to_pylist(), block.to_pylist(), strict=True):
-            chosen = list(old or [])
-            units = [V.unit_or_zero(c["embedding"]) for c in chosen]
-            for row in fresh:
+        parts = [before.flatten(), block.flatten()]
+        words, vectors = (pa.concat_arrays([p.field(c) for p in parts]) for c in ("word", "embedding"))
+        old, fresh = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (before, block))
+        matrix, widths = _unit_rows(vectors)
+        old_ends, fresh_ends = np.cumsum(old), np.cumsum(fresh) + len(parts[0])
+        picked, ends = [], [0]
+        for i in range(len(block)):
+            here = np.append(np.arange(old_ends[i] - old[i], old_ends[i]), np.arange(fresh_ends[i] - fresh[i], fresh_ends[i]))
+            close = (matrix[here] @ matrix[here].T > threshold) & (widths[here][:, None] == widths[here])
+            chosen = list(range(old[i]))
+            for j in range(old[i], len(here)):
                 if len(chosen) == max_tags:
                     break
-                own = V.unit_or_zero(row["embedding"])
-                same = [u for u in units if len(u) == len(own)]
-                if not same or float((np.stack(same) @ own).max()) <= threshold:
-                    chosen.append({"word": row["word"], "embedding": row["embedding"]})
-                    units.append(own)
-            out.append(chosen)
-        return pa.array(out, block_type)
-
-    block_type = pa.list_(pa.struct([("word", pa.string()), ("embedding", pa.list_(pa.float32()))]))
+                if not close[j, chosen].any():
+                    chosen.append(j)
+            picked.append(here[chosen])
+            ends.append(ends[-1] + len(chosen))
+        take = pa.array(np.concatenate(picked) if picked else np.zeros(0, np.int64))
+        entries = pa.StructArray.from_arrays([words.take(take), vectors.take(take)], names=["word", "embedding"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
     return walk(kept, rows)
 
 

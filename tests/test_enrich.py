@@ -133,3 +133,47 @@ def test_centrality_of_files_across_batches(spark, batch):
         best = sorted(sorted((k for k in expected if k[0] == f), key=lambda k: (-round(expected[k], 6), k))[:3])
         assert chosen[f] == " ".join(f"sentence {f} {i}" for _, i in best)
     assert plan.count("Exchange") == 1
+
+
+def test_words_of_a_batch_are_counted_by_file():
+    import pyarrow as pa
+
+    blocks = pa.array([[["b", "a", "b"], ["b"]], [], None, [["the", "a"], [], ["c", "a"]]], pa.list_(pa.list_(pa.string())))
+    own = E.Counted.of(blocks)
+    words = own.words.to_pylist()
+    got = list(zip(own.file.tolist(), [words[c] for c in own.code], own.tf.tolist(), own.df.tolist(), strict=True))
+    assert got == [(0, "a", 1, 1), (0, "b", 3, 2), (3, "a", 2, 2), (3, "c", 1, 1), (3, "the", 1, 1)]
+    assert own.totals.tolist() == [4, 0, 0, 4] and own.paragraphs.tolist() == [2, 0, 0, 3]
+    assert own.ranked(None).to_pylist() == [["b", "a"], [], [], ["a", "c"]]
+    assert own.ranked(1).to_pylist() == [["b"], [], [], ["a"]]
+
+
+def test_tags_rank_a_batch_once(make_files):
+    plan = E.tags(make_files([("/a", "a", "", RUST)]))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_tags_of_unequal_widths_are_not_close(spark):
+    rows = [(1, 1, "a", [1.0, 0.0]), (1, 2, "b", [1.0, 0.0, 0.0]), (1, 3, "c", [0.0, 0.0]), (1, 4, "d", [0.9, 0.1]), (1, 5, "e", [0.9, 0.1, 0.0])]
+    df = spark.createDataFrame(rows, "id long, position int, word string, embedding array<float>")
+    vectors = df.select("word", "embedding")
+    assert E.distinct_tags(df.drop("embedding"), lambda block: block.join(vectors, "word")).first().tags == ["a", "b", "c"]
+
+
+def test_batches_for_python_are_bounded(spark):
+    """A worker's memory follows bytes, not 10,000 rows of any length."""
+    from foliant.functions import text as X
+    from foliant.session import BATCH_BYTES, bound_batches
+
+    bound_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 2_000, 1, 1).select("id", F.repeat(F.lit("word "), 4_000).alias("text_content"))
+    assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    assert texts.select(F.size(X.split_sentences(F.col("text_content"))).alias("n")).agg(F.sum("n")).first()[0] == 2_000
