@@ -13,8 +13,9 @@ In an instance at most K elements tell a linked pair apart.
   above P - K - 1 others on both sides.  That keeps K + 1 signatures and drops
   the empty partitions, which would pair unrelated documents.
 
-Sets that share a signature are candidates.  They are verified on whole texts
-against a few pivots per signature, and verified links merge components.  Most
+Sets that share a signature are candidates.  They are compared with a few pivots
+per signature, by sketches and where these allow a link on whole texts, and
+verified links merge components.  Most
 signatures then have all their members in one component, which settles them.
 In the others, all pairs of members from different components are compared,
 block by block within tasks.  So no link between components is lost, and the
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.arrays import SPACED, Words, mix, sliced, text_bytes
+from foliant.llm.arrays import SPACED, Words, give_back, mix, sliced, text_bytes
 from foliant.llm.common import Bitmap, Scratch, bitmap_of, fresh, maybe_in, saved
 
 ENUMERATED_K = 3
@@ -47,6 +48,8 @@ CHUNK = 200
 STARS = (1, 4)
 #: Signatures counted in one task, and the most such tasks.
 PART_ROWS, MAX_PARTS = 500_000, 50_000
+#: Blocks of signatures for each such task, signatures sent at once, and the bytes that tell one from others of its block.
+PART_BLOCKS, SENT, TAIL = 2, 500_000, 5
 #: Shingles of the members that one task holds when it compares components.
 BLOCK = 4_000_000
 MAX_SIZE = 1 << 40
@@ -188,71 +191,167 @@ def marks_of(ids: np.ndarray, n: np.ndarray, d1: np.ndarray, d2: np.ndarray) ->
     return own.view(np.int64)
 
 
-def marked(copies: DataFrame) -> DataFrame:
-    """(id, mark) out of (id, n, d1, d2)."""
+def marked(copies: DataFrame, held: Bitmap | None = None) -> DataFrame:
+    """(id, mark) out of (id, n, d1, d2); with a bitmap, of the marks that may be in it."""
 
     def run(batches):
         for batch in batches:
             own = marks_of(*(batch.column(c).to_numpy() for c in ("id", "n", "d1", "d2")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own)], names=["id", "mark"])
+            rows = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own)], names=["id", "mark"])
+            yield rows if held is None else rows.filter(pa.array(held.may_hold(own)))
 
     return copies.select("id", "n", "d1", "d2").mapInArrow(run, "id long, mark long")
 
 
-def features(docs: DataFrame, sim: Similarity, signed: bool, wanted: Bitmap | None = None, marks: Bitmap | None = None) -> DataFrame:
-    """(doc_id, n, d1, d2) of each row, with sigs when ``signed``.
+@dataclass(frozen=True)
+class Copies:
+    """Bitmaps that tell copies by their marks.
 
-    With a bitmap ``wanted``, signatures that are surely not in it are left
-    out; with one of ``marks``, rows have theirs where it may be in it.
+    ``maybe`` holds the marks of all copies, ``unsure`` those of all other rows
+    that are in ``maybe`` nevertheless.  A mark in the first alone is a copy's.
+    The second goes by other bits, or each of its rows would hide a copy.
     """
-    schema = "doc_id long, n long, d1 long, d2 long" + (", sigs array<long>" if signed else "") + (", mark long" if marks else "")
-    names = [f.split()[0] for f in schema.split(", ")]
+
+    maybe: Bitmap
+    unsure: Bitmap
+
+    def surely(self, marks: np.ndarray) -> np.ndarray:
+        """Which rows are copies; a few copies are not told."""
+        return self.maybe.may_hold(marks) & ~self.unsure.may_hold(marks >> 32)
+
+
+def copies_of(known: DataFrame, marks: DataFrame, scratch: Scratch) -> Copies:
+    """Bitmaps out of all rows (doc_id, n, d1, d2) and the stored (id, mark) of copies."""
+    maybe = bitmap_of(marks, "mark", hashed=True)
+    rows = marked(known.withColumnRenamed("doc_id", "id"), maybe)
+    unsure = scratch.saved(rows.join(marks, ["id", "mark"], "left_anti").select(F.shiftright("mark", 32).alias("high")), "unsure")
+    return Copies(maybe, bitmap_of(unsure, "high", hashed=True))
+
+
+def without(values: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets and offsets without the sets that are gone."""
+    sizes = np.diff(ends)
+    kept = np.zeros(len(sizes) - int(gone.sum()) + 1, dtype=np.int64)
+    np.cumsum(sizes[~gone], out=kept[1:])
+    return values[np.repeat(~gone, sizes)], kept
+
+
+def features(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(doc_id, n, d1, d2) of each row."""
 
     def build(batches):
         for batch in sliced(batches, "text"):
             values, ends = shingle_sets(batch.column("text"), sim)
-            sizes, sums = np.diff(ends), digests(values, ends)
-            made = [batch.column("doc_id"), pa.array(sizes), *(pa.array(x) for x in sums)]
-            if signed:
-                sig, out = signatures(values, ends, sim)
-                if wanted is not None:
-                    keep = wanted.may_hold(sig)
-                    out = np.concatenate(([0], np.cumsum(keep)))[out]
-                    sig = sig[keep]
-                made.append(pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig)))
-            if marks is not None:
-                mark = marks_of(batch.column("doc_id").to_numpy(), sizes.astype(np.int64), *sums)
-                made.append(pa.array(mark, mask=~marks.may_hold(mark)))
-            yield pa.RecordBatch.from_arrays(made, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(build, schema)
-
-
-def shared_signatures(docs: DataFrame, sim: Similarity, shingles: int) -> DataFrame:
-    """(sig) of all signatures with two members or more.
-
-    Members are counted within slices before the shuffle, so a signature of
-    very many documents sends a row per slice.  Nearly all others are distinct:
-    they go straight to partitions of about ``PART_ROWS``, without tables of
-    them in the mapping tasks.
+            made = [batch.column("doc_id"), pa.array(np.diff(ends)), *(pa.array(x) for x in digests(values, ends))]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "d1", "d2"])
+
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, d1 long, d2 long")
+
+
+def originals(batches, sim: Similarity, copies: Copies):
+    """For each slice: ids, marks and sets of the rows that are not surely copies."""
+    for batch in sliced(batches, "text"):
+        values, ends = shingle_sets(batch.column("text"), sim)
+        ids = batch.column("doc_id").to_numpy()
+        marks = marks_of(ids, np.diff(ends), *digests(values, ends))
+        gone = copies.surely(marks)
+        yield ids[~gone], marks[~gone], *without(values, ends, gone)
+
+
+def signed(docs: DataFrame, sim: Similarity, copies: Copies, blocks: int, wanted: Bitmap) -> DataFrame:
+    """(doc_id, n, mark, sigs) of the rows that are not surely copies.
+
+    Signatures that are surely not ``wanted`` are left out.  Rows that may be
+    copies have their mark, others have none.
+    """
+
+    def build(batches):
+        for ids, marks, values, ends in originals(batches, sim, copies):
+            sig, out = signatures(values, ends, sim)
+            sig = keyed(sig, blocks)
+            keep = wanted.may_hold(sig)
+            out = np.concatenate(([0], np.cumsum(keep)))[out]
+            sigs = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(sig[keep]))
+            made = [pa.array(ids), pa.array(np.diff(ends)), pa.array(marks, mask=~copies.maybe.may_hold(marks)), sigs]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "mark", "sigs"])
+
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, mark long, sigs array<long>")
+
+
+def keyed(sig: np.ndarray, blocks: int) -> np.ndarray:
+    """Signatures cut to a block number and ``TAIL`` bytes; the few that fall together only add candidates."""
+    sig = sig.view(np.uint64)
+    block = (sig >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    return (block << np.uint64(8 * TAIL) | sig & np.uint64((1 << 8 * TAIL) - 1)).view(np.int64)
+
+
+def packed(keys: np.ndarray) -> pa.RecordBatch:
+    """(block, tails): keys by block, those found twice or more listed twice."""
+    keys = np.sort(keys)
+    more = np.flatnonzero(keys[2:] == keys[:-2]) + 2
+    if len(more):
+        keys = np.delete(keys, more)
+    blocks, first = np.unique(keys >> 8 * TAIL, return_index=True)
+    tails = np.ascontiguousarray(keys.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :TAIL])
+    ends = (np.append(first, len(keys)) * TAIL).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends), pa.py_buffer(tails)])
+    return pa.RecordBatch.from_arrays([pa.array(blocks), rows], names=["block", "tails"])
+
+
+def repeated(block: int, tails: list[bytes]) -> pa.RecordBatch:
+    """(sig): keys of one block that are listed twice or more."""
+    raw = np.frombuffer(b"".join(tails), dtype=np.uint8).reshape(-1, TAIL)
+    keys = np.zeros((len(raw), 8), dtype=np.uint8)
+    keys[:, :TAIL] = raw
+    keys = np.sort(keys.view("<i8").ravel())
+    twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
+    return pa.RecordBatch.from_arrays([pa.array(twice + (block << 8 * TAIL))], names=["sig"])
+
+
+def shared_signatures(docs: DataFrame, sim: Similarity, parts: int, copies: Copies) -> DataFrame:
+    """(sig) of all signatures with two members or more, copies apart.
+
+    Tasks gather signatures and send them as one array for each block of the
+    hash range, without what the block tells: nearly all are distinct and do
+    not compress.  A signature of very many documents is sent twice at a time.
     """
+    blocks = parts * PART_BLOCKS
+
+    def send(batches):
+        held, size = [], 0
+        for _, _, values, ends in originals(batches, sim, copies):
+            held.append(keyed(signatures(values, ends, sim)[0], blocks))
+            size += len(held[-1])
+            if size >= SENT:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
+        held = []
+        give_back()
 
     def count(batches):
-        for batch in sliced(batches, "text"):
-            sig, _ = signatures(*shingle_sets(batch.column("text"), sim), sim)
-            distinct, members = np.unique(sig, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.minimum(members, 2).astype(np.int32))], names=["sig", "members"])
+        block, tails = None, []
+        for batch in batches:
+            for now, own in zip(batch.column("block").to_pylist(), batch.column("tails").to_pylist(), strict=True):
+                if now != block and tails:
+                    yield repeated(block, tails)
+                    tails = []
+                block = now
+                tails.append(own)
+        if tails:
+            yield repeated(block, tails)
+        tails = []
+        give_back()
 
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, shingles // (2 * PART_ROWS)))
-    counted = docs.select("text").mapInArrow(count, "sig long, members int").repartition(parts, "sig")
-    return counted.groupBy("sig").agg(F.sum("members").alias("members")).filter("members > 1").select("sig")
+    sent = docs.select("doc_id", "text").mapInArrow(send, "block long, tails binary")
+    return sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(count, "sig long")
 
 
 def components(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = saved(features(docs, sim, signed=False), "sets")
+    sets = saved(features(docs, sim), "sets")
     scratch = Scratch(docs.sparkSession, "links")
     labels = saved(link_labels(docs, sets, sim, scratch), "labels")
     scratch.discard()
@@ -284,29 +383,33 @@ def link_labels(docs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scra
     labels = contract(links, None, scratch)
 
     known_docs = docs.filter(F.col("doc_id").isNotNull())
-    shared = scratch.saved(shared_signatures(known_docs, sim, sets.agg(F.sum("n")).first()[0] or 0), "shared")
+    # a copy leaves by its text, before signatures are counted: other texts of its id stay.  Very
+    # few rows are not told from copies; these carry a mark that is decided by a join of their members alone
+    marks = scratch.saved(marked(copies).distinct(), "marks")
+    told = copies_of(known, marks, scratch)
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, shingles // (2 * PART_ROWS)))
+    shared = scratch.saved(shared_signatures(known_docs, sim, parts, told), "shared")
     scratch.settle()
     # most signatures have one member: a bitmap keeps them out of the join
-    # a copy leaves by its text: other texts of its id stay.  Few rows may be copies; these
-    # carry a mark that is decided by a join of their members alone
-    marks = scratch.saved(marked(copies).distinct(), "marks")
-    rows = features(known_docs, sim, True, bitmap_of(shared, "sig", hashed=True), bitmap_of(marks, "mark", hashed=True))
+    rows = signed(known_docs, sim, told, parts * PART_BLOCKS, bitmap_of(shared, "sig", hashed=True))
     rows = rows.select(F.col("doc_id").alias("id"), "n", "mark", F.explode("sigs").alias("sig"))
     met = scratch.saved(rows.join(shared, "sig").select("sig", "id", "n", "mark"), "members")
     clear = met.filter("mark IS NULL").drop("mark")
     members = clear.unionByName(met.filter("mark IS NOT NULL").join(marks, ["id", "mark"], "left_anti").select(*clear.columns))
     ids = scratch.saved(members.select("id").distinct(), "ids")
     texts = scratch.saved(texts_of(docs, ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    short = scratch.saved(sketches(texts, sim), "sketches")
     for pivots in STARS:
         scratch.settle()
         members = open_members(members, labels, scratch)
         if members.isEmpty():
             return labels
         pairs, members = pivot_pairs(members, pivots, sim, scratch)
-        labels = contract(verified(pairs, texts, sim, scratch), labels, scratch)
+        labels = contract(verified(possible(pairs, short, sim, scratch), texts, sim, scratch), labels, scratch)
     scratch.settle()
     members = open_members(members, labels, scratch)
-    return labels if members.isEmpty() else contract(cross_links(members, texts, sim, scratch), labels, scratch)
+    return labels if members.isEmpty() else contract(cross_links(members, texts, short, sim, scratch), labels, scratch)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -322,10 +425,14 @@ def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> Dat
     apart by their number, smallest and largest id and the exact sum of a 64-bit
     mix, in which repeated ids do not cancel out.
     """
-    current = members.select("sig", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    current = current.select("sig", "id", "n", "label")
+    members = members.select("sig", "id", "n")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").select("sig", "id", "n", F.coalesce("label", "id").alias("label"))
+
     split = scratch.saved(
-        current.groupBy("sig")
+        labelled(members)
+        .groupBy("sig")
         .agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
@@ -337,7 +444,9 @@ def open_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> Dat
         .select("sig"),
         "split",
     )
-    return scratch.saved(current.join(split, "sig"), "open")
+    # few signatures are left: a bitmap keeps members of the others out of the join
+    flagged, flag = maybe_in(members, "sig", bitmap_of(split, "sig"))
+    return scratch.saved(labelled(flagged.filter(flag).drop(flag)).join(split, "sig"), "open")
 
 
 def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -364,7 +473,31 @@ def pivot_pairs(members: DataFrame, pivots: int, sim: Similarity, scratch: Scrat
         .distinct()
     )
     rest = members.join(pivot.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
-    return scratch.saved(pairs, "pairs"), rest
+    return scratch.saved(pairs, "pairs"), scratch.saved(rest, "rest")
+
+
+def possible(pairs: DataFrame, short: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """The pairs (p, q) whose sketches allow a link, so that the texts of the others are not sent.
+
+    Of an id with several texts, any of its sketches may allow it.
+    """
+    for side in ("p", "q"):
+        pairs = pairs.join(short.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    gap, both = sim.den - sim.num, sim.den + sim.num
+
+    def compare(batches):
+        for batch in batches:
+            sizes = batch.column("np").to_numpy() + batch.column("nq").to_numpy()
+            keep = []
+            for size, a, b in zip(sizes.tolist(), batch.column("sp"), batch.column("sq"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+                words = min(len(a), len(b))
+                apart = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(dtype=np.int64))
+                keep.append(apart * both <= gap * size)
+            yield batch.select(["p", "q"]).filter(pa.array(keep, pa.bool_()))
+
+    columns = ["p", "q", "np", "nq", "sp", "sq"]
+    return scratch.saved(pairs.select(*columns).mapInArrow(compare, "p long, q long").distinct(), "possible")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
@@ -425,9 +558,9 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sketch_words(size: int, sim: Similarity) -> int:
-    """Words of a set's sketch: a power of two with about 16 bits for each element two linked sets may differ in."""
+    """Words of a set's sketch: a power of two with about 8 bits for each element two linked sets may differ in."""
     most = size * (sim.den - sim.num) // sim.num + 1
-    return 1 << min(8, max(0, (most // 4).bit_length()))
+    return 1 << min(8, max(0, (most // 8).bit_length()))
 
 
 def sketch(own: np.ndarray, words: int) -> np.ndarray:
@@ -460,7 +593,7 @@ def sketches(texts: DataFrame, sim: Similarity) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(build, "id long, n long, sketch binary")
 
 
-def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, short: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """Links (a, b) between different components of each signature, all pairs compared.
 
     Every member outside a signature's largest component meets all members of
@@ -484,7 +617,6 @@ def cross_links(members: DataFrame, texts: DataFrame, sim: Similarity, scratch:
     )
     columns = ["sig", "block", "part", "id", "label"]
     dealt = inside.select(*columns).unionByName(outside.select(*columns))
-    short = scratch.saved(sketches(texts, sim), "sketches")
     near = scratch.saved(_in_blocks(dealt.join(short, "id"), [*columns, "n", "sketch"], _near(sim), columns), "near")
     scratch.settle()
     full = near.join(_only(texts, near), F.col("id") == F.col("doc_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliant.llm import jaccard
+from foliant.llm import common, jaccard
 from foliant.llm.jaccard import Similarity
 
 from .conftest import ODD
@@ -180,3 +180,77 @@ def test_signatures_of_repeated_rows_differ(spark):
     got = jaccard.open_members(members, spark.createDataFrame([], "id long, label long"), scratch).collect()
     assert {r["sig"] for r in got} == {1, 2}
     scratch.discard()
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Rows of the tables that a computation stores, by name."""
+    counts, plain = Counter(), jaccard.Scratch.stored
+
+    def counted(self, df, name):
+        out = plain(self, df, name)
+        counts[name] += out[0].count()
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "stored", counted)
+    return counts
+
+
+def test_copies_make_no_signatures(spark, docs, stored):
+    rng = random.Random(6)
+    rows = [(3 * k + copy, text) for k in range(30) for text in [" ".join(texts_apart(rng))] for copy in range(3)]
+    sim = Similarity(5, 4, 5)
+    assert sorted(map(tuple, jaccard.components(docs(rows), sim).collect())) == brute(rows, sim)
+    assert stored["copies"] == 60
+    assert stored["shared"] == stored["members"] == 0
+
+
+def test_texts_of_unlike_pairs_are_not_sent(spark, docs, stored):
+    """Texts that share most of their words with each other, yet too few for a link."""
+    rng = random.Random(8)
+    base = texts_apart(rng, 150)
+    rows = []
+    for i in range(30):
+        at = rng.randrange(90)
+        rows.append((i, " ".join([*base[:at], *texts_apart(rng), *base[at + 60 :]])))
+    rows.append((99, rows[3][1] + " more"))
+    sim = Similarity(5, 4, 5)
+    expected = brute(rows, sim)
+    assert sum(i != c for i, _, c in expected) <= 3
+    assert sorted(map(tuple, jaccard.components(docs(rows), sim).collect())) == expected
+    assert stored["pairs"] > 20
+    assert stored["dealt"] <= 5
+
+
+def test_counted_signatures():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(-(2**63), 2**63, 5000, dtype=np.int64)
+    runs = [sig[:3000], sig[2500:], np.repeat(sig[100:110], 9), sig[4990:]]
+    keys = [jaccard.keyed(r, 8) for r in runs]
+    sent = [jaccard.packed(k) for k in keys]
+    tails = defaultdict(list)
+    for batch in sent:
+        for block, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tails[block].append(own)
+    # a signature takes few bytes, and one that is found often is sent twice
+    assert sum(len(x) for own in tails.values() for x in own) == jaccard.TAIL * (3000 + 2500 + 20 + 10)
+    got = [x for block, own in tails.items() for x in jaccard.repeated(block, own).column("sig").to_pylist()]
+    assert len(got) == len(set(got))
+    assert set(got) == {k for k, n in Counter(np.concatenate(keys).tolist()).items() if n > 1}
+    assert len(set(jaccard.keyed(sig, 8).tolist())) == 5000
+
+
+def test_rows_that_only_look_like_copies(spark, monkeypatch):
+    """A bitmap so full that it takes many rows for copies."""
+    monkeypatch.setattr(common, "BITMAP_BITS", 1 << 15)
+    monkeypatch.setattr(common, "MOST_BITMAP_BITS", 1 << 15)
+    known = spark.range(8000).selectExpr("id as doc_id", "5L as n", "id % 7000 as d1", "id % 7000 as d2")
+    scratch = jaccard.Scratch(spark, "test")
+    marks = scratch.saved(jaccard.marked(known.selectExpr("doc_id as id", "n", "d1", "d2").filter("id >= 7000")), "marks")
+    copies = jaccard.copies_of(known, marks, scratch)
+    ids = np.arange(8000)
+    own = jaccard.marks_of(ids, np.full(8000, 5), ids % 7000, ids % 7000)
+    assert copies.maybe.may_hold(own)[:7000].any()
+    assert not copies.surely(own)[:7000].any()
+    assert copies.surely(own)[7000:].mean() > 0.97
+    scratch.discard()
