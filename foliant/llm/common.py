@@ -90,6 +90,11 @@ def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Bitmap:
     number of ids up to ``MOST_BITMAP_BITS``, which bounds the broadcast; with
     still more ids it lets more rows through, and nothing else changes.
     ``hashed`` ids are taken by their low bits, others are hashed first.
+
+    The buckets are merged by all tasks of the aggregate; only then they are put
+    into pieces of ``BITMAP_BITS``.  The driver fetches piece after piece, each
+    by a job of its own, which for the aggregate's many small tasks would take
+    far longer than the work.
     """
     bits = min(max(BITMAP_BITS, 1 << (BITS_PER_ID * max(ids.count(), 1) - 1).bit_length()), MOST_BITMAP_BITS)
     key = F.col(column) if hashed else F.xxhash64(column)
@@ -102,7 +107,7 @@ def bitmap_of(ids: DataFrame, column: str, hashed: bool = False) -> Bitmap:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     )
     held = np.zeros(bits // 8, dtype=np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.repartition(max(bits // BITMAP_BITS, 1)).toLocalIterator():
         part = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         start = (row["bucket"] - 1) * len(part)
         held[start : start + len(part)] |= part

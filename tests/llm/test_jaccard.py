@@ -254,3 +254,28 @@ def test_rows_that_only_look_like_copies(spark, monkeypatch):
     assert not copies.surely(own)[:7000].any()
     assert copies.surely(own)[7000:].mean() > 0.97
     scratch.discard()
+
+
+def test_bitmaps_are_fetched_by_few_jobs(spark, monkeypatch):
+    """The number of shuffle partitions does not multiply the driver's jobs, one after another."""
+    monkeypatch.setattr(common, "BITMAP_BITS", 1 << 18)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    scratch = jaccard.Scratch(spark, "test")
+    ids = scratch.saved(spark.range(0, 90_000, 3).toDF("id"), "ids")
+    try:
+        spark.conf.set(names[0], "40")
+        spark.conf.set(names[1], "false")
+        spark.sparkContext.setJobGroup("bitmap", "")
+        held = common.bitmap_of(ids, "id")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert held.bits == 1 << 20  # four pieces
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 12
+    rows, flag = common.maybe_in(spark.range(90_000).toDF("id"), "id", held)
+    found = {r["id"] for r in rows.filter(flag).collect()}
+    assert found >= set(range(0, 90_000, 3))
+    assert len(found) < 33_000
+    scratch.discard()
