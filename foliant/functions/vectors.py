@@ -139,12 +139,78 @@ def cosine_against(vector: Column, query: Sequence[float]) -> Column:
     return score(vector)
 
 
-def mean_vector(df: DataFrame, vector: str, *keys: str) -> DataFrame:
+#: Bytes of stored vectors whose means one call finds.
+LOT_BYTES = 4 << 20
+
+
+def _partial_sums(vector: str, key: str, width: int):
+    """Sums of a batch by key; a single vector stays as it is stored."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key)
+            values = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            coded = keys.dictionary_encode(null_encoding="encode")
+            which = coded.indices.to_numpy()
+            order = np.argsort(which, kind="stable")
+            amount = np.bincount(which)
+            starts = _starts(amount)
+            sums = [v.tobytes() for v in values[order[starts]].astype(np.float32)]
+            for i in np.flatnonzero(amount > 1).tolist():
+                sums[i] = values[order[starts[i] : starts[i] + amount[i]]].astype(np.float64).sum(axis=0).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(amount.astype(np.int64)), pa.array(sums, pa.binary())], names=[key, "amount", "total"]
+            )
+
+    return run
+
+
+def _means_of(key: str, width: int):
+    """Unit means of a lot of keys out of partial sums."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        coded = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        amount = rows.column("amount").to_numpy()
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        totals = rows.column("total").to_pylist()
+        values = np.empty((len(amount), width))
+        for kind, chosen in ((np.float32, amount == 1), (np.float64, amount > 1)):
+            values[chosen] = np.frombuffer(b"".join(totals[i] for i in np.flatnonzero(chosen)), kind).reshape(-1, width)
+        starts = _starts(np.bincount(coded.indices.to_numpy()))
+        means = np.add.reduceat(values[order], starts) / np.add.reduceat(amount[order], starts)[:, None]
+        norms = np.sqrt((means * means).sum(axis=1))
+        means /= np.where(norms > 0, norms, 1.0)[:, None]
+        offsets = pa.array((np.arange(len(means) + 1) * width).astype(np.int32))
+        return pa.table([coded.dictionary, pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))], names=[key, "mean_vector"])
+
+    return run
+
+
+def _means_of_width(df: DataFrame, vector: str, key: str, width: int) -> DataFrame:
+    """``mean_vector`` of single floats of one width, in numpy.
+
+    Vectors are shuffled as they are stored, those of one key within a batch
+    as their sum, so that a key with very many vectors is no burden.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    lots = max(1, -(-df.count() * 4 * width // LOT_BYTES))
+    sums = df.select(key, vector).mapInArrow(_partial_sums(vector, key, width), f"`{key}` {kind}, amount long, total binary")
+    dealt = sums.withColumn("lot", F.pmod(F.xxhash64(key), F.lit(lots)))
+    return dealt.groupBy("lot").applyInArrow(_means_of(key, width), f"`{key}` {kind}, mean_vector array<double>")
+
+
+def mean_vector(df: DataFrame, vector: str, *keys: str, width: int | None = None) -> DataFrame:
     """Unit-length element-wise mean per key, as ``mean_vector``.
 
     The mean is combined on the map side, so one file with very many chunks
-    costs one partial vector per task.
+    costs one partial vector per task.  ``width`` says that ``keys`` is one
+    and all vectors are single floats of that width, without nulls; many
+    small keys then cost far less.
     """
+    if width is not None:
+        return _means_of_width(df, vector, *keys, width)
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 

@@ -27,8 +27,12 @@ ROWS_PER_FILE = 4
 #: Scores are rounded to ``hybrid.SCORE_DIGITS``; bounds give way by more than that.
 SCORE_SLACK = 1e-8
 #: Vectors of a packed block, and most tasks that groups of means are dealt to.
-BLOCK = 2_048
+BLOCK = 4_096
 MOST_TASKS = 10_000
+#: Means and vectors that are multiplied at a time: their products stay in a core's cache.
+TILE, PIECE = 256, 1_024
+#: Rows of equal vectors that a block is made from, per vector; clusters with more of them fall into more blocks.
+MOST_COPIES = 32
 
 
 @dataclass(frozen=True)
@@ -175,9 +179,10 @@ def similar_files(index: S.VectorIndex, file_path: str, top_k: int = 10) -> Foun
 
 _PACKED = "cluster int, block long, ids binary, parts binary, vectors binary"
 _WRITTEN = "cluster int, name string"
+_OWNED = "cluster int, vector binary, files array<long>, parts array<long>"
 _SIMILAR = "file_id long, rank int, other_id long, chunk_index int, score double"
 #: Vectors per wanted file that a block first offers to a mean; more follow where these are too few files.
-OFFERED = 8
+OFFERED = 2
 
 
 def _pack(vector: str, width: int):
@@ -195,39 +200,84 @@ def _pack(vector: str, width: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: Column) -> tuple[DataFrame, int]:
-    """Rows of a stored table with ``block``, about ``BLOCK`` rows of a cluster each, and the number of blocks."""
+def _dealt(rows: DataFrame, key: Column, counted: Column) -> tuple[DataFrame, int]:
+    """Rows of a stored table with ``block``, about ``BLOCK`` as ``counted`` of a cluster each, and the number of blocks."""
     # one row per cluster, of which there are at most S.MAX_CLUSTERS
     blocks, total = F.lit(1), 0
-    for cluster, size in rows.groupBy("cluster").count().collect():
+    for cluster, size in rows.groupBy("cluster").agg(counted).collect():
         total += -(-size // BLOCK)
         if size > BLOCK:
             blocks = F.when(F.col("cluster") == cluster, -(-size // BLOCK)).otherwise(blocks)
     return rows.withColumn("block", F.pmod(key, blocks.cast("long"))), total
 
 
-def owned_vectors(chunks: DataFrame, top_k: int) -> DataFrame:
-    """Distinct vectors (cluster, embedding, owners) of chunks, with the files that can still count.
+def _lowest_owners(which: np.ndarray, files: np.ndarray, parts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector the ``most`` lowest files that have it, each with its lowest part, in the order of the vectors."""
+    order = np.lexsort((parts, files, which))
+    which, files, parts = which[order], files[order], parts[order]
+    first = np.append(True, (which[1:] != which[:-1]) | (files[1:] != files[:-1]))[: len(which)]
+    which, files, parts = which[first], files[first], parts[first]
+    kept = np.arange(len(which)) - np.searchsorted(which, which) < most
+    return which[kept], files[kept], parts[kept]
+
+
+def _combine(width: int, most: int):
+    """Distinct vectors of a batch, with their lowest owners."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            # equal vectors lie in one cluster, unless they are as near to another
+            cluster = batch.column("cluster").to_numpy().astype(np.int32).view(np.uint8).reshape(n, 4)
+            values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32).view(np.uint8).reshape(n, 4 * width)
+            keys = np.concatenate([cluster, values], axis=1)
+            coded = pa.Array.from_buffers(pa.binary(keys.shape[1]), n, [None, pa.py_buffer(keys)]).dictionary_encode()
+            which = coded.indices.to_numpy()
+            _, first = np.unique(which, return_index=True)
+            owned, files, parts = _lowest_owners(which, *(batch.column(c).to_numpy().astype(np.int64) for c in ("file_id", "chunk_index")), most)
+            starts = pa.array(np.searchsorted(owned, np.arange(len(first) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("cluster").take(pa.array(first)),
+                    pa.array([v.tobytes() for v in values[first]], pa.binary()),
+                    pa.ListArray.from_arrays(starts, pa.array(files)),
+                    pa.ListArray.from_arrays(starts, pa.array(parts)),
+                ],
+                names=["cluster", "vector", "files", "parts"],
+            )
+
+    return run
+
+
+def owned_vectors(chunks: DataFrame, width: int, top_k: int) -> DataFrame:
+    """Vectors (cluster, vector, files, parts, key) of chunks, with the files that can still count.
 
     Chunks of equal vectors have equal scores.  Of the files that share one
     the ``top_k`` + 1 lowest ids suffice: any other file has ``top_k`` before
-    it, even where the file that asks is one of them.
+    it, even where the file that asks is one of them.  A vector comes once per
+    batch of chunks that holds it; blocks bring these rows together.
     """
-    pairs = chunks.groupBy("cluster", "embedding", "file_id").agg(F.min("chunk_index").alias("part"))
-    place = F.row_number().over(Window.partitionBy("cluster", "embedding").orderBy("file_id"))
-    kept = pairs.withColumn("place", place).filter(F.col("place") <= top_k + 1)
-    return kept.groupBy("cluster", "embedding").agg(F.collect_list(F.struct("file_id", "part")).alias("owners"))
+    found = chunks.select("cluster", "embedding", "file_id", "chunk_index").mapInArrow(_combine(width, top_k + 1), _OWNED)
+    return found.withColumn("key", F.xxhash64("vector"))
 
 
-def _write_block(folder: str, width: int):
+def _write_block(folder: str, width: int, most: int):
     """Stores the distinct vectors of a block as a file, and names it."""
 
     def run(key, rows):
         cluster = key[0].as_py()
-        units, good = S.units_of(rows.column("embedding"), width)
-        owners = rows.column("owners").combine_chunks().take(pa.array(good))
-        flat = owners.flatten()
-        lists = [units.ravel(), owners.value_lengths().to_numpy(), *(flat.field(c).to_numpy().astype(np.int64) for c in ("file_id", "part"))]
+        rows = rows.combine_chunks()
+        coded = rows.column("vector").combine_chunks().dictionary_encode()
+        vectors = np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.float32).reshape(-1, width)
+        files, parts = (rows.column(c).combine_chunks() for c in ("files", "parts"))
+        which = np.repeat(coded.indices.to_numpy(), files.value_lengths().to_numpy())
+        which, files, parts = _lowest_owners(which, files.flatten().to_numpy(), parts.flatten().to_numpy(), most)
+        # no cosine is known of a vector of infinite length
+        known = np.isfinite(vectors).all(axis=1)
+        owned = known[which]
+        lists = [vectors[known], np.bincount(which, minlength=len(vectors))[known].astype(np.int32), files[owned], parts[owned]]
         table = pa.table([pa.array([x.tobytes()], pa.large_binary()) for x in lists], names=["vectors", "counts", "files", "parts"])
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
@@ -254,7 +304,9 @@ class Block:
         system, base = fs.FileSystem.from_uri(path)
         with system.open_input_file(base) as file:
             row = pa.ipc.open_file(file).read_all().to_pylist()[0]
-        vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
+        # as they were stored; products take unit vectors
+        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, width).astype(np.float64)
+        vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
         files, parts = (np.frombuffer(row[n], np.int64) for n in ("files", "parts"))
         return cls(vectors, np.append(0, np.cumsum(counts)), files, parts)
@@ -274,34 +326,64 @@ class BestFiles:
         self.narrow = means.astype(np.float32)
         # products of narrow floats differ from the exact ones by less than half of this
         self.error = 1e-6 + 2.5e-7 * means.shape[1]
-        #: who, file, part, score of the hits so far, and the last score of each mean that has all its hits
-        self.hits = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        self.mark = np.full(len(means), -2.0)
+        #: file, part and score of the hits so far, best first; places without one have a score below all others
+        self.files, self.parts = np.zeros((len(means), top_k), np.int64), np.zeros((len(means), top_k), np.int64)
+        self.scores = np.full((len(means), top_k), -2.0)
+
+    @property
+    def mark(self) -> np.ndarray:
+        """Score that a further hit of each mean has to reach."""
+        return self.scores[:, -1]
+
+    @property
+    def hits(self) -> list[np.ndarray]:
+        """Who, file, part, score of the hits so far."""
+        who, place = np.nonzero(self.scores > -2.0)
+        return [who, *(x[who, place] for x in (self.files, self.parts, self.scores))]
 
     def _merge(self, *found: np.ndarray) -> None:
-        who, files, parts, scores = (np.concatenate(pair) for pair in zip(self.hits, found, strict=True))
+        # only means with new hits are touched
+        rows, at = np.unique(found[0], return_inverse=True)
+        old, place = np.nonzero(self.scores[rows] > -2.0)
+        held = [x[rows[old], place] for x in (self.files, self.parts, self.scores)]
+        who, files, parts, scores = (np.concatenate(pair) for pair in zip([old, *held], [at, *found[1:]], strict=True))
         order = np.lexsort((parts, -scores, files, who))
-        who, files = who[order], files[order]
-        order = order[np.append(True, (who[1:] != who[:-1]) | (files[1:] != files[:-1]))] if len(order) else order
-        who, files, parts, scores = (np.concatenate(pair)[order] for pair in zip(self.hits, found, strict=True))
-        order = np.lexsort((files, -scores, who))
-        starts = np.searchsorted(who[order], np.arange(len(self.means)))
-        place = np.arange(len(order)) - starts[who[order]]
-        self.hits = [x[order][place < self.top_k] for x in (who, files, parts, scores)]
-        last = place == self.top_k - 1
-        self.mark[who[order][last]] = scores[order][last]
+        own, file = who[order], files[order]
+        order = order[np.append(True, (own[1:] != own[:-1]) | (file[1:] != file[:-1]))]
+        order = order[np.lexsort((files[order], -scores[order], who[order]))]
+        own = who[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        order, own, place = (x[place < self.top_k] for x in (order, own, place))
+        for to, values in ((self.files, files), (self.parts, parts), (self.scores, scores)):
+            to[rows[own], place] = values[order]
 
     def add(self, block: Block, rows: np.ndarray) -> None:
         """Let the means ``rows`` meet a block."""
-        vectors, offered = block.vectors.astype(np.float32), OFFERED * self.top_k
+        vectors = block.vectors.astype(np.float32)
+        for offset in range(0, len(vectors), PIECE):
+            piece = vectors[offset : offset + PIECE].T
+            kept, held = [], 0
+            for start in range(0, len(rows), TILE):
+                tile = rows[start : start + TILE]
+                narrow = self.narrow[tile] @ piece
+                # most means have no hit in most blocks: one pass over the products tells which
+                open_ = np.flatnonzero(narrow.max(axis=1) >= (self.mark[tile] - self.error).astype(np.float32))
+                kept.append((tile[open_], narrow[open_]))
+                held += len(open_)
+                if held >= TILE or (held and start + TILE >= len(rows)):
+                    self._offer(block, offset, *(np.concatenate(x) for x in zip(*kept, strict=True)))
+                    kept, held = [], 0
+
+    def _offer(self, block: Block, offset: int, rows: np.ndarray, narrow: np.ndarray) -> None:
+        """Take the hits among the products of some means and the vectors from ``offset`` on."""
+        offered, size = OFFERED * self.top_k, narrow.shape[1]
         while len(rows):
-            narrow = self.narrow[rows] @ vectors.T
             hit = narrow >= (self.mark[rows] - self.error).astype(np.float32)[:, None]
-            many = np.flatnonzero(hit.sum(axis=1) > offered) if offered < len(vectors) else np.zeros(0, np.int64)
-            edge = np.partition(narrow[many], len(vectors) - offered, axis=1)[:, len(vectors) - offered] if len(many) else np.zeros(0)
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > offered) if offered < size else np.zeros(0, np.int64)
+            edge = np.partition(narrow[many], size - offered, axis=1)[:, size - offered] if len(many) else np.zeros(0)
             hit[many] &= narrow[many] >= (edge - self.error).astype(np.float32)[:, None]
-            who, which = np.nonzero(hit)
-            who = rows[who]
+            who, which = np.divmod(np.flatnonzero(hit), size)
+            who, which = rows[who], which + offset
             scores = np.round(np.clip(np.einsum("ij,ij->i", self.means[who], block.vectors[which]), -1.0, 1.0), hybrid.SCORE_DIGITS)
             good = scores >= self.mark[who]
             at, whose = block.owners(which[good])
@@ -310,7 +392,8 @@ class BestFiles:
             if other.any():
                 self._merge(who[other], block.files[at][other], block.parts[at][other], scores[other])
             # what lay below the edge matters where the hits do not reach it
-            rows = rows[many][self.mark[rows[many]] < edge - self.error / 2]
+            left = many[self.mark[rows[many]] < edge - self.error / 2]
+            rows, narrow = rows[left], narrow[left]
             offered *= 8
 
 
@@ -354,7 +437,8 @@ def all_similar_files(index: S.VectorIndex, stored: Callable[[DataFrame, str], D
     folder, each with the files that have it.  A task takes a group of means
     and multiplies it with one block after the other, nearest clusters first;
     it holds one block and the hits so far, and passes over clusters that can
-    no longer win.  So no candidates are written, whatever the vectors are
+    no longer win.  Beside the product itself, one maximum per mean and block
+    is all that is done for means without a hit there.  So no candidates are written, whatever the vectors are
     like; the products still grow with means times distinct vectors where
     these have no structure.  Vectors of another width, and zero vectors, take
     no part.  ``stored`` writes a table to the shared folder and reads it back.
@@ -365,17 +449,18 @@ def all_similar_files(index: S.VectorIndex, stored: Callable[[DataFrame, str], D
         return spark.createDataFrame([], _SIMILAR)
     width, clusters = centres.shape[1], [c for c in index.clusters if c.centre is not None]
     rows = index.rows.filter(F.col("cluster") != S.LOOSE)
-    vectors = stored(owned_vectors(rows, top_k), "vectors")
+    vectors = stored(owned_vectors(rows, width, top_k), "vectors")
     folder = f"{as_uri(shared_dir(spark).rstrip('/'))}/work/vectors-{uuid.uuid4().hex}"
-    dealt, _ = _dealt(vectors, F.xxhash64("embedding"))
-    written = dealt.groupBy("cluster", "block").applyInArrow(_write_block(folder, width), _WRITTEN)
+    distinct = F.greatest(F.approx_count_distinct("key"), F.floor(F.count(F.lit(1)) / MOST_COPIES))
+    dealt, _ = _dealt(vectors, F.col("key"), distinct)
+    written = dealt.groupBy("cluster", "block").applyInArrow(_write_block(folder, width, top_k + 1), _WRITTEN)
     names: dict[int, list[str]] = {}
     # one short row per block of vectors
     for row in stored(written, "names").collect():
         names.setdefault(row["cluster"], []).append(row["name"])
-    means = V.mean_vector(rows, "embedding", "file_id").withColumn("at", S.place(F.col("mean_vector"), all_centres(index)))
+    means = V.mean_vector(rows, "embedding", "file_id", width=width).withColumn("at", S.place(F.col("mean_vector"), all_centres(index)))
     means = stored(means.select(F.col("at.cluster").alias("cluster"), "file_id", F.lit(0).alias("part"), "mean_vector"), "means")
-    dealt, groups = _dealt(means, F.xxhash64("file_id"))
+    dealt, groups = _dealt(means, F.xxhash64("file_id"), F.count(F.lit(1)))
     packed = dealt.groupBy("cluster", "block").applyInArrow(_pack("mean_vector", width), _PACKED)
     # a group is little to read and much to do: each may have a task
     spread = stored(packed, "groups").repartition(max(1, min(groups, MOST_TASKS)))

@@ -177,3 +177,73 @@ def test_search_shuffles_no_texts(data, monkeypatch):
     expected = [(f, c, -s) for s, f, c in sorted((s, f, c) for f, (s, c) in best.items())[:20]]
     found = nearest.search(index, q, nearest.by_cosine(q), 20).hits
     assert sorted(((r.file_id, r.chunk_index, r.score) for r in found.collect()), key=lambda r: (-r[2], r[0])) == expected
+
+
+def test_blocks_without_hits_cost_no_more_than_products():
+    """Means that have their files pass over a block of far vectors without a look at single products."""
+    rng = np.random.default_rng(5)
+    means = np.abs(rng.normal(size=(40, WIDTH)))
+    means /= np.linalg.norm(means, axis=1)[:, None]
+    best = nearest.BestFiles(means, np.arange(40), 3)
+    best.add(nearest.Block(means, np.arange(41), np.arange(40), np.zeros(40, np.int64)), np.arange(40))
+    before = [x.tolist() for x in best.hits]
+
+    class Far(nearest.Block):
+        def owners(self, which):
+            pytest.fail("looks at the vectors of a block without hits")
+
+    best.add(Far(-means, np.arange(41), np.arange(100, 140), np.zeros(40, np.int64)), np.arange(40))
+    assert [x.tolist() for x in best.hits] == before
+
+
+def test_all_similar_files_shuffles_no_pairs(spark, data):
+    """Neither files nor arrays are grouped by Spark; equal vectors and chunks of a file may come in many batches."""
+    _, _, index = data
+    plans = {}
+
+    def planned(df, name, keep=stored(spark)):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    def found(keep):
+        rows = nearest.all_similar_files(index, keep, 5).collect()
+        return sorted((r.file_id, r.rank, r.other_id, r.chunk_index, round(r.score, 8)) for r in rows)
+
+    whole = found(planned)
+    assert "Exchange" not in plans["vectors"] and "Aggregate" not in plans["vectors"] + plans["means"]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found(stored(spark)) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_lowest_owners():
+    which, files, parts = (np.array(x) for x in ([1, 0, 1, 1, 1, 0, 1], [9, 4, 2, 9, 5, 4, 7], [3, 8, 1, 2, 0, 6, 5]))
+    assert [x.tolist() for x in nearest._lowest_owners(which, files, parts, 3)] == [[0, 1, 1, 1], [4, 2, 5, 7], [6, 1, 0, 5]]
+    assert [len(x) for x in nearest._lowest_owners(which[:0], files[:0], parts[:0], 3)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize(("tile", "piece", "offered"), [(3, 16, 1), (7, 50, 2), (256, 1_024, 8)])
+def test_best_files_by_pieces(monkeypatch, tile, piece, offered):
+    """Pieces of a block, vectors with several owners and files with many vectors give the hits of a full scan."""
+    for name, value in (("TILE", tile), ("PIECE", piece), ("OFFERED", offered)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(6)
+    vectors, means = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(300, WIDTH)), rng.normal(size=(20, WIDTH))))
+    owners = [sorted(set(rng.integers(0, 30, 1 + i % 4).tolist())) if i % 5 else [3] for i in range(300)]
+    best = nearest.BestFiles(means, np.arange(20), 4)
+    for part in np.split(np.arange(300), [90, 91, 200]):
+        counts = [len(owners[i]) for i in part]
+        files = np.array([f for i in part for f in owners[i]])
+        best.add(nearest.Block(vectors[part], np.append(0, np.cumsum(counts)), files, np.repeat(part, counts)), np.arange(20))
+    for q in range(20):
+        own = {}
+        for i, v in enumerate(vectors):
+            for f in owners[i]:
+                if f != q:
+                    own[f] = min(own.get(f, (9, 0)), (-round(float(means[q] @ v), 9), i))
+        expected = [(f, i, -s) for s, f, i in sorted((s, f, i) for f, (s, i) in own.items())[:4]]
+        mine = best.hits[0] == q
+        assert list(zip(*(x[mine].tolist() for x in best.hits[1:]), strict=True)) == expected

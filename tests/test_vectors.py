@@ -61,6 +61,19 @@ def test_mean_vector(spark):
     assert V.mean_vector(df, "v", "k").first()["mean_vector"] == pytest.approx([0.5**0.5] * 2)
 
 
+def test_mean_vector_of_one_width(spark, monkeypatch):
+    """The form for single floats of one width gives the means of the general one; a key may have most rows, or be null."""
+    monkeypatch.setattr(V, "LOT_BYTES", 1_000)
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 50 == 3 else i if i % 3 else 7, [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(-1, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    expected = {r.k: r.mean_vector for r in V.mean_vector(df, "v", "k").collect()}
+    found = V.mean_vector(df, "v", "k", width=6).collect()
+    assert len(found) == len(expected) and {r.k for r in found} == set(expected)
+    for r in found:
+        assert r.mean_vector == pytest.approx(expected[r.k], abs=1e-12)
+
+
 def test_blobs(spark):
     df = spark.createDataFrame([([1.0, -0.5, 0.25, 3.15],), ([0.1] * 384,), (None,)], "v array<float>")
     rows = df.select("v", V.to_blob(F.col("v")).alias("b")).withColumn("w", V.from_blob(F.col("b"))).collect()
